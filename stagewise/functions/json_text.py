@@ -78,6 +78,6 @@ def list_text(items: Column) -> Column:
 
 
 def object_text(entries: Column) -> Column:
-    """JSON object from an array of (name, JSON text) structs."""
-    pairs = F.transform(entries, lambda e: F.concat(quote(e[0]), F.lit(":"), e[1]))
+    """JSON object from an array of ``struct(name, value)``, the values being JSON text."""
+    pairs = F.transform(entries, lambda e: F.concat(quote(e["name"]), F.lit(":"), e["value"]))
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))

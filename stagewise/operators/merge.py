@@ -150,5 +150,5 @@ def assemble_records(merged: DataFrame, keys: Keys, span: int = SEGMENT_ROWS) ->
         .when(F.col("kind") == "object", J.object_text(named))
         .otherwise(J.list_text(F.transform(values, lambda row: row["value"])))
     )
-    packed = F.array_sort(F.collect_list(F.struct(F.col("field"), text.alias("text"))))
+    packed = F.array_sort(F.collect_list(F.struct(F.col("field").alias("name"), text.alias("value"))))
     return fields.groupBy(*cols, "seg").agg(J.object_text(packed).alias("record"))

@@ -14,6 +14,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stagewise.functions import json_text as J
 from stagewise.functions.columns import Keys, SEGMENT_ROWS, names, ordered_values, position_segment, ref
@@ -75,7 +76,7 @@ def _quoted_rows(text: str | None) -> list[list[str]] | None:
     return [row for row in csv.reader(io.StringIO(text, newline="")) if row]
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _quoted_csv(texts: pd.Series) -> pd.Series:
     csv.field_size_limit(sys.maxsize)
     return texts.map(_quoted_rows)

@@ -6,7 +6,7 @@ The driver walks the schema once and builds an array of violations per row; ther
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -19,28 +19,97 @@ from stagewise.functions.casts import text_to_boolean, text_to_integer, text_to_
 from stagewise.functions.columns import Keys, names, ref
 from stagewise.plans.schema import Schema
 
-VIOLATIONS = "array<struct<path:string,rule:string,message:string>>"
-
 # Names of the value kinds as the messages print them.
 KIND_LABELS = {"object": "map", "array": "slice", "number": "float64", "boolean": "bool", "string": "string"}
 
+Path = str | Column
+
+
+@dataclass(frozen=True)
+class Check:
+    """One rule at one place: the violation exists where ``failed`` is true."""
+
+    failed: Column
+    path: Path
+    rule: str
+    message: Column
+
+
+@dataclass
+class Found:
+    """Rules of a value: single checks, and violation arrays of its list items."""
+
+    checks: list[Check]
+    arrays: list[Column]
+
+    def add(self, failed: Column, path: Path, rule: str, *message: Any) -> None:
+        """Append a check; message parts are texts and columns."""
+        parts = [part.cast("string") if isinstance(part, Column) else F.lit(str(part)) for part in message]
+        self.checks.append(Check(failed, path, rule, F.concat(*parts) if len(parts) > 1 else parts[0]))
 
-def _none() -> Column:
-    return F.array().cast(VIOLATIONS)
+    def extend(self, other: "Found") -> None:
+        """Append all rules of a part."""
+        self.checks += other.checks
+        self.arrays += other.arrays
 
+    def any_failed(self) -> Column:
+        """True where at least one rule is broken."""
+        single = [F.coalesce(check.failed, F.lit(False)) for check in self.checks]
+        listed = [F.coalesce(F.size(array) > 0, F.lit(False)) for array in self.arrays]
+        return reduce(lambda a, b: a | b, single + listed, F.lit(False))
+
+    def to_array(self) -> Column:
+        """``ARRAY<STRUCT<path, rule, message>>`` of the broken rules, in schema order."""
+        structs = [
+            F.when(
+                check.failed,
+                F.struct(_path(check.path).alias("path"), F.lit(check.rule).alias("rule"), check.message.alias("message")),
+            )
+            for check in self.checks
+        ]
+        parts = [F.array_compact(F.array(*structs))] if structs else []
+        parts += [F.coalesce(array, F.array().cast(VIOLATIONS)) for array in self.arrays]
+        return F.concat(*parts) if parts else F.array().cast(VIOLATIONS)
+
+
+VIOLATIONS = "array<struct<path:string,rule:string,message:string>>"
+
+
+class Bindings:
+    """Values used more than once become columns, level by level, so that each is computed once per row.
+
+    Inside list items there are no columns; there a value is simply repeated.
+    """
 
-def _violation(path: Column, rule: str, message: Column) -> Column:
-    return F.struct(path.alias("path"), F.lit(rule).alias("rule"), message.alias("message"))
+    def __init__(self, inside_list: bool = False) -> None:
+        self.levels: dict[int, dict[str, Column]] = {}
+        self.inside_list = inside_list
+        self.count = 0
 
+    def bind(self, level: int, value: Column) -> Column:
+        """Name a value."""
+        if self.inside_list:
+            return value
+        name = f"_b{self.count}"
+        self.count += 1
+        self.levels.setdefault(level, {})[name] = value
+        return F.col(name)
 
-def _check(failed: Column, path: Column, rule: str, *message: Any) -> Column:
-    """One violation when the condition fails to hold, else an empty array."""
-    parts = [part.cast("string") if isinstance(part, Column) else F.lit(str(part)) for part in message]
-    return F.when(F.coalesce(failed, F.lit(False)), F.array(_violation(path, rule, F.concat(*parts)))).otherwise(_none())
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Add all named values."""
+        for level in sorted(self.levels):
+            df = df.withColumns(self.levels[level])
+        return df
 
 
-def _all(parts: list[Column]) -> Column:
-    return F.concat(*parts) if parts else _none()
+def _path(path: Path) -> Column:
+    return F.lit(path) if isinstance(path, str) else path
+
+
+def _below(path: Path, name: str) -> Path:
+    if isinstance(path, str):
+        return f"{path}.{name}" if path else name
+    return F.concat(path, F.lit("." + name))
 
 
 def _label(kind: Column) -> Column:
@@ -52,130 +121,140 @@ def _member(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f'$["{escaped}"]', "variant")
 
 
-def _object_rules(value: Column, schema: Schema, path: Column, soft: bool) -> Column:
-    parts: list[Column] = []
+def _number_text(number: Column) -> Column:
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(whole, number.try_cast("bigint").cast("string")).otherwise(number.cast("string"))
+
+
+def _bound_text(bound: float) -> str:
+    return str(int(bound)) if float(bound).is_integer() else str(bound)
+
+
+def _object_rules(value: Column, schema: Schema, path: Path, here: Column, soft: bool, bindings: Bindings, level: int) -> Found:
+    found = Found([], [])
     low, high = schema.get("minProperties"), schema.get("maxProperties")
     if low is not None or high is not None:
-        count = F.size(F.map_keys(J.as_map(value)))
+        count = bindings.bind(level, F.size(F.map_keys(J.as_map(value))))
         if low is not None:
-            parts.append(_check(count < low, path, "property_count", "object has ", count, f" properties, minimum is {low}"))
+            found.add(here & (count < low), path, "property_count", "object has ", count, f" properties, minimum is {low}")
         if high is not None:
-            parts.append(_check(count > high, path, "property_count", "object has ", count, f" properties, maximum is {high}"))
+            found.add(here & (count > high), path, "property_count", "object has ", count, f" properties, maximum is {high}")
+    fields = schema.get("properties") or {}
+    members = {
+        name: bindings.bind(level, _member(value, name)) for name in dict.fromkeys([*(schema.get("required") or []), *fields])
+    }
     for name in schema.get("required") or []:
-        parts.append(_check(_member(value, name).isNull(), path, "required", f"missing required property: {name}"))
-    for name, field in (schema.get("properties") or {}).items():
-        member = _member(value, name)
-        below = F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit("." + name)))
-        parts.append(F.when(member.isNull(), _none()).otherwise(violations(member, field, below, soft)))
-    return _all(parts)
+        found.add(here & members[name].isNull(), path, "required", f"missing required property: {name}")
+    for name, field in fields.items():
+        present = here & members[name].isNotNull()
+        found.extend(rules_of(members[name], field, _below(path, name), present, soft, bindings, level + 1))
+    return found
 
 
-def _array_rules(value: Column, schema: Schema, path: Column, soft: bool) -> Column:
-    parts: list[Column] = []
-    items = J.as_list(value)
+def _array_rules(value: Column, schema: Schema, path: Path, here: Column, soft: bool, bindings: Bindings, level: int) -> Found:
+    found = Found([], [])
+    items = bindings.bind(level, J.as_list(value))
     low, high = schema.get("minItems"), schema.get("maxItems")
     if low is not None:
-        parts.append(_check(F.size(items) < low, path, "item_count", "array has ", F.size(items), f" items, minimum is {low}"))
+        found.add(here & (F.size(items) < low), path, "item_count", "array has ", F.size(items), f" items, minimum is {low}")
     if high is not None:
-        parts.append(_check(F.size(items) > high, path, "item_count", "array has ", F.size(items), f" items, maximum is {high}"))
+        found.add(here & (F.size(items) > high), path, "item_count", "array has ", F.size(items), f" items, maximum is {high}")
     item_schema = schema.get("items")
     if item_schema:
 
         def item(x: Column, i: Column) -> Column:
-            return violations(x, item_schema, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), soft)
+            at = F.concat(_path(path), F.lit("["), i.cast("string"), F.lit("]"))
+            return rules_of(x, item_schema, at, F.lit(True), soft, Bindings(inside_list=True), 0).to_array()
 
-        parts.append(F.flatten(F.transform(items, item)))
-    return _all(parts)
+        found.arrays.append(F.when(here, F.flatten(F.transform(items, item))))
+    return found
 
 
-def _string_rules(value: Column, schema: Schema, path: Column) -> Column:
-    parts: list[Column] = []
-    text = F.try_variant_get(value, "$", "string")
+def _string_rules(value: Column, schema: Schema, path: Path, here: Column, bindings: Bindings, level: int) -> Found:
+    found = Found([], [])
+    text = bindings.bind(level, F.try_variant_get(value, "$", "string"))
     length = F.octet_length(text)
     low, high = schema.get("minLength"), schema.get("maxLength")
     if low is not None:
-        parts.append(_check(length < low, path, "string_length", "string length is ", length, f", minimum is {low}"))
+        found.add(here & (length < low), path, "string_length", "string length is ", length, f", minimum is {low}")
     if high is not None:
-        parts.append(_check(length > high, path, "string_length", "string length is ", length, f", maximum is {high}"))
+        found.add(here & (length > high), path, "string_length", "string length is ", length, f", maximum is {high}")
     pattern = schema.get("pattern")
     if pattern:
         try:
             re.compile(pattern)
         except re.error as wrong:
             raise ValueError(f"invalid pattern: {pattern}") from wrong
-        parts.append(_check(~text.rlike(pattern), path, "pattern", f"string does not match pattern: {pattern}"))
+        found.add(here & ~text.rlike(pattern), path, "pattern", f"string does not match pattern: {pattern}")
     choices = schema.get("enum")
     if choices:
         listed = " ".join(str(choice) for choice in choices)
         texts = [choice for choice in choices if isinstance(choice, str)]
-        parts.append(_check(~text.isin(texts), path, "enum", f"value must be one of: [{listed}]"))
-    return _all(parts)
+        found.add(here & ~text.isin(texts), path, "enum", f"value must be one of: [{listed}]")
+    return found
 
 
-def _number_rules(number: Column, schema: Schema, path: Column) -> Column:
-    parts: list[Column] = []
+def _number_rules(number: Column, schema: Schema, path: Path, here: Column) -> Found:
+    found = Found([], [])
     if schema.get("type") == "integer":
-        parts.append(_check(number != F.floor(number), path, "is_integer", "expected integer, got float"))
+        found.add(here & (number != F.floor(number)), path, "is_integer", "expected integer, got float")
     low, high = schema.get("minimum"), schema.get("maximum")
     if low is not None:
-        parts.append(_check(number < low, path, "number_range", "value ", number, f" is less than minimum {low}"))
+        text = f" is less than minimum {_bound_text(low)}"
+        found.add(here & (number < low), path, "number_range", "value ", _number_text(number), text)
     if high is not None:
-        parts.append(_check(number > high, path, "number_range", "value ", number, f" is greater than maximum {high}"))
-    return _all(parts)
+        text = f" is greater than maximum {_bound_text(high)}"
+        found.add(here & (number > high), path, "number_range", "value ", _number_text(number), text)
+    return found
 
 
-def violations(value: Column, schema: Schema, path: Column, soft: bool = False) -> Column:
-    """Violations of one VARIANT value, as an array in schema order."""
-    kind = J.variant_kind(value)
-    declared = schema.get("type") or ""
+def rules_of(
+    value: Column, schema: Schema, path: Path, guard: Column, soft: bool, bindings: Bindings, level: int = 0
+) -> Found:
+    """Rules of a VARIANT value that apply where ``guard`` holds."""
+    found = Found([], [])
+    kind = bindings.bind(level, J.variant_kind(value))
+    empty = F.coalesce(kind == "null", F.lit(True))
+    if not schema.get("nullable"):
+        found.add(guard & empty, path, "not_null", "value is null but schema is not nullable")
+    here = guard & ~empty
+    level += 1
 
-    def typed(wanted: str, expected: str, rules: Column, accept: Column | None = None) -> Column:
-        fits = kind == wanted if accept is None else (kind == wanted) | accept
-        wrong = _check(~fits, path, "type_is", f"expected {expected}, got ", _label(kind))
-        return F.when(fits, rules).otherwise(wrong)
+    if schema.get("anyOf"):
+        branches = [rules_of(value, branch, path, F.lit(True), soft, bindings, level) for branch in schema["anyOf"]]
+        all_fail = reduce(lambda a, b: a & b, [branch.any_failed() for branch in branches])
+        found.add(here & all_fail, path, "any_of", "value does not match any of the schemas in anyOf")
+        return found
 
-    def numeric() -> Column:
+    declared = schema.get("type") or ""
+    if declared not in ("", "object", "array", "string", "number", "integer", "boolean"):
+        found.add(here, path, "type_is", f"unsupported type: {declared}")
+        return found
+
+    wanted = "number" if declared == "integer" else declared
+    fits = kind == wanted
+    spelled: Column | None = None
+    if soft and wanted in ("number", "boolean"):
+        cast = text_to_number if wanted == "number" else text_to_boolean
+        text = F.when(kind == "string", F.try_variant_get(value, "$", "string"))
+        spelled = bindings.bind(level, cast(text))
+        fits = fits | spelled.isNotNull()
+        level += 1
+    if declared:
+        found.add(here & ~fits, path, "type_is", f"expected {wanted}, got ", _label(kind))
+
+    if declared in ("", "object"):
+        found.extend(_object_rules(value, schema, path, here & (kind == "object"), soft, bindings, level))
+    if declared in ("", "array"):
+        found.extend(_array_rules(value, schema, path, here & (kind == "array"), soft, bindings, level))
+    if declared in ("", "string"):
+        found.extend(_string_rules(value, schema, path, here & (kind == "string"), bindings, level))
+    if declared in ("", "number", "integer"):
         number = F.try_variant_get(value, "$", "double")
-        if not soft:
-            return typed("number", "number", _number_rules(number, schema, path))
-        spelled = text_to_number(F.when(kind == "string", F.try_variant_get(value, "$", "string")))
-        both = F.when(kind == "string", spelled).otherwise(number)
-        return typed("number", "number", _number_rules(both, schema, path), F.coalesce(spelled.isNotNull(), F.lit(False)))
-
-    def boolean() -> Column:
-        if not soft:
-            return typed("boolean", "boolean", _none())
-        spelled = text_to_boolean(F.when(kind == "string", F.try_variant_get(value, "$", "string")))
-        return typed("boolean", "boolean", _none(), F.coalesce(spelled.isNotNull(), F.lit(False)))
-
-    by_type: dict[str, Callable[[], Column]] = {
-        "object": lambda: typed("object", "object", _object_rules(value, schema, path, soft)),
-        "array": lambda: typed("array", "array", _array_rules(value, schema, path, soft)),
-        "string": lambda: typed("string", "string", _string_rules(value, schema, path)),
-        "number": numeric,
-        "integer": numeric,
-        "boolean": boolean,
-    }
-    if schema.get("anyOf"):
-        passes = reduce(lambda a, b: a | b, [F.size(violations(value, s, path, soft)) == 0 for s in schema["anyOf"]])
-        body = _check(~passes, path, "any_of", "value does not match any of the schemas in anyOf")
-    elif declared in by_type:
-        body = by_type[declared]()
-    elif declared == "":
-        body = (
-            F.when(kind == "object", _object_rules(value, schema, path, soft))
-            .when(kind == "array", _array_rules(value, schema, path, soft))
-            .when(kind == "string", _string_rules(value, schema, path))
-            .when(kind == "number", _number_rules(F.try_variant_get(value, "$", "double"), schema, path))
-            .otherwise(_none())
-        )
-    else:
-        body = _check(F.lit(True), path, "type_is", f"unsupported type: {declared}")
-    empty = F.coalesce(kind == "null", F.lit(True))
-    if schema.get("nullable"):
-        return F.when(empty, _none()).otherwise(body)
-    absent = _check(F.lit(True), path, "not_null", "value is null but schema is not nullable")
-    return F.when(empty, absent).otherwise(body)
+        if spelled is not None:
+            number = F.coalesce(spelled, number)
+        found.extend(_number_rules(bindings.bind(level, number), schema, path, here & (fits if declared else kind == "number")))
+    return found
 
 
 def as_variant(df: DataFrame, col: str) -> Column:
@@ -200,16 +279,18 @@ def validate(
     rules: Keys | None = None,
 ) -> DataFrame:
     """``(keys, path, rule, message)``: every violation, the first per row by path, or those of some rules only."""
-    found = df.select(*names(keys), as_variant(df, col).alias("_value"))
-    listed = violations(F.col("_value"), schema, F.lit(""), soft)
+    bindings = Bindings()
+    found = rules_of(F.col("_value"), schema, "", F.lit(True), soft, bindings)
     if rules is not None:
         wanted = names(rules)
-        inner = listed
-        listed = F.filter(inner, lambda v: v["rule"].isin(wanted))
+        found.checks = [check for check in found.checks if check.rule in wanted]
+        found.arrays = [F.filter(array, lambda v: v["rule"].isin(wanted)) for array in found.arrays]
+    bound = bindings.apply(df.select(*names(keys), as_variant(df, col).alias("_value")))
+    listed = found.to_array()
     if first_only:
-        least = F.array_min(listed)
-        listed = F.when(least.isNotNull(), F.array(least)).otherwise(_none())
-    return found.select(*names(keys), F.inline(listed))
+        bound = bound.withColumn("_least", F.array_min(listed))
+        listed = F.when(F.col("_least").isNotNull(), F.array("_least"))
+    return bound.select(*names(keys), F.inline(listed))
 
 
 def rule_summary(found: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,28 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship_packages(spark: SparkSession, *packages: str) -> None:
+    """Send Python packages to the executors once per application, for the functions that run in Python there."""
+    context = spark.sparkContext
+    for package in packages:
+        done = (str(context.applicationId), package)
+        if done in _shipped:
+            continue
+        root = os.path.dirname(os.path.abspath(str(importlib.import_module(package).__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="stagewise-code-"), f"{package}.zip")
+        with zipfile.ZipFile(archive, "w") as target:
+            for folder, _, files in os.walk(root):
+                for name in files:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        target.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(archive)
+        _shipped.add(done)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session, or a temporary one in local mode."""
     context = spark.sparkContext

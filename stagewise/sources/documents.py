@@ -33,9 +33,8 @@ def read_resources(spark: SparkSession, path: str, exts: list[str] | None = None
         reader = reader.option("pathGlobFilter", "*{" + ",".join(exts) + "}")
     files = reader.load(path)
     root = path.rstrip("/") + "/"
-    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
     return files.select(
-        F.split_part(plain, F.lit(root), F.lit(-1)).alias("identifier"),
+        F.split_part(F.col("path"), F.lit(root), F.lit(-1)).alias("identifier"),
         media_type(F.col("path")).alias("media_type"),
         F.col("content"),
     )
