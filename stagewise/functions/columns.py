@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,18 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on shared columns that also pairs null with null, as grouping does; keeps the left key columns."""
+    renamed = right.withColumnsRenamed({name: f"_r_{name}" for name in cols})
+    condition = reduce(lambda a, b: a & b, [ref(name).eqNullSafe(ref(f"_r_{name}")) for name in cols])
+    return left.join(renamed, condition, how).drop(*[f"_r_{name}" for name in cols])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it uses several times, with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def position_segment(pos: Column, span: int) -> Column:
     """Segment number of a 0-based position; each (group, segment) holds at most ``span`` positions."""
     if span < 1:
@@ -40,7 +53,7 @@ def sized_segments(df: DataFrame, keys: Keys, seq: str, span: int, out: str = "s
     sizes = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_rows"), F.min(seq).alias("_low"))
     offset = F.coalesce(ref(seq), F.col("_low")) - F.col("_low")
     segment = F.when(F.col("_rows") <= span, F.lit(0)).otherwise(F.floor(offset / F.lit(span))).cast("bigint")
-    return df.join(sizes, cols).withColumn(out, segment).drop("_rows", "_low")
+    return join_on(df, sizes, cols).withColumn(out, segment).drop("_rows", "_low")
 
 
 def ordered_values(value: Column, *order: Column) -> Column:

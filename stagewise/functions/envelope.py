@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ class Node:
 
     def to_column(self, depth: int = 0) -> Column:
         """Element text; nested elements start on their own line, indented by one blank per level."""
-        opening: list[Column] = [F.lit("<" + self.tag)]
+        parts: list[Column] = [F.lit("<" + self.tag)]
         for label, value in (
             ("name", self.name),
             ("description", self.description),
@@ -59,19 +60,26 @@ class Node:
         ):
             column = _column(value)
             if column is not None:
-                attribute = F.concat(F.lit(f' {label}="'), escape_attribute(column), F.lit('"'))
-                opening.append(F.when(F.coalesce(column, F.lit("")) != "", attribute).otherwise(F.lit("")))
-        opening.append(F.lit(">"))
-
-        inner: Column = F.lit("")
-        if self.children:
-            parts = []
-            for child in self.children:
-                text = F.concat(F.lit("\n" + " " * (depth + 1)), child.to_column(depth + 1))
-                parts.append(text if child.present is None else F.when(child.present, text).otherwise(F.lit("")))
-            body = F.concat(*parts)
-            inner = F.when(body != "", F.concat(body, F.lit("\n" + " " * depth))).otherwise(F.lit(""))
+                escaped = F.nullif(escape_attribute(column), F.lit(""))
+                parts.append(F.coalesce(F.concat(F.lit(f' {label}="'), escaped, F.lit('"')), F.lit("")))
+        parts.append(F.lit(">"))
+
+        inner = self._children_column(depth)
         content = _column(self.content)
         if content is not None:
-            inner = F.when(F.coalesce(content, F.lit("")) != "", cdata(content)).otherwise(inner)
-        return F.concat(*opening, inner, F.lit(f"</{self.tag}>"))
+            # An empty text turns null, so the concatenation does too and the children show.
+            inner = F.coalesce(cdata(F.nullif(content, F.lit(""))), inner)
+        return F.concat(*parts, inner, F.lit(f"</{self.tag}>"))
+
+    def _children_column(self, depth: int) -> Column:
+        if not self.children:
+            return F.lit("")
+        texts = []
+        for child in self.children:
+            text = F.concat(F.lit("\n" + " " * (depth + 1)), child.to_column(depth + 1))
+            texts.append(text if child.present is None else F.when(child.present, text).otherwise(F.lit("")))
+        closing: Column = F.lit("\n" + " " * depth)
+        flags = [child.present for child in self.children if child.present is not None]
+        if len(flags) == len(self.children):
+            closing = F.when(reduce(lambda a, b: a | b, flags), closing).otherwise(F.lit(""))
+        return F.concat(*texts, closing)

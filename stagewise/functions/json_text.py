@@ -22,7 +22,10 @@ def parse_strict(text: Column) -> Column:
 
 def json_kind(json: Column) -> Column:
     """Kind of a canonical JSON text, read off its first character."""
-    first = F.substring(json, 1, 1)
+    return _kind_of_char(F.substring(json, 1, 1))
+
+
+def _kind_of_char(first: Column) -> Column:
     return (
         F.when(first == "{", "object")
         .when(first == "[", "array")
@@ -33,18 +36,36 @@ def json_kind(json: Column) -> Column:
     )
 
 
+# Kind of a VARIANT by the leading word of its schema.
+_SHAPE_KINDS = {
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "STRING": "string",
+    "BOOLEAN": "boolean",
+    "VOID": "null",
+    "TINYINT": "number",
+    "SMALLINT": "number",
+    "INT": "number",
+    "BIGINT": "number",
+    "FLOAT": "number",
+    "DOUBLE": "number",
+    "DECIMAL": "number",
+    "DATE": "string",
+    "TIMESTAMP": "string",
+    "TIMESTAMP_NTZ": "string",
+}
+
+
 def variant_kind(value: Column) -> Column:
-    """Kind of a VARIANT: object, array, string, boolean, null or number."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None))
-        .when(shape.startswith("OBJECT<"), "object")
-        .when(shape.startswith("ARRAY<"), "array")
-        .when(shape == "STRING", "string")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape == "VOID", "null")
-        .otherwise("number")
-    )
+    """Kind of a VARIANT: object, array, string, boolean, null or number. The value is referenced once only."""
+    word = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+    entries = [F.lit(text) for pair in _SHAPE_KINDS.items() for text in pair]
+    return F.try_element_at(F.create_map(*entries), word)
+
+
+def first_char(text: Column) -> Column:
+    """First character of a JSON text after white space; it tells the kind of a valid text without parsing."""
+    return F.substring(F.ltrim(text, F.lit(" \t\r\n")), 1, 1)
 
 
 def as_map(value: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagewise.functions.columns import ref
+from stagewise.functions.columns import let, ref
 
 # Text printed for an absent value, and the number of rendering rounds.
 NO_VALUE = "<no value>"
@@ -118,7 +118,7 @@ def fill(text: Column, scope: Column) -> Column:
 def render_column(template: Column, scope: Column, rounds: int = ROUNDS) -> Column:
     """Template text held in a column, filled for the given number of rounds."""
     for _ in range(rounds):
-        template = fill(template, scope)
+        template = let(template, lambda text: fill(text, scope))
     return template
 
 

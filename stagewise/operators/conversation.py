@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import json_text as J
-from stagewise.functions.columns import Keys, SEGMENT_ROWS, names, ordered_values, position_segment, ref
+from stagewise.functions.columns import Keys, SEGMENT_ROWS, join_on, names, ordered_values, position_segment, ref
 
 # Roles, marks of failed answers, and the turn limit.
 SYSTEM = "system"
@@ -81,7 +81,7 @@ def attach_once(df: DataFrame, conv: Keys, turn: str = "turn", out: str = "with_
     """
     cols = names(conv)
     first = df.groupBy(*cols).agg(F.min(turn).alias(turn)).withColumn("_first", F.lit(True))
-    return df.join(first, [*cols, turn], "left").withColumn(out, F.coalesce("_first", F.lit(False))).drop("_first")
+    return join_on(df, first, [*cols, turn], "left").withColumn(out, F.coalesce("_first", F.lit(False))).drop("_first")
 
 
 def answer_class(answer: Column, error: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import json_text as J
-from stagewise.functions.columns import ref
+from stagewise.functions.columns import let, ref
 from stagewise.plans.schema import Schema
 
 ROOT = "$"
@@ -22,9 +22,11 @@ _NODES = "array<struct<path:string,kind:string>>"
 
 
 def _kind(value: Column) -> Column:
-    number = F.try_variant_get(value, "$", "double")
-    kind = J.variant_kind(value)
-    return F.when(kind == "number", F.when(number == F.floor(number), "integer").otherwise("number")).otherwise(kind)
+    def split_numbers(kind: Column) -> Column:
+        number = F.try_variant_get(value, "$", "double")
+        return F.when(kind != "number", kind).when(number == F.floor(number), "integer").otherwise("number")
+
+    return let(J.variant_kind(value), split_numbers)
 
 
 def _children(node: Column) -> Column:

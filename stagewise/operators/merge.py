@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import json_text as J
-from stagewise.functions.columns import Keys, SEGMENT_ROWS, names, ordered_values, ref, sized_segments
+from stagewise.functions.columns import Keys, SEGMENT_ROWS, join_on, names, ordered_values, ref, sized_segments
 
 RESULT = ["field", "kind", "seq", "pos", "name", "value"]
 
@@ -42,83 +42,100 @@ def fragment_rejects(df: DataFrame, fragment: str) -> DataFrame:
     return df.filter(bad).withColumn("_error", F.lit("fragment is not a JSON object"))
 
 
-def field_marks(fields: DataFrame, keys: Keys) -> DataFrame:
-    """Deciding positions per (keys, field). Plain minima and maxima, so it also runs as a streaming aggregation."""
-    scalar = F.col("kind").isin("string", "number", "boolean")
+def _is_scalar() -> Column:
+    return F.col("kind").isin("string", "number", "boolean")
+
+
+def field_state(fields: DataFrame, keys: Keys) -> DataFrame:
+    """State per (keys, field, name); plain minima and maxima, so it also runs as a streaming aggregation.
+
+    Rows without a name hold the marks of a field: where its first list and its last object, null and plain value came,
+    and that value. Named rows hold the last value of an object member and where it came.
+    """
+    no_entry = F.array().cast("array<struct<name:string,value:string>>")
+    inner = F.transform(
+        F.map_entries(J.members(F.when(F.col("kind") == "object", F.col("item")))),
+        lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")),
+    )
+    mark = F.struct(F.lit(None).cast("string").alias("name"), F.when(_is_scalar(), F.col("value")).alias("value"))
+    entries = fields.select(
+        *names(keys), "field", "seq", "kind", F.inline(F.concat(F.array(mark), F.coalesce(inner, no_entry)))
+    )
+    marked = F.col("name").isNull()
     at = F.col("seq")
-    return fields.groupBy(*names(keys), "field").agg(
-        F.min(F.when(F.col("kind") == "array", at)).alias("list_from"),
-        F.max(F.when(F.col("kind") == "object", at)).alias("object_at"),
-        F.max(F.when(F.col("kind") == "null", at)).alias("null_at"),
-        F.max(F.when(scalar, at)).alias("scalar_at"),
-        F.max_by(F.when(scalar, F.col("value")), F.when(scalar, at)).alias("scalar_value"),
+    holds_value = F.when(_is_scalar() | ~marked, at)
+    return entries.groupBy(*names(keys), "field", "name").agg(
+        F.min(F.when(marked & (F.col("kind") == "array"), at)).alias("list_from"),
+        F.max(F.when(marked & (F.col("kind") == "object"), at)).alias("object_at"),
+        F.max(F.when(marked & (F.col("kind") == "null"), at)).alias("null_at"),
+        F.max(holds_value).alias("at"),
+        F.max_by("value", holds_value).alias("value"),
+        F.bool_and(marked).alias("is_mark"),
     )
 
 
 def field_kind() -> Column:
     """Kind of the merged field from its marks; null when nothing remains of it."""
-    object_last = F.coalesce(F.col("object_at") > F.col("scalar_at"), F.col("object_at").isNotNull())
-    removed = F.coalesce(F.col("null_at") > F.col("scalar_at"), F.lit(False))
+    object_last = F.coalesce(F.col("object_at") > F.col("at"), F.col("object_at").isNotNull())
+    removed = F.coalesce(F.col("null_at") > F.col("at"), F.lit(False))
     return (
         F.when(F.col("list_from").isNotNull(), "list")
         .when(object_last, "object")
-        .when(F.col("scalar_at").isNotNull() & ~removed, "scalar")
-    )
-
-
-def object_members(fields: DataFrame, keys: Keys) -> DataFrame:
-    """Last value and its position per (keys, field, name), over all object fragments."""
-    inner = fields.filter(F.col("kind") == "object").select(
-        *names(keys), "field", "seq", F.explode(J.members(F.col("item"))).alias("name", "value")
-    )
-    return inner.groupBy(*names(keys), "field", "name").agg(
-        F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")
+        .when(F.col("at").isNotNull() & ~removed, "scalar")
     )
 
 
 def list_items(fields: DataFrame, keys: Keys) -> DataFrame:
     """Everything a list would take in: items of lists, and plain values and objects as one item each."""
     pieces = F.when(F.col("kind") == "array", J.elements(F.col("item"))).otherwise(F.array("value"))
-    return fields.filter(F.col("kind") != "null").select(
+    return fields.filter(~F.is_variant_null("item")).select(
         *names(keys), "field", "seq", F.posexplode(pieces).alias("pos", "value")
     )
 
 
-def resolve_merge(marks: DataFrame, inner: DataFrame, items: DataFrame, keys: Keys) -> DataFrame:
-    """Result rows from marks, object members and list candidates."""
+def resolve_merge(state: DataFrame, items: DataFrame, keys: Keys) -> DataFrame:
+    """Result rows from the field states and the list candidates.
+
+    The state is used twice with all its columns and filtered by ``is_mark``, which is an aggregate, so both uses share
+    one shuffle of it.
+    """
     cols = [*names(keys), "field"]
-    known = marks.withColumn("kind", field_kind()).filter(F.col("kind").isNotNull())
-    heads = known.select(
+    kinds = state.withColumn("kind", field_kind())
+    marks = kinds.filter("is_mark AND kind IS NOT NULL").select(
         *cols,
-        "kind",
-        F.when(F.col("kind") == "list", F.col("list_from"))
-        .when(F.col("kind") == "object", F.col("object_at"))
-        .otherwise(F.col("scalar_at"))
-        .alias("seq"),
-        F.when(F.col("kind") == "scalar", 0).otherwise(-1).alias("pos"),
-        F.lit(None).cast("string").alias("name"),
-        F.when(F.col("kind") == "scalar", F.col("scalar_value")).alias("value"),
+        F.col("kind").alias("_kind"),
+        F.col("list_from").alias("_list_from"),
+        F.col("at").alias("_scalar_at"),
+        F.col("value").alias("_scalar"),
     )
-    objects = known.filter(F.col("kind") == "object").select(*cols, "kind", "scalar_at")
-    after_scalar = F.coalesce(F.col("seq") > F.col("scalar_at"), F.lit(True))
-    overlaid = (
-        inner.join(objects, cols)
-        .filter(after_scalar)
-        .select(*cols, "kind", "seq", F.lit(0).alias("pos"), "name", "value")
+    own_kind = F.when(F.col("is_mark"), F.col("kind")).otherwise("member")
+    state_rows = kinds.select(
+        *cols,
+        own_kind.alias("_role"),
+        F.when(own_kind == "list", F.col("list_from"))
+        .when(own_kind == "object", F.col("object_at"))
+        .otherwise(F.col("at"))
+        .alias("seq"),
+        F.when(own_kind.isin("list", "object"), -1).otherwise(0).alias("pos"),
+        "name",
+        F.when(own_kind == "member", F.col("value")).alias("value"),
     )
-    lists = known.filter(F.col("kind") == "list").select(*cols, "kind", "list_from")
-    appended = (
-        items.join(lists, cols)
-        .filter(F.col("seq") >= F.col("list_from"))
-        .select(*cols, "kind", "seq", "pos", F.lit(None).cast("string").alias("name"), "value")
+    item_rows = items.select(*cols, F.lit("item").alias("_role"), "seq", "pos", F.lit(None).cast("string").alias("name"), "value")
+    joined = join_on(state_rows.filter("_role IS NOT NULL").unionByName(item_rows), marks, cols)
+    role, kind = F.col("_role"), F.col("_kind")
+    kept = (
+        F.when(role == "member", (kind == "object") & F.coalesce(F.col("seq") > F.col("_scalar_at"), F.lit(True)))
+        .when(role == "item", (kind == "list") & (F.col("seq") >= F.col("_list_from")))
+        .otherwise(F.lit(True))
     )
-    return heads.unionByName(overlaid).unionByName(appended)
+    value = F.when(role == "scalar", F.col("_scalar")).otherwise(F.col("value"))
+    return joined.filter(kept).select(*cols, kind.alias("kind"), "seq", "pos", "name", value.alias("value"))
 
 
 def merge_fragments(df: DataFrame, keys: Keys, seq: str, fragment: str) -> DataFrame:
     """Type-aware merge: lists append, objects overlay one level, plain values replace, null clears a plain value."""
     fields = fragment_fields(df, keys, seq, fragment)
-    return resolve_merge(field_marks(fields, keys), object_members(fields, keys), list_items(fields, keys), keys)
+    return resolve_merge(field_state(fields, keys), list_items(fields, keys), keys)
 
 
 def overlay_fragments(df: DataFrame, keys: Keys, seq: str, fragment: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagewise.functions import json_text as J
-from stagewise.functions.columns import Keys, SEGMENT_ROWS, names, ordered_values, position_segment, ref
+from stagewise.functions.columns import Keys, SEGMENT_ROWS, let, names, ordered_values, position_segment, ref
 
 
 class Parsed(NamedTuple):
@@ -41,22 +41,23 @@ def split_rejects(df: DataFrame, keys: Keys) -> Parsed:
     return Parsed(df.filter(F.col("_error").isNull()).drop("_error"), rejects)
 
 
-def container_of(value: Column) -> Column:
-    """Struct (kind, json) of a strictly parsed value: an object or a list; the value null counts as an empty object."""
-    kind = J.variant_kind(value)
-    json = F.when(kind == "null", "{}").when(kind.isin("object", "array"), F.to_json(value))
-    return F.struct(J.json_kind(json).alias("kind"), json.alias("json"))
+def container_text(text: Column) -> Column:
+    """Canonical JSON of a text that is one object or list, else null; the text null counts as an empty object.
+
+    The first character decides, so plain text and bare scalars are never parsed.
+    """
+    container = F.when(J.first_char(text).isin("{", "["), F.to_json(J.parse_strict(text)))
+    return F.coalesce(container, F.when(F.trim(text, F.lit(" \t\r\n")) == "null", F.lit("{}")))
 
 
 def tag_json(df: DataFrame, keys: Keys, col: str) -> DataFrame:
     """``(keys, kind, json, _error)``: text to object or list; bare scalars and broken text are errors."""
-    parsed = df.select(*names(keys), J.parse_strict(ref(col)).alias("_value"))
-    typed = parsed.select(*names(keys), container_of(F.col("_value")).alias("_c"))
-    return typed.select(
+    parsed = df.select(*names(keys), container_text(ref(col)).alias("json"))
+    return parsed.select(
         *names(keys),
-        F.col("_c.kind").alias("kind"),
-        F.col("_c.json").alias("json"),
-        F.when(F.col("_c.json").isNull(), BAD_JSON).alias("_error"),
+        J.json_kind(F.col("json")).alias("kind"),
+        "json",
+        F.when(F.col("json").isNull(), BAD_JSON).alias("_error"),
     )
 
 
@@ -82,26 +83,33 @@ def _quoted_csv(texts: pd.Series) -> pd.Series:
     return texts.map(_quoted_rows)
 
 
+def _plain_rows(unified: Column) -> Column:
+    lines = F.filter(F.split(unified, "\n", -1), lambda line: line != "")
+    return F.transform(lines, lambda line: F.split(line, ",", -1))
+
+
+def unify_newlines(text: Column) -> Column:
+    """Line ends as single newlines."""
+    return F.regexp_replace(text, r"\r(\n|\z)", "$1")
+
+
 def csv_rows(text: Column) -> Column:
     """``ARRAY<ARRAY<STRING>>`` of one CSV text; null when the quoting is wrong.
 
     Texts without quotes stay in the JVM. Only texts that hold a quote are sent to Python.
     """
-    unified = F.regexp_replace(text, r"\r(\n|\z)", "$1")
-    lines = F.filter(F.split(unified, "\n", -1), lambda line: line != "")
-    plain = F.transform(lines, lambda line: F.split(line, ",", -1))
     has_quote = text.contains('"')
-    return F.when(has_quote, _quoted_csv(F.when(has_quote, unified))).otherwise(plain)
+    quoted = _quoted_csv(F.when(has_quote, unify_newlines(text)))
+    return F.when(has_quote, quoted).otherwise(_plain_rows(unify_newlines(text)))
 
 
 def tag_csv(df: DataFrame, keys: Keys, col: str) -> DataFrame:
     """``(keys, rows, _error)``: all rows of a document must be as wide as its first."""
-    rows = F.col("rows")
-    width = F.size(F.get(rows, F.lit(0)))
-    even = F.forall(rows, lambda row: F.size(row) == width)
-    return df.select(*names(keys), csv_rows(ref(col)).alias("rows")).withColumn(
-        "_error", F.when(rows.isNull(), BAD_CSV_QUOTES).when(~even, BAD_CSV_WIDTH)
-    )
+    parsed = df.select(*names(keys), csv_rows(ref(col)).alias("rows"))
+    sized = parsed.withColumn("_widths", F.transform("rows", lambda row: F.size(row)))
+    even = F.array_min("_widths") == F.array_max("_widths")
+    error = F.when(F.col("rows").isNull(), BAD_CSV_QUOTES).when(~even, BAD_CSV_WIDTH)
+    return sized.withColumn("_error", error).drop("_widths")
 
 
 def parse_csv_table(df: DataFrame, keys: Keys, col: str) -> Parsed:
@@ -112,7 +120,7 @@ def parse_csv_table(df: DataFrame, keys: Keys, col: str) -> Parsed:
 
 def content_value(text: Column) -> Column:
     """JSON text of one item: the object or list it spells, else the text itself as a JSON string."""
-    return F.coalesce(container_of(J.parse_strict(text))["json"], J.quote(text))
+    return F.coalesce(container_text(text), J.quote(text))
 
 
 def as_result_object(json: Column) -> Column:
@@ -142,9 +150,10 @@ def normalize_content(
 
 def call_arguments(text: Column) -> Column:
     """VARIANT object of call arguments: an object, or a JSON string holding one; null for anything else."""
-    outer = J.parse_strict(text)
-    inner = J.parse_strict(F.try_variant_get(outer, "$", "string"))
-    return F.when(J.variant_kind(outer) == "string", inner).otherwise(outer)
+    first = J.first_char(text)
+    inner = F.try_variant_get(J.parse_strict(text), "$", "string")
+    spelled = let(F.when(first == '"', inner), J.parse_strict)
+    return F.coalesce(F.when(first == "{", J.parse_strict(text)), spelled)
 
 
 def normalize_calls(df: DataFrame, keys: Keys, args: str) -> DataFrame:

@@ -10,9 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagewise.functions import json_text as J
-from stagewise.functions.columns import Keys, names, ref
-from stagewise.operators.parse import container_of, csv_rows
+from stagewise.functions.columns import Keys, join_on, names, ref
+from stagewise.operators.parse import container_text, csv_rows
 from stagewise.session import materialize
 
 
@@ -37,7 +36,7 @@ def slice_rows(df: DataFrame, keys: Keys, pos: str, start: int | None = None, st
     from_end = any(bound is not None and bound < 0 for bound in (start, stop))
     if from_end:
         sizes = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_rows"))
-        bounded = df.join(sizes, cols)
+        bounded = join_on(df, sizes, cols)
 
     def edge(bound: int) -> Column:
         return F.lit(bound) if bound >= 0 else F.col("_rows") + F.lit(bound)
@@ -88,7 +87,7 @@ def run_rule(df: DataFrame, rule: Rule) -> DataFrame:
     """Apply the steps of one rule to the column ``args``."""
     kind = df.schema["args"].dataType
     if rule.parser == "json" and isinstance(kind, T.StringType):
-        df = df.withColumn("args", F.try_parse_json(container_of(J.parse_strict(F.col("args")))["json"]))
+        df = df.withColumn("args", F.try_parse_json(container_text(F.col("args"))))
     elif rule.parser == "csv" and isinstance(kind, T.StringType):
         df = df.withColumn("args", csv_rows(F.col("args")))
     elif rule.parser not in (None, "json", "csv"):
@@ -176,7 +175,7 @@ def numbered_rows(df: DataFrame, keys: Keys, seq: str, out: str = "rn") -> DataF
     counts = ranges.groupBy(*cols, "_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(*cols, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(W.partitionBy(*cols, "_range").orderBy(seq)) - 1
-    numbered = ranges.join(offsets, [*cols, "_range"]).withColumn(out, (F.col("_offset") + inside).cast("bigint"))
+    numbered = join_on(ranges, offsets, [*cols, "_range"]).withColumn(out, (F.col("_offset") + inside).cast("bigint"))
     return numbered.drop("_range", "_offset")
 
 

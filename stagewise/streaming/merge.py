@@ -15,45 +15,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stagewise.functions.columns import Keys, names
-from stagewise.operators.merge import field_marks, fragment_fields, list_items, object_members, resolve_merge
+from stagewise.operators.merge import field_state, fragment_fields, list_items, resolve_merge
 
-MARKS = "marks"
-MEMBERS = "members"
+STATE = "state"
 ITEMS = "items"
 
 
-def _append_versions(out: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # One folder per micro-batch: a replayed batch replaces its own folder.
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return write
-
-
 def merge_fragments_stream(
     stream: DataFrame, keys: Keys, seq: str, fragment: str, out: str, checkpoint: str, trigger: dict[str, Any]
 ) -> list[StreamingQuery]:
     """Start the merge of a stream into the tables below ``out``; ``trigger`` is passed on to Spark."""
     fields = fragment_fields(stream, keys, seq, fragment)
-    queries = []
-    for name, table in ((MARKS, field_marks(fields, keys)), (MEMBERS, object_members(fields, keys))):
-        writer = table.writeStream.outputMode("update").foreachBatch(_append_versions(f"{out}/{name}"))
-        queries.append(writer.option("checkpointLocation", f"{checkpoint}/{name}").trigger(**trigger).start())
-    items = list_items(fields, keys).writeStream.outputMode("append").format("parquet")
-    items = items.option("path", f"{out}/{ITEMS}").option("checkpointLocation", f"{checkpoint}/{ITEMS}")
-    queries.append(items.trigger(**trigger).start())
-    return queries
 
+    def write_version(batch: DataFrame, batch_id: int) -> None:
+        # One folder per micro-batch: a replayed batch replaces its own folder.
+        batch.write.mode("overwrite").parquet(f"{out}/{STATE}/batch={batch_id}")
 
-def _latest(table: DataFrame, cols: list[str]) -> DataFrame:
-    values = [name for name in table.columns if name not in (*cols, "batch")]
-    last = table.groupBy(*cols).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
-    return last.select(*cols, "_last.*")
+    state = field_state(fields, keys).writeStream.outputMode("update").foreachBatch(write_version)
+    items = list_items(fields, keys).writeStream.outputMode("append").format("parquet").option("path", f"{out}/{ITEMS}")
+    return [
+        writer.option("checkpointLocation", f"{checkpoint}/{name}").trigger(**trigger).start()
+        for name, writer in ((STATE, state), (ITEMS, items))
+    ]
 
 
 def read_merged(spark: SparkSession, keys: Keys, out: str) -> DataFrame:
-    """Current merge result rows, as the batch form gives them."""
-    cols = [*names(keys), "field"]
-    marks = _latest(spark.read.parquet(f"{out}/{MARKS}"), cols)
-    inner = _latest(spark.read.parquet(f"{out}/{MEMBERS}"), [*cols, "name"])
-    return resolve_merge(marks, inner, spark.read.parquet(f"{out}/{ITEMS}"), keys)
+    """Current merge result rows, as the batch form gives them: the newest version of each state, and all items."""
+    cols = [*names(keys), "field", "name"]
+    versions = spark.read.parquet(f"{out}/{STATE}")
+    values = [name for name in versions.columns if name not in (*cols, "batch")]
+    newest = versions.groupBy(*cols).agg(F.max_by(F.struct(*values), "batch").alias("_last")).select(*cols, "_last.*")
+    return resolve_merge(newest, spark.read.parquet(f"{out}/{ITEMS}"), keys)
