@@ -43,14 +43,18 @@ def position_segment(pos: Column, span: int) -> Column:
     return F.floor(pos / F.lit(span)).cast("bigint")
 
 
-def sized_segments(df: DataFrame, keys: Keys, seq: str, span: int, out: str = "seg") -> DataFrame:
+def sized_segments(
+    df: DataFrame, keys: Keys, seq: str, span: int, out: str = "seg", counted: tuple[DataFrame, str] | None = None
+) -> DataFrame:
     """Add a segment number that is 0 for groups of up to ``span`` rows and follows ``seq`` ranges in larger ones.
 
     Works for sparse integer order columns. Group sizes come from a pre-aggregated count that is joined back, so no
-    group is ever gathered to be measured.
+    group is ever gathered to be measured. ``counted`` names a cheaper table (and its order column) to count instead,
+    when the rows of ``df`` derive from it.
     """
     cols = names(keys)
-    sizes = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_rows"), F.min(seq).alias("_low"))
+    source, order = counted if counted is not None else (df, seq)
+    sizes = source.groupBy(*cols).agg(F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_low"))
     offset = F.coalesce(ref(seq), F.col("_low")) - F.col("_low")
     segment = F.when(F.col("_rows") <= span, F.lit(0)).otherwise(F.floor(offset / F.lit(span))).cast("bigint")
     return join_on(df, sizes, cols).withColumn(out, segment).drop("_rows", "_low")

@@ -146,14 +146,21 @@ def overlay_fragments(df: DataFrame, keys: Keys, seq: str, fragment: str) -> Dat
     return fields.groupBy(*names(keys), "field").agg(F.max_by("value", "_seq").alias("value"))
 
 
-def assemble_records(merged: DataFrame, keys: Keys, span: int = SEGMENT_ROWS) -> DataFrame:
+def merge_records(df: DataFrame, keys: Keys, seq: str, fragment: str, span: int = SEGMENT_ROWS) -> DataFrame:
+    """Merge and assemble in one go; groups are measured by their fragments, without parsing these again."""
+    return assemble_records(merge_fragments(df, keys, seq, fragment), keys, span, (df, seq))
+
+
+def assemble_records(
+    merged: DataFrame, keys: Keys, span: int = SEGMENT_ROWS, counted: tuple[DataFrame, str] | None = None
+) -> DataFrame:
     """``(keys, seg, record)``: result rows as JSON objects.
 
     Keys with up to ``span`` rows give one object (seg 0). Larger ones are continued in further segments that follow the
     order of their list items; merging the segments in order gives the whole record.
     """
     cols = names(keys)
-    placed = sized_segments(merged, cols, "seq", span)
+    placed = sized_segments(merged, cols, "seq", span, counted=counted)
     fields = placed.groupBy(*cols, "seg", "field").agg(
         F.first("kind").alias("kind"),
         ordered_values(

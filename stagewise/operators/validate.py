@@ -95,6 +95,10 @@ class Bindings:
         self.levels.setdefault(level, {})[name] = value
         return F.col(name)
 
+    def bound_names(self) -> list[str]:
+        """All names given so far."""
+        return [name for level in self.levels.values() for name in level]
+
     def apply(self, df: DataFrame) -> DataFrame:
         """Add all named values."""
         for level in sorted(self.levels):
@@ -269,6 +273,20 @@ def as_variant(df: DataFrame, col: str) -> Column:
     return ref(col).cast("variant")
 
 
+def with_violations(
+    df: DataFrame, col: str, schema: Schema, soft: bool = False, rules: Keys | None = None, out: str = "violations"
+) -> DataFrame:
+    """Add the violations of each row as an array."""
+    bindings = Bindings()
+    found = rules_of(F.col("_value"), schema, "", F.lit(True), soft, bindings)
+    if rules is not None:
+        wanted = names(rules)
+        found.checks = [check for check in found.checks if check.rule in wanted]
+        found.arrays = [F.filter(array, lambda v: v["rule"].isin(wanted)) for array in found.arrays]
+    bound = bindings.apply(df.withColumn("_value", as_variant(df, col)))
+    return bound.withColumn(out, found.to_array()).drop("_value", *bindings.bound_names())
+
+
 def validate(
     df: DataFrame,
     keys: Keys,
@@ -279,18 +297,13 @@ def validate(
     rules: Keys | None = None,
 ) -> DataFrame:
     """``(keys, path, rule, message)``: every violation, the first per row by path, or those of some rules only."""
-    bindings = Bindings()
-    found = rules_of(F.col("_value"), schema, "", F.lit(True), soft, bindings)
-    if rules is not None:
-        wanted = names(rules)
-        found.checks = [check for check in found.checks if check.rule in wanted]
-        found.arrays = [F.filter(array, lambda v: v["rule"].isin(wanted)) for array in found.arrays]
-    bound = bindings.apply(df.select(*names(keys), as_variant(df, col).alias("_value")))
-    listed = found.to_array()
+    needed = df.select(*[ref(name) for name in dict.fromkeys([*names(keys), col])])
+    checked = with_violations(needed, col, schema, soft, rules, "_found")
+    listed = F.col("_found")
     if first_only:
-        bound = bound.withColumn("_least", F.array_min(listed))
+        checked = checked.withColumn("_least", F.array_min("_found"))
         listed = F.when(F.col("_least").isNotNull(), F.array("_least"))
-    return bound.select(*names(keys), F.inline(listed))
+    return checked.select(*names(keys), F.inline(listed))
 
 
 def rule_summary(found: DataFrame) -> DataFrame:

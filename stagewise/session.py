@@ -48,6 +48,16 @@ def ship_packages(spark: SparkSession, *packages: str) -> None:
         _shipped.add(done)
 
 
+def spread(source: DataFrame) -> DataFrame:
+    """Rows of a table scan over at least as many partitions as there are cores.
+
+    For scans of a few small files in front of expensive expressions. A scan with enough partitions is returned as it is,
+    so large tables are not shuffled.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source if source.rdd.getNumPartitions() >= cores else source.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session, or a temporary one in local mode."""
     context = spark.sparkContext

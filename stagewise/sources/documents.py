@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagewise.functions.columns import ref
+from stagewise.functions.columns import Keys, names, ref
 
 # Media types by file extension; every other extension counts as plain text.
 MEDIA_TYPES = {".pdf": "application/pdf"}
@@ -41,17 +41,18 @@ def read_resources(spark: SparkSession, path: str, exts: list[str] | None = None
 
 
 def resources_from_table(
-    df: DataFrame, identifier: str, content: str, seq: str | None = None, base64: bool = False
+    df: DataFrame, identifier: str, content: str, seq: str | None = None, base64: bool = False, keep: Keys = ()
 ) -> DataFrame:
-    """Table rows as documents. With ``seq``, the last row per identifier wins."""
+    """Table rows as documents, with further columns to keep. With ``seq``, the last row per identifier wins."""
+    extra = names(keep)
     body = F.unbase64(ref(content)) if base64 else ref(content).cast("binary")
     if seq is None:
-        docs = df.select(ref(identifier).alias("identifier"), body.alias("content"))
+        docs = df.select(ref(identifier).alias("identifier"), body.alias("content"), *extra)
     else:
-        docs = df.groupBy(ref(identifier).alias("identifier")).agg(F.max_by(ref(content), ref(seq)).alias("_content"))
-        body = F.unbase64("_content") if base64 else F.col("_content").cast("binary")
-        docs = docs.select("identifier", body.alias("content"))
-    return docs.select("identifier", media_type(F.col("identifier")).alias("media_type"), "content")
+        latest = [F.max_by(ref(name), ref(seq)).alias(name) for name in (content, *extra)]
+        docs = df.groupBy(ref(identifier).alias("_id")).agg(*latest)
+        docs = docs.select(F.col("_id").alias("identifier"), body.alias("content"), *extra)
+    return docs.select("identifier", media_type(F.col("identifier")).alias("media_type"), "content", *extra)
 
 
 def resolve_resources(

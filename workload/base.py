@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagewise.session import configure, shared_dir, ship_packages
+from stagewise.session import configure, shared_dir, ship_packages, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,9 +31,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the test tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """One of the test tables, or some of its columns spread over all cores for expensive work on them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows.select(*columns)) if columns else rows
 
 
 def scratch(spark: SparkSession, label: str) -> str:

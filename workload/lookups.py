@@ -29,7 +29,7 @@ _ATTACHED = """
 
 
 def _attached(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("name"), "text")
     requests = F.expr(
         """array(

@@ -7,11 +7,14 @@ import json
 from pyspark.sql import functions as F
 
 from stagewise.operators.infer import infer_schema, schema_paths
-from stagewise.operators.merge import assemble_records, merge_fragments, overlay_fragments
+from stagewise.operators.merge import merge_fragments, merge_records, overlay_fragments
 from stagewise.operators.rollup import collect_text, resources_to_vars, run_status
 from workload.base import query, table
 
 
+ORDER_COLUMNS = ["o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority"]
+
+
 def order_fragments(orders):
     """One partial record per order: a plain value, a list and an object."""
     fragment = F.to_json(
@@ -40,7 +43,7 @@ ORDER_MERGE_SQL = """
 
 @query("merge_fragments", ORDER_MERGE_SQL)
 def merge_fragments_query(spark, sf_dir):
-    return merge_fragments(order_fragments(table(spark, sf_dir, "orders")), "o_custkey", "o_orderkey", "fragment")
+    return merge_fragments(order_fragments(table(spark, sf_dir, "orders", *ORDER_COLUMNS)), "o_custkey", "o_orderkey", "fragment")
 
 
 @query(
@@ -87,7 +90,7 @@ def merge_mixed_fragments_query(spark, sf_dir):
            WHEN 'signup' THEN '{"t": "signup"}' WHEN 'error' THEN 'null'
            ELSE IF(user_id % 4 = 0, concat('[', get_json_object(props, '$.k'), ', "p"]'), '"bought"') END"""
     )
-    fragments = table(spark, sf_dir, "events").select(
+    fragments = table(spark, sf_dir, "events", "user_id", "event_id", "event_type", "props").select(
         "user_id", "event_id", F.concat(F.lit('{"f": '), value, F.lit("}")).alias("fragment")
     )
     return merge_fragments(fragments, "user_id", "event_id", "fragment")
@@ -104,8 +107,8 @@ def merge_mixed_fragments_query(spark, sf_dir):
     """,
 )
 def assemble_records_query(spark, sf_dir):
-    merged = merge_fragments(order_fragments(table(spark, sf_dir, "orders")), "o_custkey", "o_orderkey", "fragment")
-    return assemble_records(merged, "o_custkey")
+    fragments = order_fragments(table(spark, sf_dir, "orders", *ORDER_COLUMNS))
+    return merge_records(fragments, "o_custkey", "o_orderkey", "fragment")
 
 
 @query(
@@ -119,7 +122,7 @@ def assemble_records_query(spark, sf_dir):
 )
 def overlay_fragments_query(spark, sf_dir):
     fragment = F.concat(F.lit('{"'), "event_type", F.lit('": '), "props", F.lit(', "latest": '), "event_id", F.lit("}"))
-    fragments = table(spark, sf_dir, "events").select("user_id", "event_id", fragment.alias("fragment"))
+    fragments = table(spark, sf_dir, "events", "user_id", "event_id", "event_type", "props").select("user_id", "event_id", fragment.alias("fragment"))
     return overlay_fragments(fragments, "user_id", "event_id", "fragment")
 
 
@@ -132,7 +135,8 @@ def nested_json(spark, sf_dir):
              WHEN 2 THEN concat('{"id": ', user_id, '.5, "in": {"k": true}}')
              ELSE concat('{"id": ', event_id) END"""
     )
-    return table(spark, sf_dir, "events").select(text.alias("body"))
+    events = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props")
+    return events.select(text.alias("body"))
 
 
 @query(

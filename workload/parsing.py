@@ -55,7 +55,8 @@ def parse_csv_table_query(spark, sf_dir):
         """concat('key,status,priority\n', o_orderkey, ',', o_orderstatus, ',', o_orderpriority,
            CASE WHEN o_orderkey % 10 = 0 THEN ',extra\n' ELSE '\r\n\n' END)"""
     )
-    docs = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("body"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    docs = orders.select("o_orderkey", text.alias("body"))
     good, _ = parse_csv_table(docs, "o_orderkey", "body")
     return good.withColumn("cells", F.array_join("cells", "|"))
 
@@ -81,7 +82,7 @@ def parse_csv_table_query(spark, sf_dir):
     """,
 )
 def parse_csv_documents_query(spark, sf_dir):
-    tagged = tag_csv(table(spark, sf_dir, "documents"), "doc_id", "text")
+    tagged = tag_csv(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
     return tagged.select(
         "doc_id",
         F.when(F.col("rows").isNotNull(), F.size("rows")).alias("n_rows"),
@@ -142,5 +143,5 @@ def normalize_calls_query(spark, sf_dir):
     """,
 )
 def parse_kv_table_query(spark, sf_dir):
-    good, rejects = parse_kv_table(table(spark, sf_dir, "documents"), "doc_id", "text")
+    good, rejects = parse_kv_table(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
     return good.unionByName(rejects, allowMissingColumns=True)

@@ -96,7 +96,8 @@ def apply_transformers_query(spark, sf_dir):
         """CASE event_type WHEN 'view' THEN concat(event_type, ',', user_id)
            WHEN 'error' THEN concat('error ', event_id) ELSE props END"""
     )
-    docs = table(spark, sf_dir, "events").select("event_id", "event_type", content.alias("content"))
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "user_id", "props")
+    docs = events.select("event_id", "event_type", content.alias("content"))
     rules = [
         Rule("pick", on_resource="click", parser="json", path="variant_get(args, '$.k', 'int')"),
         Rule("wrap", on_resource="click", expr="named_struct('double', 2 * args)"),
@@ -173,7 +174,7 @@ def render_data_templates_query(spark, sf_dir):
         """CASE WHEN o_orderkey % 2 = 0 THEN 'order {{ .o_orderkey }} is {{ .mark }} {{ .absent }}'
            ELSE 'plain {{.o_orderpriority}}' END"""
     )
-    orders = table(spark, sf_dir, "orders").withColumn("mark", F.lit("<{{ .o_orderstatus }}>"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").withColumn("mark", F.lit("<{{ .o_orderstatus }}>"))
     scope = scope_map(orders.schema, ["o_orderkey", "mark", "o_orderstatus", "o_orderpriority"])
     return orders.select("o_orderkey", render_column(template, scope).alias("rendered"))
 

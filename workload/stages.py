@@ -13,7 +13,7 @@ from stagewise.functions.templates import render_templates
 from stagewise.operators.extract import ask_question, extract
 from stagewise.operators.merge import merge_fragments
 from stagewise.operators.prompts import build_prompts
-from stagewise.operators.validate import validate
+from stagewise.operators.validate import with_violations
 from stagewise.plans.calls import Call
 from stagewise.plans.schema import load_schema
 from stagewise.plans.stages import Dependency, Stage, gate_stage, iterate_stage, run_stages, split_record
@@ -36,21 +36,20 @@ _CARD_SCHEMA = load_schema(
 
 def document_cards(spark, sf_dir):
     """Documents to prompts, echoed into two fields, merged per source, then validated."""
-    docs = table(spark, sf_dir, "documents")
-    named = docs.select("doc_id", "source", "lang", "text", F.concat(F.lit("doc-"), "doc_id").alias("identifier"))
-    loaded = resources_from_table(named, "identifier", "text")
-    joined = named.select("doc_id", "source", "lang", "identifier").join(loaded, "identifier")
-    scoped = joined.withColumn("body", F.decode("content", "utf-8"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    named = docs.withColumn("identifier", F.concat(F.lit("doc-"), "doc_id"))
+    loaded = resources_from_table(named, "identifier", "text", keep=["doc_id", "source", "lang"])
+    scoped = loaded.withColumn("body", F.decode("content", "utf-8"))
     rendered = render_templates(scoped, "Describe this {{ .lang }} text: {{ .body }}")
     asked = extract(build_prompts(rendered, "rendered"), "prompt_text", _CARD_SCHEMA)
     merged = merge_fragments(asked.select("source", "doc_id", "answer"), "source", "doc_id", "answer")
-    fields = merged.select("source", "field", "value")
-    record = fields.withColumn("record", F.concat(F.lit('{"'), "field", F.lit('":'), "value", F.lit("}")))
-    found = validate(record, ["source", "field"], "record", _CARD_SCHEMA, rules=["string_length", "required"])
-    counts = found.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n_violations"))
-    return fields.join(counts, ["source", "field"], "left").select(
-        "source", "field", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("value"),
-        F.coalesce("n_violations", F.lit(0)).alias("n_violations"),
+    record = F.concat(F.lit('{"'), "field", F.lit('":'), "value", F.lit("}"))
+    checked = with_violations(merged.withColumn("record", record), "record", _CARD_SCHEMA, rules=["string_length", "required"])
+    return checked.select(
+        "source",
+        "field",
+        F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("value"),
+        F.size("violations").cast("bigint").alias("n_violations"),
     )
 
 
@@ -168,7 +167,7 @@ def run_stages_query(spark, sf_dir):
     """,
 )
 def iterate_stage_query(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").withColumn("items", F.array("o_orderstatus", "o_orderpriority"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").withColumn("items", F.array("o_orderstatus", "o_orderpriority"))
     stage = Stage("about", "about {{ .it }}")
     schema = {"type": "object", "properties": {"about": {"type": "string"}}}
     return iterate_stage(orders, "o_orderkey", stage, "items", schema)
@@ -194,7 +193,7 @@ def listing_backend():
 )
 def iterate_stage_lists_query(spark, sf_dir):
     items = F.array(F.concat(F.lit("O"), "o_orderkey"), F.concat(F.lit("P"), "o_custkey"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", items.alias("items"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select("o_orderkey", items.alias("items"))
     schema = {"type": "object", "properties": {"parts": {"type": "array", "items": {"type": "string"}}}}
     return iterate_stage(orders, "o_orderkey", Stage("parts", "item {{ .it }}"), "items", schema, listing_backend)
 

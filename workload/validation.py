@@ -32,7 +32,8 @@ def _shapes(spark, sf_dir):
         """CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN concat('["', event_type, '"]')
            WHEN 2 THEN cast(value AS string) WHEN 3 THEN concat('"', event_type, '"') ELSE 'true' END"""
     )
-    return table(spark, sf_dir, "events").select("event_id", text.alias("body"))
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "value", "props")
+    return events.select("event_id", text.alias("body"))
 
 
 @query(
@@ -89,7 +90,7 @@ def property_count_query(spark, sf_dir):
         lambda i: F.concat(F.lit('"p'), i, F.lit('": '), i),
     )
     body = F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select("o_orderkey", body.alias("body"))
     return validate(rows, "o_orderkey", "body", {"type": "object", "minProperties": 1, "maxProperties": 3})
 
 
@@ -106,7 +107,7 @@ def property_count_query(spark, sf_dir):
 )
 def properties_query(spark, sf_dir):
     inner = F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("extra"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(inner.alias("order")).alias("rec"))
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus").select("o_orderkey", F.struct(inner.alias("order")).alias("rec"))
     schema = _object(
         order=_object(price={"type": "number", "maximum": 200000}, status={"type": "string", "enum": ["O", "P"]})
     )
@@ -220,6 +221,11 @@ _LOOSE = """CASE event_id % 5 WHEN 0 THEN concat('{"n": "', value, '", "b": "T"}
 _LOOSE_SCHEMA = _object(n={"type": "number", "maximum": 50}, b={"type": "boolean"})
 
 
+def _loose(spark, sf_dir):
+    events = table(spark, sf_dir, "events", "event_id", "user_id", "value")
+    return events.select("event_id", F.expr(_LOOSE).alias("body"))
+
+
 @query(
     "boolean_and_soft_mode",
     """
@@ -230,7 +236,7 @@ _LOOSE_SCHEMA = _object(n={"type": "number", "maximum": 50}, b={"type": "boolean
     """,
 )
 def boolean_and_soft_mode_query(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_LOOSE).alias("body"))
+    rows = _loose(spark, sf_dir)
     return validate(rows, "event_id", "body", _LOOSE_SCHEMA, soft=True).select("event_id", "path", "rule")
 
 
@@ -242,7 +248,7 @@ def boolean_and_soft_mode_query(spark, sf_dir):
     """,
 )
 def violation_summary_query(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_LOOSE).alias("body"))
+    rows = _loose(spark, sf_dir)
     return rule_summary(validate(rows, "event_id", "body", _LOOSE_SCHEMA))
 
 
@@ -255,7 +261,7 @@ def violation_summary_query(spark, sf_dir):
     """,
 )
 def first_violation_query(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_LOOSE).alias("body"))
+    rows = _loose(spark, sf_dir)
     return validate(rows, "event_id", "body", _LOOSE_SCHEMA, first_only=True).select("event_id", "path", "rule")
 
 
