@@ -7,6 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Characters that printed JSON writes as escapes, so that it can stand inside markup.
+MARKUP_ESCAPES = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", "\u2028": "\\u2028", "\u2029": "\\u2029"}
 
 
 def parse_strict(text: Column) -> Column:
@@ -102,3 +106,55 @@ def object_text(entries: Column) -> Column:
     """JSON object from an array of ``struct(name, value)``, the values being JSON text."""
     pairs = F.transform(entries, lambda e: F.concat(quote(e["name"]), F.lit(":"), e["value"]))
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
+def _printed(column: Column, kind: T.DataType, indent: str | None, depth: int, skip_nulls: bool) -> Column:
+    inner = "" if indent is None else "\n" + indent * (depth + 1)
+    outer = "" if indent is None else "\n" + indent * depth
+    colon = ":" if indent is None else ": "
+
+    def wrapped(items: Column, opening: str, closing: str) -> Column:
+        body = F.concat(F.lit(opening + inner), F.array_join(items, "," + inner), F.lit(outer + closing))
+        return F.when(F.size(items) == 0, opening + closing).otherwise(body)
+
+    def below(value: Column, value_kind: T.DataType) -> Column:
+        return F.coalesce(_printed(value, value_kind, indent, depth + 1, False), F.lit("null"))
+
+    if isinstance(kind, T.StructType):
+        entries = []
+        for name in sorted(kind.names):
+            value = column[name]
+            entry = F.concat(quote(F.lit(name)), F.lit(colon), below(value, kind[name].dataType))
+            entries.append(F.when(value.isNotNull(), entry) if skip_nulls else entry)
+        items = F.array_compact(F.array(*entries)) if entries else F.array().cast("array<string>")
+        return F.when(column.isNotNull(), wrapped(items, "{", "}"))
+    if isinstance(kind, T.MapType):
+        pairs = F.array_sort(F.map_keys(column))
+        value_kind = kind.valueType
+        return wrapped(
+            F.transform(pairs, lambda k: F.concat(quote(k), F.lit(colon), below(F.try_element_at(column, k), value_kind))),
+            "{",
+            "}",
+        )
+    if isinstance(kind, T.ArrayType):
+        item_kind = kind.elementType
+        return wrapped(F.transform(column, lambda item: below(item, item_kind)), "[", "]")
+    if isinstance(kind, T.VariantType):
+        return F.to_json(column)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        whole = (column == F.floor(column)) & (F.abs(column) < 1e15)
+        return F.when(whole, column.try_cast("bigint").cast("string")).otherwise(column.cast("string"))
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return column.cast("string")
+    return quote(column.cast("string"))
+
+
+def printed_json(column: Column, kind: T.DataType, indent: str | None = None, skip_nulls: bool = False) -> Column:
+    """JSON text as prompts show it: names sorted, markup characters escaped, optionally indented; null stays null.
+
+    ``skip_nulls`` leaves out the null fields of the outermost object. VARIANT values are printed without indentation.
+    """
+    text = _printed(column, kind, indent, 0, skip_nulls)
+    for raw, escape in MARKUP_ESCAPES.items():
+        text = F.replace(text, F.lit(raw), F.lit(escape))
+    return text

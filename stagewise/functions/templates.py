@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagewise.functions.columns import let, ref
+from stagewise.functions.json_text import printed_json
 
 # Text printed for an absent value, and the number of rendering rounds.
 NO_VALUE = "<no value>"
@@ -82,9 +83,7 @@ def _action(action: str, schema: T.StructType) -> Column:
     column, kind = found
     if not as_json:
         return printed(column, kind)
-    nested = isinstance(kind, (T.StructType, T.MapType, T.ArrayType, T.VariantType))
-    text = F.to_json(column, {"ignoreNullFields": "false"}) if nested else F.to_json(column.cast("variant"))
-    return F.coalesce(text, F.lit(""))
+    return F.coalesce(printed_json(column, kind, " "), F.lit(""))
 
 
 def placeholders(template: str) -> list[str]:

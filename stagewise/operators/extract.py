@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -38,7 +39,9 @@ def echo_answer(prompt: Column, schema: Schema | None) -> Column:
     )
 
 
-def _ask_with_retries(ask: Ask, prompt: str, schema: Schema | None, attempts: int) -> tuple[str | None, str | None, int]:
+def _ask_with_retries(
+    ask: Ask, prompt: str, schema: Schema | None, attempts: int, delay: float
+) -> tuple[str | None, str | None, int]:
     error = ""
     for attempt in range(1, attempts + 1):
         try:
@@ -48,23 +51,48 @@ def _ask_with_retries(ask: Ask, prompt: str, schema: Schema | None, attempts: in
             return answer, None, attempt
         except Exception as failure:  # noqa: BLE001 - the backend is user code; its failure belongs to the row
             error = f"{type(failure).__name__}: {failure}"
+            if delay and attempt < attempts:
+                time.sleep(delay * 2 ** (attempt - 1))
     return None, error, attempts
 
 
-def backend_answer(prompt: Column, schema: Schema | None, factory: BackendFactory, attempts: int) -> Column:
-    """Ask a user backend over Arrow batches; its client is made once per task. Null prompts are not asked."""
+def backend_answer(
+    prompt: Column,
+    schema: Schema | None,
+    factory: BackendFactory,
+    attempts: int,
+    delay: float = 0.0,
+    before: Column | None = None,
+) -> Column:
+    """Ask a user backend over Arrow batches; its client is made once per task. Null prompts are not asked.
+
+    ``before`` holds texts to send first, without schema, in the same conversation; their answers are not kept. A client
+    with a ``start`` attribute is told by it that the next row's conversation begins. Failed questions are repeated up to
+    ``attempts`` times after ``delay`` seconds, doubled each time.
+    """
 
-    def ask_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def one(ask: Ask, text: str | None, openings: Any) -> tuple[str | None, str | None, int | None]:
+        if text is None:
+            return None, None, None
+        start = getattr(ask, "start", None)
+        if start is not None:
+            start()
+        for opening in openings if openings is not None else ():
+            _, error, tried = _ask_with_retries(ask, opening, None, attempts, delay)
+            if error is not None:
+                return None, error, tried
+        return _ask_with_retries(ask, text, schema, attempts, delay)
+
+    def ask_batches(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         ask = factory()
-        for prompts in batches:
-            rows: list[tuple[Any, Any, Any]] = [
-                (None, None, None) if text is None else _ask_with_retries(ask, text, schema, attempts) for text in prompts
-            ]
+        for prompts, openings in batches:
+            rows = [one(ask, text, first) for text, first in zip(prompts, openings, strict=True)]
             yield pd.DataFrame(rows, columns=["answer", "error", "attempts"]).astype({"attempts": "Int32"})
 
     # The hints have to be real types here, as Spark picks the iterator form by them.
-    ask_batches.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(ask_batches, ANSWER_TYPE).asNondeterministic()(prompt)
+    ask_batches.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
+    openings = F.lit(None).cast("array<string>") if before is None else before
+    return F.pandas_udf(ask_batches, ANSWER_TYPE).asNondeterministic()(prompt, openings)
 
 
 def extract(
@@ -75,6 +103,7 @@ def extract(
     attempts: int = 1,
     mode: str = "permissive",
     partitions: int | None = None,
+    delay: float = 0.0,
     out: str = "answer",
 ) -> DataFrame:
     """Add ``answer`` (JSON text, or plain text without a schema), ``_error`` and ``_attempts``.
@@ -89,7 +118,7 @@ def extract(
     asked = (
         echo_answer(ref(prompt), schema)
         if backend is None
-        else backend_answer(ref(prompt), schema, backend, max(1, attempts))
+        else backend_answer(ref(prompt), schema, backend, max(1, attempts), delay)
     )
     answered = df.withColumn("_asked", asked)
     error: Column = F.col("_asked.error")

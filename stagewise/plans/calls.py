@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagewise.functions.columns import ref
+from stagewise.functions.json_text import printed_json
 from stagewise.functions.registry import FunctionRegistry, Registered
 from stagewise.functions.templates import compile_template
 from stagewise.operators.prompts import CallOutput
@@ -98,13 +99,6 @@ def _evaluate(df: DataFrame, entry: Registered) -> DataFrame:
     return df.withColumn("_result", entry.apply(*[_argument(df, name) for name in entry.inputs]))
 
 
-def as_json(column: Column, kind: T.DataType) -> Column:
-    """JSON text of a call result."""
-    if isinstance(kind, (T.StructType, T.MapType, T.ArrayType, T.VariantType)):
-        return F.to_json(column, {"ignoreNullFields": "false"}) if not isinstance(kind, T.VariantType) else F.to_json(column)
-    return F.coalesce(F.to_json(column.cast("variant")), F.lit(""))
-
-
 def call_functions(
     df: DataFrame, calls: Sequence[Call], functions: FunctionRegistry, rules: Sequence[Rule] = ()
 ) -> tuple[DataFrame, list[CallOutput]]:
@@ -129,7 +123,7 @@ def call_functions(
             publish_table(call.var, df.select(F.col("_result").alias("value")))
         elif call.into == TO_PROMPT:
             column = f"_call_{call.var}"
-            df = df.withColumn(column, as_json(F.col("_result"), kind))
+            df = df.withColumn(column, F.coalesce(printed_json(F.col("_result"), kind), F.lit("")))
             outputs.append(CallOutput(call.name, ref(column), call.description))
         elif call.into != TO_VARS:
             raise ValueError(f"unknown destination: {call.into}")

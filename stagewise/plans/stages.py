@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagewise.functions.columns import Keys, names, ref
+from stagewise.functions.json_text import printed_json
 from stagewise.functions.registry import FunctionRegistry
 from stagewise.functions.templates import compile_template
 from stagewise.operators.extract import BackendFactory, backend_answer, echo_answer, extract
@@ -24,7 +25,7 @@ from stagewise.operators.merge import merge_fragments
 from stagewise.operators.prompts import prompt_envelope
 from stagewise.operators.reshape import Rule, iterate, typed_condition
 from stagewise.operators.rollup import COMMITTED, FAILED, FINISHED, NOOP, QUEUED, RUNNING
-from stagewise.plans.calls import Call, call_functions
+from stagewise.plans.calls import TO_PROMPT, Call, call_functions
 from stagewise.plans.schema import Schema, stage_names, stage_schema, to_spark
 from stagewise.session import materialize
 
@@ -44,7 +45,10 @@ class Dependency:
 
 @dataclass(frozen=True)
 class Stage:
-    """One extraction step. ``context`` is False, True (the record so far) or a template."""
+    """One extraction step. ``context`` is False, True (the record so far) or a template.
+
+    Pre-prompts are sent before the prompt in the same conversation. The first text sent carries context and call results.
+    """
 
     name: str
     prompt: str
@@ -52,6 +56,7 @@ class Stage:
     context: bool | str = False
     calls: tuple[Call, ...] = ()
     attempts: int = 1
+    pre_prompts: tuple[str, ...] = ()
     variables: dict[str, Any] = field(default_factory=dict)
 
 
@@ -104,7 +109,7 @@ def empty_context(schema: Schema) -> Column:
 
 
 def _stage_prompt(df: DataFrame, stage: Stage, functions: FunctionRegistry, rules: Sequence[Rule]) -> DataFrame:
-    """Add ``_prompt`` for one stage; its variables and call results are local to it."""
+    """Add ``_prompt`` and ``_before`` for one stage; its variables and call results are local to it."""
     saved = "vars" in df.columns
     work = df.withColumn("_vars", ref("vars")) if saved else df
     for name, value in stage.variables.items():
@@ -116,11 +121,13 @@ def _stage_prompt(df: DataFrame, stage: Stage, functions: FunctionRegistry, rule
         work, outputs = call_functions(work, stage.calls, functions, rules)
     body: Column | None = None
     if stage.context is True:
-        body = F.to_json("context")
+        body = F.coalesce(printed_json(ref("context"), work.schema["context"].dataType, "  ", skip_nulls=True), F.lit("{}"))
     elif isinstance(stage.context, str):
         body = compile_template(stage.context, work.schema)
-    prompt = prompt_envelope(compile_template(stage.prompt, work.schema), body, stage.context is True, outputs)
-    work = work.withColumn("_prompt", prompt)
+    texts = [compile_template(text, work.schema) for text in (*stage.pre_prompts, stage.prompt)]
+    texts[0] = prompt_envelope(texts[0], body, stage.context is True, outputs)
+    before = F.array(*texts[:-1]) if stage.pre_prompts else F.lit(None).cast("array<string>")
+    work = work.withColumn("_prompt", texts[-1]).withColumn("_before", before)
     drops = [name for name in work.columns if name.startswith("_call_")]
     if saved:
         work = work.withColumn("vars", F.col("_vars"))
@@ -138,6 +145,7 @@ def run_stage(
     functions: FunctionRegistry | None = None,
     rules: Sequence[Rule] = (),
     mode: str = "permissive",
+    delay: float = 0.0,
 ) -> DataFrame:
     """Gate, prompt, answer and record fields of one stage."""
     owned = stage_schema(schema, stage.name) if stage.name in stage_names(schema) else None
@@ -145,7 +153,9 @@ def run_stage(
     asked = _stage_prompt(gated, stage, functions or FunctionRegistry(), rules)
     prompt = F.when(F.col("_gate") == PASSED, F.col("_prompt"))
     answer = (
-        echo_answer(prompt, owned) if backend is None else backend_answer(prompt, owned, backend, max(1, stage.attempts))
+        echo_answer(prompt, owned)
+        if backend is None
+        else backend_answer(prompt, owned, backend, max(1, stage.attempts), delay, F.col("_before"))
     )
     error = F.col("_asked.error")
     status = F.when(F.col("_gate") == UNSOLVABLE, NOOP).when(error.isNotNull(), FAILED).otherwise(FINISHED)
@@ -165,7 +175,7 @@ def run_stage(
         for name in shape.names:
             context = context.withField(f"`{name}`", F.coalesce(F.col("_record")[name], ref("context")[name]))
         done = done.withColumn("context", context)
-    return done.drop("_gate", "_prompt", "_asked", "_record")
+    return done.drop("_gate", "_prompt", "_before", "_asked", "_record")
 
 
 def run_stages(
@@ -177,17 +187,25 @@ def run_stages(
     rules: Sequence[Rule] = (),
     mode: str = "permissive",
     checkpoint_layers: bool = False,
+    calls: Sequence[Call] = (),
+    delay: float = 0.0,
 ) -> DataFrame:
     """Apply all stages in dependency order.
 
+    ``calls`` run once per row before the first stage; their results go to variables, the context or a table.
+
     A skipped stage skips its dependents. With a real backend use ``checkpoint_layers``: each layer is then written once,
     so lost executors or later branches never ask the model again.
     """
     if "context" not in df.columns:
         df = df.withColumn("context", empty_context(schema))
+    if calls:
+        if any(call.into == TO_PROMPT for call in calls):
+            raise ValueError("calls of the plan have no prompt to go to")
+        df, _ = call_functions(df, calls, functions or FunctionRegistry(), rules)
     for layer in stage_layers(stages):
         for stage in layer:
-            df = run_stage(df, stage, schema, backend, functions, rules, mode)
+            df = run_stage(df, stage, schema, backend, functions, rules, mode, delay)
         if checkpoint_layers:
             df = materialize(df)
     return df

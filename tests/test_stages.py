@@ -1,5 +1,7 @@
 """Stages, calls, gates, extraction, user functions."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,43 @@ def test_failed_stage_skips_dependents(spark):
     assert rows[0]["context"]["a"] == "fine" and "no" in rows[1]["error_one"]
 
 
+def recorder():
+    """A client that answers with all texts of the current conversation."""
+
+    class Client:
+        def start(self):
+            self.sent = []
+
+        def __call__(self, prompt, schema):
+            self.sent.append(prompt)
+            return json.dumps({"log": self.sent}) if schema is not None else "ok"
+
+    return Client()
+
+
+def test_pre_prompts_share_the_conversation(spark):
+    schema = load_schema({"properties": {"log": {"type": "array", "items": {"type": "string"}, "x-session": "s"}}})
+    stage = Stage("s", "then {{ .k }}", context=True, pre_prompts=("first {{ .k }}", "second"))
+    df = spark.createDataFrame([(1,), (2,)], "k int").coalesce(1)
+    rows = run_stages(df, [stage], schema, recorder, checkpoint_layers=True).orderBy("k").collect()
+    head = '<Scope>\n <Context contentType="application/json"><![CDATA[ {} ]]></Context>\n</Scope>\n'
+    for row in rows:
+        first = f'{head}<Prompt description="The task to execute"><![CDATA[ first {row["k"]} ]]></Prompt>'
+        assert row["context"]["log"] == [first, "second", f"then {row['k']}"]
+
+
+def test_calls_of_the_plan(spark):
+    functions = FunctionRegistry()
+    functions.register_columns("f", lambda: F.lit("val"), [], "string")
+    schema = load_schema({"properties": {"a": {"type": "string", "x-session": "s"}}})
+    stages = [Stage("s", "{{ .vars.x }} {{ .context.y }}")]
+    calls = [Call("f", "x", into="vars"), Call("f", "y", into="context")]
+    row = run_stages(spark.range(1), stages, schema, functions=functions, calls=calls).collect()[0]
+    assert "[ val val ]" in row["context"]["a"]
+    with pytest.raises(ValueError):
+        run_stages(spark.range(1), stages, schema, functions=functions, calls=[Call("f", "x")])
+
+
 def test_expression_arguments():
     assert expression_argument("$(vars.a)") == "vars.a"
     assert expression_argument("$((a + 1) * (b))") == "(a + 1) * (b)"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stagewise.functions.envelope import Node
+from stagewise.functions.json_text import printed_json
 from stagewise.functions.templates import compile_template, placeholders, render_column, scope_map
 from stagewise.operators.prompts import CallOutput, expand_preprompts, prompt_envelope, wrap_documents
 
@@ -20,11 +21,31 @@ def test_paths_indexes_and_filters(spark):
     columns = {"vars": F.struct(F.array(person, person).alias("data"), F.lit(7).alias("n")), "tags": F.array(F.lit("a"), F.lit("b"))}
     assert render(spark, "who is {{ (index .vars.data 1).first_name }}?", columns) == "who is Pat?"
     assert render(spark, "{{ .vars.n }}-{{.vars.gone}}-{{ .nothing.at.all }}", columns) == "7-<no value>-<no value>"
-    assert render(spark, "{{ index .tags 1 }} {{ .tags }} {{ json .tags }}", columns) == 'b [a b] ["a","b"]'
+    assert render(spark, "{{ index .tags 1 }} {{ .tags }} {{ json .tags }}", columns) == 'b [a b] [\n "a",\n "b"\n]'
     assert render(spark, "{{ (index .vars.data 0).nick }}", columns) == "<no value>"
     assert render(spark, "no placeholders", columns) == "no placeholders"
 
 
+def test_printed_json(spark):
+    value = F.struct(
+        F.lit("<a&b>").alias("z"),
+        F.lit(2.0).alias("n"),
+        F.create_map(F.lit("k"), F.array(F.lit(1), F.lit(None).cast("int"))).alias("m"),
+        F.array().cast("array<string>").alias("e"),
+        F.lit(None).cast("string").alias("gone"),
+    )
+    df = spark.range(1).select(value.alias("v"))
+    kind = df.schema["v"].dataType
+
+    def text(**kw):
+        return df.select(printed_json(F.col("v"), kind, **kw)).collect()[0][0]
+
+    assert text() == '{"e":[],"gone":null,"m":{"k":[1,null]},"n":2,"z":"\\u003ca\\u0026b\\u003e"}'
+    assert text(indent="  ", skip_nulls=True) == (
+        '{\n  "e": [],\n  "m": {\n    "k": [\n      1,\n      null\n    ]\n  },\n  "n": 2,\n  "z": "\\u003ca\\u0026b\\u003e"\n}'
+    )
+
+
 def test_values_with_placeholders_take_up_to_three_rounds(spark):
     columns = {"foo": F.lit("{{.buzz}}"), "buzz": F.lit("bar")}
     assert render(spark, "{{.foo}}", columns, ["foo", "buzz"]) == "bar"

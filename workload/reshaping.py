@@ -142,7 +142,8 @@ def iterate_query(spark, sf_dir):
     SELECT doc_id,
            'Document ' || doc_id || ' (' || lang || ') of ' || source || ', first word '
              || string_split(text, ' ')[1] || ', label ' || coalesce(CAST(quality AS VARCHAR), '<no value>')
-             || ', meta {"lang":"' || lang || '","n":' || n_chars || '}: ' || text AS rendered
+             || ', meta {' || chr(10) || ' "lang": "' || lang || '",' || chr(10) || ' "n": ' || n_chars || chr(10) || '}: ' || text
+             AS rendered
     FROM documents LEFT JOIN labels USING (doc_id)
     """,
 )
