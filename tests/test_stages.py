@@ -108,21 +108,20 @@ def test_failed_stage_skips_dependents(spark):
     assert rows[0]["context"]["a"] == "fine" and "no" in rows[1]["error_one"]
 
 
-def recorder():
-    """A client that answers with all texts of the current conversation."""
-
-    class Client:
-        def start(self):
-            self.sent = []
+def test_pre_prompts_share_the_conversation(spark):
+    def recorder():
+        """A client that answers with all texts of the current conversation."""
 
-        def __call__(self, prompt, schema):
-            self.sent.append(prompt)
-            return json.dumps({"log": self.sent}) if schema is not None else "ok"
+        class Client:
+            def start(self):
+                self.sent = []
 
-    return Client()
+            def __call__(self, prompt, schema):
+                self.sent.append(prompt)
+                return json.dumps({"log": self.sent}) if schema is not None else "ok"
 
+        return Client()
 
-def test_pre_prompts_share_the_conversation(spark):
     schema = load_schema({"properties": {"log": {"type": "array", "items": {"type": "string"}, "x-session": "s"}}})
     stage = Stage("s", "then {{ .k }}", context=True, pre_prompts=("first {{ .k }}", "second"))
     df = spark.createDataFrame([(1,), (2,)], "k int").coalesce(1)
