@@ -175,6 +175,10 @@ def run_stage(
         for name in shape.names:
             context = context.withField(f"`{name}`", F.coalesce(F.col("_record")[name], ref("context")[name]))
         done = done.withColumn("context", context)
+    else:
+        # Without a schema of its own a stage gives free text, kept as a list under the stage's name.
+        text = F.when(F.col("_asked.answer").isNotNull(), F.array("_asked.answer"))
+        done = done.withColumn("context", ref("context").withField(f"`{stage.name}`", text))
     return done.drop("_gate", "_prompt", "_before", "_asked", "_record")
 
 

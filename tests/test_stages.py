@@ -132,6 +132,14 @@ def test_pre_prompts_share_the_conversation(spark):
         assert row["context"]["log"] == [first, "second", f"then {row['k']}"]
 
 
+def test_stage_without_schema_keeps_free_text(spark):
+    schema = load_schema({"properties": {"a": {"type": "string", "x-session": "s"}}})
+    stages = [Stage("s", "one"), Stage("free", "say {{ .context.a }}", depends_on=(Dependency("s"),))]
+    backend = lambda: lambda prompt, s: '{"a": "x"}' if s else "heard " + prompt.split("[ ")[1].split(" ]")[0]
+    row = run_stages(spark.range(1), stages, schema, backend).collect()[0]
+    assert row["context"].asDict() == {"a": "x", "free": ["heard say x"]}
+
+
 def test_calls_of_the_plan(spark):
     functions = FunctionRegistry()
     functions.register_columns("f", lambda: F.lit("val"), [], "string")

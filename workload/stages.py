@@ -12,7 +12,9 @@ from stagewise.functions.registry import FunctionRegistry, call_table_function,
 from stagewise.functions.templates import render_templates
 from stagewise.operators.extract import ask_question, extract
 from stagewise.operators.merge import merge_fragments
+from stagewise.operators.parse import parse_csv_table
 from stagewise.operators.prompts import build_prompts
+from stagewise.operators.reshape import cells_to_records, slice_rows
 from stagewise.operators.validate import with_violations
 from stagewise.plans.calls import Call
 from stagewise.plans.schema import load_schema
@@ -70,6 +72,33 @@ def document_cards_query(spark, sf_dir):
     return document_cards(spark, sf_dir)
 
 
+@query(
+    "csv_to_answers",
+    """
+    WITH rows AS (
+      SELECT o_orderkey, 1 AS row, o_orderstatus AS word FROM orders
+      UNION ALL SELECT o_orderkey, 2, o_orderpriority FROM orders),
+    answers AS (
+      SELECT o_orderkey, row, '"<Prompt description=\\"The task to execute\\"><![CDATA[ who is ' || word || ' of ' || o_orderkey
+             || ' ]]></Prompt>"' AS value FROM rows)
+    SELECT o_orderkey, 'answer' AS field, 'scalar' AS kind, row AS seq, 0 AS pos, CAST(NULL AS VARCHAR) AS name, value
+    FROM answers WHERE row = 2
+    """,
+)
+def csv_to_answers_query(spark, sf_dir):
+    """CSV documents, header dropped, cells named, one question per row, answers merged per document."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    text = F.concat(
+        F.lit("word,of\n"), "o_orderstatus", F.lit(","), "o_orderkey", F.lit("\n"), "o_orderpriority", F.lit(","), "o_orderkey"
+    )
+    rows, _ = parse_csv_table(orders.select("o_orderkey", text.alias("body")), "o_orderkey", "body")
+    people = cells_to_records(slice_rows(rows, "o_orderkey", "row", start=1), ["word", "of"], keep=["o_orderkey", "row"])
+    asked = render_templates(people, "who is {{ .word }} of {{ .of }}")
+    schema = {"type": "object", "properties": {"answer": {"type": "string"}}}
+    answered = extract(build_prompts(asked, "rendered"), "prompt_text", schema)
+    return merge_fragments(answered, "o_orderkey", "row", "answer")
+
+
 # --- gates and stages -----------------------------------------------------------------------------------------------
 
 
