@@ -36,6 +36,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def if_present(value: Column) -> Column:
+    """List of the value, empty for null.
+
+    Exploding it drops the null rows like a filter would, but a filter on a computed column is pushed below the
+    projection, and then computes the column a second time.
+    """
+    return F.array_compact(F.array(value))
+
+
 def position_segment(pos: Column, span: int) -> Column:
     """Segment number of a 0-based position; each (group, segment) holds at most ``span`` positions."""
     if span < 1:

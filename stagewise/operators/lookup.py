@@ -54,7 +54,7 @@ def missing_required(required: DataFrame, available: DataFrame | None, on: Keys
     """Required pairs that the catalog lacks; without a catalog the check is off."""
     if available is None:
         return required.limit(0)
-    return required.join(available.select(*names(on)).distinct(), names(on), "left_anti")
+    return required.join(available.select(*names(on)), names(on), "left_anti")
 
 
 def expand_groups(requests: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Bulk parsing of text columns: JSON, CSV, key=value lines, mixed content and call arguments.
 
-Every parser tags each row with ``_error`` in one pass. ``split_rejects`` turns that into good rows and rejects.
+The table parsers return good rows and rejects. ``tag_json`` and ``tag_csv`` give both in one pass, with ``_error``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagewise.functions import json_text as J
-from stagewise.functions.columns import Keys, SEGMENT_ROWS, let, names, ordered_values, position_segment, ref
+from stagewise.functions.columns import Keys, SEGMENT_ROWS, if_present, let, names, ordered_values, position_segment, ref
 
 
 class Parsed(NamedTuple):
@@ -35,10 +35,8 @@ BAD_KV = "invalid parameter format: "
 KV_LINE = r"^[^=]+=[^=]+$"
 
 
-def split_rejects(df: DataFrame, keys: Keys) -> Parsed:
-    """Good rows without the error column, and ``(keys, reason)`` for the others."""
-    rejects = df.filter(F.col("_error").isNotNull()).select(*names(keys), F.col("_error").alias("reason"))
-    return Parsed(df.filter(F.col("_error").isNull()).drop("_error"), rejects)
+def _rejects(tagged: DataFrame, keys: Keys) -> DataFrame:
+    return tagged.select(*names(keys), F.explode(if_present(F.col("_error"))).alias("reason"))
 
 
 def container_text(text: Column) -> Column:
@@ -63,7 +61,9 @@ def tag_json(df: DataFrame, keys: Keys, col: str) -> DataFrame:
 
 def parse_json_table(df: DataFrame, keys: Keys, col: str) -> Parsed:
     """JSON documents to good rows ``(keys, kind, json)`` and rejects."""
-    return split_rejects(tag_json(df, keys, col), keys)
+    json = F.explode(if_present(container_text(ref(col)))).alias("json")
+    good = df.select(*names(keys), json).select(*names(keys), J.json_kind(F.col("json")).alias("kind"), "json")
+    return Parsed(good, _rejects(tag_json(df, keys, col), keys))
 
 
 # A whole CSV text: fields without quotes, or quoted fields with doubled quotes that may span lines.
@@ -114,8 +114,9 @@ def tag_csv(df: DataFrame, keys: Keys, col: str) -> DataFrame:
 
 def parse_csv_table(df: DataFrame, keys: Keys, col: str) -> Parsed:
     """CSV documents to good rows ``(keys, row, cells)`` and rejects."""
-    good, rejects = split_rejects(tag_csv(df, keys, col), keys)
-    return Parsed(good.select(*names(keys), F.posexplode("rows").alias("row", "cells")), rejects)
+    tagged = tag_csv(df, keys, col)
+    valid = F.when(F.col("_error").isNull(), F.col("rows"))
+    return Parsed(tagged.select(*names(keys), F.posexplode(valid).alias("row", "cells")), _rejects(tagged, keys))
 
 
 def content_value(text: Column) -> Column:

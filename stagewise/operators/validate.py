@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from stagewise.functions import json_text as J
 from stagewise.functions.casts import text_to_boolean, text_to_integer, text_to_number
-from stagewise.functions.columns import Keys, names, ref
+from stagewise.functions.columns import Keys, if_present, names, ref
 from stagewise.plans.schema import Schema
 
 # Names of the value kinds as the messages print them.
@@ -273,10 +273,8 @@ def as_variant(df: DataFrame, col: str) -> Column:
     return ref(col).cast("variant")
 
 
-def with_violations(
-    df: DataFrame, col: str, schema: Schema, soft: bool = False, rules: Keys | None = None, out: str = "violations"
-) -> DataFrame:
-    """Add the violations of each row as an array."""
+def _checked(df: DataFrame, col: str, schema: Schema, soft: bool, rules: Keys | None) -> tuple[DataFrame, Column, list[str]]:
+    """Rows with the named values, the violations over them, and the names to drop."""
     bindings = Bindings()
     found = rules_of(F.col("_value"), schema, "", F.lit(True), soft, bindings)
     if rules is not None:
@@ -284,7 +282,15 @@ def with_violations(
         found.checks = [check for check in found.checks if check.rule in wanted]
         found.arrays = [F.filter(array, lambda v: v["rule"].isin(wanted)) for array in found.arrays]
     bound = bindings.apply(df.withColumn("_value", as_variant(df, col)))
-    return bound.withColumn(out, found.to_array()).drop("_value", *bindings.bound_names())
+    return bound, found.to_array(), ["_value", *bindings.bound_names()]
+
+
+def with_violations(
+    df: DataFrame, col: str, schema: Schema, soft: bool = False, rules: Keys | None = None, out: str = "violations"
+) -> DataFrame:
+    """Add the violations of each row as an array."""
+    bound, found, drops = _checked(df, col, schema, soft, rules)
+    return bound.withColumn(out, found).drop(*drops)
 
 
 def validate(
@@ -298,12 +304,11 @@ def validate(
 ) -> DataFrame:
     """``(keys, path, rule, message)``: every violation, the first per row by path, or those of some rules only."""
     needed = df.select(*[ref(name) for name in dict.fromkeys([*names(keys), col])])
-    checked = with_violations(needed, col, schema, soft, rules, "_found")
-    listed = F.col("_found")
+    bound, found, _ = _checked(needed, col, schema, soft, rules)
     if first_only:
-        checked = checked.withColumn("_least", F.array_min("_found"))
-        listed = F.when(F.col("_least").isNotNull(), F.array("_least"))
-    return checked.select(*names(keys), F.inline(listed))
+        return bound.select(*names(keys), F.inline(if_present(F.array_min(found))))
+    # The array goes straight into the generator: as a column of its own it would be computed again by an inferred filter.
+    return bound.select(*names(keys), F.inline(found))
 
 
 def rule_summary(found: DataFrame) -> DataFrame:

@@ -10,12 +10,16 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE splits the skewed side of a lookup join by itself; forcing it keeps that true when a grouping on the same key
-# follows the join. Duplicate JSON keys keep the last value instead of failing the parse.
+# follows the join. Duplicate JSON keys keep the last value instead of failing the parse. Streaming state lives in RocksDB,
+# on disk, so that it may outgrow the memory of an executor.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
