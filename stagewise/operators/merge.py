@@ -26,13 +26,12 @@ RESULT = ["field", "kind", "seq", "pos", "name", "value"]
 
 
 def fragment_fields(df: DataFrame, keys: Keys, seq: str, fragment: str) -> DataFrame:
-    """``(keys, seq, field, item, value, kind)``: one row per field of each fragment; kind null counts as no change."""
-    fields = df.select(
+    """``(keys, seq, field, item)``: one row per field of each fragment, the item as VARIANT."""
+    return df.select(
         *names(keys),
         ref(seq).alias("seq"),
         F.explode(J.as_map(J.parse_strict(ref(fragment)))).alias("field", "item"),
     )
-    return fields.withColumn("value", F.to_json("item")).withColumn("kind", J.json_kind(F.col("value")))
 
 
 def fragment_rejects(df: DataFrame, fragment: str) -> DataFrame:
@@ -52,14 +51,16 @@ def field_state(fields: DataFrame, keys: Keys) -> DataFrame:
     Rows without a name hold the marks of a field: where its first list and its last object, null and plain value came,
     and that value. Named rows hold the last value of an object member and where it came.
     """
-    no_entry = F.array().cast("array<struct<name:string,value:string>>")
-    inner = F.transform(
-        F.map_entries(J.members(F.when(F.col("kind") == "object", F.col("item")))),
-        lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")),
+    typed = fields.withColumn("_text", F.to_json("item")).withColumn("kind", J.json_kind(F.col("_text")))
+    # A nameless entry for the field itself, then the members of an object.
+    entry = "array<struct<name:string,member:variant>>"
+    itself = F.array(F.struct(F.lit(None), F.lit(None))).cast(entry)
+    members = F.map_entries(J.as_map(F.when(F.col("kind") == "object", F.col("item")))).cast(entry)
+    exploded = typed.select(
+        *names(keys), "field", "seq", "kind", "_text", F.inline(F.concat(itself, F.coalesce(members, F.array().cast(entry))))
     )
-    mark = F.struct(F.lit(None).cast("string").alias("name"), F.when(_is_scalar(), F.col("value")).alias("value"))
-    entries = fields.select(
-        *names(keys), "field", "seq", "kind", F.inline(F.concat(F.array(mark), F.coalesce(inner, no_entry)))
+    entries = exploded.withColumn(
+        "value", F.when(F.col("name").isNotNull(), F.to_json("member")).when(_is_scalar(), F.col("_text"))
     )
     marked = F.col("name").isNull()
     at = F.col("seq")
@@ -87,10 +88,11 @@ def field_kind() -> Column:
 
 def list_items(fields: DataFrame, keys: Keys) -> DataFrame:
     """Everything a list would take in: items of lists, and plain values and objects as one item each."""
-    pieces = F.when(F.col("kind") == "array", J.elements(F.col("item"))).otherwise(F.array("value"))
-    return fields.filter(~F.is_variant_null("item")).select(
-        *names(keys), "field", "seq", F.posexplode(pieces).alias("pos", "value")
+    pieces = F.coalesce(J.as_list(F.col("item")), F.array("item"))
+    items = fields.filter(~F.is_variant_null("item")).select(
+        *names(keys), "field", "seq", F.posexplode(pieces).alias("pos", "_piece")
     )
+    return items.withColumn("value", F.to_json("_piece")).drop("_piece")
 
 
 def resolve_merge(state: DataFrame, items: DataFrame, keys: Keys) -> DataFrame:
