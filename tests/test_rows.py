@@ -112,6 +112,14 @@ def test_sinks(spark, tmp_path):
     assert spark.sql("SELECT sum(a) AS s FROM rows_by_name").collect()[0]["s"] == 3
 
 
+def test_saved_tables_grow(spark):
+    spark.sql("DROP TABLE IF EXISTS stagewise_saved")
+    publish_table("stagewise_saved", spark.range(3), saved=True)
+    publish_table("stagewise_saved", spark.range(2), saved=True)
+    assert spark.table("stagewise_saved").count() == 5
+    spark.sql("DROP TABLE stagewise_saved")
+
+
 def test_attach_and_route(spark):
     docs = resources_from_table(spark.createDataFrame([("d1", "text")], "i string, c string"), "i", "c")
     stage = spark.sql(
