@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 Keys = str | Iterable[str]
 
 # Rows of one group that may be folded into one cell. Larger groups come out as several numbered segments.
-SEGMENT_ROWS = 100_000
+SEGMENT_ROWS = 10_000
 
 
 def names(keys: Keys) -> list[str]:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.functions.columns import Keys, SEGMENT_ROWS, names, ref
+from stagewise.functions.columns import Keys, names, ref
 from stagewise.functions.envelope import Node, cdata
 from stagewise.functions.templates import compile_template
 from stagewise.operators.conversation import join_parts
@@ -18,6 +18,10 @@ PROMPT_DESCRIPTION = "The task to execute"
 JSON_TYPE = "application/json"
 
 
+# Whole documents that may be joined into one cell.
+SEGMENT_DOCUMENTS = 1_000
+
+
 @dataclass(frozen=True)
 class CallOutput:
     """Result of one call, as JSON text, for the prompt."""
@@ -75,7 +79,7 @@ def document_block(identifier: Column, text: Column, style: str) -> Column:
 
 
 def wrap_documents(
-    df: DataFrame, keys: Keys, pos: str, identifier: str, text: str, style: str = "banner", span: int = SEGMENT_ROWS
+    df: DataFrame, keys: Keys, pos: str, identifier: str, text: str, style: str = "banner", span: int = SEGMENT_DOCUMENTS
 ) -> DataFrame:
     """``(keys, seg, text)``: the documents of a group as blocks, joined in order."""
     blocks = df.select(*names(keys), ref(pos).alias("_at"), document_block(ref(identifier), ref(text), style).alias("_block"))
