@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import os
+import re
 import tempfile
 import zipfile
 
@@ -63,13 +64,17 @@ def spread(source: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session, or a temporary one in local mode."""
+    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a temporary folder serves a driver without executors (``local``, ``local[n]``); any other master
+    needs the setting.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             configured = tempfile.mkdtemp(prefix="stagewise-checkpoint-")
         context.setCheckpointDir(configured)
