@@ -44,3 +44,98 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_ids(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("shard", "place")
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    from stagewise.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op5_source_mix")
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    from stagewise.llm.mixing import mix
+
+    decided = mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    return decided.select("row.doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents."""
+    from stagewise.llm.decontaminate import leaks_in
+
+    return leaks_in(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = """
+WITH w AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents
+), s AS (
+    SELECT doc_id, unnest(range(1, len(words) - 18)) AS at, words FROM w WHERE len(words) >= 20
+), k AS (
+    SELECT doc_id, at, md5(array_to_string(words[at:at + 19], ' ')) AS key FROM s
+), r AS (
+    SELECT doc_id, at FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, at) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS place FROM r
+), lost AS (
+    SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
+)
+SELECT w.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN words ELSE
+           list_transform(list_filter(range(1, len(words) + 1), i -> NOT list_contains(places, i)), i -> words[i]) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id)
+"""
+
+
+@query("op8_repeated_words", OP8_SQL)
+def op8_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without repeated windows of words."""
+    from stagewise.llm.repeated_words import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents
+), g AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))
+        WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles FROM w
+), s AS (
+    SELECT doc_id, unnest(shingles) AS shingle, len(shingles) AS n FROM g
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+    FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM p WHERE 100 * common >= 75 * (na + nb - common)
+), reach AS (
+    SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (
+    SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id
+)
+SELECT g.doc_id, len(shingles) AS n_shingles, least(g.doc_id, coalesce(other, g.doc_id)) AS component_id,
+       g.doc_id = least(g.doc_id, coalesce(other, g.doc_id)) AS kept
+FROM g LEFT JOIN least USING (doc_id)
+"""
+
+
+@query("op9_near_documents", OP9_SQL)
+def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    from stagewise.llm.near_text import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op1_repeated_bytes")
+def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without repeated strings of bytes."""
+    from stagewise.llm.repeated_bytes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
