@@ -73,21 +73,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH w AS (
-    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), s AS (
-    SELECT doc_id, unnest(range(1, len(words) - 18)) AS at, words FROM w WHERE len(words) >= 20
+    SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos, words FROM w WHERE len(words) >= 20
 ), k AS (
-    SELECT doc_id, at, md5(array_to_string(words[at:at + 19], ' ')) AS key FROM s
+    SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 19], ' ')) AS key FROM s
 ), r AS (
-    SELECT doc_id, at FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, at) > 1
+    SELECT doc_id, pos FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1
 ), gone AS (
-    SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS place FROM r
+    SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS place FROM r
 ), lost AS (
     SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
 )
 SELECT w.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
        sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN words ELSE
-           list_transform(list_filter(range(1, len(words) + 1), i -> NOT list_contains(places, i)), i -> words[i]) END, ' '), '')) AS kept_sha256
+           list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i)), lambda i: words[i]) END, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN lost USING (doc_id)
 """
 
@@ -103,9 +103,9 @@ def op8_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH RECURSIVE w AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                  '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents
+                                                  '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), g AS (
-    SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))
+    SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
         WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles FROM w
 ), s AS (
     SELECT doc_id, unnest(shingles) AS shingle, len(shingles) AS n FROM g

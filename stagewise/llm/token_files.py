@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,10 @@ INDEX = (("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("length", "<u
 class PieceIds(dict):
     """Ids of the pieces of texts between single blanks, remembered up to a bound.
 
-    Byte-level tokenizers of this kind cut a text in front of every blank that a non-blank follows, and encode what lies
-    between the cuts by itself. ``encode`` uses that: pieces seen before are looked up, all others go through the library in one
-    call. A piece that starts with white space, or that holds the text of a special token, has no such cut; its whole text goes
-    to the library uncut.
+    Byte-level tokenizers of this kind cut a text in front of every blank that a non-blank follows, and on both sides of a line end
+    between non-blanks, and encode what lies between the cuts by itself. ``encode`` uses that: pieces seen before are looked
+    up, all others go through the library in one call. Where more white space meets, or a piece holds the text of a special
+    token, there is no such cut; the whole text goes to the library uncut.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -59,22 +60,28 @@ class PieceIds(dict):
 
     def uncut(self, piece: str) -> bool:
         """Whether a piece may not be encoded by itself."""
-        return piece == " " or piece[0] == " " and piece[1].isspace() or any(s in piece for s in self.special)
+        if piece == "\n":
+            return False
+        rest = piece[1:] if piece[0] == " " else piece
+        return not rest or rest[0].isspace() or rest[-1].isspace() or any(s in piece for s in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, with the end id. Null texts are empty ones."""
         if not self.cuts or any(" " in s for s in self.special):
             return [self.whole(text or "") for text in texts]
         end = np.array([END_ID], "<u4").tobytes()
-        cut = [text.replace(" ", "\0 ").split("\0") if text and "\0" not in text else None for text in texts]
+        cut = [
+            text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text and "\0" not in text and "\n\n" not in text else None
+            for text in texts
+        ]
         if len(self) >= self.most:
             self.clear()
-        new = list({piece for pieces in cut if pieces for piece in pieces if piece} - self.keys())
+        self[""] = b""
+        new = [piece for piece in set().union(*filter(None, cut)) if piece not in self]
         bad = {piece for piece in new if self.uncut(piece)}
         new = [piece for piece in new if piece not in bad]
         for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[piece] = np.array(found.ids, "<u4").tobytes()
-        self[""] = b""
+            self[piece] = array("I", found.ids).tobytes()
         out = []
         for text, pieces in zip(texts, cut, strict=True):
             if not text:
