@@ -139,3 +139,48 @@ def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stagewise.llm.repeated_bytes import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    from stagewise.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
+    from stagewise.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (
+    SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE list_inner_product(e, e) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach AS (
+    SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (
+    SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id
+), n AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(other, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(other, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+@query("op3_near_vectors", OP3_SQL)
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of near copies among all vectors."""
+    from stagewise.llm.near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))

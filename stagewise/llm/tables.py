@@ -22,6 +22,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many rows of a few numbers each a stored table is sent to all tasks; beyond, the join shuffles.
+SMALL_ROWS = 1_000_000
+
+
+def if_small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if its row count is below the bound. The result of a join is the same."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; null ids fold like the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
