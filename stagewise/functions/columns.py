@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 Keys = str | Iterable[str]
 
-# Rows of one group that may be folded into one cell. Larger groups come out as several numbered segments.
-SEGMENT_ROWS = 10_000
-
 
 def names(keys: Keys) -> list[str]:
     """One column name or several, always as a list."""
@@ -45,32 +42,8 @@ def if_present(value: Column) -> Column:
     return F.array_compact(F.array(value))
 
 
-def position_segment(pos: Column, span: int) -> Column:
-    """Segment number of a 0-based position; each (group, segment) holds at most ``span`` positions."""
-    if span < 1:
-        raise ValueError("span must be at least 1")
-    return F.floor(pos / F.lit(span)).cast("bigint")
-
-
-def sized_segments(
-    df: DataFrame, keys: Keys, seq: str, span: int, out: str = "seg", counted: tuple[DataFrame, str] | None = None
-) -> DataFrame:
-    """Add a segment number that is 0 for groups of up to ``span`` rows and follows ``seq`` ranges in larger ones.
-
-    Works for sparse integer order columns. Group sizes come from a pre-aggregated count that is joined back, so no
-    group is ever gathered to be measured. ``counted`` names a cheaper table (and its order column) to count instead,
-    when the rows of ``df`` derive from it.
-    """
-    cols = names(keys)
-    source, order = counted if counted is not None else (df, seq)
-    sizes = source.groupBy(*cols).agg(F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_low"))
-    offset = F.coalesce(ref(seq), F.col("_low")) - F.col("_low")
-    segment = F.when(F.col("_rows") <= span, F.lit(0)).otherwise(F.floor(offset / F.lit(span))).cast("bigint")
-    return join_on(df, sizes, cols).withColumn(out, segment).drop("_rows", "_low")
-
-
 def ordered_values(value: Column, *order: Column) -> Column:
-    """Aggregate: values of a bounded group, in the given order."""
+    """Aggregate: the values of a group as one list in the given order; for groups that fit a cell."""
     fields = [column.alias(f"_o{i}") for i, column in enumerate(order)]
     packed = F.array_sort(F.collect_list(F.struct(*fields, value.alias("_v"))))
     return F.transform(packed, lambda item: item["_v"])

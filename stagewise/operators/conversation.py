@@ -1,4 +1,4 @@
-"""Message histories. Long tables ``(conv, turn, role, text)``; no history is gathered into one row unless bounded."""
+"""Message histories. Long tables ``(conv, turn, role, text)``; only what asks for one cell gathers a history into one."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import json_text as J
-from stagewise.functions.columns import Keys, SEGMENT_ROWS, join_on, names, ordered_values, position_segment, ref
+from stagewise.functions.columns import Keys, join_on, names, ordered_values, ref
 
 # Roles, marks of failed answers, and the turn limit.
 SYSTEM = "system"
@@ -33,13 +33,13 @@ def assemble_history(
     return opening.unionByName(messages)
 
 
-def history_lists(messages: DataFrame, conv: Keys, span: int = SEGMENT_ROWS) -> DataFrame:
-    """``(conv, seg, messages)``: ordered JSON message lists of at most ``span`` turns, for clients that take whole calls."""
+def history_lists(messages: DataFrame, conv: Keys) -> DataFrame:
+    """``(conv, messages)``: each history as one ordered JSON message list, for clients that take whole calls."""
     cols = names(conv)
     packed = F.to_json(F.struct("role", "text"))
-    rows = messages.select(*cols, position_segment(F.greatest("turn", F.lit(0)), span).alias("seg"), "turn", packed.alias("m"))
-    grouped = rows.groupBy(*cols, "seg").agg(ordered_values(F.col("m"), F.col("turn")).alias("_m"))
-    return grouped.select(*cols, "seg", J.list_text(F.col("_m")).alias("messages"))
+    rows = messages.select(*cols, "turn", packed.alias("m"))
+    grouped = rows.groupBy(*cols).agg(ordered_values(F.col("m"), F.col("turn")).alias("_m"))
+    return grouped.select(*cols, J.list_text(F.col("_m")).alias("messages"))
 
 
 def last_message(df: DataFrame, conv: Keys, turn: str = "turn", text: str = "text") -> DataFrame:
@@ -47,15 +47,12 @@ def last_message(df: DataFrame, conv: Keys, turn: str = "turn", text: str = "tex
     return df.groupBy(*names(conv)).agg(F.max_by(text, turn).alias("text"))
 
 
-def join_parts(df: DataFrame, keys: Keys, pos: str, text: str, sep: str = "", span: int = SEGMENT_ROWS) -> DataFrame:
-    """``(keys, seg, text)``: part texts joined in order.
-
-    ``pos`` counts from 0 per group. Texts of more than ``span`` parts are continued in further segments.
-    """
+def join_parts(df: DataFrame, keys: Keys, pos: str, text: str, sep: str = "") -> DataFrame:
+    """``(keys, text)``: part texts joined in the order of ``pos``, for texts that fit a cell."""
     cols = names(keys)
-    rows = df.select(*cols, position_segment(ref(pos), span).alias("seg"), ref(pos).alias("_pos"), ref(text).alias("_text"))
-    grouped = rows.groupBy(*cols, "seg").agg(ordered_values(F.col("_text"), F.col("_pos")).alias("_texts"))
-    return grouped.select(*cols, "seg", F.array_join("_texts", sep).alias("text"))
+    rows = df.select(*cols, ref(pos).alias("_pos"), ref(text).alias("_text"))
+    grouped = rows.groupBy(*cols).agg(ordered_values(F.col("_text"), F.col("_pos")).alias("_texts"))
+    return grouped.select(*cols, F.array_join("_texts", sep).alias("text"))
 
 
 def tool_calls(df: DataFrame, kind: str, col: str = "role") -> DataFrame:

@@ -1,71 +1,69 @@
 """Schema inference over a column of JSON text.
 
 One scan flattens every row to (path, kind) nodes of any depth, a pre-aggregated count per (path, kind) is the only
-shuffle, and the schema is built on the driver from that summary, whose size depends on the schema and not on the rows.
+shuffle, and the schema is built from that summary, whose size depends on the schema and not on the rows.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import json_text as J
-from stagewise.functions.columns import let, ref
+from stagewise.functions.columns import if_present, ref
 from stagewise.plans.schema import Schema
 
 ROOT = "$"
-_FRONTIER = "array<struct<path:string,v:variant>>"
-_NODES = "array<struct<path:string,kind:string>>"
 
 
-def _kind(value: Column) -> Column:
-    def split_numbers(kind: Column) -> Column:
-        number = F.try_variant_get(value, "$", "double")
-        return F.when(kind != "number", kind).when(number == F.floor(number), "integer").otherwise("number")
+def _kind(value: Any) -> str:
+    """Kind of a parsed value; whole numbers are integers however they are written."""
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, int | float):
+        return "integer" if value == value // 1 else "number"
+    return {str: "string", dict: "object", list: "array"}[type(value)]
 
-    return let(J.variant_kind(value), split_numbers)
 
+def count_nodes(text: str, counts: Counter) -> None:
+    """Count the (path, kind) nodes of one JSON text, each node once."""
+    open_nodes = [(ROOT, json.loads(text))]
+    while open_nodes:
+        path, value = open_nodes.pop()
+        counts[path, _kind(value)] += 1
+        if isinstance(value, dict):
+            open_nodes += [(f"{path}.{json.dumps(name, ensure_ascii=False)}", inner) for name, inner in value.items()]
+        elif isinstance(value, list):
+            inside = path + "[]"
+            open_nodes += [(inside, inner) for inner in value]
 
-def _children(node: Column) -> Column:
-    path, value = node["path"], node["v"]
-    inside = F.map_entries(J.as_map(value))
-    by_name = F.transform(
-        inside, lambda e: F.struct(F.concat(path, F.lit("."), J.quote(e["key"])).alias("path"), e["value"].alias("v"))
-    )
-    by_item = F.transform(
-        J.as_list(value), lambda x: F.struct(F.concat(path, F.lit("[]")).alias("path"), x.alias("v"))
-    )
-    return F.coalesce(by_name, by_item, F.array()).cast(_FRONTIER)
 
-
-def nodes_of(text: Column) -> Column:
-    """(path, kind) of every node of one JSON text, level by level.
-
-    The number of opening brackets bounds the depth, so the walk is complete without a limit set beforehand.
-    """
-    value = J.parse_strict(text)
-    brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
-    root = F.array(F.struct(F.lit(ROOT).alias("path"), value.alias("v"))).cast(_FRONTIER)
-    start = F.struct(root.alias("frontier"), F.array().cast(_NODES).alias("seen"))
-
-    def level(acc: Column, _: Column) -> Column:
-        here = F.transform(
-            acc["frontier"], lambda n: F.struct(n["path"].alias("path"), _kind(n["v"]).alias("kind"))
-        )
-        below = F.flatten(F.transform(acc["frontier"], _children))
-        return F.struct(below.cast(_FRONTIER).alias("frontier"), F.concat(acc["seen"], here).cast(_NODES).alias("seen"))
-
-    walked = F.aggregate(F.sequence(F.lit(0), brackets), start, level, lambda acc: acc["seen"])
-    return F.when(value.isNotNull(), walked)
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        counts: Counter = Counter()
+        for text in frame["text"]:
+            count_nodes(text, counts)
+        yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["path", "kind", "n"])
 
 
 def schema_paths(df: DataFrame, col: str) -> DataFrame:
-    """``(path, kind, n)`` over all rows. Member names in paths are JSON strings, list items are ``[]``."""
-    nodes = df.select(F.inline(nodes_of(ref(col))))
-    return nodes.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """``(path, kind, n)`` over all rows. Member names in paths are JSON strings, list items are ``[]``.
+
+    Spark parses and checks the texts; the walk over the checked ones is linear in their size and counts within each batch before
+    the shuffle.
+    """
+    checked = df.select(F.to_json(J.parse_strict(ref(col))).alias("text"))
+    texts = checked.select(F.explode(if_present(F.col("text"))).alias("text"))
+    nodes = texts.mapInPandas(_count, "path string, kind string, n long")
+    return nodes.groupBy("path", "kind").agg(F.sum("n").alias("n"))
 
 
 def _steps(path: str) -> list[str]:
@@ -85,7 +83,7 @@ def _steps(path: str) -> list[str]:
     return steps
 
 
-def build_schema(summary: list[tuple[str, str, int]]) -> Schema:
+def build_schema(summary: Iterable[tuple[str, str, int]]) -> Schema:
     """Schema from (path, kind, count) rows: type unions, nullable folding, and required members."""
     tree: dict[str, Any] = {"kinds": {}, "below": {}}
     for path, kind, n in summary:
@@ -120,13 +118,16 @@ def build_schema(summary: list[tuple[str, str, int]]) -> Schema:
     return fold(tree) if tree["kinds"] else {}
 
 
-def infer_schema(df: DataFrame, col: str, max_paths: int = 100_000) -> Schema:
-    """JSON schema of the values of a column.
+def infer_schema(df: DataFrame, col: str) -> DataFrame:
+    """``(schema)``: one row with the JSON schema of the values of a column.
 
-    The summary must fit the driver; data whose member names are themselves data is refused instead of being cut.
+    The schema is one text, so its distinct paths meet in one task; that is as many rows as the schema has nodes, whatever the size of the
+    table. Where member names are themselves data, ``schema_paths`` gives the same as a table.
     """
-    summary = schema_paths(df, col)
-    rows = summary.limit(max_paths + 1).collect()
-    if len(rows) > max_paths:
-        raise ValueError(f"more than {max_paths} distinct paths; use schema_paths to see them")
-    return build_schema([(row["path"], row["kind"], row["n"]) for row in rows])
+    columns = ["path", "kind", "n"]
+
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [row for frame in frames for row in frame[columns].itertuples(index=False)]
+        yield pd.DataFrame({"schema": [json.dumps(build_schema(rows), ensure_ascii=False)]})
+
+    return schema_paths(df, col).select(*columns).coalesce(1).mapInPandas(build, "schema string")

@@ -11,7 +11,8 @@ Result rows: ``(keys, field, kind, seq, pos, name, value)``
 * ``object``: a header row (name null) and one row per member;
 * ``list``: a header row (pos -1) and one row per item.
 
-Values are JSON text. ``assemble_records`` turns these rows into one JSON object per key.
+Values are JSON text. These rows are the whole result for keys of any size; ``assemble_records`` turns them into one JSON
+object per key, for keys whose record fits a cell.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import json_text as J
-from stagewise.functions.columns import Keys, SEGMENT_ROWS, join_on, names, ordered_values, ref, sized_segments
+from stagewise.functions.columns import Keys, join_on, names, ordered_values, ref
 
 RESULT = ["field", "kind", "seq", "pos", "name", "value"]
 
@@ -148,22 +149,15 @@ def overlay_fragments(df: DataFrame, keys: Keys, seq: str, fragment: str) -> Dat
     return fields.groupBy(*names(keys), "field").agg(F.max_by("value", "_seq").alias("value"))
 
 
-def merge_records(df: DataFrame, keys: Keys, seq: str, fragment: str, span: int = SEGMENT_ROWS) -> DataFrame:
-    """Merge and assemble in one go; groups are measured by their fragments, without parsing these again."""
-    return assemble_records(merge_fragments(df, keys, seq, fragment), keys, span, (df, seq))
+def merge_records(df: DataFrame, keys: Keys, seq: str, fragment: str) -> DataFrame:
+    """Merge and assemble in one go."""
+    return assemble_records(merge_fragments(df, keys, seq, fragment), keys)
 
 
-def assemble_records(
-    merged: DataFrame, keys: Keys, span: int = SEGMENT_ROWS, counted: tuple[DataFrame, str] | None = None
-) -> DataFrame:
-    """``(keys, seg, record)``: result rows as JSON objects.
-
-    Keys with up to ``span`` rows give one object (seg 0). Larger ones are continued in further segments that follow the
-    order of their list items; merging the segments in order gives the whole record.
-    """
+def assemble_records(merged: DataFrame, keys: Keys) -> DataFrame:
+    """``(keys, record)``: result rows as one JSON object per key, whatever its size."""
     cols = names(keys)
-    placed = sized_segments(merged, cols, "seq", span, counted=counted)
-    fields = placed.groupBy(*cols, "seg", "field").agg(
+    fields = merged.groupBy(*cols, "field").agg(
         F.first("kind").alias("kind"),
         ordered_values(
             F.struct("name", "value"), F.col("seq"), F.col("pos"), F.coalesce(F.col("name"), F.lit(""))
@@ -177,4 +171,4 @@ def assemble_records(
         .otherwise(J.list_text(F.transform(values, lambda row: row["value"])))
     )
     packed = F.array_sort(F.collect_list(F.struct(F.col("field").alias("name"), text.alias("value"))))
-    return fields.groupBy(*cols, "seg").agg(J.object_text(packed).alias("record"))
+    return fields.groupBy(*cols).agg(J.object_text(packed).alias("record"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagewise.functions import json_text as J
-from stagewise.functions.columns import Keys, SEGMENT_ROWS, if_present, let, names, ordered_values, position_segment, ref
+from stagewise.functions.columns import Keys, if_present, let, names, ordered_values, ref
 
 
 class Parsed(NamedTuple):
@@ -129,24 +129,13 @@ def as_result_object(json: Column) -> Column:
     return F.when(J.json_kind(json) == "object", json).otherwise(F.concat(F.lit('{"result":'), json, F.lit("}")))
 
 
-def normalize_content(
-    df: DataFrame, keys: Keys, pos: str, text: str, wrap: bool = False, span: int = SEGMENT_ROWS
-) -> DataFrame:
-    """``(keys, seg, value)``: the items of a group as one JSON value; a group of one item unwraps.
-
-    ``pos`` counts from 0 inside the group. Groups beyond ``span`` positions come out in several segments, each a list.
-    """
+def normalize_content(df: DataFrame, keys: Keys, pos: str, text: str, wrap: bool = False) -> DataFrame:
+    """``(keys, value)``: the items of a group, in the order of ``pos``, as one JSON list; a group of one item unwraps."""
     cols = names(keys)
-    items = df.select(
-        *cols,
-        position_segment(ref(pos), span).alias("seg"),
-        ref(pos).alias("_pos"),
-        content_value(ref(text)).alias("_item"),
-    )
-    grouped = items.groupBy(*cols, "seg").agg(ordered_values(F.col("_item"), F.col("_pos")).alias("_items"))
-    single = (F.size("_items") == 1) & (F.col("seg") == 0)
-    value = F.when(single, F.get("_items", F.lit(0))).otherwise(J.list_text(F.col("_items")))
-    return grouped.select(*cols, "seg", (as_result_object(value) if wrap else value).alias("value"))
+    items = df.select(*cols, ref(pos).alias("_pos"), content_value(ref(text)).alias("_item"))
+    grouped = items.groupBy(*cols).agg(ordered_values(F.col("_item"), F.col("_pos")).alias("_items"))
+    value = F.when(F.size("_items") == 1, F.get("_items", F.lit(0))).otherwise(J.list_text(F.col("_items")))
+    return grouped.select(*cols, (as_result_object(value) if wrap else value).alias("value"))
 
 
 def call_arguments(text: Column) -> Column:

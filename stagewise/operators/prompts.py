@@ -18,10 +18,6 @@ PROMPT_DESCRIPTION = "The task to execute"
 JSON_TYPE = "application/json"
 
 
-# Whole documents that may be joined into one cell.
-SEGMENT_DOCUMENTS = 1_000
-
-
 @dataclass(frozen=True)
 class CallOutput:
     """Result of one call, as JSON text, for the prompt."""
@@ -79,11 +75,11 @@ def document_block(identifier: Column, text: Column, style: str) -> Column:
 
 
 def wrap_documents(
-    df: DataFrame, keys: Keys, pos: str, identifier: str, text: str, style: str = "banner", span: int = SEGMENT_DOCUMENTS
+    df: DataFrame, keys: Keys, pos: str, identifier: str, text: str, style: str = "banner"
 ) -> DataFrame:
-    """``(keys, seg, text)``: the documents of a group as blocks, joined in order."""
+    """``(keys, text)``: the documents of a group as blocks, joined in the order of ``pos``."""
     blocks = df.select(*names(keys), ref(pos).alias("_at"), document_block(ref(identifier), ref(text), style).alias("_block"))
-    return join_parts(blocks, keys, "_at", "_block", "", span)
+    return join_parts(blocks, keys, "_at", "_block")
 
 
 def expand_preprompts(

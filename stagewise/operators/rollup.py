@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.functions import json_text as J
-from stagewise.functions.columns import Keys, SEGMENT_ROWS, names, ordered_values, position_segment, ref
+from stagewise.functions.columns import Keys, names, ordered_values, ref
 
 # Stage statuses.
 QUEUED = "queued"
@@ -28,23 +28,20 @@ def run_status(df: DataFrame, run: Keys, stage: str = "stage", status: str = "st
     )
 
 
-def collect_text(
-    df: DataFrame, keys: Keys, stage: str, pos: str, text: str, span: int = SEGMENT_ROWS
-) -> DataFrame:
-    """``(keys, field, seg, value)``: raw answers of a stage as one JSON list under the stage's name.
+def collect_text(df: DataFrame, keys: Keys, stage: str, pos: str, text: str) -> DataFrame:
+    """``(keys, field, value)``: raw answers of a stage, in the order of ``pos``, as one JSON list under the stage's name.
 
-    ``pos`` counts from 0 per (keys, stage). Lists beyond ``span`` answers are continued in further segments.
+    For answers that fit a cell together; the rows themselves, ordered by ``pos``, are the same list at any size.
     """
     cols = names(keys)
     rows = df.select(
         *cols,
         ref(stage).alias("field"),
-        position_segment(ref(pos), span).alias("seg"),
         ref(pos).alias("_pos"),
         J.quote(ref(text)).alias("_text"),
     )
-    grouped = rows.groupBy(*cols, "field", "seg").agg(ordered_values(F.col("_text"), F.col("_pos")).alias("_texts"))
-    return grouped.select(*cols, "field", "seg", J.list_text(F.col("_texts")).alias("value"))
+    grouped = rows.groupBy(*cols, "field").agg(ordered_values(F.col("_text"), F.col("_pos")).alias("_texts"))
+    return grouped.select(*cols, "field", J.list_text(F.col("_texts")).alias("value"))
 
 
 def resources_to_vars(

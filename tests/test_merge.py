@@ -40,13 +40,10 @@ def fold(fragments):
     return record
 
 
-def merged_records(spark, rows, **kw):
+def merged_records(spark, rows):
     df = spark.createDataFrame([(k, s, json.dumps(f)) for k, s, f in rows], "k string, s bigint, f string")
-    out = assemble_records(merge_fragments(df, "k", "s", "f"), "k", **kw).collect()
-    parts = {}
-    for row in sorted(out, key=lambda r: (r["k"] or "", r["seg"])):
-        parts.setdefault(row["k"], []).append(json.loads(row["record"]))
-    return {k: fold(v) for k, v in parts.items()}
+    out = assemble_records(merge_fragments(df, "k", "s", "f"), "k").collect()
+    return {row["k"]: json.loads(row["record"]) for row in out}
 
 
 GOLDEN = [
@@ -109,16 +106,10 @@ def test_random_fragments_equal_the_fold(spark, seed):
     assert merged_records(spark, rows) == expected(rows)
 
 
-def test_segments_of_large_groups_join_to_the_whole(spark):
-    rows = [("hot", i, {"items": [i, i + 1], "last": i, "map": {f"n{i % 7}": i}}) for i in range(500)]
+def test_large_groups_equal_the_fold(spark):
+    rows = [("hot", i, {"items": [i, i + 1], "last": i, "map": {f"n{i % 7}": i}}) for i in range(12_000)]
     rows += [("cold", 0, {"items": [1]}), (None, 5, {"items": [2]})]
-    df = spark.createDataFrame([(k, s, json.dumps(f)) for k, s, f in rows], "k string, s bigint, f string")
-    segments = assemble_records(merge_fragments(df, "k", "s", "f"), "k", span=50)
-    sizes = segments.groupBy("k").count().collect()
-    assert {r["k"]: r["count"] for r in sizes} == {"hot": 10, "cold": 1, None: 1}
-    got = merged_records(spark, rows, span=50)
-    want = expected(rows)
-    assert got == want
+    assert merged_records(spark, rows) == expected(rows)
 
 
 def test_null_cells(spark):

@@ -84,10 +84,10 @@ def test_content_unwraps_single_items(spark):
     assert wrapped[1] == {"a": 1} and wrapped[2] == {"result": "plain"}
 
 
-def test_content_segments(spark):
-    df = spark.createDataFrame([(1, i, str(i)) for i in range(25)], "k int, p int, t string")
-    rows = normalize_content(df, "k", "p", "t", span=10).orderBy("seg").collect()
-    assert [len(json.loads(r["value"])) for r in rows] == [10, 10, 5]
+def test_large_groups_follow_the_same_rule(spark):
+    df = spark.range(30_000).selectExpr("id % 2 AS k", "id AS p", "cast(id AS string) AS t").filter("k = 1 OR p = 0")
+    got = {r["k"]: json.loads(r["value"]) for r in normalize_content(df, "k", "p", "t").collect()}
+    assert got[0] == "0" and got[1] == [str(i) for i in range(1, 30_000, 2)]
 
 
 def test_call_arguments(spark):

@@ -171,7 +171,7 @@ def test_casts_and_params(spark):
 
 def inferred(spark, *values):
     df = spark.createDataFrame([(json.dumps(v),) for v in values], "j string")
-    return infer_schema(df, "j")
+    return json.loads(infer_schema(df, "j").first()["schema"])
 
 
 def test_inference(spark):
@@ -201,3 +201,12 @@ def test_inference(spark):
     for _ in range(30):
         schema = schema["properties"]["n"]
     assert schema == {"type": "object", "properties": {}}
+
+
+def test_inference_is_linear_in_the_size_of_a_text(spark):
+    text = json.dumps([{"a": i, "b": [{"c": str(i)}]} for i in range(100_000)])
+    found = infer_schema(spark.createDataFrame([(text,)], "j string"), "j").first()["schema"]
+    assert json.loads(found)["items"]["properties"]["b"] == {
+        "type": "array",
+        "items": {"type": "object", "properties": {"c": {"type": "string"}}, "required": ["c"]},
+    }

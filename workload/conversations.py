@@ -38,15 +38,15 @@ def assemble_history_query(spark, sf_dir):
     WITH h AS (
       SELECT conv_id, turn, role, text FROM conversations
       UNION ALL SELECT DISTINCT conv_id, CAST(-1 AS BIGINT), 'system', 'Answer in JSON.' FROM conversations)
-    SELECT conv_id, CAST(greatest(turn, 0) // 4 AS BIGINT) AS seg,
+    SELECT conv_id,
            '[' || string_agg('{"role":"' || role || '","text":' || CAST(to_json(text) AS VARCHAR) || '}', ',' ORDER BY turn)
              || ']' AS messages
-    FROM h GROUP BY conv_id, greatest(turn, 0) // 4
+    FROM h GROUP BY conv_id
     """,
 )
 def history_lists_query(spark, sf_dir):
     history = assemble_history(table(spark, sf_dir, "conversations"), "conv_id", system=_SYSTEM)
-    return history_lists(history, "conv_id", span=4)
+    return history_lists(history, "conv_id")
 
 
 @query("last_message", "SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
@@ -57,12 +57,11 @@ def last_message_query(spark, sf_dir):
 @query(
     "join_parts",
     """
-    SELECT conv_id, CAST(turn // 5 AS BIGINT) AS seg, string_agg(text, '' ORDER BY turn) AS text
-    FROM conversations GROUP BY conv_id, turn // 5
+    SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id
     """,
 )
 def join_parts_query(spark, sf_dir):
-    return join_parts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", span=5)
+    return join_parts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
 @query("tool_calls", "SELECT conv_id, turn, text FROM conversations WHERE role = 'system'")
@@ -91,12 +90,11 @@ def loop_guard_query(spark, sf_dir):
     "attach_once",
     """
     SELECT conv_id, turn, turn = min(turn) OVER (PARTITION BY conv_id) AS with_documents
-    FROM conversations WHERE role <> 'system'
+    FROM conversations
     """,
 )
 def attach_once_query(spark, sf_dir):
-    messages = table(spark, sf_dir, "conversations").filter("role <> 'system'")
-    return attach_once(messages, "conv_id").select("conv_id", "turn", "with_documents")
+    return attach_once(table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "turn", "with_documents")
 
 
 @query(
@@ -119,14 +117,13 @@ def build_prompts_query(spark, sf_dir):
 
 
 _WRAPPED = """
-    SELECT source, CAST(doc_id // 2000 AS BIGINT) AS seg, string_agg({block}, '' ORDER BY doc_id) AS text
-    FROM documents GROUP BY source, doc_id // 2000
+    SELECT source, string_agg({block}, '' ORDER BY doc_id) AS text FROM documents GROUP BY source
     """
 
 
 def _wrapped(spark, sf_dir, style):
     docs = table(spark, sf_dir, "documents").withColumn("name", F.concat("lang", F.lit("/"), "doc_id"))
-    return wrap_documents(docs, "source", "doc_id", "name", "text", style, span=2000)
+    return wrap_documents(docs, "source", "doc_id", "name", "text", style)
 
 
 @query(

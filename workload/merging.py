@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import functions as F
 
@@ -99,7 +98,7 @@ def merge_mixed_fragments_query(spark, sf_dir):
 @query(
     "assemble_records",
     """
-    SELECT o_custkey, CAST(0 AS BIGINT) AS seg,
+    SELECT o_custkey,
            '{"last":{"prio":"' || arg_max(o_orderpriority, o_orderkey) || '"},"orders":['
              || string_agg(o_orderkey, ',' ORDER BY o_orderkey) || '],"status":"' || arg_max(o_orderstatus, o_orderkey) || '"}'
              AS record
@@ -174,8 +173,7 @@ def schema_paths_query(spark, sf_dir):
     """,
 )
 def infer_schema_query(spark, sf_dir):
-    found = infer_schema(nested_json(spark, sf_dir), "body")
-    return spark.range(1).select(F.lit(json.dumps(found)).alias("schema"))
+    return infer_schema(nested_json(spark, sf_dir), "body")
 
 
 @query(
@@ -199,7 +197,7 @@ def run_status_query(spark, sf_dir):
 @query(
     "collect_text",
     """
-    SELECT conv_id, role AS field, CAST(0 AS BIGINT) AS seg,
+    SELECT conv_id, role AS field,
            '[' || string_agg(CAST(to_json(text) AS VARCHAR), ',' ORDER BY turn) || ']' AS value
     FROM conversations GROUP BY conv_id, role
     """,

@@ -99,7 +99,7 @@ def parse_csv_documents_query(spark, sf_dir):
              CASE role WHEN 'system' THEN '{"role":"system"}' WHEN 'assistant' THEN '[1,"two"]'
                        ELSE CAST(to_json(text) AS VARCHAR) END AS item
       FROM conversations)
-    SELECT conv_id, CAST(0 AS BIGINT) AS seg,
+    SELECT conv_id,
            CASE WHEN count(*) = 1 AND left(min(item), 1) = '{' THEN min(item)
                 WHEN count(*) = 1 THEN '{"result":' || min(item) || '}'
                 ELSE '{"result":[' || string_agg(item, ',' ORDER BY turn) || ']}' END AS value
