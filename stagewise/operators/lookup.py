@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.functions.columns import Keys, names, ref
+from stagewise.functions.columns import Keys, join_on, names, ref
 from stagewise.functions.templates import render_column
 from stagewise.sources.documents import NOT_FOUND
 
@@ -91,8 +91,9 @@ def expand_groups(requests: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def upsert_by_key(base: DataFrame, patch: DataFrame, keys: Keys) -> DataFrame:
-    """Patch rows replace base rows of the same key; others of both sides stay."""
-    return base.join(patch.select(*names(keys)), names(keys), "left_anti").unionByName(patch)
+    """Patch rows replace base rows of the same key, null keys included; others of both sides stay."""
+    cols = names(keys)
+    return join_on(base, patch.select(*[ref(name) for name in cols]), cols, "left_anti").unionByName(patch)
 
 
 def in_group(catalog: DataFrame, group: str, col: str = "collection") -> DataFrame:

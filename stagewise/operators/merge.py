@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from stagewise.functions import json_text as J
 from stagewise.functions.columns import Keys, join_on, names, ordered_values, ref
 
+NOT_AN_OBJECT = "fragment is not a JSON object"
 RESULT = ["field", "kind", "seq", "pos", "name", "value"]
 
 
@@ -37,9 +38,12 @@ def fragment_fields(df: DataFrame, keys: Keys, seq: str, fragment: str) -> DataF
 
 def fragment_rejects(df: DataFrame, fragment: str) -> DataFrame:
     """Rows whose fragment is no JSON object, with the reason."""
-    kind = J.variant_kind(J.parse_strict(ref(fragment)))
-    bad = F.coalesce(kind != "object", F.lit(True))
-    return df.filter(bad).withColumn("_error", F.lit("fragment is not a JSON object"))
+    return df.filter(~is_object(ref(fragment))).withColumn("_error", F.lit(NOT_AN_OBJECT))
+
+
+def is_object(text: Column) -> Column:
+    """Whether a text is one JSON object; false for null."""
+    return F.coalesce(J.variant_kind(J.parse_strict(text)) == "object", F.lit(False))
 
 
 def _is_scalar() -> Column:
@@ -155,7 +159,7 @@ def merge_records(df: DataFrame, keys: Keys, seq: str, fragment: str) -> DataFra
 
 
 def assemble_records(merged: DataFrame, keys: Keys) -> DataFrame:
-    """``(keys, record)``: result rows as one JSON object per key, whatever its size."""
+    """``(keys, record)``: result rows as one JSON object per key, whatever its size; rows of kind ``error`` add nothing to it."""
     cols = names(keys)
     fields = merged.groupBy(*cols, "field").agg(
         F.first("kind").alias("kind"),
@@ -170,5 +174,6 @@ def assemble_records(merged: DataFrame, keys: Keys) -> DataFrame:
         .when(F.col("kind") == "object", J.object_text(named))
         .otherwise(J.list_text(F.transform(values, lambda row: row["value"])))
     )
-    packed = F.array_sort(F.collect_list(F.struct(F.col("field").alias("name"), text.alias("value"))))
+    entry = F.struct(F.col("field").alias("name"), text.alias("value"))
+    packed = F.array_sort(F.collect_list(F.when(F.col("kind") != "error", entry)))
     return fields.groupBy(*cols).agg(J.object_text(packed).alias("record"))

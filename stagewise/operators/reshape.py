@@ -86,12 +86,16 @@ def _typed_to_text(value: Column, kind: T.DataType) -> tuple[Column, bool]:
 def run_rule(df: DataFrame, rule: Rule) -> DataFrame:
     """Apply the steps of one rule to the column ``args``."""
     kind = df.schema["args"].dataType
-    if rule.parser == "json" and isinstance(kind, T.StringType):
-        df = df.withColumn("args", F.try_parse_json(container_text(F.col("args"))))
-    elif rule.parser == "csv" and isinstance(kind, T.StringType):
-        df = df.withColumn("args", csv_rows(F.col("args")))
-    elif rule.parser not in (None, "json", "csv"):
+    if rule.parser not in (None, "json", "csv"):
         raise ValueError(f"unknown parser: {rule.parser}")
+    if rule.parser is not None and isinstance(kind, T.StringType):
+        parse = csv_rows if rule.parser == "csv" else lambda text: F.try_parse_json(container_text(text))
+        df = df.withColumn("_parsed", parse(F.col("args")))
+        if "_failed" in df.columns:
+            failed = F.col("args").isNotNull() & F.col("_parsed").isNull()
+            reason = F.lit(f"{rule.name}: content is not {rule.parser.upper()}")
+            df = df.withColumn("_failed", F.coalesce("_failed", F.when(failed, reason)))
+        df = df.withColumn("args", F.col("_parsed")).drop("_parsed")
     for sql in (rule.path, rule.expr):
         if sql is not None:
             df = df.withColumn("args", F.expr(sql))
@@ -101,13 +105,16 @@ def run_rule(df: DataFrame, rule: Rule) -> DataFrame:
 
 
 def apply_transformers(
-    df: DataFrame, rules: Sequence[Rule], name: str, content: str, trigger: str = "on_resource"
+    df: DataFrame, rules: Sequence[Rule], name: str, content: str, trigger: str = "on_resource", mode: str = "permissive"
 ) -> DataFrame:
     """Rewrite ``content`` by the rules whose trigger equals the row's ``name``, in list order.
 
     Adds ``structured``: true when the result is a list or an object (then ``content`` is its JSON). Rows without a rule
-    pass unchanged. Rules of different names work on one scan: each name has its own value column, null elsewhere.
+    pass unchanged, and so do rows whose content a parser refuses; ``_error`` tells them (an earlier ``_error`` stays), or stops the job
+    with ``mode="failfast"``. Rules of different names work on one scan: each name has its own value column, null elsewhere.
     """
+    if mode not in ("permissive", "failfast"):
+        raise ValueError(f"unknown mode: {mode}")
     if "args" in df.columns:
         raise ValueError("the column name args is reserved for rule expressions")
     targets: dict[str, list[Rule]] = {}
@@ -118,6 +125,7 @@ def apply_transformers(
     body: Column = ref(content).cast("string")
     structured: Column = F.lit(False)
     scratch: list[str] = []
+    df = df.withColumn("_failed", F.lit(None).cast("string"))
     for i, (target, chain) in enumerate(targets.items()):
         df = df.withColumn("args", F.when(ref(name) == target, ref(content).cast("string")))
         for rule in chain:
@@ -127,7 +135,13 @@ def apply_transformers(
         scratch.append(f"_rule{i}")
         body = F.when(ref(name) == target, F.col(f"_rule{i}")).otherwise(body)
         structured = F.when(ref(name) == target, F.lit(nested)).otherwise(structured)
-    return df.withColumn("structured", structured).withColumn(content, body).drop("args", *scratch)
+    failed = F.col("_failed")
+    if mode == "failfast":
+        failed = F.when(failed.isNotNull(), F.raise_error(failed).cast("string"))
+    error = F.coalesce(ref("_error"), failed) if "_error" in df.columns else failed
+    df = df.withColumn("structured", structured & F.col("_failed").isNull())
+    df = df.withColumn(content, F.when(F.col("_failed").isNull(), body).otherwise(ref(content).cast("string")))
+    return df.withColumn("_error", error).drop("args", "_failed", *scratch)
 
 
 def typed_condition(df: DataFrame, sql: str) -> Column:

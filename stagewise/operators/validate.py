@@ -5,12 +5,12 @@ The driver walks the schema once and builds an array of violations per row; ther
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,10 +185,7 @@ def _string_rules(value: Column, schema: Schema, path: Path, here: Column, bindi
         found.add(here & (length > high), path, "string_length", "string length is ", length, f", maximum is {high}")
     pattern = schema.get("pattern")
     if pattern:
-        try:
-            re.compile(pattern)
-        except re.error as wrong:
-            raise ValueError(f"invalid pattern: {pattern}") from wrong
+        _checked_pattern(pattern)
         found.add(here & ~text.rlike(pattern), path, "pattern", f"string does not match pattern: {pattern}")
     choices = schema.get("enum")
     if choices:
@@ -198,6 +195,14 @@ def _string_rules(value: Column, schema: Schema, path: Path, here: Column, bindi
     return found
 
 
+def _checked_pattern(pattern: str) -> None:
+    """Let the engine that will run a pattern judge it, before any row is read."""
+    try:
+        SparkSession.active().sql("SELECT '' RLIKE :pattern", {"pattern": pattern}).collect()
+    except PySparkException as wrong:
+        raise ValueError(f"invalid pattern: {pattern}") from wrong
+
+
 def _number_rules(number: Column, schema: Schema, path: Path, here: Column) -> Found:
     found = Found([], [])
     if schema.get("type") == "integer":
@@ -281,6 +286,9 @@ def _checked(df: DataFrame, col: str, schema: Schema, soft: bool, rules: Keys |
         wanted = names(rules)
         found.checks = [check for check in found.checks if check.rule in wanted]
         found.arrays = [F.filter(array, lambda v: v["rule"].isin(wanted)) for array in found.arrays]
+    if isinstance(df.schema[col].dataType, T.StringType) and (rules is None or "parse" in names(rules)):
+        broken = ref(col).isNotNull() & F.col("_value").isNull()
+        found.add(broken, "", "parse", "value is not JSON")
     bound = bindings.apply(df.withColumn("_value", as_variant(df, col)))
     return bound, found.to_array(), ["_value", *bindings.bound_names()]
 

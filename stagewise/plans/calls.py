@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stagewise.functions.columns import ref
+from stagewise.functions.columns import Keys, names, ref
 from stagewise.functions.json_text import printed_json
 from stagewise.functions.registry import FunctionRegistry, Registered
 from stagewise.functions.templates import compile_template
@@ -91,6 +91,8 @@ def _evaluate(df: DataFrame, entry: Registered) -> DataFrame:
     if entry.table is not None:
         wanted = [F.col(name).alias(f"_k{i}") for i, name in enumerate(entry.inputs)]
         found = entry.table.select(*wanted, F.col(entry.output).alias("_result"))
+        if not entry.inputs:
+            raise ValueError("a function from a table needs inputs to be looked up by")
         condition = F.lit(True)
         for i, name in enumerate(entry.inputs):
             condition = condition & (_argument(df, name) == F.col(f"_k{i}"))
@@ -100,14 +102,15 @@ def _evaluate(df: DataFrame, entry: Registered) -> DataFrame:
 
 
 def call_functions(
-    df: DataFrame, calls: Sequence[Call], functions: FunctionRegistry, rules: Sequence[Rule] = ()
+    df: DataFrame, calls: Sequence[Call], functions: FunctionRegistry, rules: Sequence[Rule] = (), keys: Keys = ()
 ) -> tuple[DataFrame, list[CallOutput]]:
     """Run the calls over the rows.
 
     Results for variables and context become fields of ``vars`` and ``context``; those for a table are published under
-    the call's ``var``; those for the prompt are returned as outputs backed by columns ``_call_<var>``.
+    the call's ``var`` beside the ``keys`` of their rows; those for the prompt are returned as outputs backed by columns ``_call_<var>``.
     """
     outputs: list[CallOutput] = []
+    row_key = [ref(name) for name in names(keys)]
     passing: list[str] = []
     for call in calls:
         entry = functions.get(call.name)
@@ -120,7 +123,7 @@ def call_functions(
         if call.into == TO_CONTEXT:
             df = put(df, TO_CONTEXT, call.var, F.col("_result"))
         elif call.into == TO_TABLE:
-            publish_table(call.var, df.select(F.col("_result").alias("value")))
+            publish_table(call.var, df.select(*row_key, F.col("_result").alias("value")))
         elif call.into == TO_PROMPT:
             column = f"_call_{call.var}"
             df = df.withColumn(column, F.coalesce(printed_json(F.col("_result"), kind), F.lit("")))

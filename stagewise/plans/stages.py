@@ -20,10 +20,11 @@ from stagewise.functions.columns import Keys, names, ref
 from stagewise.functions.json_text import printed_json
 from stagewise.functions.registry import FunctionRegistry
 from stagewise.functions.templates import compile_template
-from stagewise.operators.extract import BackendFactory, backend_answer, echo_answer, extract
-from stagewise.operators.merge import merge_fragments
+from stagewise.operators.extract import BackendFactory, backend_answer, echo_answer
+from stagewise.operators.merge import NOT_AN_OBJECT, is_object, merge_fragments
 from stagewise.operators.prompts import prompt_envelope
 from stagewise.operators.reshape import Rule, iterate, typed_condition
+from stagewise.operators.validate import with_violations
 from stagewise.operators.rollup import COMMITTED, FAILED, FINISHED, NOOP, QUEUED, RUNNING
 from stagewise.plans.calls import TO_PROMPT, Call, call_functions
 from stagewise.plans.schema import Schema, stage_names, stage_schema, to_spark
@@ -147,7 +148,11 @@ def run_stage(
     mode: str = "permissive",
     delay: float = 0.0,
 ) -> DataFrame:
-    """Gate, prompt, answer and record fields of one stage."""
+    """Gate, prompt, answer and record fields of one stage.
+
+    An answer that does not fit the stage's schema is kept as it came in ``answer_<stage>``; its violations stand in
+    ``error_<stage>``, the status is failed and the record keeps what it had. A row that has to wait stays queued.
+    """
     owned = stage_schema(schema, stage.name) if stage.name in stage_names(schema) else None
     gated = df.withColumn("_gate", gate_outcome(df, stage.depends_on))
     asked = _stage_prompt(gated, stage, functions or FunctionRegistry(), rules)
@@ -157,29 +162,41 @@ def run_stage(
         if backend is None
         else backend_answer(prompt, owned, backend, max(1, stage.attempts), delay, F.col("_before"))
     )
+    asked = asked.withColumn("_asked", answer).withColumn("_text", F.col("_asked.answer"))
     error = F.col("_asked.error")
-    status = F.when(F.col("_gate") == UNSOLVABLE, NOOP).when(error.isNotNull(), FAILED).otherwise(FINISHED)
+    if owned is not None:
+        asked = with_violations(asked, "_text", owned, out="_violations")
+        told = F.transform("_violations", lambda v: F.concat_ws(": ", F.nullif(v["path"], F.lit("")), v["message"]))
+        wrong = F.when(F.col("_text").isNotNull() & (F.size("_violations") > 0), F.array_join(told, "; "))
+        error = F.coalesce(error, wrong)
+    asked = asked.withColumn("_wrong", error)
+    error = F.col("_wrong")
+    status = (
+        F.when(F.col("_gate") == UNSOLVABLE, NOOP)
+        .when(F.col("_gate") == WAITING, QUEUED)
+        .when(error.isNotNull(), FAILED)
+        .otherwise(FINISHED)
+    )
     if mode == "failfast":
         status = F.when(error.isNotNull(), F.raise_error(error).cast("string")).otherwise(status)
     done = (
-        asked.withColumn("_asked", answer)
-        .withColumn(f"answer_{stage.name}", F.col("_asked.answer"))
+        asked.withColumn(f"answer_{stage.name}", F.col("_text"))
         .withColumn(f"error_{stage.name}", error)
         .withColumn(f"status_{stage.name}", status)
     )
     if owned is not None:
         shape = to_spark(owned)
         assert isinstance(shape, T.StructType)
-        done = done.withColumn("_record", F.from_json(F.col("_asked.answer"), shape))
+        done = done.withColumn("_record", F.from_json(F.when(F.col("_wrong").isNull(), F.col("_text")), shape))
         context = ref("context")
         for name in shape.names:
             context = context.withField(f"`{name}`", F.coalesce(F.col("_record")[name], ref("context")[name]))
         done = done.withColumn("context", context)
     else:
         # Without a schema of its own a stage gives free text, kept as a list under the stage's name.
-        text = F.when(F.col("_asked.answer").isNotNull(), F.array("_asked.answer"))
+        text = F.when(F.col("_text").isNotNull(), F.array("_text"))
         done = done.withColumn("context", ref("context").withField(f"`{stage.name}`", text))
-    return done.drop("_gate", "_prompt", "_before", "_asked", "_record")
+    return done.drop("_gate", "_prompt", "_before", "_asked", "_record", "_text", "_violations", "_wrong")
 
 
 def run_stages(
@@ -223,15 +240,42 @@ def iterate_stage(
     schema: Schema,
     backend: BackendFactory | None = None,
     mode: str = "permissive",
+    functions: FunctionRegistry | None = None,
+    rules: Sequence[Rule] = (),
+    delay: float = 0.0,
 ) -> DataFrame:
     """Run a stage once per item of a list expression and merge the answers in item order.
 
-    Returns merge result rows ``(keys, field, kind, seq, pos, name, value)``. The plan needs one row per key.
+    Returns merge result rows ``(keys, field, kind, seq, pos, name, value)``. An item whose question failed or whose answer is no JSON
+    object is a row of kind ``error`` with the reason as its value, so no item and no key gets lost. Gates, calls and pre-prompts of the
+    stage count as in ``run_stage``; rows behind a closed gate have no items. The plan needs one row per key. With a backend the answers
+    are written once before they are merged, so no item is asked twice.
     """
-    per_item = iterate(df, items)
-    prompted = _stage_prompt(per_item, stage, FunctionRegistry(), ())
-    answered = extract(prompted.select(*names(keys), "it_pos", "_prompt"), "_prompt", schema, backend, stage.attempts, mode)
-    return merge_fragments(answered, keys, "it_pos", "answer")
+    if mode not in ("permissive", "failfast"):
+        raise ValueError(f"unknown mode: {mode}")
+    passed = df.withColumn("_gate", gate_outcome(df, stage.depends_on)).filter(F.col("_gate") == PASSED).drop("_gate")
+    prompted = _stage_prompt(iterate(passed, items), stage, functions or FunctionRegistry(), rules)
+    prompt = F.col("_prompt")
+    asked = (
+        echo_answer(prompt, schema)
+        if backend is None
+        else backend_answer(prompt, schema, backend, max(1, stage.attempts), delay, F.col("_before"))
+    )
+    rows = prompted.withColumn("_asked", asked).select(*names(keys), "it_pos", "_asked.answer", "_asked.error")
+    if backend is not None:
+        rows = materialize(rows)
+    failed = F.when(~is_object(F.col("answer")), NOT_AN_OBJECT)
+    reason = F.coalesce("error", failed)
+    if mode == "failfast":
+        reason = F.when(reason.isNotNull(), F.raise_error(reason).cast("string"))
+    rows = rows.withColumn("error", reason)
+    merged = merge_fragments(rows, keys, "it_pos", "answer")
+    nothing = F.lit(None).cast("string")
+    errors = rows.filter("error IS NOT NULL").select(
+        *names(keys), nothing.alias("field"), F.lit("error").alias("kind"), F.col("it_pos").alias("seq"),
+        F.lit(0).alias("pos"), nothing.alias("name"), F.col("error").alias("value"),
+    )
+    return merged.unionByName(errors)
 
 
 def split_record(df: DataFrame, keys: Keys, schema: Schema, stages: Sequence[str] | None = None) -> dict[str, DataFrame]:

@@ -15,6 +15,7 @@ DEFAULT_MEDIA_TYPE = "text/plain"
 NO_SELECTOR = "no loader selector provided"
 UNKNOWN_LOADER = "no loader found for resource"
 NOT_FOUND = "resource not found: "
+REPEATED = "identifier is not unique: "
 
 
 def media_type(identifier: Column) -> Column:
@@ -43,11 +44,18 @@ def read_resources(spark: SparkSession, path: str, exts: list[str] | None = None
 def resources_from_table(
     df: DataFrame, identifier: str, content: str, seq: str | None = None, base64: bool = False, keep: Keys = ()
 ) -> DataFrame:
-    """Table rows as documents, with further columns to keep. With ``seq``, the last row per identifier wins."""
+    """Table rows as documents, one per identifier, with further columns to keep.
+
+    With ``seq``, the last row per identifier wins. Without it identifiers have to be unique: a repeated one stops the job that reads it.
+    """
     extra = names(keep)
     body = F.unbase64(ref(content)) if base64 else ref(content).cast("binary")
     if seq is None:
-        docs = df.select(ref(identifier).alias("identifier"), body.alias("content"), *extra)
+        only = [F.any_value(ref(name)).alias(name) for name in (content, *extra)]
+        docs = df.groupBy(ref(identifier).alias("_id")).agg(F.count(F.lit(1)).alias("_n"), *only)
+        twice = F.raise_error(F.concat(F.lit(REPEATED), F.coalesce("_id", F.lit("null"))))
+        found = F.when(F.col("_n") == 1, F.col("_id")).otherwise(twice.cast("string"))
+        docs = docs.select(found.alias("identifier"), body.alias("content"), *extra)
     else:
         latest = [F.max_by(ref(name), ref(seq)).alias(name) for name in (content, *extra)]
         docs = df.groupBy(ref(identifier).alias("_id")).agg(*latest)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stagewise.functions.registry import FunctionRegistry
 from stagewise.operators.conversation import attach_once, join_parts, loop_guard
-from stagewise.operators.lookup import attach_resources, missing_required, route_resources
+from stagewise.operators.lookup import attach_resources, missing_required, route_resources, upsert_by_key
 from stagewise.operators.reshape import (
     Rule,
     apply_transformers,
@@ -222,3 +222,23 @@ def test_registry(spark):
     assert functions.catalog(spark).collect()[0]["collection"] == "math"
     with pytest.raises(KeyError):
         functions.get("thrice")
+
+
+def test_refused_content_stays_and_is_told(spark):
+    df = spark.createDataFrame([("a", '{"x": 1}'), ("a", "{broken"), ("b", "free")], "n string, c string")
+    rule = Rule("pick", on_resource="a", parser="json", path="variant_get(args, '$.x', 'int')")
+    rows = sorted((r["n"], r["c"], r["structured"], r["_error"]) for r in apply_transformers(df, [rule], "n", "c").collect())
+    assert rows == [("a", "1", False, None), ("a", "{broken", False, "pick: content is not JSON"), ("b", "free", False, None)]
+    with pytest.raises(Exception, match="content is not JSON"):
+        apply_transformers(df, [rule], "n", "c", mode="failfast").collect()
+
+
+def test_repeated_identifiers_without_an_order_stop(spark):
+    docs = resources_from_table(spark.createDataFrame([("f", "a"), ("f", "b")], "i string, c string"), "i", "c")
+    with pytest.raises(Exception, match="not unique"):
+        docs.collect()
+
+
+def test_null_keys_are_replaced(spark):
+    base, patch = (spark.createDataFrame([(None, v), (v, v)], "k string, v string") for v in ("old", "new"))
+    assert sorted((r["k"] or "", r["v"]) for r in upsert_by_key(base, patch, "k").collect()) == [("", "new"), ("new", "new"), ("old", "old")]

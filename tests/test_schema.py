@@ -210,3 +210,13 @@ def test_inference_is_linear_in_the_size_of_a_text(spark):
         "type": "array",
         "items": {"type": "object", "properties": {"c": {"type": "string"}}, "required": ["c"]},
     }
+
+
+def test_broken_text_patterns_and_large_integers(spark):
+    df = spark.createDataFrame([(1, "{broken"), (2, "null"), (3, None), (4, '"ü"'), (5, '"1"')], "k int, j string")
+    found = validate(df, "k", "j", {"type": "string", "nullable": True, "pattern": r"^\p{L}+$"}).collect()
+    assert sorted((r["k"], r["rule"]) for r in found) == [(1, "parse"), (5, "pattern")]
+    numbers = spark.createDataFrame([(1, "9007199254740993"), (2, "1e300"), (3, "1e3")], "k int, n string")
+    typed, rejects = soft_cast(numbers, "k", {"type": "object", "properties": {"n": {"type": "integer"}}})
+    assert sorted((r["k"], r["n"]) for r in typed.collect() if r["n"] is not None) == [(1, 9007199254740993), (3, 1000)]
+    assert [(r["k"], r["text"]) for r in rejects.collect()] == [(2, "1e300")]

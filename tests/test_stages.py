@@ -224,3 +224,39 @@ def test_iterated_stage_appends_in_item_order(spark):
     schema = {"properties": {"names": {"type": "array", "items": {"type": "string"}}}}
     rows = iterate_stage(df, "k", Stage("s", "meet {{ .it }}"), "people", schema, backend).filter("pos >= 0")
     assert [r["value"] for r in rows.orderBy("seq").collect()] == ['"Pat"', '"Sam"', '"Kim"']
+
+
+def test_wrong_answers_are_kept_and_told(spark):
+    schema = {"type": "object", "properties": {"n": {"type": "integer", "x-session": "s"}, "t": {"type": "string", "x-session": "s"}}}
+    answers = {"a": '{"n": 3, "t": "x"}', "b": '{"n": "twelve", "t": "ok"}', "c": "no json"}
+    df = spark.createDataFrame([(k,) for k in answers], "k string")
+    done = run_stages(df, [Stage("s", "{{ .k }}")], schema, lambda: lambda prompt, _: answers[prompt.split("[CDATA[ ")[1][0]])
+    rows = {r["k"]: r for r in done.collect()}
+    assert {k: r["status_s"] for k, r in rows.items()} == {"a": "finished", "b": "failed", "c": "failed"}
+    assert all(rows[k]["answer_s"] == answers[k] for k in "ab")
+    assert rows["a"]["context"]["n"] == 3 and rows["b"]["context"]["n"] is None and "n: " in rows["b"]["error_s"]
+
+
+def test_failed_items_are_rows_and_asked_once(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def backend():
+        def ask(prompt, schema):
+            item = prompt.split("[CDATA[ ")[1].split(" ]]")[0]
+            with open(log, "a") as sink:
+                sink.write(item + "\n")
+            if item in ("b", "z"):
+                raise RuntimeError(f"no answer for {item}")
+            return json.dumps({"names": [item]})
+
+        return ask
+
+    schema = {"type": "object", "properties": {"names": {"type": "array", "items": {"type": "string"}}}}
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["z"])], "k int, items array<string>")
+    rows = iterate_stage(df, "k", Stage("s", "{{ .it }}"), "items", schema, backend).collect()
+    assert sorted((r["k"], r["seq"], r["value"]) for r in rows if r["kind"] == "error") == [
+        (1, 1, "RuntimeError: no answer for b"),
+        (2, 0, "RuntimeError: no answer for z"),
+    ]
+    assert [r["value"] for r in sorted(rows, key=lambda r: r["seq"]) if r["k"] == 1 and r["kind"] == "list" and r["pos"] >= 0] == ['"a"', '"c"']
+    assert sorted(log.read_text().split()) == ["a", "b", "c", "z"]

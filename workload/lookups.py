@@ -156,7 +156,7 @@ def expand_groups_query(spark, sf_dir):
       FROM catalog c JOIN supplier ON s_name = c.name
       UNION ALL
       SELECT 'extra-' || n_nationkey, n_name, 'added', '{}' FROM nation)
-    SELECT * FROM merged WHERE collection = 'NATION_1' OR name LIKE 'Supplier%'
+    SELECT * FROM merged
     """,
 )
 def upsert_by_key_query(spark, sf_dir):
@@ -171,8 +171,7 @@ def upsert_by_key_query(spark, sf_dir):
         F.lit("added").alias("description"),
         F.lit("{}").alias("schema"),
     )
-    merged = upsert_by_key(base, changed.unionByName(added), "name")
-    return in_group(merged, "NATION_1").unionByName(merged.filter("collection <> 'NATION_1' AND name LIKE 'Supplier%'"))
+    return upsert_by_key(base, changed.unionByName(added), "name")
 
 
 @query(

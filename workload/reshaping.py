@@ -58,12 +58,13 @@ def reshape_list_query(spark, sf_dir):
     """
     SELECT l_orderkey, l_linenumber, l_quantity FROM (
       SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
-    WHERE l_linenumber >= 1 AND l_linenumber < n - 1
+    WHERE l_linenumber - 1 BETWEEN 1 AND n - 2
     """,
 )
 def slice_rows_query(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return slice_rows(lines, "l_orderkey", "l_linenumber", 1, -1)
+    sliced = slice_rows(lines.withColumn("pos", F.col("l_linenumber") - 1), "l_orderkey", "pos", 1, -1)
+    return sliced.drop("pos")
 
 
 @query(

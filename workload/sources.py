@@ -12,13 +12,19 @@ from workload.base import query, scratch, table
 @query(
     "read_resources",
     """
-    SELECT name || '.parquet' AS identifier, 'text/plain' AS media_type
-    FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'),
-                 ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) AS t(name)
+    SELECT 'kind=' || (page_id % 3) AS folder, 'text/plain' AS media_type,
+           url || ' ' || replace(replace(html, chr(10), ' '), chr(13), ' ') AS line
+    FROM pages
     """,
 )
 def read_resources_query(spark, sf_dir):
-    return read_resources(spark, sf_dir, [".parquet"]).select("identifier", "media_type")
+    path = scratch(spark, "pages")
+    html = F.translate("html", "\n\r", "  ")
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 3).alias("kind"), F.concat("url", F.lit(" "), html).alias("value"))
+    pages.write.partitionBy("kind").text(path)
+    files = read_resources(spark, path, [".txt"])
+    lines = F.explode(F.split(F.decode("content", "UTF-8"), "\n"))
+    return files.select(F.split_part("identifier", F.lit("/"), F.lit(1)).alias("folder"), "media_type", lines.alias("line")).filter("line <> ''")
 
 
 def _named_documents(spark, sf_dir):
@@ -109,12 +115,9 @@ def write_report_query(spark, sf_dir):
 @query(
     "publish_table",
     """
-    SELECT c_mktsegment, count(*) AS n, min(c_custkey) AS first_key
-    FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment
+    SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
     """,
 )
 def publish_table_query(spark, sf_dir):
-    publish_table("solvent_customers", table(spark, sf_dir, "customer").filter("c_acctbal > 0"))
-    return spark.sql(
-        "SELECT c_mktsegment, count(*) AS n, min(c_custkey) AS first_key FROM solvent_customers GROUP BY c_mktsegment"
-    )
+    publish_table("published_customers", table(spark, sf_dir, "customer"))
+    return spark.sql("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM published_customers")
