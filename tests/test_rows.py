@@ -49,30 +49,21 @@ def test_files(spark, tmp_path):
 
 
 def test_csv_resource_to_records(spark, tmp_path):
-    (tmp_path / "stuff.csv").write_text("john,doe\nbill,murray")
+    (tmp_path / "tides.csv").write_text("dover,6.8\nbrest,7.3\nemden,3.2")
     docs = read_resources(spark, str(tmp_path)).withColumn("content", F.decode("content", "utf-8"))
-    rule = Rule(
-        "csv", on_resource="stuff.csv", parser="csv", expr="transform(args, r -> named_struct('first_name', r[0], 'last_name', r[1]))"
-    )
-    row = apply_transformers(docs, [rule], "identifier", "content").collect()[0]
+    shape = "transform(args, r -> named_struct('port', r[0], 'metres', cast(r[1] AS double)))"
+    row = apply_transformers(docs, [Rule("csv", on_resource="tides.csv", parser="csv", expr=shape)], "identifier", "content").first()
     assert row["structured"]
-    assert json.loads(row["content"]) == [
-        {"first_name": "john", "last_name": "doe"},
-        {"first_name": "bill", "last_name": "murray"},
-    ]
+    assert [(r["port"], r["metres"]) for r in json.loads(row["content"])] == [("dover", 6.8), ("brest", 7.3), ("emden", 3.2)]
 
 
-PERSON = '{"first_name": "John", "last_name": "Doe", "address": "123 Main St"}'
+PORT = '{"port": "Dover", "tide": {"high": 6.8}, "open": true}'
 TRANSFORMS = [
-    (Rule("r", on_resource="x", parser="json", expr="named_struct('first_name', variant_get(args, '$.first_name', 'string'))"),
-     PERSON, {"first_name": "John"}),
-    (Rule("r", on_resource="x", parser="json",
-          expr="transform(cast(args AS array<variant>), p -> named_struct('last_name', variant_get(p, '$.last_name', 'string')))"),
-     f"[{PERSON}]", [{"last_name": "Doe"}]),
-    (Rule("r", on_resource="x", parser="csv", expr="transform(args, r -> named_struct('first_name', r[0], 'last_name', r[1]))"),
-     "John,Doe", [{"first_name": "John", "last_name": "Doe"}]),
-    (Rule("r", on_resource="x", parser="json", path="variant_get(args, '$.address', 'string')", expr="named_struct('a', args)"),
-     PERSON, {"a": "123 Main St"}),
+    (Rule("r", on_resource="x", parser="json", expr="named_struct('name', variant_get(args, '$.port', 'string'))"), PORT, {"name": "Dover"}),
+    (Rule("r", on_resource="x", parser="json", expr="transform(cast(args AS array<variant>), p -> variant_get(p, '$.tide.high', 'double'))"),
+     f"[{PORT},{PORT}]", [6.8, 6.8]),
+    (Rule("r", on_resource="x", parser="csv", expr="transform(args, r -> array_size(r))"), "a,b,c\nd", [3, 1]),
+    (Rule("r", on_resource="x", parser="json", path="variant_get(args, '$.tide', 'variant')"), PORT, {"high": 6.8}),
 ]
 
 

@@ -79,37 +79,33 @@ def broken(spark, value, schema, **kw):
     return [(r["path"], r["rule"]) for r in validate(df, "k", "j", schema, **kw).collect()]
 
 
-INNER = {"type": "object", "required": ["foo", "bar"], "properties": {"foo": {"type": "string"}, "bar": {"type": "integer"}}}
-COMPOSITE = {
+PARCEL = {"type": "object", "required": ["label", "grams"], "properties": {"label": {"type": "string"}, "grams": {"type": "integer"}}}
+VOYAGE = {
     "type": "object",
-    "required": ["s2", "arrayOfS2", "mapOfS3"],
+    "required": ["ship", "ports", "crew"],
     "properties": {
-        "s2": {"type": "object", "required": ["p1", "p2"], "properties": {"p1": {"type": "number"}, "p2": {"type": "integer"}}},
-        "arrayOfS2": {"type": "array", "items": {"type": "object", "properties": {"p2": {"type": "integer"}}}},
-        "mapOfS3": {
-            "type": "object",
-            "required": ["v1"],
-            "properties": {"v1": {"type": "object", "required": ["m1"], "properties": {"m1": {"type": "integer"}}}},
-        },
+        "ship": {"type": "object", "required": ["draught"], "properties": {"draught": {"type": "number"}, "decks": {"type": "integer"}}},
+        "ports": {"type": "array", "items": {"type": "object", "properties": {"berth": {"type": "integer"}}}},
+        "crew": {"type": "object", "properties": {"cook": {"type": "object", "required": ["name"]}}},
     },
 }
 
 CASES = [
-    ("foo", {"type": "string"}, []),
-    ("foo", {"type": "integer"}, [("", "type_is")]),
+    ("rope", {"type": "string"}, []),
+    ("rope", {"type": "integer"}, [("", "type_is")]),
     (1.5, {"type": "integer"}, [("", "is_integer")]),
     (2.0, {"type": "integer"}, []),
-    ({"foo": "1", "bar": 1}, INNER, []),
-    ({"foo": 1, "bar": "x", "more": []}, INNER, [("foo", "type_is"), ("bar", "type_is")]),
-    ({"foo": "1"}, INNER, [("", "required")]),
-    ({"foo": "1", "bar": None}, INNER, [("bar", "not_null")]),
+    ({"label": "tea", "grams": 250}, PARCEL, []),
+    ({"label": 7, "grams": "heavy", "stamps": [1]}, PARCEL, [("label", "type_is"), ("grams", "type_is")]),
+    ({"label": "tea"}, PARCEL, [("", "required")]),
+    ({"label": "tea", "grams": None}, PARCEL, [("grams", "not_null")]),
     (["a", 1, None], {"type": "array", "items": {"type": "string"}}, [("[1]", "type_is"), ("[2]", "not_null")]),
-    ([{"foo": "1", "bar": 1}, {"foo": "1", "bar": "x"}], {"type": "array", "items": INNER}, [("[1].bar", "type_is")]),
-    ({"s2": {"p1": 32.5, "p2": 123}, "arrayOfS2": [{"p2": 1}], "mapOfS3": {"v1": {"m1": 1}}}, COMPOSITE, []),
+    ([{"label": "a", "grams": 1}, {"label": "b", "grams": []}], {"type": "array", "items": PARCEL}, [("[1].grams", "type_is")]),
+    ({"ship": {"draught": 4.2, "decks": 3}, "ports": [], "crew": {"cook": {"name": "Ada"}}}, VOYAGE, []),
     (
-        {"s2": {"p1": "x", "p2": 1.5}, "arrayOfS2": [{"p2": 1}, {"p2": True}], "mapOfS3": {"v1": {}}},
-        COMPOSITE,
-        [("s2.p1", "type_is"), ("s2.p2", "is_integer"), ("mapOfS3.v1", "required"), ("arrayOfS2[1].p2", "type_is")],
+        {"ship": {"draught": "deep", "decks": 2.5}, "ports": [{}, {"berth": "west"}], "crew": {"cook": {"age": 9}}},
+        VOYAGE,
+        [("ship.draught", "type_is"), ("ship.decks", "is_integer"), ("crew.cook", "required"), ("ports[1].berth", "type_is")],
     ),
     ([[1, "x"]], {"type": "array", "items": {"type": "array", "items": {"type": "number"}}}, [("[0][1]", "type_is")]),
     (None, {"type": "string", "nullable": True}, []),
@@ -146,11 +142,11 @@ def test_soft_rules(spark):
 
 
 def test_first_only_selected_rules_and_summary(spark):
-    value = {"foo": 1, "bar": "x"}
-    assert broken(spark, value, INNER, first_only=True) == [("bar", "type_is")]
-    assert broken(spark, value, INNER, rules="required") == []
+    value = {"label": 7, "grams": "heavy"}
+    assert broken(spark, value, PARCEL, first_only=True) == [("grams", "type_is")]
+    assert broken(spark, value, PARCEL, rules="required") == []
     df = spark.createDataFrame([(1, json.dumps(value))], "k int, j string")
-    assert [tuple(r) for r in rule_summary(validate(df, "k", "j", INNER)).collect()] == [("type_is", 2)]
+    assert [tuple(r) for r in rule_summary(validate(df, "k", "j", PARCEL)).collect()] == [("type_is", 2)]
     with pytest.raises(ValueError):
         broken(spark, "x", {"type": "string", "pattern": "("})
 

@@ -13,47 +13,32 @@ from stagewise.plans.schema import load_schema
 from stagewise.plans.stages import Dependency, Stage, gate_stage, iterate_stage, run_stages, stage_layers
 
 
-def test_two_independent_stages(spark):
-    schema = load_schema(
-        {
-            "required": ["p1", "p3"],
-            "properties": {"p1": {"x-session": "session_one", "type": "string"}, "p3": {"x-session": "session_two", "type": "string"}},
-        }
-    )
+def test_stages_without_dependencies(spark):
+    schema = load_schema({"properties": {"title": {"x-session": "head", "type": "string"}, "tone": {"x-session": "mood", "type": "string"}}})
+    stages = [Stage("head", "name the poem"), Stage("mood", "how does {{ .params.poet }} sound?")]
+    df = spark.range(1).select("id", F.struct(F.lit("Sappho").alias("poet")).alias("params"))
+    record = run_stages(df, stages, schema).select("context.*").first()
+    opening = '<Prompt description="The task to execute"><![CDATA[ '
+    assert (record["title"], record["tone"]) == (f"{opening}name the poem ]]></Prompt>", f"{opening}how does Sappho sound? ]]></Prompt>")
+
+
+def test_gates_between_stages(spark):
+    owners = {"soil": "dig", "seed": "choose", "plan": "plant", "roof": "build"}
+    schema = load_schema({"properties": {name: {"type": "string", "x-session": stage} for name, stage in owners.items()}})
+    schema["properties"]["permit"] = {"type": "string"}
     stages = [
-        Stage("session_one", "extract these pieces of information"),
-        Stage("session_two", "extract these images data. Make sure they contain {{ .params.animal }}"),
-    ]
-    df = spark.range(1).select("id", F.struct(F.lit("dog").alias("animal")).alias("params"))
-    out = run_stages(df, stages, schema).select("context.*").collect()[0]
-    assert out["p1"]
-    assert out["p3"] == (
-        '<Prompt description="The task to execute"><![CDATA[ extract these images data. Make sure they contain dog ]]></Prompt>'
-    )
-
-
-def test_dependent_stages(spark):
-    owned = {"animal1": "session_one", "animal2": "session_two", "summary": "end_session", "nop": "nop_session"}
-    schema = load_schema({"properties": {name: {"type": "string", "x-session": stage} for name, stage in owned.items()}})
-    schema["properties"]["animal3"] = {"type": "string"}
-    stages = [
-        Stage("session_one", "answer the question"),
-        Stage("session_two", "answer the question"),
-        Stage(
-            "end_session",
-            "answer the question based on the answers to the previous questions",
-            context=True,
-            depends_on=(Dependency("session_one", "length(context.animal1) > 0"), Dependency("session_two")),
-        ),
-        Stage("nop_session", "some prompt", depends_on=(Dependency("session_one", "context.animal3 IS NOT NULL"),)),
-        Stage("behind_nop", "never", depends_on=(Dependency("nop_session"),)),
+        Stage("plant", "lay out the bed", context=True, depends_on=(Dependency("dig", "context.soil <> ''"), Dependency("choose"))),
+        Stage("paint", "colour the roof", depends_on=(Dependency("build"),)),
+        Stage("build", "raise a roof", depends_on=(Dependency("dig", "context.permit IS NOT NULL"),)),
+        Stage("choose", "pick seeds"),
+        Stage("dig", "test the soil"),
     ]
     for checkpointed in (False, True):
-        out = run_stages(spark.range(1), stages, schema, checkpoint_layers=checkpointed).collect()[0]
-        assert "<Scope>" in out["context"]["summary"] and "animal1" in out["context"]["summary"]
-        assert out["context"]["nop"] is None
-        assert out["status_nop_session"] == "noop" and out["status_behind_nop"] == "noop"
-        assert out["status_end_session"] == "finished"
+        row = run_stages(spark.range(1), stages, schema, checkpoint_layers=checkpointed).first()
+        assert {name: row[f"status_{name}"] for name in ("dig", "choose", "plant", "build", "paint")} == {
+            "dig": "finished", "choose": "finished", "plant": "finished", "build": "noop", "paint": "noop"
+        }
+        assert row["context"]["roof"] is None and "<Scope>" in row["context"]["plan"] and '"soil"' in row["context"]["plan"]
 
 
 def test_layers_reject_bad_plans():
