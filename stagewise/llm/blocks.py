@@ -64,8 +64,7 @@ def pack(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
 
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
         for frame in frames:
-            ids = frame["doc_id"].astype("Int64")
-            for is_null, doc_id, text in zip(ids.isna(), ids.fillna(0), frame["text"], strict=True):
+            for is_null, doc_id, text in zip(frame["no_id"], frame["doc_id"], frame["text"], strict=True):
                 text = text.encode("utf-8", "surrogatepass") if text else b""
                 if held and size + len(text) > most:
                     yield _packed((part << 32) + n, held)
@@ -75,8 +74,13 @@ def pack(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield _packed((part << 32) + n, held)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(rows.mapInPandas(run, BLOCK_SCHEMA), "blocks")
+    return stored(ids_without_nulls(docs).mapInPandas(run, BLOCK_SCHEMA), "blocks")
+
+
+def ids_without_nulls(docs: DataFrame) -> DataFrame:
+    """``doc_id`` (0 for null), ``no_id`` and ``text``: pandas would turn ids beside nulls into inexact numbers."""
+    key = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNull().alias("no_id"), "text")
 
 
 def _packed(block: int, held: list[tuple[bool, int, bytes]]) -> pd.DataFrame:

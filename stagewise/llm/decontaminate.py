@@ -192,23 +192,18 @@ def leaks_in(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     The best occurrence is told, the first of equals, in the normalised text. An item occurs where at most a tenth of its
     characters differ. Null and empty texts hold nothing; an empty table or benchmark gives no rows; repeated rows repeat their findings.
     """
-    schema = "doc_id long, item_id long, start long, end long, edits long"
-    out = docs.sparkSession.createDataFrame([], schema)
+    schema = "item_id long, start long, end long, edits long"
+    out = docs.sparkSession.createDataFrame([], f"doc_id long, {schema}")
     for index in item_blocks(benchmark):
         known = docs.sparkSession.sparkContext.broadcast(index)
 
-        def search(frames: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                rows = [
-                    (doc_id, *leak)
-                    for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True)
-                    if text
-                    for leak in known.value.leaks(text)
-                ]
-                found = pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])
-                yield found.astype({"doc_id": "Int64"})
-
-        out = out.union(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(search, schema))
+        @F.pandas_udf(f"array<struct<{schema.replace(' long', ':long')}>>")
+        def search(texts: pd.Series) -> pd.Series:
+            names = ("item_id", "start", "end", "edits")
+            return pd.Series([[dict(zip(names, x, strict=True)) for x in known.value.leaks(text)] if text else [] for text in texts])
+
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(search("text")).alias("leak"))
+        out = out.union(found.select("doc_id", "leak.*"))
     return out
 
 

@@ -130,13 +130,16 @@ def numbered(vectors: DataFrame, kind: str) -> DataFrame:
                 x = None if value is None else np.array([np.nan if v is None else v for v in value], kind)
                 good = x is not None and len(x) > 0 and np.isfinite(x).all() and x.any()
                 raws.append((x + x.dtype.type(0)).tobytes() if good else None)
-            out = pd.DataFrame({"row": np.arange(row, row + len(frame)), "vec_id": frame["vec_id"].astype("Int64")})
+            keys = pd.array(frame["vec_id"], dtype="Int64")
+            keys[frame["no_id"].to_numpy(bool)] = pd.NA
+            out = pd.DataFrame({"row": np.arange(row, row + len(frame)), "vec_id": keys})
             out["width"] = [len(x) // np.dtype(kind).itemsize if x else 0 for x in raws]
             out["raw"], out["print"] = raws, [xxhash.xxh3_128_digest(x) if x else None for x in raws]
             row += len(frame)
             yield out
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    key = F.col("vec_id").cast("long")
+    rows = vectors.select(F.coalesce(key, F.lit(0)).alias("vec_id"), key.isNull().alias("no_id"), "embedding")
     return stored(rows.mapInPandas(run, "row long, vec_id long, width int, raw binary, print binary"), "vectors")
 
 

@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagewise.llm.blocks import ids_without_nulls
 from stagewise.llm.tables import shared_path, stored
 
 MAGIC = b"IDSHARD1"
@@ -155,9 +156,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, dictionary:
         encoder, (files, top) = pieces_of(tokenizer), file_system(folder)
         path, sink, at, parts, shard = f"{top}/{uuid.uuid4().hex}.ids", None, 0, [], 0
         for frame in frames:
-            texts, keys = frame["text"].tolist(), frame["doc_id"]
-            nulls = keys.isna().to_numpy(np.uint8)
-            keys = keys.fillna(0).to_numpy("<i8")
+            texts, keys, nulls = frame["text"].tolist(), frame["doc_id"].to_numpy("<i8"), frame["no_id"].to_numpy(np.uint8)
             for a, b in batches(texts):
                 if sink is None:
                     shard, sink = int(frame["shard"].iloc[0]), files.open_output_stream(path)
@@ -178,8 +177,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, dictionary:
         sink.close()
         yield pd.DataFrame({"shard": [shard], "path": [path], "n_docs": [len(index[0])], "n_tokens": [int(index[4].sum())]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-    rows = rows.sortWithinPartitions(F.asc_nulls_first("doc_id"), "text").withColumn("shard", F.spark_partition_id())
+    rows = ids_without_nulls(docs).repartitionByRange(F.desc("no_id"), "doc_id")
+    rows = rows.sortWithinPartitions(F.desc("no_id"), "doc_id", "text").withColumn("shard", F.spark_partition_id())
     done = rows.mapInPandas(write, "shard long, path string, n_docs long, n_tokens long")
     return stored(done, "token-manifest")
 
