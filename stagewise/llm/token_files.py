@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.llm.blocks import ids_without_nulls
+from stagewise.llm.samples import in_share
 from stagewise.llm.tables import shared_path, stored
 
 MAGIC = b"IDSHARD1"
 END_ID = 0
-#: Texts that the dictionary is trained on, and its size in bytes.
-SAMPLE_TEXTS, DICTIONARY_BYTES = 2_000, 64 * 1024
+#: Texts that the dictionary is trained on, characters of each, and its size in bytes.
+SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 2_000, 20_000, 64 * 1024
 LEVEL = 3
 INDEX = (("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u8"))
 
@@ -126,8 +127,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE_TEXTS
 
     Returns no bytes, for plain frames, where the texts are too few or too short to train on.
     """
-    rows = docs.select("text").filter("length(text) > 0").withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(sample)
-    texts = [row.text for row in rows.select(F.substring("text", 1, 20_000).alias("text"), "h").collect()]
+    some = docs.filter(in_share(F.col("text"), sample, docs.count())).filter("length(text) > 0")
+    some = some.select(F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    texts = [row.text for row in some.orderBy("h", "text").limit(sample).collect()]
     ids = pieces_of(tokenizer).encode(texts)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
