@@ -127,7 +127,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE_TEXTS
 
     Returns no bytes, for plain frames, where the texts are too few or too short to train on.
     """
-    some = docs.filter(in_share(F.col("text"), sample, docs.count())).filter("length(text) > 0")
+    some = docs.filter(in_share(F.col("doc_id"), sample, docs.count())).filter("length(text) > 0")
     some = some.select(F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     texts = [row.text for row in some.orderBy("h", "text").limit(sample).collect()]
     ids = pieces_of(tokenizer).encode(texts)
