@@ -124,8 +124,8 @@ def render_column(template: Column, scope: Column, rounds: int = ROUNDS) -> Colu
 def compile_template(template: str, schema: T.StructType, nested: list[str] | None = None) -> Column:
     """Expression for a constant template over the columns of ``schema``.
 
-    ``nested`` names the paths whose values may themselves hold placeholders, or be needed by such placeholders; the
-    second and third round run only over these.
+    Values may themselves hold placeholders: up to two further rounds fill them where any is left. ``nested`` names the paths these
+    may use; not given, it is all paths that lead to plain values or lists of them.
     """
     pieces: list[Column] = []
     last = 0
@@ -137,9 +137,23 @@ def compile_template(template: str, schema: T.StructType, nested: list[str] | No
     if last < len(template):
         pieces.append(F.lit(template[last:]))
     text = F.concat(*pieces) if pieces else F.lit("")
-    if nested:
-        text = render_column(text, scope_map(schema, nested), ROUNDS - 1)
-    return text
+    paths = plain_paths(schema) if nested is None else nested
+    if not last or not paths:
+        return text
+    scope = scope_map(schema, paths)
+    return let(text, lambda once: F.when(once.contains("{{"), render_column(once, scope, ROUNDS - 1)).otherwise(once))
+
+
+def plain_paths(schema: T.StructType, before: str = "") -> list[str]:
+    """Dotted paths to plain values and lists of plain values; maps are left out, as their names are data."""
+    out: list[str] = []
+    for field in schema.fields:
+        kind = field.dataType.elementType if isinstance(field.dataType, T.ArrayType) else field.dataType
+        if isinstance(field.dataType, T.StructType):
+            out += plain_paths(field.dataType, f"{before}{field.name}.")
+        elif not isinstance(kind, T.StructType | T.MapType | T.ArrayType | T.BinaryType) and re.fullmatch(r"\w+", field.name):
+            out.append(before + field.name)
+    return out
 
 
 def render_templates(df: DataFrame, template: str, out: str = "rendered", nested: list[str] | None = None) -> DataFrame:

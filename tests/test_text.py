@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stagewise.functions.envelope import Node
 from stagewise.functions.json_text import printed_json
-from stagewise.functions.templates import compile_template, placeholders, render_column, scope_map
+from stagewise.functions.templates import compile_template, placeholders, render_column, scope_map, render_templates
 from stagewise.operators.prompts import CallOutput, expand_preprompts, prompt_envelope, wrap_documents
 
 
@@ -148,3 +148,9 @@ def test_preprompts_and_documents(spark):
     assert banner == "=== d0 ===\nt0\n===\n=== d1 ===\nt1\n===\n=== d2 ===\nt2\n===\n"
     parts = wrap_documents(docs, "k", "p", "n", "t", style="element").collect()
     assert [r["text"].count("<Document") for r in parts] == [3]
+
+
+def test_values_with_placeholders_are_filled_by_default(spark):
+    df = spark.createDataFrame([("{{ .b }}", "{{ .n }}!", 7, "plain"), ("x", "y", 8, None)], "a string, b string, n int, c string")
+    rows = [r["rendered"] for r in render_templates(df, "<{{ .a }}|{{ .c }}>").collect()]
+    assert rows == ["<7!|plain>", "<x|<no value>>"]
