@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagewise.functions.columns import Keys, names
+from stagewise.functions.columns import Keys, names, ref
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,16 @@ class FunctionRegistry:
     def register_table(
         self, name: str, table: DataFrame, inputs: Keys, output: str, group: str = "", description: str = ""
     ) -> Registered:
-        """Register a lookup: one row per combination of the input columns, ``output`` is the column it returns."""
+        """Register a lookup: ``output`` is the column it returns for a combination of the input columns.
+
+        There has to be one row per combination; a repeated one stops the job that looks something up.
+        """
+        keys = names(inputs)
+        if keys:
+            counted = table.groupBy(*[ref(name) for name in keys])
+            counted = counted.agg(F.any_value(ref(output)).alias(output), F.count(F.lit(1)).alias("_n"))
+            twice = F.raise_error(F.lit(f"{name}: inputs are not unique")).cast(table.schema[output].dataType)
+            table = counted.select(*keys, F.when(F.col("_n") == 1, ref(output)).otherwise(twice).alias(output))
         entry = Registered(name, tuple(names(inputs)), output, group, description, None, table)
         self.entries[name] = entry
         return entry

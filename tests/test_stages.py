@@ -245,3 +245,15 @@ def test_failed_items_are_rows_and_asked_once(spark, tmp_path):
     ]
     assert [r["value"] for r in sorted(rows, key=lambda r: r["seq"]) if r["k"] == 1 and r["kind"] == "list" and r["pos"] >= 0] == ['"a"', '"c"']
     assert sorted(log.read_text().split()) == ["a", "b", "c", "z"]
+
+
+def test_lookups_need_one_row_per_input(spark):
+    functions = FunctionRegistry()
+    pairs = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
+    functions.register_table("size", pairs, "k", "v")
+    asked = spark.createDataFrame([("b",)], "k string")
+    with pytest.raises(Exception, match="not unique"):
+        call_functions(spark.createDataFrame([("a",)], "k string"), [Call("size", "s", {"k": "$(k)"}, into="vars")], functions)[0].collect()
+    functions.register_table("all", pairs.limit(1), [], "v")
+    with pytest.raises(ValueError, match="inputs"):
+        call_functions(asked, [Call("all", "s", {}, into="vars")], functions)
