@@ -3,7 +3,8 @@
 A lexicon is learned first: words, and first letters of words, that are much more frequent in toxic training texts than in others, with
 their log odds. Features of a text are the density and weight of lexicon words, how many stand near a second-person word, and the
 rates of capitals, punctuation and disguised spelling. The trees and the calibration come from Spark ML. Lexicon,
-trees and calibration are fitted on three separate parts of a bounded sample of labelled rows.
+trees and calibration are fitted on three separate parts of a bounded sample of labelled rows; the calibration weighs classes as they
+are in all training labels.
 """
 
 from __future__ import annotations
@@ -140,8 +141,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=64)
         model = trees.fit(rows.filter("part < 8").select("features", "label"))
         margin = vector_to_array("rawPrediction")[1].alias("margin")
-        held = model.transform(rows.filter("part >= 8")).select(margin, "label")
-        level = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(held)
+        known = labels.filter((fold != HELD_OUT) & F.col("doc_id").isNotNull()).groupBy("toxic").agg(F.count("*").alias("n"))
+        known = {row.toxic: row.n for row in known.collect()}
+        weight = F.when(F.col("label") == 1, known.get(1, 0) / total[1]).otherwise(known.get(0, 0) / total[0])
+        held = model.transform(rows.filter("part >= 8")).select(margin, "label", weight.alias("weight"))
+        level = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight", predictionCol="score").fit(held)
         found = model.transform(docs.select(*keys, vector)).select("doc_id", "held_out", margin)
         scored = level.transform(found)
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score"))
