@@ -117,6 +117,18 @@ def opened(raw: bytes, kind: type) -> np.ndarray:
     return np.cumsum(steps, dtype=kind)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers in any order, byte planes apart, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unsqueezed(raw: bytes, kind: str) -> np.ndarray:
+    """Numbers back from ``squeezed``."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def by_bucket(hashes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each bucket that gets any of the hashes: its number, and the places of those hashes."""
     bucket = (hashes & LOW) % np.uint64(n)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.blocks import Block, Hits, by_bucket, pack, repeated_hashes, with_answers
+from stagewise.llm.blocks import Block, Hits, by_bucket, opened, pack, pressed, repeated_hashes, squeezed, unsqueezed, with_answers
 from stagewise.llm.tables import stored
 from stagewise.llm.words import numbers_of, runs_of
 
@@ -85,27 +85,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             keys, first = np.unique(full[of], return_index=True)
             doc = words.doc[starts[of[first]]]
             order = np.where(block.nulls[doc] > 0, np.iinfo(np.int64).min, block.ids[doc])
-            out.append((bucket, block.block, keys.tobytes(), order.astype("<i8").tobytes()))
+            out.append((bucket, block.block, pressed(keys), squeezed(order.astype("<i8"))))
         return pd.DataFrame(out, columns=columns)
 
     def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, "<u8") for x in frame["keys"]]
+        keys = [opened(x, np.uint64) for x in frame["keys"]]
         sizes = [len(x) for x in keys]
         every = np.concatenate(keys)
-        first = np.concatenate([np.frombuffer(x, "<i8") for x in frame["docs"]])
+        first = np.concatenate([unsqueezed(x, "<i8") for x in frame["docs"]])
         block = np.repeat(frame["block"].to_numpy(np.int64), sizes)
         order = np.lexsort((block, first, every))
         later = np.zeros(len(every), bool)
         later[order[1:]] = every[order[1:]] == every[order[:-1]]
         ends = np.cumsum(sizes)
-        out = [(b, int(frame["bucket"].iloc[0]), every[e - s : e][later[e - s : e]].tobytes()) for b, s, e in zip(frame["block"], sizes, ends, strict=True)]
+        out = [(b, int(frame["bucket"].iloc[0]), pressed(every[e - s : e][later[e - s : e]])) for b, s, e in zip(frame["block"], sizes, ends, strict=True)]
         return pd.DataFrame([x for x in out if x[2]], columns=["block", "bucket", "later"])
 
     def cut(block: Block, answers: pd.DataFrame) -> pd.DataFrame:
         words = BlockWords(block)
         at, full = words.runs(WINDOW)
         drop = np.zeros(len(full), bool)
-        later = {int(b): np.frombuffer(x, "<u8") for b, x in zip(answers["bucket"], answers["later"], strict=True)}
+        later = {int(b): opened(x, np.uint64) for b, x in zip(answers["bucket"], answers["later"], strict=True)}
         for bucket, of in by_bucket(full, n):
             own = full[of]
             _, first = np.unique(own, return_index=True)
