@@ -5,9 +5,9 @@ centroid is cut into subspaces and written as one byte each: the nearest codewor
 its own residual to all codewords once for each list it probes, and sums them by the codes of the list's members. The error of
 each member's code is known, so no member of a probed list within reach is ruled out; those left are compared exactly, in double precision.
 
-Lists to probe: a list is left out if its cell (all that is nearer to its centroid than to the query's own) begins farther from the
-query than ``PROBE_SPREAD`` standard deviations of the component that a difference of the greatest length allowed has along one
-direction. Centroids and codewords are fitted on a bounded sample; every vector is indexed, and every vector is a query.
+Lists to probe: a list is left out only if its cell (all that is nearer to its centroid than to the query's own) begins farther from the
+query than two linked vectors can be apart, so no link is lost however the vectors are spread. Centroids and codewords are fitted on a
+bounded sample; every vector is indexed, and every vector is a query.
 
 A list is handled in packs of bounded size, members against queries, so a list that holds a third of all vectors becomes many tasks.
 Of the links of two packs only counts and a spanning forest leave a task. Vectors with equal components become one class first.
@@ -31,7 +31,6 @@ LEAST_COSINE = 0.9
 #: Bounds of the fitting sample and of the number of lists.
 SAMPLE, MOST_LISTS = 20_000, 1_024
 PARTS, CODEWORDS = 8, 256
-PROBE_SPREAD = 3.0
 PACK = 4_096
 QUERIES_AT_ONCE = 128
 ROUNDS = 10
@@ -90,7 +89,7 @@ class Quantiser:
         gaps = np.sqrt(squared(self.centres, self.centres))[own]
         with np.errstate(divide="ignore", invalid="ignore"):
             away = (d - d.min(axis=1, keepdims=True)) / (2 * gaps)
-        near = ~(away > PROBE_SPREAD * self.reach / math.sqrt(x.shape[1]))
+        near = ~(away > self.reach + 1e-6)
         near[np.arange(len(x)), own] = True
         return own, near
 

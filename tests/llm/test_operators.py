@@ -171,6 +171,24 @@ def test_near_vectors(spark):
     assert got == {i: (len(links[i]), group[i], group[i] == i) for i, _ in rows}
 
 
+@pytest.mark.parametrize("fall", [0.5, 1.0])
+def test_near_vectors_probe_all_lists_in_reach(fall):
+    from stagewise.llm.near_vectors import Quantiser
+
+    chance = np.random.default_rng(5)
+    scale = np.arange(1, 257) ** -fall  # axes of very different spread, as real embeddings have
+    x = chance.normal(size=(6000, 256)) * scale
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = chance.normal(size=x.shape) * scale
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    cosine = chance.uniform(0.9, 0.93, (len(x), 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    known = Quantiser.fit(x, 200, 0.9)
+    _, near = known.probes(x)
+    own, _ = known.probes(y)
+    assert near[np.arange(len(x)), own].mean() == 1.0
+
+
 def test_token_files(spark, tmp_path):
     import public_tokenizers
     from stagewise.llm.token_files import read_document, read_token_files, token_ids, train_dictionary, write_token_files
