@@ -1,16 +1,17 @@
 """Embedding near-dedup by product quantisation.
 
 Vectors are scaled to length one and assigned to the nearest of some coarse centroids (inverted lists). What is left of a vector after its
-centroid is cut into subspaces and written as one byte each: the nearest codeword of that subspace. A query looks up the distances from
-its own residual to all codewords once for each list it probes, and sums them by the codes of the list's members. The error of
+centroid is cut into subspaces and written as one byte each: the nearest codeword of that subspace. A query looks up its products with
+all codewords once, and sums them by the codes of the members of each list it probes. The error of
 each member's code is known, so no member of a probed list within reach is ruled out; those left are compared exactly, in double precision.
 
 Lists to probe: a list is left out only if its cell (all that is nearer to its centroid than to the query's own) begins farther from the
 query than two linked vectors can be apart, so no link is lost however the vectors are spread. Centroids and codewords are fitted on a
 bounded sample; every vector is indexed, and every vector is a query.
 
-A list is handled in packs of bounded size, members against queries, so a list that holds a third of all vectors becomes many tasks.
-Of the links of two packs only counts and a spanning forest leave a task. Vectors with equal components become one class first.
+Vectors lie in packs of bounded size in the order of their lists, and pairs of packs are joined by pack numbers, so a list that holds a
+third of all vectors becomes many tasks. Linked pairs are folded a batch at a time into counts and a spanning forest, and only
+those leave a task. Vectors with equal components become one class first.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ LEAST_COSINE = 0.9
 SAMPLE, MOST_LISTS = 20_000, 1_024
 PARTS, CODEWORDS = 8, 256
 PACK = 4_096
-QUERIES_AT_ONCE = 128
+#: Looked-up pairs, and components of exactly compared vectors, that a task holds at a time.
+TILE, AT_ONCE = 128 * PACK, 4_000_000
+#: Columns of a stored pack.
+PACKED = ["rows", "copies", "raw", "own", "codes", "errors", "held", "probed"]
 ROUNDS = 10
 
 
@@ -82,16 +86,19 @@ class Quantiser:
         """Distance of two rows of length one at the least cosine."""
         return math.sqrt(2 - 2 * self.least)
 
+    def within(self, x: np.ndarray, own: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Mask of those of some lists that may hold a row within reach of each row, given the list each row is in."""
+        d = squared(x, self.centres[lists])
+        mine = ((x - self.centres[own]) ** 2).sum(axis=1)
+        gaps = np.sqrt(squared(self.centres, self.centres[lists]))[own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            away = (d - mine[:, None]) / (2 * gaps)
+        return ~(away > self.reach + 1e-6) | (own[:, None] == lists)
+
     def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Own list of each row, and a mask of the lists it probes."""
-        d = squared(x, self.centres)
-        own = d.argmin(axis=1)
-        gaps = np.sqrt(squared(self.centres, self.centres))[own]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            away = (d - d.min(axis=1, keepdims=True)) / (2 * gaps)
-        near = ~(away > self.reach + 1e-6)
-        near[np.arange(len(x)), own] = True
-        return own, near
+        own = nearest(x, self.centres)
+        return own, self.within(x, own, np.arange(len(self.centres)))
 
     def codes(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of rows of given lists, and the distance of each row from what its code stands for."""
@@ -100,13 +107,97 @@ class Quantiser:
         close = np.concatenate([w[c] for w, c in zip(self.words, codes.T, strict=True)], axis=1)
         return codes.astype(np.uint8), np.sqrt(((rest - close) ** 2).sum(axis=1))
 
-    def candidates(self, queries: np.ndarray, of: int, codes: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, member) of a list that table lookups can't rule out."""
-        rest = queries - self.centres[of]
-        total = np.zeros((len(queries), len(codes)), np.float32)
-        for j, ((a, b), w) in enumerate(zip(self.cuts, self.words, strict=True)):
-            total += squared(rest[:, a:b], w).astype(np.float32)[:, codes[:, j]]
-        return np.nonzero(total <= ((self.reach + errors + 1e-4) ** 2).astype(np.float32))
+    def stand_ins(self, codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """What the codes of rows of given lists stand for."""
+        return self.centres[own] + np.concatenate([w[c] for w, c in zip(self.words, codes.T, strict=True)], axis=1)
+
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """For each subspace, the products of each query with the codewords; they serve all lists."""
+        return [(queries[:, a:b] @ w.T).astype(np.float32) for (a, b), w in zip(self.cuts, self.words, strict=True)]
+
+
+@dataclass
+class Pack:
+    """Vectors of length one in ascending order of their list, with row numbers, copies, codes and the least products that don't rule them out."""
+
+    rows: np.ndarray
+    copies: np.ndarray
+    x: np.ndarray
+    own: np.ndarray
+    codes: np.ndarray
+    floor: np.ndarray
+
+    @classmethod
+    def of(cls, known: Quantiser, kind: str, rows: bytes, copies: bytes, raw: bytes, own: bytes, codes: bytes, errors: bytes) -> Pack:
+        """Unpack a stored pack."""
+        numbers, lists = np.frombuffer(rows, "<i8"), np.frombuffer(own, "<i4")
+        width = len(raw) // len(numbers)
+        x = unit_rows([raw[i : i + width] for i in range(0, len(raw), width)], kind)
+        code = np.frombuffer(codes, np.uint8).reshape(len(numbers), -1)
+        close = known.stand_ins(code, lists)
+        apart = known.reach + np.frombuffer(errors, "<f8") + 1e-4
+        floor = (1 + (close * close).sum(axis=1) - apart**2) / 2 - 1e-5
+        return cls(numbers, np.frombuffer(copies, "<i8"), x, lists, code, floor.astype(np.float32))
+
+
+def pairs_of(known: Quantiser, queries: Pack, members: Pack) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (query, member) of linked pairs of two packs, at most ``AT_ONCE`` components' worth at a time."""
+    tables = known.tables(queries.x)
+    lists, starts = np.unique(members.own, return_index=True)
+    near = known.within(queries.x, queries.own, lists)
+    for j, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(members.own)], strict=True)):
+        asking = np.flatnonzero(near[:, j])
+        step = max(1, TILE // (b - a))
+        for start in range(0, len(asking), step):
+            some = asking[start : start + step]
+            total = np.repeat((queries.x[some] @ known.centres[lists[j]]).astype(np.float32)[:, None], b - a, axis=1)
+            for table, code in zip(tables, members.codes[a:b].T, strict=True):
+                total += table[some][:, code]
+            q, m = np.nonzero(total >= members.floor[a:b])
+            few = max(1, AT_ONCE // queries.x.shape[1])
+            for i in range(0, len(q), few):
+                left, right = some[q[i : i + few]], m[i : i + few] + a
+                same = np.einsum("ij,ij->i", queries.x[left], members.x[right]) >= known.least
+                if same.any():
+                    yield left[same], right[same]
+
+
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the least place of each component) after links between the places ``a`` and ``b``."""
+    while True:
+        left, right = label[a], label[b]
+        open_ = left != right
+        if not open_.any():
+            return label
+        a, b, left, right = a[open_], b[open_], left[open_], right[open_]
+        np.minimum.at(label, np.maximum(left, right), np.minimum(left, right))
+        while True:
+            upper = label[label]
+            if (upper == label).all():
+                break
+            label = upper
+
+
+def links_between(known: Quantiser, queries: Pack, members: Pack, same: bool) -> pd.DataFrame:
+    """Counts and a spanning forest of the links of two packs, or of one with itself. Each batch of pairs is folded in and dropped."""
+    n_q, n_m = len(queries.rows), len(members.rows)
+    shift = 0 if same else n_q
+    rows = queries.rows if same else np.concatenate([queries.rows, members.rows])
+    n, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    for q, m in pairs_of(known, queries, members):
+        if same:
+            q, m = q[q < m], m[q < m]
+        n[:n_q] += np.bincount(q, members.copies[m], n_q).astype(np.int64)
+        n[shift:] += np.bincount(m, queries.copies[q], n_m).astype(np.int64)
+        label = joined(label, q, m + shift)
+    some, tied = np.flatnonzero(n), np.flatnonzero(label != np.arange(len(rows)))
+    return pd.DataFrame(
+        {
+            "a": np.concatenate([rows[some], rows[tied]]),
+            "b": pd.array([*[None] * len(some), *rows[label[tied]].tolist()], dtype="Int64"),
+            "n": np.concatenate([n[some], np.zeros(len(tied), np.int64)]),
+        }
+    )
 
 
 def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
@@ -143,46 +234,61 @@ def numbered(vectors: DataFrame, kind: str) -> DataFrame:
 
 
 def packs_of(classes: DataFrame, quantiser: Quantiser, kind: str) -> DataFrame:
-    """Stored packs: ``list``, ``member`` (or query), ``rows``, ``copies``, ``raw``, ``codes``, ``errors``."""
+    """Stored packs of at most ``PACK`` vectors of neighbouring lists: ``pack`` and the fields of ``Pack``, marks of the lists held and probed."""
     known = classes.sparkSession.sparkContext.broadcast(quantiser)
+    most = PACK
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), PACK):
-                part = frame.iloc[start : start + PACK]
-                raw = part["raw"].to_numpy()
-                x = unit_rows(list(raw), kind)
-                own, near = known.value.probes(x)
-                codes, errors = known.value.codes(x, own)
-                rows, copies = part["row"].to_numpy("<i8"), part["copies"].to_numpy("<i8")
-                out = []
-                for member in (True, False):
-                    for of in range(len(known.value.centres)):
-                        at = np.flatnonzero(own == of if member else near[:, of])
-                        if len(at):
-                            extra = (codes[at].tobytes(), errors[at].tobytes()) if member else (b"", b"")
-                            out.append((of, member, rows[at].tobytes(), copies[at].tobytes(), b"".join(raw[at]), *extra))
-                yield pd.DataFrame(out, columns=columns)
+            for start in range(0, len(frame), most):
+                part = frame.iloc[start : start + most]
+                yield part.assign(list=nearest(unit_rows(list(part["raw"]), kind), known.value.centres))
+
+    def packed(pack: int, part: pd.DataFrame) -> pd.DataFrame:
+        x = unit_rows(list(part["raw"]), kind)
+        own = part["list"].to_numpy("<i4")
+        near = known.value.within(x, own, np.arange(len(known.value.centres)))
+        codes, errors = known.value.codes(x, own)
+        held = np.zeros(near.shape[1], bool)
+        held[own] = True
+        fields = [part["row"].to_numpy("<i8"), part["copies"].to_numpy("<i8"), own, codes, errors, np.packbits(held), np.packbits(near.any(axis=0))]
+        values = [x.tobytes() for x in fields]
+        return pd.DataFrame([(pack, *values[:2], b"".join(part["raw"]), *values[2:])], columns=["pack", *PACKED])
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, size = None, [], 0
+        from pyspark import TaskContext
+
+        pack, held = TaskContext.get().partitionId() << 33, None
         for frame in frames:
-            for item in frame.itertuples(index=False):
-                n = len(item.rows) // 8
-                if held and (now != (item.list, item.member) or size + n > PACK):
-                    yield pd.DataFrame([(*now, *map(b"".join, zip(*held, strict=True)))], columns=columns)
-                    held, size = [], 0
-                now = (item.list, item.member)
-                held.append(tuple(item[2:]))
-                size += n
-        if held:
-            yield pd.DataFrame([(*now, *map(b"".join, zip(*held, strict=True)))], columns=columns)
-
-    columns = ["list", "member", "rows", "copies", "raw", "codes", "errors"]
-    schema = "list int, member boolean, rows binary, copies binary, raw binary, codes binary, errors binary"
-    dealt = classes.select("row", "copies", "raw").mapInPandas(deal, schema)
-    dealt = dealt.repartition("list", "member").sortWithinPartitions("list", "member")
-    return stored(dealt.mapInPandas(gather, schema), "packs")
+            held = frame if held is None else pd.concat([held, frame])
+            while len(held) >= most:
+                yield packed(pack, held.iloc[:most])
+                pack, held = pack + 1, held.iloc[most:]
+        if held is not None and len(held):
+            yield packed(pack, held)
+
+    dealt = classes.select("row", "copies", "raw").mapInPandas(deal, "row long, copies long, raw binary, list int")
+    dealt = stored(dealt, "vector-lists").repartitionByRange("list", "row").sortWithinPartitions("list", "row")
+    return stored(dealt.mapInPandas(gather, "pack long, " + ", ".join(f"{x} binary" for x in PACKED)), "packs")
+
+
+def pack_pairs(packs: DataFrame) -> DataFrame:
+    """``pack`` and ``other``: once each, pairs of packs of which one probes lists of the other; a pack takes either side about equally often."""
+    heads = sorted((r.pack, bytes(r.held), bytes(r.probed)) for r in packs.select("pack", "held", "probed").collect())
+    numbers = np.array([x[0] for x in heads])
+    held, probed = (np.frombuffer(b"".join(x[i] for x in heads), np.uint8).reshape(len(heads), -1) for i in (1, 2))
+    known = packs.sparkSession.sparkContext.broadcast((numbers, held, probed))
+
+    def pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, held, probed = known.value
+        every = np.arange(len(numbers))
+        for frame in frames:
+            for i in np.searchsorted(numbers, frame["pack"].to_numpy()).tolist():
+                mine = np.where(every > i, (every + i) % 2 == 1, (every + i) % 2 == 0)
+                others = numbers[mine & (held & probed[i]).any(axis=1)]
+                yield pd.DataFrame({"pack": numbers[i], "other": others})
+
+    return packs.select("pack").mapInPandas(pair, "pack long, other long")
 
 
 def links_of(packs: DataFrame, quantiser: Quantiser, kind: str) -> DataFrame:
@@ -192,51 +298,13 @@ def links_of(packs: DataFrame, quantiser: Quantiser, kind: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for item in frame.itertuples(index=False):
-                width = len(item.raw) // (len(item.rows) // 8)
-                members, queries = (
-                    unit_rows([raw[i : i + width] for i in range(0, len(raw), width)], kind) for raw in (item.raw, item.query_raw)
-                )
-                rows, copies = np.frombuffer(item.rows, "<i8"), np.frombuffer(item.copies, "<i8")
-                asking = np.frombuffer(item.query_rows, "<i8")
-                codes = np.frombuffer(item.codes, np.uint8).reshape(len(rows), -1)
-                errors = np.frombuffer(item.errors, "<f8")
-                left, right = [], []
-                for start in range(0, len(queries), QUERIES_AT_ONCE):
-                    q, m = known.value.candidates(queries[start : start + QUERIES_AT_ONCE], item.list, codes, errors)
-                    for i in range(0, len(q), 50_000):
-                        a, b = q[i : i + 50_000] + start, m[i : i + 50_000]
-                        same = (np.einsum("ij,ij->i", queries[a], members[b]) >= known.value.least) & (asking[a] != rows[b])
-                        left.append(a[same])
-                        right.append(b[same])
-                a, b = np.concatenate(left), np.concatenate(right)
-                if not len(a):
-                    continue
-                n = np.bincount(a, copies[b], len(asking)).astype(np.int64)
-                some = np.flatnonzero(n)
-                nodes, place = np.unique(np.concatenate([asking[a], rows[b]]), return_inverse=True)
-                a, b = place[: len(a)], place[len(a) :]
-                label = np.arange(len(nodes))
-                while True:
-                    least = np.minimum(label[a], label[b])
-                    new = label.copy()
-                    np.minimum.at(new, a, least)
-                    np.minimum.at(new, b, least)
-                    new = new[new]
-                    if (new == label).all():
-                        break
-                    label = new
-                tied = np.flatnonzero(label != np.arange(len(nodes)))
-                yield pd.DataFrame(
-                    {
-                        "a": np.concatenate([asking[some], nodes[tied]]),
-                        "b": pd.array([*[None] * len(some), *nodes[label[tied]].tolist()], dtype="Int64"),
-                        "n": np.concatenate([n[some], np.zeros(len(tied), np.int64)]),
-                    }
-                )
-
-    members = packs.filter("member").drop("member")
-    queries = packs.filter("not member").select("list", F.col("rows").alias("query_rows"), F.col("raw").alias("query_raw"))
-    pairs = members.join(queries, "list")
+                queries = Pack.of(known.value, kind, *(getattr(item, x) for x in PACKED[:6]))
+                members = queries if item.pack == item.other else Pack.of(known.value, kind, *(getattr(item, f"other_{x}") for x in PACKED[:6]))
+                yield links_between(known.value, queries, members, item.pack == item.other)
+
+    fields = packs.drop("held", "probed")
+    others = fields.select(*(F.col(x).alias("other" if x == "pack" else f"other_{x}") for x in fields.columns))
+    pairs = pack_pairs(packs).join(fields, "pack").join(others, "other")
     return stored(pairs.mapInPandas(run, "a long, b long, n long"), "vector-links")
 
 

@@ -189,6 +189,45 @@ def test_near_vectors_probe_all_lists_in_reach(fall):
     assert near[np.arange(len(x)), own].mean() == 1.0
 
 
+def test_near_vectors_hot_list(spark, monkeypatch):
+    from stagewise.llm import near_vectors
+
+    chance = np.random.default_rng(6)
+    x = np.concatenate([np.ones((90, 8)) + 0.02 * chance.normal(size=(90, 8)), chance.normal(size=(60, 8))]).astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    monkeypatch.setattr(near_vectors, "PACK", 16)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(df).collect()}
+    assert [got[i][0] for i in range(len(x))] == (linked.sum(axis=1) - 1).tolist()
+    assert {got[i][1] for i in range(90)} == {0}
+
+
+def test_near_vectors_memory_of_a_tight_cluster():
+    import tracemalloc
+
+    from stagewise.llm import near_vectors
+
+    chance = np.random.default_rng(7)
+    x = np.ones((2 * 2500, 16)) + 0.02 * chance.normal(size=(5000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    known = near_vectors.Quantiser.fit(x, 4, 0.9)
+    own = np.sort(near_vectors.nearest(x, known.centres)).astype("<i4")
+    x = x[np.argsort(near_vectors.nearest(x, known.centres), kind="stable")]
+    codes, errors = known.codes(x, own)
+    packs = []
+    for a, b in ((0, 2500), (2500, 5000)):
+        fields = (np.arange(a, b), np.full(b - a, 2), x[a:b], own[a:b], codes[a:b], errors[a:b])
+        packs.append(near_vectors.Pack.of(known, "<f8", *(f.tobytes() for f in fields)))
+    tracemalloc.start()
+    found = near_vectors.links_between(known, *packs, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000  # all 6.25 million pairs at once take several times as much
+    counts = found[found["b"].isna()]
+    assert len(counts) == 5000 and set(counts["n"]) == {5000} and found["b"].notna().sum() == 4999
+
+
 def test_token_files(spark, tmp_path):
     import public_tokenizers
     from stagewise.llm.token_files import read_document, read_token_files, token_ids, train_dictionary, write_token_files
