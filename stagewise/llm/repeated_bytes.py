@@ -28,6 +28,8 @@ from stagewise.llm.words import mixed, runs_of
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
 SLICE = 1_000_000
+#: Up to so many strings are sorted on a copy of their bytes, more by their starts; the order is the same.
+COPIED = 500_000
 #: Bytes of text for each bucket of hashes, and of segments.
 HASH_BYTES, SEGMENT_BYTES = 24_000_000, 2_000_000
 BYTE_NUMBERS = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -75,6 +77,25 @@ def block_owners(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return moved[0], np.concatenate(hashes), moved[1], moved[2]
 
 
+def in_order(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``starts`` in the order of the next ``LENGTH`` bytes, equal strings as they came."""
+    if len(starts) <= COPIED:
+        rows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[starts]
+        return starts[np.argsort(rows.view(f"S{LENGTH}").ravel(), kind="stable")]
+    words = np.ndarray(len(text) - 7, ">u8", np.ascontiguousarray(text), strides=(1,))
+    out, place, group = starts.copy(), np.arange(len(starts)), np.zeros(len(starts), np.int32)
+    for at in range(0, LENGTH, 8):  # only strings that are equal so far go on
+        keys = words[out[place] + at].astype(np.uint64)
+        order = np.lexsort((keys, group))
+        out[place], keys = out[place[order]], keys[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (keys[1:] != keys[:-1]))
+        tied = ~(new & np.append(new[1:], True))
+        place, group = place[tied], np.cumsum(new, dtype=np.int32)[tied]
+        if not len(place):
+            break
+    return out
+
+
 def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Starts in ``wanted`` (a mask over ``text``) in the order of the next ``LENGTH`` bytes; ``text`` ends in ``LENGTH`` bytes of padding."""
     n = len(text) - LENGTH
@@ -87,8 +108,7 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         needed[front] = True
         front = front[falls[front]]
     direct = np.flatnonzero(needed & ~falls)
-    rows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[direct]
-    direct = direct[np.argsort(rows.view(f"S{LENGTH}").ravel(), kind="stable")]
+    direct = in_order(text, direct)
     ends = np.searchsorted(text[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     edge = np.flatnonzero(needed[n - 1 : n] & falls[n - 1 : n]) + n - 1  # induced by the padding

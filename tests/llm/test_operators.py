@@ -79,6 +79,28 @@ def test_suffix_order_and_prefixes():
             assert common == next((j for j in range(op.LENGTH) if a[j] != b[j]), op.LENGTH)
 
 
+def test_strings_are_sorted_by_their_starts(monkeypatch):
+    import tracemalloc
+
+    from stagewise.llm import repeated_bytes as op
+
+    chance = np.random.default_rng(8)
+    passage = chance.integers(0, 255, op.LENGTH - 1).astype(np.uint8)
+    own = chance.integers(0, 255, (5000, 200)).astype(np.uint8)
+    own[::3] = own[0]
+    text = np.concatenate([*(x for one in own for x in (passage, one)), np.zeros(op.LENGTH, np.uint8)])
+    starts = np.arange(0, len(text) - op.LENGTH, 3)
+    want = op.in_order(text, starts[:40_000])
+    starts = starts.copy()
+    monkeypatch.setattr(op, "COPIED", 1_000)
+    assert (op.in_order(text, starts[:40_000]) == want).all()
+    tracemalloc.start()
+    op.in_order(text, starts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(starts)  # a copy takes 200 bytes a string
+
+
 def test_repeated_words(spark):
     from stagewise.llm import repeated_words as op
 
