@@ -90,7 +90,7 @@ def features_of(text: str | None, lexicon: dict[str, float]) -> list[float]:
     found = [weights[words[i]] for i in places]
     found_sorted = sorted((weights[w] for w in bad), reverse=True)
     near = sum(any(w in SECOND_PERSON for w in words[max(0, i - NEAR_WORDS) : i + NEAR_WORDS + 1]) for i in places)
-    letters = max(1, sum(map(str.isalpha, text))) if len(text) < 400 else max(1, len(text) - text.count(" "))
+    letters = max(1, sum(map(str.isalpha, text)))
     mixed = sum(1 for w in raw if not w.isalpha() and w[:1].isalpha() and w[-1:].isalpha() and "-" not in w)
     return [
         len(found) / n,

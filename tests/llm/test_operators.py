@@ -388,6 +388,13 @@ def test_classifiers(spark, label):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows) and len(rows) == docs.count() + 2
 
 
+def test_toxicity_counts_letters_alike_at_every_length():
+    from stagewise.llm.toxicity import features_of
+
+    short, long = (features_of("so it goes!! 12,34 " * n, {}) for n in (10, 100))
+    assert short[9:11] == long[9:11]
+
+
 def test_empty_tables(spark):
     import public_tokenizers
     from stagewise.llm import decontaminate, language, mixing, near_text, near_vectors, quality, repeated_bytes, repeated_words, token_files, toxicity
