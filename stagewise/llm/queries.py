@@ -184,3 +184,49 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stagewise.llm.near_vectors import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(rounds: int = 2) -> str:
+    """Codebooks of the first vectors, then assignments and means in turn."""
+    near = """
+, a{r} AS MATERIALIZED (
+    SELECT vec_id, label, p, x, min(64 * d + k) // 64 AS d, min(64 * d + k) % 64 AS k FROM (
+        SELECT vec_id, label, p, x, k, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d
+        FROM parts JOIN c{r} USING (p)) GROUP BY ALL
+)"""
+    mean = """
+, c{n} AS MATERIALIZED (
+    SELECT p, k, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+        SELECT p, k, list(v ORDER BY i) AS m FROM (
+            SELECT p, k, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS v FROM (SELECT p, k, x, unnest(range(1, len(x) + 1)) AS i FROM a{r})
+            GROUP BY p, k, i) GROUP BY p, k) USING (p, k)
+)"""
+    return (
+        """
+WITH v AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT vec_id, label, p, e[p * (len(e) // 16) + 1:(p + 1) * (len(e) // 16)] AS x FROM v, range(16) AS t(p)
+), c0 AS MATERIALIZED (
+    SELECT p, k, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM parts) WHERE k < 64
+)"""
+        + "".join(near.format(r=r) + mean.format(r=r, n=r + 1) for r in range(rounds))
+        + near.format(r=rounds)
+        + f"""
+, book AS (
+    SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds}
+), coded AS MATERIALIZED (
+    SELECT vec_id, label, string_agg(format('{{:02x}}', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, book
+"""
+    )
+
+
+@query("op12_vector_codes", _op12_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors under codebooks fitted to all vectors."""
+    from stagewise.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
