@@ -230,3 +230,44 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stagewise.llm.vector_codes import vector_codes
 
     return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS MATERIALIZED (
+    SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), total AS (
+    SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), f AS MATERIALIZED (
+    SELECT lang, m, phrase, count(*) AS f FROM (
+        SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+        FROM w, range(1, 6) AS t(m) WHERE len(ws) >= m)
+    GROUP BY ALL
+), cand AS MATERIALIZED (
+    SELECT lang, m, phrase, f AS a FROM f WHERE m > 1 AND f >= 100
+), cut AS (
+    SELECT lang, m, phrase, a, k, string_split(phrase, ' ') AS ws FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:c.m], ' ') JOIN total ON total.lang = c.lang
+), weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+    SELECT * FROM weakest s WHERE NOT EXISTS (
+        SELECT 1 FROM cand c WHERE c.lang = s.lang AND 100 * c.a >= 100 * s.a AND len(c.phrase) > len(s.phrase)
+            AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of all documents, by language."""
+    from stagewise.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
