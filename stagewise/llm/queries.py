@@ -271,3 +271,29 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stagewise.llm.collocations import collocations
 
     return collocations(table(spark, sf_dir, "documents"))
+
+
+#: The given pages all keep their article in one ``article`` of headings and paragraphs, so that SQL can cut it out by patterns.
+OP13_SQL = """
+WITH a AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages
+), b AS (
+    SELECT page_id, url, list_transform(string_split_regex(body, '</?(p|h1)>'), lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS raw
+    FROM a
+), c AS (
+    SELECT page_id, url, list_transform(raw, lambda x: trim(regexp_replace(
+        regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'),
+            '&#x27;', ''''), '&#39;', ''''), '&amp;?', '&', 'g'), '[\\s\\p{Z}\\x0B\\x1C-\\x1F\\x{85}]+', ' ', 'g'))) AS blocks FROM b
+), d AS (
+    SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM c
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""
+
+
+@query("op13_page_text", OP13_SQL)
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from stagewise.llm.page_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
