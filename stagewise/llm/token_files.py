@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -31,67 +32,109 @@ from stagewise.llm.tables import shared_path, stored
 
 MAGIC = b"IDSHARD1"
 END_ID = 0
-#: Texts that the dictionary is trained on, characters of each, and its size in bytes.
+#: Texts that the dictionary is trained on, the most characters that each of them may have, and its size in bytes.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 2_000, 20_000, 64 * 1024
 LEVEL = 3
+#: New pieces that go to the library in one call.
+JOINED = 2_000
+#: Fixed value: how byte-level vocabularies write a blank.
+BLANK_MARK = "\u0120"
+SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 INDEX = (("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u8"))
 
 
 class PieceIds(dict):
-    """Ids of the pieces of texts between single blanks, remembered up to a bound.
+    """Ids of the pieces of texts, remembered up to a bound.
 
-    Byte-level tokenizers of this kind cut a text in front of every blank that a non-blank follows, and on both sides of a line end
-    between non-blanks, and encode what lies between the cuts by itself. ``encode`` uses that: pieces seen before are looked
-    up, all others go through the library in one call. Where more white space meets, or a piece holds the text of a special
-    token, there is no such cut; the whole text goes to the library uncut.
+    Byte-level tokenizers of this kind cut a text in front of a blank that stands between two non-blanks, and on both sides of a line end
+    that does, and encode what lies between the cuts by itself. ``encode`` uses that: pieces seen before are looked up, the new
+    ones of a batch go through the library joined to long texts, whose ids are cut again where a token begins with a blank. Pieces that
+    do not begin with one, or hold more white space, are encoded one by one, and a text with a special token as a whole.
+
+    What is remembered has two generations: at ``most`` pieces the younger becomes the older, and a piece found in the older moves back.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        added = self.library.get_added_tokens_decoder()
+        self.special = [token.content for token in added.values()]
         self.cuts = "ByteLevel(add_prefix_space=False" in str(self.library.pre_tokenizer) and self.library.normalizer is None
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[:1] == BLANK_MARK and i not in added]] = True
+        self.older: dict[str, bytes] = {}
+        self.odd: set[str] = set()
         self.most = most
 
     def whole(self, text: str) -> bytes:
-        """Ids of a text by the library alone, with the end id."""
-        return np.array([*self.library.encode(text, add_special_tokens=False).ids, END_ID], "<u4").tobytes()
+        """Ids of a text by the library alone."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def uncut(self, piece: str) -> bool:
-        """Whether a piece may not be encoded by itself."""
-        if piece == "\n":
-            return False
-        rest = piece[1:] if piece[0] == " " else piece
-        return not rest or rest[0].isspace() or rest[-1].isspace() or any(s in piece for s in self.special)
+    def one_by_one(self, pieces: list[str]) -> None:
+        """Remember pieces by the library, each for itself."""
+        for piece, found in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            self[piece] = array("I", found.ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def joined(self, pieces: list[str]) -> None:
+        """Remember pieces that begin with a blank and hold no other white space next to one, many in a call."""
+        for start in range(0, len(pieces), JOINED):
+            some = pieces[start : start + JOINED]
+            ids = np.array(self.library.encode("".join(some), add_special_tokens=False).ids, "<u4")
+            at = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            if len(at) != len(some):
+                self.one_by_one(some)
+                continue
+            data = ids.tobytes()
+            self.update(zip(some, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True))
+
+    def learn(self, wanted: set[str]) -> None:
+        """Remember what is not remembered yet; pieces with white space at a cut are ``odd``."""
+        new = [piece for piece in wanted if piece not in self]
+        if self.older:
+            back = [piece for piece in new if piece in self.older]
+            self.update(zip(back, map(self.older.__getitem__, back), strict=True))
+            new = [piece for piece in new if piece not in self.older]
+        odd = [p for p in new if p[-1].isspace() or (p[0] == " " and p[1].isspace()) or (p[0] != " " and p[0].isspace())]
+        if odd:
+            self.odd.update(odd)
+            new = [piece for piece in new if piece not in self.odd]
+        self.joined([piece for piece in new if piece[0] == " "])
+        self.one_by_one([piece for piece in new if piece[0] != " "])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, with the end id. Null texts are empty ones."""
-        if not self.cuts or any(" " in s for s in self.special):
-            return [self.whole(text or "") for text in texts]
         end = np.array([END_ID], "<u4").tobytes()
-        cut = [
-            text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text and "\0" not in text and "\n\n" not in text else None
-            for text in texts
-        ]
+        if not self.cuts or any(" " in s for s in self.special):
+            return [self.whole(text or "") + end for text in texts]
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        self[""] = b""
-        new = [piece for piece in set().union(*filter(None, cut)) if piece not in self]
-        bad = {piece for piece in new if self.uncut(piece)}
-        new = [piece for piece in new if piece not in bad]
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[piece] = array("I", found.ids).tobytes()
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
+            self.odd.clear()
+        self[""], self["\n"] = b"", self.whole("\n")
+        cut: list[list[str] | None] = []
+        for text in texts:
             if not text:
-                out.append(end)
-            elif pieces is None or bad and not bad.isdisjoint(pieces):
-                out.append(self.whole(text))
+                cut.append([])
+            elif any(s in text for s in self.special):
+                cut.append(None)
+            elif "\0" in text or "\n\n" in text:
+                cut.append(SAFE_CUT.split(text))
             else:
-                out.append(b"".join(map(self.__getitem__, pieces)) + end)
+                cut.append(text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
+        self.learn(set().union(*filter(None, cut)))
+        if self.odd:
+            again = [i for i, pieces in enumerate(cut) if pieces and not self.odd.isdisjoint(pieces)]
+            for i in again:
+                cut[i] = SAFE_CUT.split(texts[i])
+            spaced = {piece for i in again for piece in cut[i] if piece not in self or piece in self.odd}
+            self.one_by_one([piece for piece in spaced if piece not in self])
+        out = []
+        for text, pieces in zip(texts, cut, strict=True):
+            out.append((self.whole(text) if pieces is None else b"".join(map(self.__getitem__, pieces))) + end)
         return out
 
 
@@ -123,12 +166,12 @@ def batches(texts: list[str], most_chars: int = 1_000_000) -> Iterator[tuple[int
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE_TEXTS) -> bytes:
-    """Dictionary from the ids of ``sample`` texts: those whose hash is smallest. The bound makes it fit the driver.
+    """Dictionary from the ids of ``sample`` whole texts of up to ``SAMPLE_CHARS`` characters: those whose hash is smallest. The bounds make it fit the driver.
 
     Returns no bytes, for plain frames, where the texts are too few or too short to train on.
     """
-    some = docs.filter(in_share(F.col("doc_id"), sample, docs.count())).filter("length(text) > 0")
-    some = some.select(F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    some = docs.filter(in_share(F.col("doc_id"), sample, docs.count())).filter(F.length("text").between(1, SAMPLE_CHARS))
+    some = some.select(F.xxhash64("text").alias("h"), "text")
     texts = [row.text for row in some.orderBy("h", "text").limit(sample).collect()]
     ids = pieces_of(tokenizer).encode(texts)
     try:
@@ -141,9 +184,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, dictionary:
     """Write shards in ascending order of ``doc_id`` and return the manifest.
 
     One row per shard: ``shard`` (its place in the order), ``path``, ``n_docs``, ``n_tokens``. Null texts count as empty ones.
-    Null ids come first; rows with equal ids follow each other by their text, and repeated rows are each written. An empty table
-    gives an empty manifest. Other columns are not looked at. How many shards there are follows the number of shuffle
-    partitions and AQE.
+    Null ids come first; rows with equal ids follow each other by the hash of their text, so that an id with very many texts is spread over
+    shards too, and repeated rows are each written. An empty table gives an empty manifest. Other columns are not looked at. How many
+    shards there are follows the number of shuffle partitions and AQE.
     """
     spark = docs.sparkSession
     system, root = file_system(folder)
@@ -179,8 +222,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, dictionary:
         sink.close()
         yield pd.DataFrame({"shard": [shard], "path": [path], "n_docs": [len(index[0])], "n_tokens": [int(index[4].sum())]})
 
-    rows = ids_without_nulls(docs).repartitionByRange(F.desc("no_id"), "doc_id")
-    rows = rows.sortWithinPartitions(F.desc("no_id"), "doc_id", "text").withColumn("shard", F.spark_partition_id())
+    rows = ids_without_nulls(docs).withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(F.desc("no_id"), "doc_id", "tie").sortWithinPartitions(F.desc("no_id"), "doc_id", "tie", "text")
+    rows = rows.select("no_id", "doc_id", "text", F.spark_partition_id().alias("shard"))
     done = rows.mapInPandas(write, "shard long, path string, n_docs long, n_tokens long")
     return stored(done, "token-manifest")
 
