@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.llm.tables import stored
+from stagewise.llm.tables import if_small, scratch, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -143,7 +143,7 @@ def _fly(rows: DataFrame, level: int, last: bool) -> DataFrame:
         yield from (_with_part(row, [part]) for part, row in done)
 
     keys = ["source", "bucket"]
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "order", "doc_id", "size")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "order", "doc_id", "size", "tie")
     return rows.mapInArrow(run, rows.schema)
 
 
@@ -158,12 +158,12 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     Returns ``row`` (the columns in ``keep``, all if not given, as a struct), ``size``, ``source_size``, ``target``, ``copies``, ``taken``. Null texts and those
     without a word have size 0 and are never more than their probability says. Null is a source of its own, the last. Repeated rows are
-    decided each for itself. An empty table gives no rows.
+    decided each for itself; rows of one source, id and size go by the hash of their text. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     size = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     whole = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row")
-    sized = docs.select("doc_id", "source", size.alias("size"), whole)
+    sized = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(text).alias("tie"), whole)
     targets = stored(source_targets(sized.select("source", "size")), "targets")
     n_sources, most = targets.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     side = F.broadcast(targets) if n_sources <= BROADCAST_SOURCES else targets
@@ -190,7 +190,28 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return out.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def decisions(docs: DataFrame, key: str) -> DataFrame:
+    """Stored ``doc_id``, ``key``, ``rows`` (how many rows of ``docs`` share them), ``copies`` (of all of them), where that is not 0."""
+    with scratch() as own:
+        taken = mix(docs, ["doc_id", key]).select("row.*", "copies")
+        sums = taken.groupBy("doc_id", key).agg(F.count("*").alias("rows"), F.sum("copies").alias("copies"))
+        return own.keep(stored(sums.filter("copies > 0"), "decided"))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with all their columns, each as often as it is taken."""
-    taken = mix(docs).filter("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    """Rows of ``docs``, with all their columns, each as often as it is taken.
+
+    Only ids, sizes and hashes of rows take part in the mix; what it decides is joined back to the rows by id and hash. Rows that are
+    equal in all columns are decided together.
+    """
+    key, columns = "_row_key", [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(*columns).alias("row")
+    keyed = docs.select("doc_id", "source", "text", F.xxhash64(*columns).alias(key), row)
+    decided = decisions(keyed.drop("row"), key)
+    names = if_small(decided).toDF("_id", "_key", "_rows", "_copies")
+    rows = keyed.select("doc_id", key, "row").join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_key")))
+    single = rows.filter("_rows = 1").select("row", "_copies")
+    if not decided.filter("rows > 1").isEmpty():
+        alike = rows.filter("_rows > 1").groupBy("_id", key).agg(F.any_value("row").alias("row"), F.any_value("_copies").alias("_copies"))
+        single = single.unionByName(alike.select("row", "_copies"))
+    return single.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("row.*")

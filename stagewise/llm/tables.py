@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +19,61 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Folders of the tables stored within a ``scratch()`` block."""
+
+    def __init__(self) -> None:
+        self.folders: dict[str, bool] = {}
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """Leave a stored table to the block around this one, or for good if there is none."""
+        self.folders[_folders[id(table)]] = True
+        return table
+
+
+_scopes: ContextVar[tuple[Scratch, ...]] = ContextVar("scopes", default=())
+#: Folders of stored tables by the frame that ``stored`` returned, as long as it lives.
+_folders: dict[int, str] = {}
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Tables stored within are deleted at its end, but for those handed to ``keep``. For steps whose result is stored as a whole."""
+    own = Scratch()
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield own
+    finally:
+        _scopes.reset(token)
+    spark = SparkSession.getActiveSession()
+    for folder, kept in own.folders.items():
+        if not kept:
+            _delete(spark, folder)
+        elif _scopes.get():
+            _scopes.get()[-1].folders.setdefault(folder, False)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write rows once as Parquet into the shared folder and read them back, so that lost executors cost no recomputation."""
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = path
+    weakref.finalize(out, _folders.pop, id(out), None)
+    if _scopes.get():
+        _scopes.get()[-1].folders[path] = False
+    return out
 
 
 def dropped(table: DataFrame) -> None:
     """Delete the files of a stored table that nothing reads any more."""
-    spark = table.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()[:1]}:
-        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _delete(table.sparkSession, _folders[id(table)])
 
 
 #: Up to so many rows of a few numbers each a stored table is sent to all tasks; beyond, the join shuffles.

@@ -272,6 +272,43 @@ def test_token_files(spark, tmp_path):
         assert read_document(str(tmp_path), shards[r.shard], r.place).tobytes() == bytes(r.ids)
 
 
+PIECES = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u2003", "\0", "a", "The", "don't", "'s", "12", "_", "\u00e9t\u00e9", "\u4e2d", "\U0001f600", "<|endoftext|>", ".", "--"]
+
+
+@pytest.mark.parametrize("weights", [None, [30] + [1] * (len(PIECES) - 1), [9, 0, 2, 0, 0, 0, 0, 0, 0] + [3] * (len(PIECES) - 10) + [0]])
+def test_pieces_have_the_ids_of_whole_texts(weights):
+    import public_tokenizers
+    from stagewise.llm.token_files import PieceIds
+
+    chance = random.Random(8)
+    encoder = PieceIds(public_tokenizers.path("byte_bpe_50k.json"), most=150)
+    if weights:
+        weights = (weights + [1] * len(PIECES))[: len(PIECES)]
+    texts = ["".join(chance.choices(PIECES, weights, k=chance.randint(0, 40))) for _ in range(1500)]
+    texts += [None, "", " ", "\n", "x " * 50_000, " " * 50_000, "-" * 20_000, "word " * 1_000_000, "\n \n" * 9_000]
+    for a in range(0, len(texts), 100):
+        some = texts[a : a + 100]
+        assert encoder.encode(some) == [encoder.whole(text or "") + b"\0\0\0\0" for text in some]
+    assert len(encoder) + len(encoder.older) < 100_000
+
+
+def test_many_texts_of_one_id_are_spread(spark, tmp_path):
+    import public_tokenizers
+    from stagewise.llm.token_files import read_token_files, write_token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = frame(spark, [(i if i % 3 else 7, f"text {i} " * (i % 40)) for i in range(1500)]).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_token_files(docs, str(tmp_path), path, b"")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == 1500 and max(sizes) < 500
+    ids = [r.doc_id for r in read_token_files(manifest, str(tmp_path)).orderBy("shard", "place").collect()]
+    assert ids == sorted(ids)
+
+
 def test_mixing(spark):
     from stagewise.llm.mixing import MOST, SHARE, WEIGHTS, mix, mixed
 
@@ -311,6 +348,10 @@ def test_mixing(spark):
         assert abs(picked[s] - count * target[s] / sizes[s]) <= 4
     out = mixed(docs)
     assert out.columns == docs.columns
+    double = mixed(docs.union(docs).union(docs.withColumn("lang", F.lit("zz"))))
+    again = mix(docs.union(docs).union(docs.withColumn("lang", F.lit("zz"))), ["doc_id", "lang"]).groupBy("row.doc_id", "row.lang").agg(F.sum("copies").alias("n"))
+    counts = {(r.doc_id, r.lang): r.n for r in double.groupBy("doc_id", "lang").agg(F.count("*").alias("n")).collect()}
+    assert counts == {(r.doc_id, r.lang): r.n for r in again.collect() if r.n}
     assert {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {r.doc_id: r.copies for r in first if r.copies}
 
 
