@@ -12,12 +12,14 @@ shared folder) are ever read, so a repeated or lost attempt leaves at most a fil
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 import re
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -35,27 +37,41 @@ END_ID = 0
 #: Texts that the dictionary is trained on, the most characters that each of them may have, and its size in bytes.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 2_000, 20_000, 64 * 1024
 LEVEL = 3
-#: New pieces that go to the library in one call.
-JOINED = 2_000
-#: Fixed value: how byte-level vocabularies write a blank.
-BLANK_MARK = "\u0120"
+#: Rows of one id up to which they may share a shard.
+ROWS_OF_AN_ID = 50_000
+#: New pieces that go to the library, and new words that go to its model, in one call.
+JOINED, WORDS_JOINED = 2_000, 60
+#: How byte-level vocabularies write bytes, a blank among them (printable ones stand for themselves, the others follow from 256 on);
+#: marks that are neither letters, digits nor apostrophes; the end of the letters that words are cut by.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+OTHERS = [byte for byte in range(256) if byte not in PRINTED]
+BYTE_LETTERS = "".join(chr(byte if byte in PRINTED else 256 + OTHERS.index(byte)) for byte in range(256))
+BLANK_MARK = BYTE_LETTERS[32]
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS_END = "\u0250"
+SPACE_AT_CUT = re.compile(r"\s\x00|\x00 \s|\x00[^\S ]")
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 INDEX = (("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u8"))
 
 
-class PieceIds(dict):
+def byte_letters(text: str) -> str:
+    """A text as byte-level vocabularies write its bytes."""
+    return text.replace(" ", BLANK_MARK) if text.isascii() else codecs.charmap_decode(text.encode(), "strict", BYTE_LETTERS)[0]
+
+
+class PieceIds:
     """Ids of the pieces of texts, remembered up to a bound.
 
     Byte-level tokenizers of this kind cut a text in front of a blank that stands between two non-blanks, and on both sides of a line end
-    that does, and encode what lies between the cuts by itself. ``encode`` uses that: pieces seen before are looked up, the new
-    ones of a batch go through the library joined to long texts, whose ids are cut again where a token begins with a blank. Pieces that
-    do not begin with one, or hold more white space, are encoded one by one, and a text with a special token as a whole.
+    that does, and encode what lies between the cuts by itself. ``encode`` uses that: pieces seen before are looked up, and the new ones of a
+    batch go through the library many in a call, joined; their ids are cut again where a token begins with a blank. A word of letters that marks
+    follow is cut once more between the two, and goes to the library's model without its pattern matching. Pieces that
+    do not begin with a blank, or hold more white space, are encoded one by one, and a text with a special token as a whole.
 
     What is remembered has two generations: at ``most`` pieces the younger becomes the older, and a piece found in the older moves back.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        super().__init__()
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,8 +82,11 @@ class PieceIds(dict):
         vocabulary = self.library.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[:1] == BLANK_MARK and i not in added]] = True
+        self.inner = any(BLANK_MARK in token.lstrip(BLANK_MARK) and token.isascii() for token in vocabulary)
+        self.tails: dict[str, bytes] = {"": b""}
+        # Plain dictionaries of texts and bytes, which the garbage collector leaves alone.
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.odd: set[str] = set()
         self.most = most
 
     def whole(self, text: str) -> bytes:
@@ -77,64 +96,109 @@ class PieceIds(dict):
     def one_by_one(self, pieces: list[str]) -> None:
         """Remember pieces by the library, each for itself."""
         for piece, found in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self[piece] = array("I", found.ids).tobytes()
+            self.known[piece] = array("I", found.ids).tobytes()
 
     def joined(self, pieces: list[str]) -> None:
         """Remember pieces that begin with a blank and hold no other white space next to one, many in a call."""
-        for start in range(0, len(pieces), JOINED):
-            some = pieces[start : start + JOINED]
-            ids = np.array(self.library.encode("".join(some), add_special_tokens=False).ids, "<u4")
+        words, tails, rest = set(), [], []
+        for piece in pieces:
+            word = piece.rstrip(MARKS)
+            if not word[1:].isalpha():
+                rest.append(piece)
+            else:
+                words.add(word)
+                if word != piece:
+                    tails.append((piece, word, piece[len(word) :]))
+        words = list(filterfalse(self.known.__contains__, words))
+        plain, others = list(filter(str.isascii, words)), list(filterfalse(str.isascii, words))
+        latin = [word for word in others if max(word) < LETTERS_END]
+        rest += [word for word in others if max(word) >= LETTERS_END]
+        model, library = self.library.model, self.library
+        for some in (plain, latin):
+            self.cut_again(some, WORDS_JOINED, lambda text: [token.id for token in model.tokenize(byte_letters(text))])
+        self.cut_again(rest, JOINED, lambda text: library.encode(text, add_special_tokens=False).ids)
+        for tail in {tail for _, _, tail in tails}.difference(self.tails):
+            self.tails[tail] = self.whole(tail)
+        for piece, word, tail in tails:
+            self.known[piece] = self.known[word] + self.tails[tail]
+
+    def cut_again(self, pieces: list[str], many: int, ids_of: Callable[[str], list[int]]) -> None:
+        """Remember pieces by the ids of ``many`` of them joined."""
+        for start in range(0, len(pieces), many):
+            some = pieces[start : start + many]
+            ids = np.array(ids_of("".join(some)), "<u4")
             at = (np.flatnonzero(self.opens[ids]) * 4).tolist()
             if len(at) != len(some):
                 self.one_by_one(some)
                 continue
             data = ids.tobytes()
-            self.update(zip(some, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True))
+            self.known.update(zip(some, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True))
 
-    def learn(self, wanted: set[str]) -> None:
-        """Remember what is not remembered yet; pieces with white space at a cut are ``odd``."""
-        new = [piece for piece in wanted if piece not in self]
+    def learn(self, new: set[str]) -> None:
+        """Remember pieces that are not remembered yet; those with white space at a cut are left out."""
         if self.older:
-            back = [piece for piece in new if piece in self.older]
-            self.update(zip(back, map(self.older.__getitem__, back), strict=True))
-            new = [piece for piece in new if piece not in self.older]
-        odd = [p for p in new if p[-1].isspace() or (p[0] == " " and p[1].isspace()) or (p[0] != " " and p[0].isspace())]
-        if odd:
-            self.odd.update(odd)
-            new = [piece for piece in new if piece not in self.odd]
+            back = list(filter(self.older.__contains__, new))
+            self.known.update(zip(back, map(self.older.__getitem__, back), strict=True))
+            new = set(filterfalse(self.older.__contains__, new))
+        letters = "".join(new).replace(" ", "")
+        if " " in new or letters.split(None, 1) != [letters]:
+            new = {piece for piece in new if not SPACE_AT_CUT.search(f"\0{piece}\0")}
         self.joined([piece for piece in new if piece[0] == " "])
         self.one_by_one([piece for piece in new if piece[0] != " "])
 
+    def found(self, pieces: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """Ids of pieces, and the places of those that are not remembered."""
+        ids, gaps, at = list(map(self.known.get, pieces)), [], -1
+        try:
+            while True:
+                at = ids.index(None, at + 1)
+                gaps.append(at)
+        except ValueError:
+            return ids, gaps
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, with the end id. Null texts are empty ones."""
         end = np.array([END_ID], "<u4").tobytes()
-        if not self.cuts or any(" " in s for s in self.special):
+        if not self.cuts or self.inner or any(" " in s for s in self.special):
             return [self.whole(text or "") + end for text in texts]
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-            self.odd.clear()
-        self[""], self["\n"] = b"", self.whole("\n")
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif any(s in text for s in self.special):
-                cut.append(None)
-            elif "\0" in text or "\n\n" in text:
-                cut.append(SAFE_CUT.split(text))
+        if len(self.known) >= self.most:
+            self.older, self.known = self.known, {}
+            self.tails = {"": b""}
+        self.known |= {"": b"", "\n": self.whole("\n")}
+        out: list[bytes] = [end] * len(texts)
+        todo = [i for i, text in enumerate(texts) if text]
+        for again in (False, True):
+            waiting: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
+            new: set[str] = set()
+            for i in todo:
+                text = texts[i]
+                if any(s in text for s in self.special):
+                    out[i] = self.whole(text) + end
+                    continue
+                if again or "\0" in text or "\n\n" in text:
+                    pieces = SAFE_CUT.split(text)
+                else:
+                    pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+                ids, gaps = self.found(pieces)
+                if gaps:
+                    new.update(pieces[at] for at in gaps)
+                    waiting.append((i, pieces, ids, gaps))
+                else:
+                    out[i] = b"".join(ids) + end
+            if again:
+                # Cut where it is safe, pieces may hold any white space.
+                self.one_by_one(list(new))
             else:
-                cut.append(text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
-        self.learn(set().union(*filter(None, cut)))
-        if self.odd:
-            again = [i for i, pieces in enumerate(cut) if pieces and not self.odd.isdisjoint(pieces)]
-            for i in again:
-                cut[i] = SAFE_CUT.split(texts[i])
-            spaced = {piece for i in again for piece in cut[i] if piece not in self or piece in self.odd}
-            self.one_by_one([piece for piece in spaced if piece not in self])
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            out.append((self.whole(text) if pieces is None else b"".join(map(self.__getitem__, pieces))) + end)
+                self.learn(new)
+            todo = []
+            for i, pieces, ids, gaps in waiting:
+                more = [self.known.get(pieces[at]) for at in gaps]
+                if None in more:
+                    todo.append(i)
+                    continue
+                for at, value in zip(gaps, more, strict=True):
+                    ids[at] = value
+                out[i] = b"".join(ids) + end
         return out
 
 
@@ -222,8 +286,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, dictionary:
         sink.close()
         yield pd.DataFrame({"shard": [shard], "path": [path], "n_docs": [len(index[0])], "n_tokens": [int(index[4].sum())]})
 
-    rows = ids_without_nulls(docs).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(F.desc("no_id"), "doc_id", "tie").sortWithinPartitions(F.desc("no_id"), "doc_id", "tie", "text")
+    rows = ids_without_nulls(docs)
+    many = rows.groupBy("no_id", "doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > ROWS_OF_AN_ID)
+    order = [F.desc("no_id"), F.col("doc_id"), F.col("tie")]
+    # Borders by text cost a pass over all texts, so they are only drawn where an id needs them; the order is the same.
+    dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*(order[:2] if many.isEmpty() else order))
+    rows = dealt.sortWithinPartitions(*order, "text")
     rows = rows.select("no_id", "doc_id", "text", F.spark_partition_id().alias("shard"))
     done = rows.mapInPandas(write, "shard long, path string, n_docs long, n_tokens long")
     return stored(done, "token-manifest")
