@@ -92,13 +92,34 @@ def placeholders(template: str) -> list[str]:
     return list(dict.fromkeys(match.group(1) for match in paths if match))
 
 
+def _printed_sql(sql: str, kind: T.DataType) -> str:
+    """``printed`` of a plain value or a list of them, as SQL text."""
+    if isinstance(kind, T.ArrayType):
+        sql = f"concat('[', array_join(transform({sql}, item -> coalesce(cast(item AS string), '{NO_VALUE}')), ' '), ']')"
+    return f"coalesce(cast({sql} AS string), '{NO_VALUE}')"
+
+
 def scope_map(schema: T.StructType, paths: list[str]) -> Column:
-    """``MAP<STRING, STRING>`` from declared path to printed value."""
-    entries: list[Column] = []
+    """``MAP<STRING, STRING>`` from declared path to printed value.
+
+    Paths of names are put together as one SQL text, which the session parses at once.
+    """
+    entries: list[Column | str] = []
     for path in dict.fromkeys(paths):
-        found = resolve(schema, list(path.split(".")))
-        entries += [F.lit(path), F.lit(NO_VALUE) if found is None else printed(*found)]
-    return F.create_map(*entries) if entries else F.lit(None).cast("map<string,string>")
+        kind: T.DataType | None = schema
+        for name in path.split("."):
+            kind = kind[name].dataType if isinstance(kind, T.StructType) and name in kind.names else None
+        plain = kind.elementType if isinstance(kind, T.ArrayType) else kind
+        if plain is None or isinstance(plain, T.StructType | T.MapType | T.ArrayType) or not re.fullmatch(r"[\w.]+", path):
+            found = resolve(schema, list(path.split(".")))
+            entries += [F.lit(path), F.lit(NO_VALUE) if found is None else printed(*found)]
+        else:
+            entries += [f"'{path}'", _printed_sql(".".join(f"`{name}`" for name in path.split(".")), kind)]
+    if not entries:
+        return F.lit(None).cast("map<string,string>")
+    if all(isinstance(entry, str) for entry in entries):
+        return F.expr(f"map({', '.join(map(str, entries))})")
+    return F.create_map(*[F.expr(entry) if isinstance(entry, str) else entry for entry in entries])
 
 
 def fill(text: Column, scope: Column) -> Column:
@@ -141,7 +162,11 @@ def compile_template(template: str, schema: T.StructType, nested: list[str] | No
     if not last or not paths:
         return text
     scope = scope_map(schema, paths)
-    return let(text, lambda once: F.when(once.contains("{{"), render_column(once, scope, ROUNDS - 1)).otherwise(once))
+
+    def again(once: Column) -> Column:
+        return F.when(once.contains("{{"), let(scope, lambda values: render_column(once, values, ROUNDS - 1))).otherwise(once)
+
+    return let(text, again)
 
 
 def plain_paths(schema: T.StructType, before: str = "") -> list[str]:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -18,6 +20,8 @@ from stagewise.plans.schema import Schema
 Ask = Callable[[str, Schema | None], str]
 BackendFactory = Callable[[], Ask]
 
+Answer = tuple[str | None, str | None, int]
+
 ANSWER_TYPE = "answer string, error string, attempts int"
 
 # Fixed value: the schema of a single question.
@@ -56,6 +60,65 @@ def _ask_with_retries(
     return None, error, attempts
 
 
+class _Asker:
+    """The clients of a task, and up to ``in_flight`` questions at a time."""
+
+    def __init__(self, factory: BackendFactory, schema: Schema | None, attempts: int, delay: float, in_flight: int):
+        self.factory, self.schema, self.attempts, self.delay = factory, schema, attempts, delay
+        self.local = threading.local()
+        self.pool = ThreadPoolExecutor(in_flight) if in_flight > 1 else None
+
+    def client(self) -> Ask:
+        """The client of this thread: conversations of one client never overlap."""
+        if not hasattr(self.local, "client"):
+            self.local.client = self.factory()
+        return self.local.client
+
+    def once(self, text: str) -> Answer:
+        """A single question, asked one time."""
+        ask = self.client()
+        if (start := getattr(ask, "start", None)) is not None:
+            start()
+        return _ask_with_retries(ask, text, self.schema, 1, 0)
+
+    def conversation(self, text: str, openings: Any) -> Answer:
+        """A question behind others; each text is repeated by itself, as the conversation goes on."""
+        ask = self.client()
+        if (start := getattr(ask, "start", None)) is not None:
+            start()
+        for opening in openings:
+            _, error, tried = _ask_with_retries(ask, opening, None, self.attempts, self.delay)
+            if error is not None:
+                return None, error, tried
+        return _ask_with_retries(ask, text, self.schema, self.attempts, self.delay)
+
+    def all(self, ask: Callable[..., Answer], *rows: list) -> list[Answer]:
+        """Answers in the order of the rows."""
+        return list((self.pool.map if self.pool else map)(ask, *rows))
+
+    def batch(self, texts: list[str | None], openings: list[Any]) -> list[tuple]:
+        """Answers to the texts of a batch. Single questions that fail are asked again together, in a later pass."""
+        out: list[tuple] = [(None, None, None)] * len(texts)
+        asked = [i for i, text in enumerate(texts) if text is not None]
+        talks = [i for i in asked if openings[i] is not None and len(openings[i])]
+        found = self.all(self.conversation, [texts[i] for i in talks], [openings[i] for i in talks])
+        for i, answer in zip(talks, found, strict=True):
+            out[i] = answer
+        todo = [i for i in asked if openings[i] is None or not len(openings[i])]
+        for attempt in range(1, self.attempts + 1):
+            if attempt > 1 and todo and self.delay:
+                time.sleep(self.delay * 2 ** (attempt - 2))
+            for i, (answer, error, _) in zip(todo, self.all(self.once, [texts[i] for i in todo]), strict=True):
+                out[i] = (answer, error, attempt)
+            todo = [i for i in todo if out[i][1] is not None]
+        return out
+
+    def close(self) -> None:
+        """End the threads."""
+        if self.pool:
+            self.pool.shutdown(cancel_futures=True)
+
+
 def backend_answer(
     prompt: Column,
     schema: Schema | None,
@@ -63,31 +126,27 @@ def backend_answer(
     attempts: int,
     delay: float = 0.0,
     before: Column | None = None,
+    in_flight: int = 1,
 ) -> Column:
-    """Ask a user backend over Arrow batches; its client is made once per task. Null prompts are not asked.
+    """Ask a user backend over Arrow batches. Null prompts are not asked.
 
-    ``before`` holds texts to send first, without schema, in the same conversation; their answers are not kept. A client
-    with a ``start`` attribute is told by it that the next row's conversation begins. Failed questions are repeated up to
-    ``attempts`` times after ``delay`` seconds, doubled each time.
+    Up to ``in_flight`` questions of a task are open at a time, each by a client of its own; a client is made once per task and place. Answers keep the
+    order of the rows. ``before`` holds texts to send first, without schema, in the same conversation; their answers are not kept. A client
+    with a ``start`` attribute is told by it that the next row's conversation begins. Failed questions are repeated up to ``attempts``
+    times: those of a batch together in passes, with a pause of ``delay`` seconds, doubled each time, between passes; texts of a
+    conversation each by itself.
     """
-
-    def one(ask: Ask, text: str | None, openings: Any) -> tuple[str | None, str | None, int | None]:
-        if text is None:
-            return None, None, None
-        start = getattr(ask, "start", None)
-        if start is not None:
-            start()
-        for opening in openings if openings is not None else ():
-            _, error, tried = _ask_with_retries(ask, opening, None, attempts, delay)
-            if error is not None:
-                return None, error, tried
-        return _ask_with_retries(ask, text, schema, attempts, delay)
+    if in_flight < 1:
+        raise ValueError("at least one question has to be in flight")
 
     def ask_batches(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        ask = factory()
-        for prompts, openings in batches:
-            rows = [one(ask, text, first) for text, first in zip(prompts, openings, strict=True)]
-            yield pd.DataFrame(rows, columns=["answer", "error", "attempts"]).astype({"attempts": "Int32"})
+        asker = _Asker(factory, schema, attempts, delay, in_flight)
+        try:
+            for prompts, openings in batches:
+                rows = asker.batch(prompts.tolist(), openings.tolist())
+                yield pd.DataFrame(rows, columns=["answer", "error", "attempts"]).astype({"attempts": "Int32"})
+        finally:
+            asker.close()
 
     # The hints have to be real types here, as Spark picks the iterator form by them.
     ask_batches.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
@@ -105,11 +164,12 @@ def extract(
     partitions: int | None = None,
     delay: float = 0.0,
     out: str = "answer",
+    in_flight: int = 1,
 ) -> DataFrame:
     """Add ``answer`` (JSON text, or plain text without a schema), ``_error`` and ``_attempts``.
 
-    ``backend=None`` is the echo. ``partitions`` spreads slow backends over more tasks before they are asked. A model must
-    not be asked twice for one row, so write or persist the result before using it in several branches.
+    ``backend=None`` is the echo. ``partitions`` spreads slow backends over more tasks before they are asked, ``in_flight`` lets each task have several
+    questions open. A model must not be asked twice for one row, so write or persist the result before using it in several branches.
     """
     if mode not in ("permissive", "failfast"):
         raise ValueError(f"unknown mode: {mode}")
@@ -118,7 +178,7 @@ def extract(
     asked = (
         echo_answer(ref(prompt), schema)
         if backend is None
-        else backend_answer(ref(prompt), schema, backend, max(1, attempts), delay)
+        else backend_answer(ref(prompt), schema, backend, max(1, attempts), delay, None, in_flight)
     )
     answered = df.withColumn("_asked", asked)
     error: Column = F.col("_asked.error")

@@ -80,17 +80,22 @@ def resolve_refs(schema: Schema, components: dict[str, Schema]) -> Schema:
     return expand(deepcopy(schema), frozenset())
 
 
+def owners_of(field: Schema) -> list[str]:
+    """Stages that fill a field: none, one by name, or several as a list."""
+    owner = field.get(OWNER)
+    return [] if owner is None else [owner] if isinstance(owner, str) else list(owner)
+
+
 def stage_names(schema: Schema) -> list[str]:
     """Stages that own a field, each once."""
-    owners = (field.get(OWNER) for field in (schema.get("properties") or {}).values())
-    return list(dict.fromkeys(owner for owner in owners if owner is not None))
+    return list(dict.fromkeys(owner for field in (schema.get("properties") or {}).values() for owner in owners_of(field)))
 
 
 def stage_schema(schema: Schema, stage: str) -> Schema:
     """The part of a schema one stage fills, with ``required`` cut to its fields."""
     if stage not in stage_names(schema):
         raise KeyError(f"no field belongs to stage {stage}")
-    fields = {name: field for name, field in schema["properties"].items() if field.get(OWNER) == stage}
+    fields = {name: field for name, field in schema["properties"].items() if stage in owners_of(field)}
     return {**schema, "properties": fields, "required": [name for name in schema.get("required") or [] if name in fields]}
 
 

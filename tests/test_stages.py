@@ -1,16 +1,18 @@
 """Stages, calls, gates, extraction, user functions."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stagewise.functions.registry import FunctionRegistry
 from stagewise.operators.extract import ask_question, extract
 from stagewise.operators.reshape import Rule
 from stagewise.plans.calls import Call, call_functions, expression_argument
 from stagewise.plans.schema import load_schema
-from stagewise.plans.stages import Dependency, Stage, gate_stage, iterate_stage, run_stages, stage_layers
+from stagewise.plans.stages import Dependency, Resource, Stage, folded, gate_stage, iterate_stage, run_stages, stage_layers
 
 
 def test_stages_without_dependencies(spark):
@@ -257,3 +259,195 @@ def test_lookups_need_one_row_per_input(spark):
     functions.register_table("all", pairs.limit(1), [], "v")
     with pytest.raises(ValueError, match="inputs"):
         call_functions(asked, [Call("all", "s", {}, into="vars")], functions)
+
+
+def reciting(answers):
+    """A backend that answers a prompt by what follows its last ``ask:``."""
+
+    def backend():
+        def ask(prompt, _schema):
+            answer = answers(prompt.split("ask: ")[1].split(" ]]>")[0])
+            if isinstance(answer, Exception):
+                raise answer
+            return answer
+
+        return ask
+
+    return backend
+
+
+VOYAGES = {
+    "properties": {
+        "ports": {"type": "array", "items": {"type": "string"}, "x-session": ["outbound", "legs", "home"]},
+        "ship": {"type": "object", "properties": {"name": {"type": "string", "nullable": True}, "tons": {"type": "integer"}}, "x-session": ["outbound", "home"]},
+        "flag": {"type": "string", "nullable": True, "x-session": ["outbound", "home"]},
+        "cargo": {"type": "object", "x-session": ["legs", "home"]},
+        "report": {"type": "string", "x-session": "report"},
+    }
+}
+
+
+def test_stages_that_share_fields_merge_by_kind(spark):
+    answers = {
+        "out 1": '{"ports": ["Bergen"], "ship": {"name": "Fram", "tons": 402}, "flag": "no"}',
+        "home 1": '{"ports": ["Hobart", "Oslo"], "ship": {"name": null}, "flag": null, "cargo": {"ice": 1}}',
+        "out 2": '{"ports": ["Kiel"]}',
+        "home 2": '{"flag": "de", "ship": {"tons": 7}, "ports": null}',
+    }
+    schema = load_schema(VOYAGES)
+    schema["properties"]["ports"]["nullable"] = True
+    stages = [Stage("home", "ask: home {{ .k }}", depends_on=(Dependency("outbound"),)), Stage("outbound", "ask: out {{ .k }}")]
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    rows = {r["k"]: r for r in run_stages(df, stages, schema, reciting(answers.__getitem__)).selectExpr("k", "context.*", "error_home").collect()}
+    assert rows[1]["ports"] == ["Bergen", "Hobart", "Oslo"] and rows[1]["ship"].asDict() == {"name": None, "tons": 402} and rows[1]["flag"] is None
+    assert rows[2]["ports"] == ["Kiel"] and rows[2]["ship"].asDict() == {"name": None, "tons": 7} and rows[2]["flag"] == "de"
+    assert not any(r["error_home"] for r in rows.values())
+
+
+def test_an_iterated_stage_feeds_later_ones(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def answers(asked):
+        with open(log, "a") as sink:
+            sink.write(asked + "\n")
+        if asked == "b of 1":
+            return RuntimeError("fog")
+        if asked.startswith("tell"):
+            return json.dumps({"report": asked})
+        return json.dumps({"ports": [asked.split()[0]], "cargo": {"last": asked, asked[0]: 1}})
+
+    stages = [
+        Stage("report", "ask: tell {{ .context.ports }} {{ .vars.tone }}", depends_on=(Dependency("legs"),), variables={"tone": "dry"}),
+        Stage("legs", "ask: {{ .it }} of {{ .k }}", iterate_on="concat(array(vars.first), stops)", variables={"first": "a"}, depends_on=(Dependency(expression="k < 9"),)),
+    ]
+    rows = [(1, ["b", "c"]), (2, []), (3, ["z", "y"]), (9, ["x"]), (None, ["q"])]
+    df = spark.createDataFrame(rows, "k int, stops array<string>").withColumn("more", F.lit(1)).repartition(3)
+    gate = Stage(**{**stages[1].__dict__, "depends_on": (Dependency(expression="coalesce(k, 0) < 9"),)})
+    for checkpointed in (False, True):
+        log.write_text("")
+        done = run_stages(df, [stages[0], gate], load_schema(VOYAGES), reciting(answers), keys="k", checkpoint_layers=checkpointed)
+        got = {r["k"]: r for r in done.collect()}
+        assert len(got) == 5 and set(df.columns) < set(done.columns)
+        assert got[1]["context"]["ports"] == ["a", "c"] and got[1]["status_legs"] == "failed" and got[1]["status_report"] == "noop"
+        assert "item 1: RuntimeError: fog" in got[1]["error_legs"] and got[1]["answer_legs"][1] is None
+        assert got[3]["context"]["ports"] == ["a", "z", "y"] and got[3]["context"]["report"] == "tell [a z y] dry"
+        assert {k: v.toPython() for k, v in got[3]["context"]["cargo"].items()} == {"last": "y of 3", "a": 1, "z": 1, "y": 1}
+        assert got[2]["context"]["ports"] == ["a"] and got[2]["status_report"] == "finished"
+        assert got[None]["context"]["ports"] == ["a", "q"]
+        assert got[9]["status_legs"] == "noop" and got[9]["context"]["ports"] is None and got[9]["answer_legs"] is None
+        if checkpointed:
+            asked = sorted(log.read_text().splitlines())
+            assert asked == sorted(set(asked)) and len([x for x in asked if not x.startswith("tell")]) == 9
+
+
+def test_iteration_over_results_of_a_stage_without_items(spark):
+    schema = load_schema({"properties": {"names": {"type": "array", "items": {"type": "string"}, "x-session": "list"}, "n": {"type": "integer", "nullable": True, "x-session": "each"}}})
+    answers = {"list 1": '{"names": ["p", "q"]}', "list 2": '{"names": []}', "p": '{"n": 5}', "q": '{"n": null}'}
+    stages = [
+        Stage("list", "ask: list {{ .k }}"),
+        Stage("each", "ask: {{ .it }}", iterate_on="context.names", depends_on=(Dependency("list"),)),
+        Stage("notes", "ask: {{ .it }}", iterate_on="context.names", depends_on=(Dependency("each"),)),
+    ]
+    done = run_stages(spark.createDataFrame([(1,), (2,)], "k int"), stages, schema, reciting(lambda x: answers[x]), keys=["k"])
+    got = {r["k"]: r for r in done.collect()}
+    assert got[1]["context"]["n"] is None and got[1]["context"]["notes"] == ['{"n": 5}', '{"n": null}']
+    assert got[2]["status_notes"] == "finished" and got[2]["context"]["notes"] == [] and got[2]["answer_each"] == []
+    with pytest.raises(Exception, match="not unique"):
+        twice = spark.createDataFrame([(1, ["a"]), (1, ["b"])], "k int, l array<string>")
+        run_stages(twice, [Stage("each", "ask: p", iterate_on="l")], schema, reciting(lambda x: answers["p"]), keys="k").collect()
+    with pytest.raises(ValueError, match="keys"):
+        run_stages(twice, [Stage("each", "ask: p", iterate_on="l")], schema)
+
+
+def test_resources_reach_variables_and_prompts(spark):
+    sails = "name,area\r\nmain,90\r\njib,40\r\n"
+    catalog = spark.createDataFrame([("sails.csv", sails), ("log-1", "calm"), ("log-2", "gale]]>"), ("rules", "none")], "identifier string, content string")
+    catalog = catalog.withColumn("content", F.encode("content", "utf-8"))
+    schema = load_schema({"properties": {n: {"type": "array", "items": {"type": "string"}, "x-session": n} for n in ("rig", "talk")} | {"log": {"type": "string", "x-session": "log"}}})
+    stages = [
+        Stage("rig", "ask: {{ .it }}", resources=(Resource("sails.csv", "vars", "sails"),), iterate_on="transform(vars.sails, s -> s[0])"),
+        Stage("log", "sum up {{ .k }}", resources=(Resource("log-{{ .vars.no }}"),), variables={"no": 2}),
+        Stage("own", "sum up", resources=(Resource("log-{{ .k }}", "vars"), Resource("rules", "prompt"), Resource("log-1")), pre_prompts=("first",)),
+    ]
+    rules = [Rule("cells", on_resource="sails.csv", parser="csv", expr="filter(args, r -> r[0] <> 'name')")]
+    df = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+
+    def backend():
+        return lambda prompt, s: json.dumps({"rig": [prompt.split("ask: ")[1].split(" ]]>")[0]]} if s and "rig" in s["properties"] else {"log": prompt}) if s else prompt
+
+    done = run_stages(df, stages, schema, backend, rules=rules, keys="k", catalog=catalog)
+    got = {r["k"]: r for r in done.collect()}
+    assert set(done.columns) == {"k", "context", *(f"{x}_{s.name}" for x in ("answer", "error", "status") for s in stages)}
+    assert all(r["context"]["rig"] == ["main", "jib"] for r in got.values())
+    block = '=== log-2 ===\ngale]]>\n===\n<Prompt description="The task to execute"><![CDATA[ sum up 1 ]]></Prompt>'
+    assert got[1]["context"]["log"] == block
+    assert got[3]["status_own"] == "failed" and "log-{{ .k }}" not in got[3]["error_own"] and "log-3" in got[3]["error_own"]
+    assert got[2]["context"]["own"] == ["=== rules ===\nnone\n===\nsum up"]
+    with pytest.raises(ValueError, match="catalog"):
+        run_stages(df, stages, schema, backend, keys="k")
+    with pytest.raises(ValueError, match="destination"):
+        run_stages(df, [Stage("s", "x", resources=(Resource("a", "nowhere"),))], schema, keys="k", catalog=catalog)
+    bad = [Rule("cells", on_resource="rules", parser="json")]
+    one = run_stages(df, [Stage("s", "x", resources=(Resource("rules"),))], schema, rules=bad, keys="k", catalog=catalog).first()
+    assert one["status_s"] == "failed" and "JSON" in one["error_s"]
+
+
+def test_references_are_resolved_before_a_plan_runs(spark):
+    part = {"type": "object", "properties": {"n": {"type": "integer"}}}
+    schema = {"properties": {"a": {"$ref": "#/components/schemas/part", "x-session": "s"}}}
+    row = run_stages(spark.range(1), [Stage("s", "ask: x")], schema, reciting(lambda _: '{"a": {"n": 3}}'), components={"part": part}).first()
+    assert row["context"]["a"]["n"] == 3
+    with pytest.raises(KeyError, match="part"):
+        run_stages(spark.range(1), [Stage("s", "x")], schema)
+
+
+KINDS = ["1", '"x"', "true", "null", "[]", "[1, null]", "{}", '{"a": 1, "b": [2]}', '{"a": null}', None]
+
+
+@pytest.mark.parametrize("old", KINDS)
+def test_fold_of_untyped_values(spark, old):
+    def want(before, now):
+        a, b = (None if x is None else json.loads(x) for x in (before, now))
+        if now is None or (now == "null" and isinstance(a, list | dict)):
+            return a
+        if isinstance(a, list):
+            return a + (b if isinstance(b, list) else [b])
+        return {**a, **b} if isinstance(a, dict) and isinstance(b, dict) else b
+
+    df = spark.createDataFrame([(i, old, new) for i, new in enumerate(KINDS)], "i int, old string, new string")
+    given = F.try_parse_json("new")
+    merged = folded(T.VariantType(), F.try_parse_json("old"), given, given)
+    got = {r["i"]: r["v"] for r in df.select("i", F.to_json(merged).alias("v")).collect()}
+    assert {i: None if v is None else json.loads(v) for i, v in got.items()} == {i: want(old, new) for i, new in enumerate(KINDS)}
+
+
+@pytest.mark.parametrize("many", [1, 5])
+def test_questions_in_flight(spark, tmp_path, many):
+    def backend():
+        def ask(prompt, _schema):
+            name = tmp_path / f"{many}-{prompt}"
+            name.write_text("")
+            time.sleep(0.05)
+            n = len(list(tmp_path.glob(f"{many}-*")))
+            with open(tmp_path / f"seen-{many}", "a") as sink:
+                sink.write(f"{n}\n")
+            name.unlink()
+            if prompt == "p7":
+                raise TimeoutError("late")
+            return json.dumps({"answer": prompt})
+
+        return ask
+
+    df = spark.createDataFrame([(i, f"p{i}" if i % 6 else None) for i in range(40)], "i int, p string").coalesce(1)
+    schema = {"properties": {"answer": {"type": "string"}}}
+    rows = extract(df, "p", schema, backend, attempts=2, in_flight=many).collect()
+    for r in rows:
+        if r["p"] == "p7":
+            assert r["answer"] is None and "late" in r["_error"] and r["_attempts"] == 2
+        else:
+            assert r["answer"] == (None if r["p"] is None else json.dumps({"answer": r["p"]}))
+            assert r["_attempts"] == (None if r["p"] is None else 1)
+    seen = list(map(int, (tmp_path / f"seen-{many}").read_text().split()))
+    assert max(seen) == many and len(seen) == len([r for r in rows if r["p"]]) + 1
+    with pytest.raises(ValueError):
+        extract(df, "p", schema, backend, in_flight=0)

@@ -14,11 +14,11 @@ from stagewise.operators.extract import ask_question, extract
 from stagewise.operators.merge import merge_fragments
 from stagewise.operators.parse import parse_csv_table
 from stagewise.operators.prompts import build_prompts
-from stagewise.operators.reshape import cells_to_records, slice_rows
+from stagewise.operators.reshape import Rule, cells_to_records, slice_rows
 from stagewise.operators.validate import with_violations
 from stagewise.plans.calls import Call
 from stagewise.plans.schema import load_schema
-from stagewise.plans.stages import Dependency, Stage, gate_stage, iterate_stage, run_stages, split_record
+from stagewise.plans.stages import Dependency, Resource, Stage, gate_stage, iterate_stage, run_stages, split_record
 from stagewise.sources.documents import resources_from_table
 from workload.base import query, table
 
@@ -354,3 +354,99 @@ class UrlParts:
 def table_function_query(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return call_table_function(pages, UrlParts, F.col("url")).select("page_id", "part_pos", "part")
+
+
+# --- plans with iteration and resources -----------------------------------------------------------------------------
+
+
+def repeating_backend():
+    """A backend that fills every field with the task it is given, lists with one item; without a schema it repeats the task."""
+
+    def ask(prompt, schema):
+        task = prompt.rsplit("CDATA[ ", 1)[1].split(" ]]>")[0]
+        if schema is None:
+            return task
+        return json.dumps({name: [task] if field["type"] == "array" else task for name, field in schema["properties"].items()})
+
+    return ask
+
+
+@query(
+    "run_plan_iterated",
+    """
+    WITH base AS (
+      SELECT o_orderkey, o_orderstatus AS status, 'first ' || o_orderkey AS a, 'item ' || o_orderstatus || ' at 0' AS b,
+             'item ' || o_orderpriority || ' at 1' AS c, o_orderstatus <> 'F' AS goes FROM orders),
+    merged AS (SELECT *, CASE WHEN goes THEN a || '|' || b || '|' || c ELSE a END AS parts, CASE WHEN goes THEN c END AS last FROM base)
+    SELECT o_orderkey, parts, last,
+           CASE WHEN goes THEN last || ' in [' || a || ' ' || b || ' ' || c || ']' END AS report,
+           CASE WHEN goes THEN 'finished' ELSE 'noop' END AS status_items,
+           CASE WHEN goes THEN 'finished' ELSE 'noop' END AS status_report,
+           CASE WHEN goes THEN 3 ELSE 0 END AS n_echoes
+    FROM merged
+    """,
+)
+def run_plan_iterated_query(spark, sf_dir):
+    """A stage per item in the middle of a plan: its answers append to a list that the first stage began, and feed a later stage."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    schema = load_schema(
+        {
+            "properties": {
+                "parts": {"type": "array", "items": {"type": "string"}, "x-session": ["start", "items"]},
+                "last": {"type": "string", "x-session": "items"},
+                "report": {"type": "string", "x-session": "report"},
+            }
+        }
+    )
+    stages = [
+        Stage("report", "{{ .context.last }} in {{ .context.parts }}", depends_on=(Dependency("items"),)),
+        Stage("echo", "{{ .it }}", depends_on=(Dependency("report"),), iterate_on="context.parts"),
+        Stage("items", "item {{ .it }} at {{ .it_pos }}", depends_on=(Dependency("start", "o_orderstatus <> 'F'"),),
+              iterate_on="array(o_orderstatus, o_orderpriority)"),
+        Stage("start", "first {{ .o_orderkey }}"),
+    ]
+    done = run_stages(orders, stages, schema, repeating_backend, keys="o_orderkey", in_flight=4)
+    return done.select(
+        "o_orderkey",
+        F.array_join("context.parts", "|").alias("parts"),
+        "context.last",
+        "context.report",
+        "status_items",
+        "status_report",
+        F.coalesce(F.size("context.echo"), F.lit(0)).alias("n_echoes"),
+    )
+
+
+@query(
+    "run_plan_resources",
+    """
+    WITH lists AS (SELECT n_regionkey, string_agg(n_name, '+' ORDER BY n_nationkey) AS members FROM nation GROUP BY n_regionkey),
+    base AS (
+      SELECT c_custkey, n_regionkey, c_custkey % 50 = 0 AS lost, 'nation-' || CASE WHEN c_custkey % 50 = 0 THEN 'none' ELSE n_nationkey::VARCHAR END AS id,
+             n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT c_custkey, 'of ' || members AS region,
+           CASE WHEN NOT lost THEN '=== ' || id || ' ===' || chr(10) || n_name || chr(10) || '===' || chr(10)
+             || '<Prompt description="The task to execute"><![CDATA[ tell ' || c_custkey || ' ]]></Prompt>' END AS tale,
+           CASE WHEN lost THEN 'failed' ELSE 'finished' END AS status_tale,
+           CASE WHEN lost THEN 'resource not found: ' || id END AS error_tale
+    FROM base JOIN lists USING (n_regionkey)
+    """,
+)
+def run_plan_resources_query(spark, sf_dir):
+    """Two stages with resources: a CSV text that a rule turns into a variable, and a text in front of the prompt, some of them missing."""
+    nation = table(spark, sf_dir, "nation")
+    customers = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = customers.select("c_custkey", "n_regionkey", F.when(F.col("c_custkey") % 50 == 0, "none").otherwise(F.col("n_nationkey").cast("string")).alias("place"))
+    line = F.concat_ws(",", "n_nationkey", "n_name")
+    lists = nation.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda r: r["line"]), "\n").alias("text"))
+    files = lists.select(F.concat(F.lit("region-"), "n_regionkey", F.lit(".csv")).alias("id"), "text")
+    files = files.union(nation.select(F.concat(F.lit("nation-"), "n_nationkey"), "n_name"))
+    schema = load_schema({"properties": {"region": {"type": "string", "x-session": "region"}, "tale": {"type": "string", "x-session": "tale"}}})
+    stages = [
+        Stage("region", "of {{ .vars.members }}", resources=(Resource("region-{{ .n_regionkey }}.csv", "vars", "members"),)),
+        Stage("tale", "tell {{ .c_custkey }}", resources=(Resource("nation-{{ .place }}"),)),
+    ]
+    rules = [Rule("members", on_resource=stages[0].resources[0].identifier, parser="csv", expr="array_join(transform(args, r -> r[1]), '+')")]
+    done = run_stages(rows, stages, schema, rules=rules, keys="c_custkey", catalog=resources_from_table(files, "id", "text"))
+    region = F.regexp_extract("context.region", r"CDATA\[ (.*) \]\]>", 1)
+    return done.select("c_custkey", region.alias("region"), "context.tale", "status_tale", "error_tale")
