@@ -17,6 +17,7 @@ import hashlib
 import os
 import re
 import uuid
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from itertools import filterfalse
@@ -71,7 +72,7 @@ class PieceIds:
     What is remembered has two generations: at ``most`` pieces the younger becomes the older, and a piece found in the older moves back.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -326,15 +327,17 @@ def _opener(files: pyarrow.fs.FileSystem, top: str, name: str) -> zstandard.Zstd
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data) if data else None)
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
+def read_token_files(manifest: DataFrame, folder: str, digest: bool = False) -> DataFrame:
     """Documents of the shards in a manifest: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids``
     (binary, little-endian unsigned 32-bit), ``shard``, ``place``.
 
-    The running total goes over the manifest, which has one short row per shard.
+    With ``digest``, ``ids_crc32`` (their unsigned crc32) stands in place of the ids, which then stay in the tasks that read them. The running total goes over the manifest, which has one short row per shard.
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
+    column, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
+
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, top = file_system(folder)
         openers: dict[str, zstandard.ZstdDecompressor] = {}
@@ -359,7 +362,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                                 "doc_id": keys,
                                 "start": starts[a:b].astype("int64"),
                                 "n_tokens": index["n_tokens"][a:b].astype("int64"),
-                                "ids": ids,
+                                column: [zlib.crc32(x) for x in ids] if digest else ids,
                                 "shard": shard,
                                 "place": np.arange(a, b),
                             }
@@ -367,7 +370,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     n = max(1, manifest.count())
     dealt = shards.repartition(n, "shard")
-    return dealt.mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary, shard long, place long")
+    return dealt.mapInPandas(read, f"doc_id long, start long, n_tokens long, {column} {kind}, shard long, place long")
 
 
 def _spans(lengths: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
@@ -388,5 +391,4 @@ def token_ids(docs: DataFrame, tokenizer: str, folder: str | None = None) -> Dat
     """
     folder = folder or shared_path(docs.sparkSession, "token-files")
     manifest = write_token_files(docs, folder, tokenizer, train_dictionary(docs, tokenizer))
-    found = read_token_files(manifest, folder)
-    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids").select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "place")
+    return read_token_files(manifest, folder, digest=True).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "place")
