@@ -5,6 +5,11 @@ with that place, and all of them lie on ``k + 1`` neighbouring diagonals (place
 q-grams a document shares with an item are counted in bands of ``2 (k + 1)`` diagonals that overlap by half; bands that reach
 the bound are kept, and only those are aligned, within the band. Texts are lower-cased and runs of white space count as one blank.
 
+``q`` is 8, or less for items under 40 characters, the most that leaves the bound at one: so every item has its full budget, and one under ten
+characters is searched for as it is. A text is worked through in overlapping stretches, and what an item shares with a stretch is written out
+a bounded number of pairs at a time. Where an item and a stretch share one q-gram at so many places that the counts say nothing (rulers, tables,
+blank forms), the item is aligned with the whole stretch instead.
+
 Documents are never shuffled. The index of the items goes to every task: items are taken in blocks of bounded size, one pass over the
 documents for each block.
 """
@@ -19,12 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Longest q-gram.
 Q = 8
 #: Edits allowed per character of an item.
 EDIT_RATE = 0.1
 #: Characters of items that one pass searches for.
 BLOCK_CHARS = 4_000_000
 TABLE_BITS = 22
+#: Characters of a text searched at a time, shared q-grams (pairs of places) of an item beyond which it is aligned without them, and pairs
+#: written out at a time.
+STRETCH, MOST_PAIRS, PAIRS_AT_ONCE = 65_536, 262_144, 2_000_000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,22 +51,29 @@ def codes_of(text: str) -> np.ndarray:
         return np.where(points < 256, points, (points * 40503 >> 8) & 255).astype(np.uint8)
 
 
-def grams_of(codes: np.ndarray) -> np.ndarray:
+def grams_of(codes: np.ndarray, q: int = Q) -> np.ndarray:
     """The q-gram at each place, as one number."""
-    if len(codes) < Q:
+    if len(codes) < q:
         return np.empty(0, np.uint64)
-    return np.ndarray(len(codes) - Q + 1, "<u8", codes.tobytes(), strides=(1,))
+    whole = np.ndarray(len(codes) - q + 1, "<u8", codes.tobytes() + bytes(Q - q), strides=(1,))
+    return whole & np.uint64((1 << 8 * q) - 1)
 
 
 def budget_of(length: int) -> int:
-    """Edits allowed in an item: the rate, but no more than leave one common q-gram."""
-    return max(0, min(int(EDIT_RATE * length), length // Q - 1))
+    """Edits allowed in an item."""
+    return int(EDIT_RATE * length + 1e-9)
+
+
+def gram_length(length: int) -> int:
+    """Longest q up to ``Q`` for which an item with all its edits still shares a q-gram."""
+    return min(Q, length // (budget_of(length) + 1))
 
 
 @dataclass
-class ItemIndex:
-    """q-grams of a block of items."""
+class GramIndex:
+    """q-grams of the items that have the same ``q``."""
 
+    q: int
     texts: list[str]
     ids: np.ndarray
     budget: np.ndarray
@@ -67,69 +83,130 @@ class ItemIndex:
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray
+    stretch: int
+    overlap: int
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]]) -> ItemIndex:
-        """Index of (id, text) pairs. Texts of fewer than ``Q`` characters are left out: they can't tell a leak."""
-        pairs = [(i, normal(t)) for i, t in items if i is not None and t]
-        pairs = [(i, t) for i, t in pairs if len(t) >= Q]
-        per = [grams_of(codes_of(t)) for _, t in pairs]
+    def of(cls, q: int, pairs: list[tuple[int, str]]) -> GramIndex:
+        """Index of (id, normalised text) pairs."""
+        per = [grams_of(codes_of(t), q) for _, t in pairs]
         every = np.concatenate([np.empty(0, np.uint64), *per])
         item = np.repeat(np.arange(len(per)), [len(g) for g in per])
         place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(g)) for g in per]]).astype(np.int64)
         order = np.argsort(every, kind="stable")
         grams, first = np.unique(every[order], return_index=True)
-        budget = np.array([budget_of(len(t)) for _, t in pairs], np.int64)
         length = np.array([len(t) for _, t in pairs], np.int64)
+        budget = np.array([budget_of(n) for n in length.tolist()], np.int64)
         table = np.zeros(1 << TABLE_BITS, bool)
         table[slots_of(grams)] = True
+        overlap = int((length + budget).max(initial=0))
         return cls(
+            q,
             [t for _, t in pairs],
             np.array([i for i, _ in pairs], np.int64),
             budget,
-            np.maximum(1, length + 1 - Q * (budget + 1)),
+            length + 1 - q * (budget + 1),
             grams,
             np.append(first, len(every)),
             item[order],
             place[order],
             table,
+            max(STRETCH, 4 * overlap),
+            overlap,
         )
 
-    def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, edits) of the best occurrence of each item in a text; places in the normalised text."""
-        text = normal(text)
-        grams = grams_of(codes_of(text))
-        if not len(grams) or not len(self.grams):
-            return []
+    def leaks(self, text: str, codes: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """(start, end, edits) of the best occurrence of each item in a normalised text."""
+        best: dict[int, tuple[int, int, int]] = {}
+        for start in range(0, max(1, len(text) - self.overlap), self.stretch):
+            stop = start + self.stretch + self.overlap
+            part = text if start == 0 and stop >= len(text) else text[start:stop]
+            for i, (low, high, edits) in self._within(part, codes[start:stop], best).items():
+                if i not in best or edits < best[i][2]:
+                    best[i] = (low + start, high + start, edits)
+        return best
+
+    def _within(self, text: str, codes: np.ndarray, known: dict[int, tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:
+        """The best occurrences in a stretch, of items that are not known to occur without edits."""
+        grams = grams_of(codes, self.q)
         at = np.flatnonzero(self.table[slots_of(grams)])
-        if len(at) < self.bound.min():
-            return []
+        if len(at) < self.bound.min(initial=1):
+            return {}
         found = np.searchsorted(self.grams, grams[at])
         same = self.grams[np.minimum(found, len(self.grams) - 1)] == grams[at]
         at, found = at[same], found[same]
+        different, times = np.unique(found, return_counts=True)
+        entry = self._entries(different)
+        pairs = np.bincount(self.item[entry], np.repeat(times, self.first[different + 1] - self.first[different]), len(self.texts))
+        pairs[[i for i, hit in known.items() if hit[2] == 0]] = 0
+        out: dict[int, tuple[int, int, int]] = {}
+        many = pairs > MOST_PAIRS
+        for i in np.flatnonzero(many).tolist():
+            if hit := anywhere(self.texts[i], text, int(self.budget[i])):
+                out[i] = hit
+        few = np.flatnonzero((pairs >= self.bound) & ~many)
+        for group in np.split(few, np.flatnonzero(np.diff(np.cumsum(pairs[few]) // PAIRS_AT_ONCE)) + 1):
+            if len(group):
+                self._banded(text, at, found, group, out)
+        return out
+
+    def _entries(self, found: np.ndarray) -> np.ndarray:
+        """Places in the index of the entries of some q-grams, one q-gram after another."""
         counts = self.first[found + 1] - self.first[found]
-        total = int(counts.sum())
-        if total < self.bound.min():
-            return []
-        entry = np.repeat(self.first[found] - np.cumsum(counts) + counts, counts) + np.arange(total)
+        return np.repeat(self.first[found] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+
+    def _banded(self, text: str, at: np.ndarray, found: np.ndarray, items: np.ndarray, out: dict[int, tuple[int, int, int]]) -> None:
+        """Count shared q-grams of some items by band, and align where a band reaches the bound."""
+        wanted = np.zeros(len(self.texts), bool)
+        wanted[items] = True
+        different, own = np.unique(found, return_inverse=True)
+        entry = self._entries(different)
+        whose = np.repeat(np.arange(len(different)), self.first[different + 1] - self.first[different])
+        keep = wanted[self.item[entry]]
+        entry, whose = entry[keep], whose[keep]
+        counts = np.bincount(whose, minlength=len(different))
+        first = np.cumsum(counts) - counts
+        each = counts[own]
+        pick = np.repeat(first[own] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+        entry = entry[pick]
         item = self.item[entry]
-        diagonal = np.repeat(at, counts) - self.place[entry]
-        width = self.budget[item] + 1
-        band = diagonal // width
+        diagonal = np.repeat(at, each) - self.place[entry]
+        band = diagonal // (self.budget[item] + 1)
         shift = np.int64(1 << 32)
         key = item * (shift << 1) + band + shift // 2
         keys, shared = np.unique(np.concatenate([key, key - 1]), return_counts=True)
         item = keys // (shift << 1)
         kept = shared >= self.bound[item]
-        best: dict[int, tuple[int, int, int]] = {}
         for i, b in zip(item[kept].tolist(), (keys[kept] % (shift << 1) - shift // 2).tolist(), strict=True):
-            if i in best and best[i][2] == 0:
+            if i in out and out[i][2] == 0:
                 continue
-            low = b * (int(self.budget[i]) + 1)
-            hit = aligned(self.texts[i], text, low, low + 2 * (int(self.budget[i]) + 1) - 1, int(self.budget[i]))
-            if hit and (i not in best or hit[2] < best[i][2]):
-                best[i] = hit
-        return [(int(self.ids[i]), *hit) for i, hit in sorted(best.items())]
+            budget = int(self.budget[i])
+            low = b * (budget + 1)
+            hit = aligned(self.texts[i], text, low, low + 2 * (budget + 1) - 1, budget)
+            if hit and (i not in out or hit[2] < out[i][2]):
+                out[i] = hit
+
+
+@dataclass
+class ItemIndex:
+    """A block of items, by the length of their q-grams."""
+
+    parts: list[GramIndex]
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str]]) -> ItemIndex:
+        """Index of (id, text) pairs; those without id or text, or of nothing but white space, are left out."""
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for i, text in items:
+            if i is not None and text and (text := normal(text)):
+                by_length.setdefault(gram_length(len(text)), []).append((i, text))
+        return cls([GramIndex.of(q, pairs) for q, pairs in sorted(by_length.items())])
+
+    def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item id, start, end, edits) of the best occurrence of each item in a text; places in the normalised text."""
+        text = normal(text)
+        codes = codes_of(text)
+        return sorted((int(part.ids[i]), *hit) for part in self.parts for i, hit in part.leaks(text, codes).items())
 
 
 def slots_of(grams: np.ndarray) -> np.ndarray:
@@ -175,6 +252,29 @@ def aligned(item: str, text: str, low: int, high: int, budget: int) -> tuple[int
     return max(0, stop - len(a)), stop, int(cost[end])
 
 
+def anywhere(item: str, text: str, budget: int) -> tuple[int, int, int] | None:
+    """Best alignment of the whole item with any part of a text: (start, end, edits), or None beyond ``budget`` edits."""
+    exact = text.find(item)
+    if exact >= 0:
+        return exact, exact + len(item), 0
+    if budget == 0:
+        return None
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    base = np.arange(len(points) + 1, dtype="i4")
+    cost = np.zeros(len(points) + 1, "i4")
+    for letter in np.frombuffer(item.encode("utf-32-le", "surrogatepass"), "<u4"):
+        step = cost + 1
+        np.minimum(step[1:], cost[:-1] + (points != letter), out=step[1:])
+        step -= base
+        np.minimum.accumulate(step, out=step)
+        step += base
+        cost = step
+        if cost.min() > budget:
+            return None
+    stop = int(cost.argmin())
+    return max(0, stop - len(item)), stop, int(cost[stop])
+
+
 def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[ItemIndex]:
     """Indexes of the items, a bounded block at a time. Rows without text or id do not count; copies count once."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -190,7 +290,8 @@ def leaks_in(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document row and item that occurs in it: ``doc_id``, ``item_id``, ``start``, ``end``, ``edits``.
 
     The best occurrence is told, the first of equals, in the normalised text. An item occurs where at most a tenth of its
-    characters differ. Null and empty texts hold nothing; an empty table or benchmark gives no rows; repeated rows repeat their findings.
+    characters differ, rounded down; one under ten characters wherever it stands as it is, so items that tell nothing by themselves should not be in
+    the benchmark. Null and empty texts hold nothing; null ids are kept; an empty table or benchmark gives no rows; repeated rows repeat their findings.
     """
     schema = "item_id long, start long, end long, edits long"
     out = docs.sparkSession.createDataFrame([], f"doc_id long, {schema}")

@@ -384,7 +384,7 @@ def test_decontamination(spark):
     want = {}
     for i, t in rows:
         for item, text in items:
-            if t and text and item is not None and len(normal(text)) >= 8:
+            if t and text and item is not None and normal(text):
                 n = edits(normal(text), normal(t))
                 if n <= budget_of(len(normal(text))):
                     want[i, item] = n
@@ -396,6 +396,58 @@ def test_decontamination(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("limits", [(65_536, 262_144, 2_000_000), (64, 40, 100), (64, 0, 100)])
+def test_items_of_any_length_have_their_full_budget(limits, monkeypatch):
+    from stagewise.llm import decontaminate as op
+
+    for name, value in zip(("STRETCH", "MOST_PAIRS", "PAIRS_AT_ONCE"), limits):
+        monkeypatch.setattr(op, name, value)
+    chance = random.Random(7)
+    prose = lambda n, letters="abcdef ": "".join(chance.choices(letters, k=n))
+    items = [(n, op.normal(prose(n, "abcdefghijklm ") + "z")) for n in range(2, 45)]
+    items += [(100, "-" * 33), (101, "-=" * 20), (102, "----+" * 9), (103, "-" * 30 + "x"), (104, "caf\u00e9 \u65e5\u672c" * 6), (105, " \n "), (106, "")]
+    index = op.ItemIndex.of(items)
+    texts = ["", "-", "-" * 700, "=-" * 300 + "x", "----+" * 100, "--- " * 200, prose(500)]
+    for _ in range(90):
+        text = prose(chance.randint(0, 200))
+        for item in chance.sample(items, 3):
+            changed = list(item[1])
+            for _ in range(chance.randint(0, max(1, len(changed) // 9))):
+                if changed:
+                    at = chance.randrange(len(changed))
+                    changed[at : at + 1] = chance.choice([[], ["q"], [changed[at], "q"]])
+            text += "".join(changed) + prose(chance.randint(0, 90))
+        texts.append(text)
+    for text in texts:
+        want = {}
+        for i, item in items:
+            if item.strip():
+                n = edits(item, op.normal(text))
+                if n <= len(item) // 10:
+                    want[i] = n
+        got = {i: (a, b, n) for i, a, b, n in index.leaks(text)}
+        assert set(got) == set(want)
+        for i, (a, b, n) in got.items():
+            assert n >= want[i] and (n > 0 or op.normal(text)[a:b] == dict(items)[i])
+
+
+def test_long_uniform_texts_need_little_memory():
+    import time
+    import tracemalloc
+
+    from stagewise.llm import decontaminate as op
+
+    index = op.ItemIndex.of([(1, "-" * 200), (2, "=" * 30 + "x" + "=" * 60), (3, "an item of words that does not occur in there")])
+    text = "-" * 2_500_000 + "=" * 2_500_000
+    tracemalloc.start()
+    began = time.process_time()
+    got = index.leaks(text)
+    took, (_, peak) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [(i, n) for i, _, _, n in got] == [(1, 0), (2, 1)]
+    assert took < 30 and peak < 200_000_000
+
+
 def test_language(spark):
     from stagewise.llm.language import UNKNOWN, identify, known_language
 
