@@ -1,6 +1,6 @@
 """Bulk parsing of text columns: JSON, CSV, key=value lines, mixed content and call arguments.
 
-The table parsers return good rows and rejects. ``tag_json`` and ``tag_csv`` give both in one pass, with ``_error``.
+A table parser reads and parses its input once and returns one table of good rows and rejects, of which both are views.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ import csv
 import io
 import re
 import sys
-from typing import NamedTuple
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,14 +18,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagewise.functions import json_text as J
-from stagewise.functions.columns import Keys, if_present, let, names, ordered_values, ref
+from stagewise.functions.columns import Keys, let, names, ordered_values, ref
 
 
-class Parsed(NamedTuple):
-    """Good rows and rejected rows of one parse."""
+@dataclass(frozen=True)
+class Parsed:
+    """One parse as one table: ``tagged`` holds good rows, and rejects with a ``reason`` and otherwise their keys only.
 
-    good: DataFrame
-    rejects: DataFrame
+    ``good`` and ``rejects`` are views of it. A caller that needs both writes the table once (``written``) and gets views that read their own files.
+    """
+
+    tagged: DataFrame
+    keys: tuple[str, ...]
+
+    @property
+    def good(self) -> DataFrame:
+        """Rows without a reason."""
+        return self.tagged.filter("reason IS NULL").drop("reason")
+
+    @property
+    def rejects(self) -> DataFrame:
+        """``(keys, reason)`` of the others."""
+        return self.tagged.filter("reason IS NOT NULL").select(*[ref(name) for name in self.keys], "reason")
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        return iter((self.good, self.rejects))
+
+    def written(self, path: str) -> Parsed:
+        """The same parse from a Parquet folder with one part for good rows and one for rejects."""
+        flagged = self.tagged.withColumn("is_reject", F.col("reason").isNotNull())
+        flagged.write.partitionBy("is_reject").parquet(path)
+        stored = self.tagged.sparkSession.read.schema(flagged.schema).parquet(path)
+        return _Written(stored.drop("is_reject"), self.keys, stored)
+
+
+@dataclass(frozen=True)
+class _Written(Parsed):
+    """A parse read from its folder."""
+
+    flagged: DataFrame
+
+    @property
+    def good(self) -> DataFrame:
+        return self.flagged.filter(~F.col("is_reject")).drop("reason", "is_reject")
+
+    @property
+    def rejects(self) -> DataFrame:
+        return self.flagged.filter("is_reject").select(*[ref(name) for name in self.keys], "reason")
 
 
 # Reject reasons and the line format of parameters.
@@ -35,10 +75,6 @@ BAD_KV = "invalid parameter format: "
 KV_LINE = r"^[^=]+=[^=]+$"
 
 
-def _rejects(tagged: DataFrame, keys: Keys) -> DataFrame:
-    return tagged.select(*names(keys), F.explode(if_present(F.col("_error"))).alias("reason"))
-
-
 def container_text(text: Column) -> Column:
     """Canonical JSON of a text that is one object or list, else null; the text null counts as an empty object.
 
@@ -48,22 +84,16 @@ def container_text(text: Column) -> Column:
     return F.coalesce(container, F.when(F.trim(text, F.lit(" \t\r\n")) == "null", F.lit("{}")))
 
 
-def tag_json(df: DataFrame, keys: Keys, col: str) -> DataFrame:
-    """``(keys, kind, json, _error)``: text to object or list; bare scalars and broken text are errors."""
-    parsed = df.select(*names(keys), container_text(ref(col)).alias("json"))
-    return parsed.select(
-        *names(keys),
-        J.json_kind(F.col("json")).alias("kind"),
-        "json",
-        F.when(F.col("json").isNull(), BAD_JSON).alias("_error"),
-    )
+def parse_json_table(df: DataFrame, keys: Keys, col: str) -> Parsed:
+    """JSON documents to ``(keys, kind, json, reason)``: text to object or list; bare scalars and broken text are rejected."""
 
+    def row(json: Column) -> Column:
+        reason = F.when(json.isNull(), BAD_JSON)
+        return F.struct(J.json_kind(json).alias("kind"), json.alias("json"), reason.alias("reason"))
 
-def parse_json_table(df: DataFrame, keys: Keys, col: str) -> Parsed:
-    """JSON documents to good rows ``(keys, kind, json)`` and rejects."""
-    json = F.explode(if_present(container_text(ref(col)))).alias("json")
-    good = df.select(*names(keys), json).select(*names(keys), J.json_kind(F.col("json")).alias("kind"), "json")
-    return Parsed(good, _rejects(tag_json(df, keys, col), keys))
+    # Behind a generator the text is parsed once, whatever filters follow.
+    rows = F.array(let(container_text(ref(col)), row))
+    return Parsed(df.select(*[ref(name) for name in names(keys)], F.inline(rows)), tuple(names(keys)))
 
 
 # A whole CSV text: fields without quotes, or quoted fields with doubled quotes that may span lines.
@@ -113,10 +143,12 @@ def tag_csv(df: DataFrame, keys: Keys, col: str) -> DataFrame:
 
 
 def parse_csv_table(df: DataFrame, keys: Keys, col: str) -> Parsed:
-    """CSV documents to good rows ``(keys, row, cells)`` and rejects."""
-    tagged = tag_csv(df, keys, col)
-    valid = F.when(F.col("_error").isNull(), F.col("rows"))
-    return Parsed(tagged.select(*names(keys), F.posexplode(valid).alias("row", "cells")), _rejects(tagged, keys))
+    """CSV documents to ``(keys, row, cells, reason)``: a row for each of their lines, or one with the reason for the whole document."""
+    none, text = F.lit(None), F.lit(None).cast("string")
+    bad = F.struct(none.cast("int").alias("row"), none.cast("array<string>").alias("cells"), F.col("_error").alias("reason"))
+    good = F.transform("rows", lambda cells, at: F.struct(at.alias("row"), cells.alias("cells"), text.alias("reason")))
+    rows = F.when(F.col("_error").isNull(), good).otherwise(F.array(bad))
+    return Parsed(tag_csv(df, keys, col).select(*[ref(name) for name in names(keys)], F.inline(rows)), tuple(names(keys)))
 
 
 def content_value(text: Column) -> Column:
@@ -152,16 +184,17 @@ def normalize_calls(df: DataFrame, keys: Keys, args: str) -> DataFrame:
 
 
 def parse_kv_table(df: DataFrame, keys: Keys, col: str, ignore_errors: bool = False) -> Parsed:
-    """``k=v`` lines to ``(keys, k, v)``, last line wins; other lines are rejected or skipped."""
-    cols = names(keys)
+    """``k=v`` lines to ``(keys, k, v, reason)``, last line wins; each other line is a reject, or skipped."""
+    cols = [ref(name) for name in names(keys)]
     lines = df.select(*cols, F.posexplode(F.split(ref(col), r"\r?\n", -1)).alias("_pos", "_line"))
     fits = F.col("_line").rlike(KV_LINE)
-    name = F.substring_index("_line", "=", 1)
-    value = F.substring_index("_line", "=", -1)
-    good = (
-        lines.filter(fits)
-        .groupBy(*cols, name.alias("k"))
-        .agg(F.max_by(value, "_pos").alias("v"))
-    )
-    bad = lines.filter(~fits & F.lit(not ignore_errors))
-    return Parsed(good, bad.select(*cols, F.concat(F.lit(BAD_KV), F.col("_line")).alias("reason")))
+    if ignore_errors:
+        lines = lines.filter(fits)
+    # Good lines meet by their name, a bad line is a group of its own by its place.
+    lines = lines.select(*cols, "_pos", "_line", F.when(fits, F.substring_index("_line", "=", 1)).alias("k"))
+    lines = lines.withColumn("_bad", F.when(F.col("k").isNull(), F.col("_pos")))
+    last = lines.groupBy(*cols, "k", "_bad").agg(F.max_by("_line", "_pos").alias("_line"))
+    good = F.col("_bad").isNull()
+    value = F.when(good, F.substring_index("_line", "=", -1))
+    reason = F.when(~good, F.concat(F.lit(BAD_KV), F.col("_line")))
+    return Parsed(last.select(*cols, "k", value.alias("v"), reason.alias("reason")), tuple(names(keys)))

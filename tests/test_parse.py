@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from stagewise.operators.parse import (
     normalize_calls,
     normalize_content,
@@ -10,8 +12,8 @@ from stagewise.operators.parse import (
 )
 
 TEXTS = {
-    1: '{"foo": "bar"}',
-    2: '["foo", "bar"]',
+    1: '{"moor": "heath"}',
+    2: '["moor", "heath"]',
     3: "3",
     4: '"x"',
     5: "null",
@@ -32,8 +34,8 @@ def test_json_accepts_exactly_one_container(spark):
     good, rejects = parse_json_table(df, "k", "t")
     got = {r["k"]: (r["kind"], json.loads(r["json"])) for r in good.collect()}
     assert got == {
-        1: ("object", {"foo": "bar"}),
-        2: ("array", ["foo", "bar"]),
+        1: ("object", {"moor": "heath"}),
+        2: ("array", ["moor", "heath"]),
         5: ("object", {}),
         11: ("object", {"b": {"c": [1, {"d": None}]}}),
         12: ("object", {"a": 2}),
@@ -48,8 +50,8 @@ def csv_of(spark, text):
 
 
 def test_csv_cases(spark):
-    assert csv_of(spark, "foo,bar\nbar,foo") == [["foo", "bar"], ["bar", "foo"]]
-    assert csv_of(spark, "john,doe\r\nbill,murray\r\n") == [["john", "doe"], ["bill", "murray"]]
+    assert csv_of(spark, "oak,21\nelm,8") == [["oak", "21"], ["elm", "8"]]
+    assert csv_of(spark, "kiel,oslo\r\nbonn,riga\r\n") == [["kiel", "oslo"], ["bonn", "riga"]]
     assert csv_of(spark, "a,\n\n,b\n") == [["a", ""], ["", "b"]]
     assert csv_of(spark, 'a,"x\ny"\n"q ""u""",b') == [["a", "x\ny"], ['q "u"', "b"]]
     assert csv_of(spark, 'a,"x\r\ny"\r\nb,c') == [["a", "x\ny"], ["b", "c"]]
@@ -67,12 +69,29 @@ def test_csv_rows_and_rejects(spark):
     assert [(r["k"], r["reason"]) for r in rejects.collect()] == [(2, "wrong number of fields")]
 
 
+@pytest.mark.parametrize("parse", [parse_json_table, parse_csv_table, parse_kv_table])
+def test_parsers_read_and_parse_once(spark, tmp_path, parse, capsys):
+    rows = [(1, '{"a": 1}'), (2, "x=1\nx=2\nbad"), (None, "a,b\nc"), (4, 'a,"b\n'), (5, None)]
+    spark.createDataFrame(rows, "id int, t string").write.parquet(str(tmp_path / "in"))
+    parsed = parse(spark.read.parquet(str(tmp_path / "in")), "id", "t")
+    parsed.tagged.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and plan.count("Generate") == 1 and plan.count("ArrowEvalPython") <= 1
+    good, rejects = parsed
+    assert good.count() + rejects.count() == parsed.tagged.count()
+    stored = parsed.written(str(tmp_path / "out"))
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert order(stored.good) == order(good) and order(stored.rejects) == order(rejects) and order(stored.tagged) == order(parsed.tagged)
+    stored.rejects.explain()
+    assert "PartitionFilters: [isnotnull(is_reject" in capsys.readouterr().out
+
+
 def test_kv_lines(spark):
-    df = spark.createDataFrame([(1, "a=1\nb=2\na=3\nbad\nc==d\n=x")], "k int, t string")
-    good, rejects = parse_kv_table(df, "k", "t")
+    df = spark.createDataFrame([(1, "a=1\nb=2\na=3\nbad\nc==d\n=x")], "id int, t string")
+    good, rejects = parse_kv_table(df, "id", "t")
     assert sorted((r[1], r[2]) for r in good.collect()) == [("a", "3"), ("b", "2")]
     assert len(rejects.collect()) == 3
-    assert parse_kv_table(df, "k", "t", ignore_errors=True).rejects.count() == 0
+    assert parse_kv_table(df, "id", "t", ignore_errors=True).rejects.count() == 0
 
 
 def test_content_unwraps_single_items(spark):

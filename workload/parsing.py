@@ -37,8 +37,7 @@ def mixed_json(spark, sf_dir):
     """,
 )
 def parse_json_table_query(spark, sf_dir):
-    good, rejects = parse_json_table(mixed_json(spark, sf_dir), "event_id", "body")
-    return good.unionByName(rejects, allowMissingColumns=True)
+    return parse_json_table(mixed_json(spark, sf_dir), "event_id", "body").tagged
 
 
 @query(
@@ -46,8 +45,10 @@ def parse_json_table_query(spark, sf_dir):
     """
     SELECT o_orderkey, CAST(r.row AS INTEGER) AS row,
            CASE r.row WHEN 0 THEN 'key|status|priority' ELSE o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority END
-             AS cells
+             AS cells, CAST(NULL AS VARCHAR) AS reason
     FROM orders, (VALUES (0), (1)) AS r(row) WHERE o_orderkey % 10 <> 0
+    UNION ALL
+    SELECT o_orderkey, NULL, NULL, 'wrong number of fields' FROM orders WHERE o_orderkey % 10 = 0
     """,
 )
 def parse_csv_table_query(spark, sf_dir):
@@ -57,8 +58,7 @@ def parse_csv_table_query(spark, sf_dir):
     )
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
     docs = orders.select("o_orderkey", text.alias("body"))
-    good, _ = parse_csv_table(docs, "o_orderkey", "body")
-    return good.withColumn("cells", F.array_join("cells", "|"))
+    return parse_csv_table(docs, "o_orderkey", "body").tagged.withColumn("cells", F.array_join("cells", "|"))
 
 
 @query(
@@ -143,5 +143,4 @@ def normalize_calls_query(spark, sf_dir):
     """,
 )
 def parse_kv_table_query(spark, sf_dir):
-    good, rejects = parse_kv_table(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
-    return good.unionByName(rejects, allowMissingColumns=True)
+    return parse_kv_table(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").tagged
