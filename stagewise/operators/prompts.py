@@ -12,6 +12,7 @@ from stagewise.functions.columns import Keys, names, ref
 from stagewise.functions.envelope import Node, cdata
 from stagewise.functions.templates import compile_template
 from stagewise.operators.conversation import join_parts
+from stagewise.operators.reshape import prefix_sums
 
 # Descriptions and content types inside the envelope.
 PROMPT_DESCRIPTION = "The task to execute"
@@ -74,10 +75,20 @@ def document_block(identifier: Column, text: Column, style: str) -> Column:
     raise ValueError(f"unknown style: {style}")
 
 
+def document_blocks(df: DataFrame, keys: Keys, pos: str, identifier: str, text: str, style: str = "banner") -> DataFrame:
+    """``(keys, block, offset, text)``: the documents of a group as numbered blocks, each with the bytes of the blocks before it.
+
+    The blocks in order are the text of the group, however large it is; a writer can put each at its offset by itself.
+    """
+    blocks = df.select(*[ref(name) for name in names(keys)], ref(pos).alias("_at"), document_block(ref(identifier), ref(text), style).alias("_block"))
+    placed = prefix_sums(blocks, keys, "_at", {"block": F.lit(1), "offset": F.octet_length("_block")})
+    return placed.select(*[ref(name) for name in names(keys)], "block", "offset", F.col("_block").alias("text"))
+
+
 def wrap_documents(
     df: DataFrame, keys: Keys, pos: str, identifier: str, text: str, style: str = "banner"
 ) -> DataFrame:
-    """``(keys, text)``: the documents of a group as blocks, joined in the order of ``pos``."""
+    """``(keys, text)``: the documents of a group as blocks, joined in the order of ``pos``. For groups that fit a cell; others: ``document_blocks``."""
     blocks = df.select(*names(keys), ref(pos).alias("_at"), document_block(ref(identifier), ref(text), style).alias("_block"))
     return join_parts(blocks, keys, "_at", "_block")
 

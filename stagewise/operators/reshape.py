@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from stagewise.functions.columns import Keys, join_on, names, ref
 from stagewise.operators.parse import container_text, csv_rows
-from stagewise.session import materialize
 
 
 def reshape(df: DataFrame, fields: dict[str, str], keep: Keys = ()) -> DataFrame:
@@ -177,20 +176,62 @@ def unique_rows(df: DataFrame, keys: Keys, value: str, seq: str) -> DataFrame:
     return df.groupBy(*names(keys), value).agg(F.min(seq).alias(seq))
 
 
-def numbered_rows(df: DataFrame, keys: Keys, seq: str, out: str = "rn") -> DataFrame:
-    """Exact 0-based row number inside each group, in ``seq`` order, also for groups far larger than one task.
+#: One row in so many may become a border of ranges, of a group at most so many rows do.
+BORDER_SHARE, MOST_BORDERS = 1 << 12, 1 << 11
+
 
-    A range partitioning on (keys, seq) spreads a large group over many tasks. It is written once, because its borders
-    come from a sample; numbers are then the rows in the group's earlier ranges plus the number inside the range.
+def range_borders(df: DataFrame, keys: Keys, seq: str) -> DataFrame:
+    """``(keys, _borders)``: sorted values of ``seq`` that cut a large group into ranges of about equal size; small groups have none.
+
+    Rows are drawn by the hash of key and order, so the borders are the same in every evaluation. A row's level is how often the share that
+    draws it halves; a group keeps its rows from the lowest level on that leaves ``MOST_BORDERS`` of them at most.
     """
     cols = names(keys)
-    ranges = materialize(df.repartitionByRange(*cols, seq).withColumn("_range", F.spark_partition_id()))
-    earlier = W.partitionBy(*cols).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    counts = ranges.groupBy(*cols, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(*cols, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(W.partitionBy(*cols, "_range").orderBy(seq)) - 1
-    numbered = join_on(ranges, offsets, [*cols, "_range"]).withColumn(out, (F.col("_offset") + inside).cast("bigint"))
-    return numbered.drop("_range", "_offset")
+    place = F.shiftrightunsigned(F.xxhash64(*[ref(name) for name in cols], ref(seq)), 11) + 1
+    level = F.floor(53 - F.log2(place.cast("double"))).alias("_level")
+    drawn = df.select(*[ref(name) for name in cols], ref(seq).alias("_at"), level).filter(F.col("_level") >= BORDER_SHARE.bit_length() - 1)
+    downward = W.partitionBy(*[ref(name) for name in cols]).orderBy(F.desc("_level"))
+    sums = drawn.groupBy(*[ref(name) for name in cols], "_level").agg(F.count(F.lit(1)).alias("_n")).withColumn("_n", F.sum("_n").over(downward))
+    least = sums.filter(F.col("_n") <= MOST_BORDERS).groupBy(*[ref(name) for name in cols]).agg(F.min("_level").alias("_least"))
+    kept = join_on(drawn, least, cols).filter(F.col("_level") >= F.col("_least"))
+    return kept.groupBy(*[ref(name) for name in cols]).agg(F.array_sort(F.collect_set("_at")).alias("_borders"))
+
+
+def _range_of(value: Column) -> Column:
+    """How many borders lie below a value, by halving steps."""
+    size = F.size("_borders")
+
+    def step(below: Column, power: Column) -> Column:
+        further = below + power
+        return F.when((further <= size) & (F.get("_borders", further - 1) < value), further).otherwise(below)
+
+    powers = F.array(*[F.lit(1 << i) for i in reversed(range(MOST_BORDERS.bit_length()))])
+    return F.when(F.col("_borders").isNull() | value.isNull(), 0).otherwise(F.aggregate(powers, F.lit(0), step))
+
+
+def prefix_sums(df: DataFrame, keys: Keys, seq: str, amounts: dict[str, Column]) -> DataFrame:
+    """Add, by name, the sums of some amounts over the rows of the group before each row, in ``seq`` order, for groups of any size.
+
+    A large group is cut into ranges by borders that depend on its rows alone: sums of whole ranges are added up and joined back, and only the rows of
+    a range meet. Nothing runs before the result is asked for. Rows with equal order are in one range, in any order. Null orders come first.
+    """
+    cols, group = names(keys), [ref(name) for name in names(keys)]
+    ranged = join_on(df, range_borders(df, keys, seq), cols, "left").withColumn("_range", _range_of(ref(seq))).drop("_borders")
+    ranged = ranged.withColumns({f"_amount_{name}": amount for name, amount in amounts.items()})
+    earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*group, "_range").orderBy(ref(seq)).rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy(*group, "_range").agg(*[F.sum(f"_amount_{name}").alias(f"_offset_{name}") for name in amounts])
+    nothing = F.lit(0)
+    offsets = [F.coalesce(F.sum(f"_offset_{name}").over(earlier), nothing).alias(f"_offset_{name}") for name in amounts]
+    inside = {f"_inside_{name}": F.coalesce(F.sum(f"_amount_{name}").over(before), nothing) for name in amounts}
+    joined = join_on(ranged.withColumns(inside), sums.select(*group, "_range", *offsets), [*cols, "_range"])
+    out = {name: (F.col(f"_offset_{name}") + F.col(f"_inside_{name}")).cast("bigint") for name in amounts}
+    return joined.withColumns(out).drop("_range", *[f"_{part}_{name}" for part in ("offset", "inside", "amount") for name in amounts])
+
+
+def numbered_rows(df: DataFrame, keys: Keys, seq: str, out: str = "rn") -> DataFrame:
+    """Exact 0-based row number inside each group, in ``seq`` order, also for groups far larger than one task."""
+    return prefix_sums(df, keys, seq, {out: F.lit(1)})
 
 
 def chunk_rows(df: DataFrame, keys: Keys, seq: str, n: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Sources, sinks, reshaping, lookups, conversations, events."""
 
+import bisect
 import json
 
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from stagewise.functions.registry import FunctionRegistry
 from stagewise.operators.conversation import attach_once, join_parts, loop_guard
 from stagewise.operators.lookup import attach_resources, missing_required, route_resources, upsert_by_key
+from stagewise.operators import reshape
+from stagewise.operators.prompts import document_blocks, wrap_documents
 from stagewise.operators.reshape import (
     Rule,
     apply_transformers,
@@ -16,6 +19,7 @@ from stagewise.operators.reshape import (
     gate,
     iterate,
     numbered_rows,
+    prefix_sums,
     slice_rows,
     unique_rows,
 )
@@ -156,6 +160,47 @@ def test_numbers_of_a_hot_key(spark):
     assert got == {(k, s): i for k, v in by_key.items() for i, s in enumerate(sorted(v))}
 
 
+@pytest.mark.parametrize(("share", "most"), [(2, 8), (4, 64), (1 << 12, 1 << 11)])
+def test_prefix_sums_over_ranges(spark, monkeypatch, share, most):
+    monkeypatch.setattr(reshape, "BORDER_SHARE", share)
+    monkeypatch.setattr(reshape, "MOST_BORDERS", most)
+    rows = [("hot", f"{i:05}", i % 7) for i in range(4000)] + [(f"k{i % 30}", f"{i:05}", 1) for i in range(300)] + [(None, "b", 2), (None, None, 5)]
+    df = spark.createDataFrame(rows, "k string, s string, v int").repartition(8)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    summed = prefix_sums(df, "k", "s", {"n": F.lit(1), "total": F.col("v")})
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    want, last = {}, {}
+    for k, s, v in sorted(rows, key=lambda r: (r[0] or "", r[1] or "")):
+        n, total = last.get(k, (0, 0))
+        want[k, s], last[k] = (n, total), (n + 1, total + v)
+    assert {(r["k"], r["s"]): (r["n"], r["total"]) for r in summed.collect()} == want
+    borders = {r["k"]: r["_borders"] for r in reshape.range_borders(df, "k", "s").collect()}
+    if share < 10:
+        assert most // 4 <= len(borders["hot"]) <= most
+        ranges = range_borders_counts(df, borders["hot"])
+        assert max(ranges) < 4000 * 12 / len(borders["hot"])
+    else:
+        assert len(borders.get("hot", [])) < 8
+
+
+def range_borders_counts(df, borders):
+    values = sorted(r["s"] for r in df.filter("k = 'hot'").collect())
+    edges = [bisect.bisect_left(values, b) for b in borders]
+    return [b - a for a, b in zip([0, *edges], [*edges, len(values)])]
+
+
+def test_blocks_of_a_group_have_places(spark):
+    rows = [("a", i, f"d{i}", "\u00e4" * (i % 5)) for i in range(40)] + [("b", 1, "x", "y"), ("b", 0, "n", None)]
+    blocks = document_blocks(spark.createDataFrame(rows, "g string, at int, id string, t string"), "g", "at", "id", "t").collect()
+    whole = {r["g"]: r["text"] for r in wrap_documents(spark.createDataFrame(rows, "g string, at int, id string, t string"), "g", "at", "id", "t").collect()}
+    for g in "ab":
+        own = sorted((r for r in blocks if r["g"] == g), key=lambda r: r["block"])
+        assert [r["block"] for r in own] == list(range(len(own)))
+        data = whole[g].encode()
+        assert "".join(r["text"] for r in own if r["text"]) == whole[g]
+        assert all(data[r["offset"] :].startswith((r["text"] or "").encode()) for r in own)
+
+
 def test_chunks_and_unique(spark):
     df = spark.createDataFrame([("a", i, i % 2) for i in range(7)], "k string, s int, v int")
     rows = chunk_rows(df, "k", "s", 3).orderBy("s").collect()

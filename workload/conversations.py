@@ -15,7 +15,7 @@ from stagewise.operators.conversation import (
     loop_guard,
     tool_calls,
 )
-from stagewise.operators.prompts import CallOutput, build_prompts, expand_preprompts, wrap_documents
+from stagewise.operators.prompts import CallOutput, build_prompts, document_blocks, expand_preprompts, wrap_documents
 from workload.base import query, table
 
 _SYSTEM = "Answer in JSON."
@@ -116,31 +116,47 @@ def build_prompts_query(spark, sf_dir):
     return build_prompts(docs, "text", "context", calls=[call]).select("doc_id", "prompt_text")
 
 
-_WRAPPED = """
-    SELECT source, string_agg({block}, '' ORDER BY doc_id) AS text FROM documents GROUP BY source
-    """
+_BANNER = "'=== ' || lang || '/' || doc_id || ' ===' || chr(10) || text || chr(10) || '===' || chr(10)"
+_ELEMENT = """'<Document name="' || lang || '/' || doc_id || '"><![CDATA[ ' || replace(text, ']]>', ']]]]><![CDATA[>') || ' ]]></Document>' || chr(10)"""
 
 
-def _wrapped(spark, sf_dir, style):
-    docs = table(spark, sf_dir, "documents").withColumn("name", F.concat("lang", F.lit("/"), "doc_id"))
-    return wrap_documents(docs, "source", "doc_id", "name", "text", style)
+def _named(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumn("name", F.concat("lang", F.lit("/"), "doc_id"))
 
 
 @query(
-    "wrap_documents_banner",
-    _WRAPPED.format(block="'=== ' || lang || '/' || doc_id || ' ===' || chr(10) || text || chr(10) || '===' || chr(10)"),
+    "document_blocks",
+    f"""
+    WITH b AS (SELECT source, doc_id, {_BANNER} AS text FROM documents)
+    SELECT source, row_number() OVER w - 1 AS block, (coalesce(sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", text
+    FROM b WINDOW w AS (PARTITION BY source ORDER BY doc_id)
+    """,
 )
+def document_blocks_query(spark, sf_dir):
+    """All documents of a source, which may be most of the table, as blocks with their places."""
+    return document_blocks(_named(spark, sf_dir), "source", "doc_id", "name", "text", "banner")
+
+
+def _wrapped(spark, sf_dir, style):
+    """Documents that a turn of a conversation refers to: a few, by conversation and turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    asked = _named(spark, sf_dir).join(turns, F.col("doc_id") == F.col("conv_id") + F.col("turn"))
+    return wrap_documents(asked, "conv_id", "doc_id", "name", "text", style)
+
+
+_WRAPPED = """
+    SELECT conv_id, string_agg({block}, '' ORDER BY doc_id) AS text
+    FROM documents JOIN conversations ON doc_id = conv_id + turn GROUP BY conv_id
+    """
+
+
+@query("wrap_documents_banner", _WRAPPED.format(block=_BANNER.replace("text", "documents.text")))
 def wrap_documents_banner_query(spark, sf_dir):
     return _wrapped(spark, sf_dir, "banner")
 
 
-@query(
-    "wrap_documents_element",
-    _WRAPPED.format(
-        block="'<Document name=\"' || lang || '/' || doc_id || '\"><![CDATA[ ' || replace(text, ']]>', ']]]]><![CDATA[>')"
-        " || ' ]]></Document>' || chr(10)"
-    ),
-)
+@query("wrap_documents_element", _WRAPPED.format(block=_ELEMENT.replace("(text", "(documents.text")))
 def wrap_documents_element_query(spark, sf_dir):
     return _wrapped(spark, sf_dir, "element")
 
