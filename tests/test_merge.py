@@ -149,9 +149,8 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
     running = merge_fragments_stream(
         stream, "k", "s", "f", str(tmp_path / "out"), str(tmp_path / "ckpt"), {"availableNow": True}
     )
-    for one in running:
-        one.awaitTermination()
-        assert one.exception() is None
+    running.awaitTermination()
+    assert running.exception() is None
     key = ["k", "field", "seq", "pos", "name"]
     got = read_merged(spark, "k", str(tmp_path / "out")).orderBy(*key).collect()
     batch = spark.createDataFrame(data, "k string, s bigint, f string")
