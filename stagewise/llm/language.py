@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from stagewise.llm.tables import fold_of, if_small, stored
 
-#: Bounds of the training sample: texts of a language, characters of a text, bytes of a dictionary.
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 400, 64 * 1024
+#: Bounds of the training sample: languages (the most frequent ones), passages of a language, characters of a passage. All passages are used.
+LANGUAGES, PASSAGES, PASSAGE_CHARS = 256, 170, 400
 PIECE_BYTES = 2048
 LEVEL = 12
 MIN_MARGIN = 0.002
@@ -36,26 +36,28 @@ RESULT = T.StructType(
 )
 
 
-def learn_dictionaries(train: DataFrame, sample: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """Dictionary bytes of each language, most frequent first, from at most ``sample`` texts of each: those whose hash is smallest.
+def learn_dictionaries(train: DataFrame, sample: int = PASSAGES) -> dict[str, bytes]:
+    """Dictionary bytes of each language, most frequent first, from one passage each of at most ``sample`` texts: those whose hash is smallest.
 
-    ``train`` has ``text`` and ``lang``; rows where either is null do not count. Copies of a text count once. A first pass over
-    ``lang`` alone counts rows; the second looks only at texts whose hash falls into a share that leaves about four times the
-    sample, so no language is ever gathered whole.
+    The hash of a text also says where its passage begins, so any part of a long text may be taken. ``train`` has ``text`` and ``lang``; rows where
+    either is null do not count. Copies of a text count once. A first pass over ``lang`` alone counts rows; the second looks only at texts
+    whose hash falls into a share that leaves about four times the sample, so no language is ever gathered whole.
     """
     rows = train.filter("lang is not null and text is not null").select("lang", "text")
-    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = stored(counts, "languages")
     share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n"))
     parts = rows.join(if_small(counts), "lang").withColumn("h", F.xxhash64("text"))
     few = parts.filter((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < share)
-    few = few.groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    passage = F.expr(f"substring(text, cast(1 + pmod(h, greatest(1, length(text) - {PASSAGE_CHARS - 1})) as int), {PASSAGE_CHARS})")
+    few = few.groupBy("lang", "h").agg(F.min(passage).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     rows = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).orderBy("lang", "r").collect()
     texts: dict[str, list[str]] = {}
     for row in rows:
         texts.setdefault(row.lang, []).append(row.text)
     order = [row.lang for row in counts.orderBy(F.desc("n"), "lang").collect() if row.lang in texts]
-    return {lang: letters_of("\n".join(texts[lang]))[-DICTIONARY_BYTES:] for lang in order}
+    return {lang: letters_of("\n".join(texts[lang])) for lang in order}
 
 
 def letters_of(text: str) -> bytes:
