@@ -16,10 +16,10 @@ def in_share(value: Column, most: int, of: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: dict[int, int]) -> DataFrame:
-    """``text`` and ``label`` of at most ``most[c]`` rows of each class ``c``: those whose id has the smallest hash.
+    """``text`` and ``label`` of at most ``most[c]`` ids of each class ``c``, one row each: those whose id has the smallest hash.
 
-    ``train`` is a condition on ``doc_id``. Rows without id or label do not count; of several labels of an id the greatest holds. The ids are few by
-    the bounds given, so they are broadcast and the documents are not shuffled.
+    ``train`` is a condition on ``doc_id``. Rows without id or label do not count; of several labels of an id the greatest holds, of several texts the
+    least. The ids are few by the bounds given, so they are broadcast and only texts of the sample are shuffled.
     """
     known = labels.filter(train & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label)).cast("int").alias("label"))
@@ -31,4 +31,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         some = some.orderBy("h", "doc_id").limit(n).select("doc_id", "label")
         picked = some if picked is None else picked.union(some)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(picked), "doc_id").select("text", "label")
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return found.select("text", "label")

@@ -119,11 +119,23 @@ def feature_column(lexicon: dict[str, float]):
     return features
 
 
+def _spans(sizes: dict[tuple[int, int], int]) -> tuple[list[int], list[int], list[int]]:
+    """Parts of the sample for the lexicon, the trees and the calibration, each with rows of both classes."""
+    lexicon, fitted, level = list(range(4)), list(range(4, 8)), list(range(8, PARTS))
+    both = lambda parts: all(any(sizes.get((c, p)) for p in parts) for c in (0, 1))
+    if not both(lexicon) or not both(fitted):
+        lexicon = fitted = level = list(range(PARTS))
+    elif not both(level):
+        level = fitted
+    return lexicon, fitted, level
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row, repeated ones too; learned from labels of rows that are not held out.
 
-    Null and empty texts have zero features and get the score of those. Where the sample lacks one of the classes, all scores are the
-    share of toxic rows in it (0 if there are none).
+    Null and empty texts have zero features and get the score of those. Lexicon, trees and calibration learn from parts of the sample of their own; where
+    the part for calibration lacks a class, it shares the trees' part, and where that or the lexicon's lacks one, all three learn from the whole
+    sample. Only where the whole sample lacks a class, all scores are the share of toxic rows in it (0 if there are none).
     """
     fold = fold_of(F.col("doc_id"), FOLDS)
     sample = labelled_sample(docs, labels, "toxic", fold != HELD_OUT, SAMPLE)
@@ -133,20 +145,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     total = {c: sum(n for (label, _), n in sizes.items() if label == c) for c in (0, 1)}
     score = F.lit(total[1] / max(1, sum(total.values())))
     scored = docs.select(*keys, score.alias("score"))
-    if all(sum(sizes.get((c, p), 0) for p in span) for c in (0, 1) for span in (range(4), range(4, 8), range(8, 10))):
-        features = feature_column(learn_lexicon(sample.filter("part < 4")))
+    if total[0] and total[1]:
+        lexicon, fitted, level = _spans(sizes)
+        features = feature_column(learn_lexicon(sample.filter(F.col("part").isin(lexicon))))
         vector = array_to_vector(features("text")).alias("features")
-        rows = stored(sample.filter("part >= 4").select(features("text").alias("x"), F.col("label").cast("double").alias("label"), "part"), "toxic-features")
+        rows = stored(sample.filter(F.col("part").isin([*fitted, *level])).select(features("text").alias("x"), F.col("label").cast("double").alias("label"), "part"), "toxic-features")
         rows = rows.withColumn("features", array_to_vector("x"))
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=64)
-        model = trees.fit(rows.filter("part < 8").select("features", "label"))
+        model = trees.fit(rows.filter(F.col("part").isin(fitted)).select("features", "label"))
         margin = vector_to_array("rawPrediction")[1].alias("margin")
         known = labels.filter((fold != HELD_OUT) & F.col("doc_id").isNotNull()).groupBy("toxic").agg(F.count("*").alias("n"))
         known = {row.toxic: row.n for row in known.collect()}
         weight = F.when(F.col("label") == 1, known.get(1, 0) / total[1]).otherwise(known.get(0, 0) / total[0])
-        held = model.transform(rows.filter("part >= 8")).select(margin, "label", weight.alias("weight"))
-        level = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight", predictionCol="score").fit(held)
+        held = model.transform(rows.filter(F.col("part").isin(level))).select(margin, "label", weight.alias("weight"))
+        calibrated = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight", predictionCol="score").fit(held)
         found = model.transform(docs.select(*keys, vector)).select("doc_id", "held_out", margin)
-        scored = level.transform(found)
+        scored = calibrated.transform(found)
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score"))
     return scored.select("doc_id", "held_out", score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
