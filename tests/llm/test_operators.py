@@ -464,6 +464,88 @@ def test_language(spark):
     assert kept.columns == docs.columns and 0.99 * docs.count() < kept.count() <= docs.count()
 
 
+def test_language_is_the_one_that_compresses_best(spark):
+    import re
+
+    import zstandard
+    from stagewise.llm import language as op
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = {r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+    learned = op.learn_dictionaries(docs.filter(~F.col("doc_id").isin(list(held))))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    whole = {lang: " ".join(re.sub(r"[\W\d_]+", " ", r.text.lower()) for r in docs.filter(F.col("lang") == lang).collect()) for lang in learned}
+    for lang, data in learned.items():
+        words = data.decode("utf-8", "ignore").split()
+        assert len(words) > 300 and sum(w in whole[lang] for w in words) == len(words)
+    presses = {
+        lang: zstandard.ZstdCompressor(
+            level=op.LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False
+        )
+        for lang, data in learned.items()
+    }
+    got = {r.doc_id: r for r in op.identify(docs).collect()}
+    assert {i for i, r in got.items() if r.held_out} == held
+    for i, text in texts.items():
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        sums = {lang: sum(len(p.compress(data[a : a + 2048])) for a in range(0, len(data), 2048)) for lang, p in presses.items()}
+        best, second = sorted(sums.values())[:2]
+        assert sums[got[i].lang_pred] == best and got[i].score == pytest.approx(1 - best / second, abs=1e-12)
+
+
+def test_all_of_a_passage_is_used(spark):
+    from stagewise.llm import language as op
+
+    rows = [(i, "a" * 3000 + f" only {i} " + "b" * 50_000, "aa") for i in range(400)] + [(1000 + i, f"kurz {'y' * i}", "bb") for i in range(9)]
+    learned = op.learn_dictionaries(frame(spark, rows))
+    assert list(learned) == ["aa", "bb"]
+    assert op.PASSAGES * op.PASSAGE_CHARS * 0.9 < len(learned["aa"]) <= op.PASSAGES * (op.PASSAGE_CHARS + 1)
+    assert learned["aa"].count(b"b") > learned["aa"].count(b"a")
+    assert all(b"kurz" in learned["bb"] and b"y" * i in learned["bb"] for i in range(9))
+
+
+def test_samples_are_bounded_by_rows(spark):
+    from stagewise.llm.samples import labelled_sample
+
+    docs = frame(spark, [(i if i < 50 else 7, f"t{i}") for i in range(5000)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    got = labelled_sample(docs, labels, "quality", F.lit(True), {0: 10, 1: 12}).collect()
+    assert sorted(r.label for r in got) == [0] * 10 + [1] * 12
+
+
+def test_toxicity_of_copies_of_one_text(spark):
+    from stagewise.llm.toxicity import HELD_OUT, _spans, score_toxicity
+
+    chance = random.Random(3)
+    bad = "you vile grobnik! " * 6
+    rows = [(i, bad if i % 10 == 0 else " ".join(chance.choices(WORDS, k=30))) for i in range(2000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(2000)], "doc_id long, quality int, toxic int")
+    got = score_toxicity(frame(spark, rows), labels).collect()
+    assert all(r.predicted == (r.doc_id % 10 == 0) for r in got) and HELD_OUT == 2
+    assert _spans({(c, p): 1 for c in (0, 1) for p in range(10)}) == ([0, 1, 2, 3], [4, 5, 6, 7], [8, 9])
+    assert _spans({(0, p): 1 for p in range(10)} | {(1, p): 1 for p in range(8)}) == ([0, 1, 2, 3], [4, 5, 6, 7], [4, 5, 6, 7])
+    assert _spans({(0, p): 1 for p in range(10)} | {(1, 9): 1})[0] == list(range(10))
+
+
+def test_risk_takes_back_what_is_overfitted():
+    from stagewise.llm.quality import Scorer, estimated_prior
+
+    chance = np.random.default_rng(4)
+    good, bad = chance.normal(1.0, 0.5, (3000, 3)), chance.normal(-1.0, 0.5, (3000, 3))
+    for share in (0.2, 0.5, 0.8):
+        n = int(2000 * share)
+        mixed = np.concatenate([good[1000 : 1000 + n], bad[: 2000 - n]])
+        assert abs(estimated_prior(good[:1000], mixed) - share) < 0.08
+    mixed = np.concatenate([good[1000:1600], bad[:1400]])
+    scorer = Scorer(3).fit(good[:1000], mixed, 0.3)
+    assert (scorer.margins(good[2000:]) > 0).mean() > 0.97 and (scorer.margins(bad[2000:]) < 0).mean() > 0.97
+    # With five positives that are all among few unlabelled rows the risk of the negatives would turn below zero without its bound.
+    few = Scorer(3).fit(good[:5], np.concatenate([good[:5], bad[:5]]), 0.5)
+    x = np.concatenate([good[:5], bad[:5]])
+    rest = np.logaddexp(0, few.margins(x)).mean() - 0.5 * np.logaddexp(0, few.margins(good[:5])).mean()
+    assert rest > -0.05
+
+
 @pytest.mark.parametrize("label", ["toxic", "quality"])
 def test_classifiers(spark, label):
     from stagewise.llm.quality import score_quality
