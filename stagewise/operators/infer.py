@@ -130,4 +130,5 @@ def infer_schema(df: DataFrame, col: str) -> DataFrame:
         rows = [row for frame in frames for row in frame[columns].itertuples(index=False)]
         yield pd.DataFrame({"schema": [json.dumps(build_schema(rows), ensure_ascii=False)]})
 
-    return schema_paths(df, col).select(*columns).coalesce(1).mapInPandas(build, "schema string")
+    # A shuffle of the summary, so that the counting before it keeps its own tasks.
+    return schema_paths(df, col).select(*columns).repartition(1).mapInPandas(build, "schema string")

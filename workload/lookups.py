@@ -49,14 +49,14 @@ def _attached(spark, sf_dir):
     _ATTACHED
     + """
     SELECT a.o_orderkey, CAST(a.req_pos AS INTEGER) AS req_pos, a.identifier, a.dest,
-           CAST(octet_length(encode(d.text)) AS INTEGER) AS n_bytes,
+           md5(d.text) AS digest,
            CASE WHEN d.doc_id IS NULL THEN 'resource not found: ' || a.identifier END AS error
     FROM asked a LEFT JOIN documents d ON a.identifier = 'doc-' || d.doc_id
     """,
 )
 def attach_resources_query(spark, sf_dir):
     return _attached(spark, sf_dir).select(
-        "o_orderkey", "req_pos", "identifier", "dest", F.octet_length("content").alias("n_bytes"), F.col("_error").alias("error")
+        "o_orderkey", "req_pos", "identifier", "dest", F.md5("content").alias("digest"), F.col("_error").alias("error")
     )
 
 

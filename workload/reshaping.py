@@ -70,14 +70,19 @@ def slice_rows_query(spark, sf_dir):
 @query(
     "cells_to_records",
     """
-    SELECT CAST(c_custkey AS VARCHAR) AS customer, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS note FROM customer
+    SELECT CASE WHEN c_custkey % 9 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS customer,
+           CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS segment, CAST(NULL AS VARCHAR) AS note,
+           CASE WHEN c_custkey % 9 = 0 THEN c_custkey END AS rejected, CASE WHEN c_custkey % 9 = 0 THEN 'wrong number of fields' END AS reason
+    FROM customer
     """,
 )
 def cells_to_records_query(spark, sf_dir):
-    text = F.concat(F.lit("id,segment\n"), "c_custkey", F.lit(","), "c_mktsegment")
+    more = F.when(F.col("c_custkey") % 9 == 0, ",more").otherwise("")
+    text = F.concat(F.lit("id,segment\n"), "c_custkey", F.lit(","), "c_mktsegment", more)
     docs = table(spark, sf_dir, "customer").select("c_custkey", text.alias("body"))
-    good, _ = parse_csv_table(docs, "c_custkey", "body")
-    return cells_to_records(slice_rows(good, "c_custkey", "row", start=1), ["customer", "segment", "note"])
+    good, rejects = parse_csv_table(docs, "c_custkey", "body")
+    records = cells_to_records(slice_rows(good, "c_custkey", "row", start=1), ["customer", "segment", "note"])
+    return records.unionByName(rejects.withColumnRenamed("c_custkey", "rejected"), allowMissingColumns=True)
 
 
 @query(
@@ -210,15 +215,16 @@ def chunk_rows_query(spark, sf_dir):
 @query(
     "chunk_array",
     """
-    SELECT vec_id, CAST(c AS INTEGER) AS chunk, CAST(least(10, 64 - c * 10) AS INTEGER) AS n,
-           CAST(embedding[c * 10 + 1] AS DOUBLE) AS head
+    SELECT vec_id, CAST(c AS INTEGER) AS chunk,
+           array_to_string(list_transform(embedding[c * 10 + 1:c * 10 + 10], lambda x: floor(x::DOUBLE * 16777216)::BIGINT), ',') AS part
     FROM embeddings, (SELECT unnest(range(7)) AS c)
     """,
 )
 def chunk_array_query(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     chunks = vectors.select("vec_id", F.posexplode(chunk_array(F.col("embedding"), 10)).alias("chunk", "part"))
-    return chunks.select("vec_id", "chunk", F.size("part").alias("n"), F.get("part", F.lit(0)).cast("double").alias("head"))
+    whole = F.transform("part", lambda x: F.floor(x.cast("double") * 16777216).cast("string"))
+    return chunks.select("vec_id", "chunk", F.array_join(whole, ",").alias("part"))
 
 
 @query(

@@ -64,11 +64,11 @@ def resources_from_base64_query(spark, sf_dir):
              CASE page_id % 5 WHEN 2 THEN 'doc-' || page_id WHEN 3 THEN url || '#gone' ELSE url END AS identifier
       FROM pages),
     catalog AS (
-      SELECT 'pages' AS loader, url AS identifier, octet_length(encode(arg_max(html, page_id))) AS n_bytes
+      SELECT 'pages' AS loader, url AS identifier, md5(arg_max(html, page_id)) AS digest
       FROM pages GROUP BY url
       UNION ALL
-      SELECT 'docs', 'doc-' || doc_id, octet_length(encode(text)) FROM documents)
-    SELECT a.req_id, a.identifier, CAST(c.n_bytes AS INTEGER) AS n_bytes,
+      SELECT 'docs', 'doc-' || doc_id, md5(text) FROM documents)
+    SELECT a.req_id, a.identifier, c.digest,
            CASE WHEN a.loader IS NULL THEN 'no loader selector provided'
                 WHEN a.loader NOT IN ('docs', 'pages') THEN 'no loader found for resource'
                 WHEN c.identifier IS NULL THEN 'resource not found: ' || a.identifier END AS error
@@ -93,7 +93,7 @@ def resolve_resources_query(spark, sf_dir):
         "docs": resources_from_table(docs, "name", "text"),
     }
     loaded = resolve_resources(requests, loaders)
-    return loaded.select("req_id", "identifier", F.octet_length("content").alias("n_bytes"), F.col("_error").alias("error"))
+    return loaded.select("req_id", "identifier", F.md5("content").alias("digest"), F.col("_error").alias("error"))
 
 
 @query("write_records", "SELECT doc_id, lang, n_chars, text FROM documents")

@@ -37,18 +37,20 @@ def event_level_filter_query(spark, sf_dir):
 
 
 _FLAT = """
-    SELECT event_id AS id, 'component' AS name, 'runner' AS value FROM events
-    UNION ALL SELECT event_id, 'type', CASE event_type WHEN 'error' THEN 'error' ELSE 'generic' END FROM events
-    UNION ALL SELECT event_id, 'session', 'stage_' || (user_id % 5) FROM events
-    UNION ALL SELECT event_id, 'iteration', CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'click'
-    UNION ALL SELECT event_id, 'err', props FROM events WHERE event_type = 'error'
-    UNION ALL SELECT event_id, 'k', json_extract_string(props, '$.k') FROM events
+    WITH f AS (
+      SELECT event_id AS id, 0 AS place, 'component' AS name, 'runner' AS value FROM events
+      UNION ALL SELECT event_id, 1, 'type', CASE event_type WHEN 'error' THEN 'error' ELSE 'generic' END FROM events
+      UNION ALL SELECT event_id, 2, 'session', 'stage_' || (user_id % 5) FROM events
+      UNION ALL SELECT event_id, 3, 'iteration', CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'click'
+      UNION ALL SELECT event_id, 4, 'err', props FROM events WHERE event_type = 'error'
+      UNION ALL SELECT event_id, 5, 'k', json_extract_string(props, '$.k') FROM events)
+    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS INTEGER) AS pos, name, value FROM f
     """
 
 
 @query("flatten_events", _FLAT)
 def flatten_events_query(spark, sf_dir):
-    return flatten_events(progress_events(table(spark, sf_dir, "events"))).select("id", "name", "value")
+    return flatten_events(progress_events(table(spark, sf_dir, "events")))
 
 
 def _stream(spark, sf_dir, name):
@@ -61,8 +63,7 @@ def flatten_events_stream_query(spark, sf_dir):
     out = scratch(spark, "flat-events")
     flat = flatten_events(event_level_filter(progress_events(_stream(spark, sf_dir, "events")), "debug"))
     running = (
-        flat.select("id", "name", "value")
-        .writeStream.format("parquet")
+        flat.writeStream.format("parquet")
         .option("path", f"{out}/rows")
         .option("checkpointLocation", f"{out}/state")
         .trigger(availableNow=True)

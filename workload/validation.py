@@ -132,7 +132,8 @@ def item_count_query(spark, sf_dir):
 @query(
     "items",
     """
-    SELECT vec_id, 'embedding[' || i || ']' AS path, 'number_range' AS rule FROM (
+    SELECT vec_id, 'embedding[' || i || ']' AS path, 'number_range' AS rule,
+           'value ' || CAST(x AS DOUBLE)::VARCHAR || ' is greater than maximum 0.1' AS message FROM (
       SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
     WHERE CAST(x AS DOUBLE) > 0.1
     """,
@@ -140,7 +141,7 @@ def item_count_query(spark, sf_dir):
 def items_query(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.struct("embedding").alias("rec"))
     schema = _object(embedding={"type": "array", "items": {"type": "number", "maximum": 0.1}})
-    return validate(rows, "vec_id", "rec", schema).select("vec_id", "path", "rule")
+    return validate(rows, "vec_id", "rec", schema)
 
 
 _DOCUMENTS = {
@@ -229,15 +230,17 @@ def _loose(spark, sf_dir):
 @query(
     "boolean_and_soft_mode",
     """
-    SELECT event_id, 'n' AS path, 'number_range' AS rule FROM events WHERE event_id % 5 IN (0, 2) AND value > 50
-    UNION ALL SELECT event_id, 'n', 'number_range' FROM events WHERE event_id % 5 = 4
-    UNION ALL SELECT event_id, 'n', 'type_is' FROM events WHERE event_id % 5 IN (1, 3)
-    UNION ALL SELECT event_id, 'b', 'type_is' FROM events WHERE event_id % 5 IN (1, 4)
+    SELECT event_id, 'n' AS path, 'number_range' AS rule, 'value ' || CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END || ' is greater than maximum 50' AS message
+    FROM events WHERE event_id % 5 IN (0, 2) AND value > 50
+    UNION ALL SELECT event_id, 'n', 'number_range', 'value 100 is greater than maximum 50' FROM events WHERE event_id % 5 = 4
+    UNION ALL SELECT event_id, 'n', 'type_is', 'expected number, got string' FROM events WHERE event_id % 5 IN (1, 3)
+    UNION ALL SELECT event_id, 'b', 'type_is', 'expected boolean, got ' || CASE event_id % 5 WHEN 1 THEN 'string' ELSE 'float64' END
+    FROM events WHERE event_id % 5 IN (1, 4)
     """,
 )
 def boolean_and_soft_mode_query(spark, sf_dir):
     rows = _loose(spark, sf_dir)
-    return validate(rows, "event_id", "body", _LOOSE_SCHEMA, soft=True).select("event_id", "path", "rule")
+    return validate(rows, "event_id", "body", _LOOSE_SCHEMA, soft=True)
 
 
 @query(
@@ -256,13 +259,15 @@ def violation_summary_query(spark, sf_dir):
     "first_violation",
     """
     SELECT event_id, CASE WHEN event_id % 5 = 2 THEN 'n' ELSE 'b' END AS path,
-           CASE WHEN event_id % 5 = 2 THEN 'number_range' ELSE 'type_is' END AS rule
+           CASE WHEN event_id % 5 = 2 THEN 'number_range' ELSE 'type_is' END AS rule,
+           CASE event_id % 5 WHEN 2 THEN 'value ' || CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END || ' is greater than maximum 50'
+                             WHEN 4 THEN 'expected boolean, got float64' ELSE 'expected boolean, got string' END AS message
     FROM events WHERE event_id % 5 <> 2 OR value > 50
     """,
 )
 def first_violation_query(spark, sf_dir):
     rows = _loose(spark, sf_dir)
-    return validate(rows, "event_id", "body", _LOOSE_SCHEMA, first_only=True).select("event_id", "path", "rule")
+    return validate(rows, "event_id", "body", _LOOSE_SCHEMA, first_only=True)
 
 
 _CELLS = {
@@ -306,9 +311,11 @@ def soft_cast_rejects_query(spark, sf_dir):
 @query(
     "validate_params",
     """
-    SELECT c_custkey, 'balance' AS path, 'number_range' AS rule FROM customer WHERE c_acctbal < 0
-    UNION ALL SELECT c_custkey, '', 'required' FROM customer WHERE c_nationkey % 4 = 0
-    UNION ALL SELECT c_custkey, 'segment', 'enum' FROM customer WHERE c_mktsegment = 'MACHINERY'
+    SELECT c_custkey, 'balance' AS path, 'number_range' AS rule, 'value ' || CASE WHEN c_acctbal = floor(c_acctbal) THEN c_acctbal::BIGINT::VARCHAR ELSE c_acctbal::VARCHAR END || ' is less than minimum 0' AS message
+    FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT c_custkey, '', 'required', 'missing required property: nation' FROM customer WHERE c_nationkey % 4 = 0
+    UNION ALL SELECT c_custkey, 'segment', 'enum', 'value must be one of: [AUTOMOBILE BUILDING FURNITURE HOUSEHOLD]'
+    FROM customer WHERE c_mktsegment = 'MACHINERY'
     """,
 )
 def validate_params_query(spark, sf_dir):
@@ -329,4 +336,4 @@ def validate_params_query(spark, sf_dir):
         "segment": {"type": "string", "enum": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]},
         "nation": {"type": "integer"},
     }
-    return validate_params(rows, "c_custkey", "params", declared).select("c_custkey", "path", "rule")
+    return validate_params(rows, "c_custkey", "params", declared)
