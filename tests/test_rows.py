@@ -42,7 +42,7 @@ def test_media_types(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "sub dir").mkdir()
-    (tmp_path / "a.csv").write_text("john,doe\nbill,murray")
+    (tmp_path / "a.csv").write_text("elm,8\noak,21")
     (tmp_path / "sub dir" / "b%20+é.pdf").write_bytes(b"\x00\x01")
     rows = {r["identifier"]: r for r in read_resources(spark, str(tmp_path)).collect()}
     assert set(rows) == {"a.csv", "sub dir/b%20+é.pdf"}
@@ -132,14 +132,14 @@ def test_attach_and_route(spark):
 
 
 def test_gate_and_iterate(spark):
-    df = spark.createDataFrame([(["foo"], {"k": 1}), ([], {})], "bar array<string>, m map<string,int>")
-    assert gate(df, "array_contains(bar, 'foo') AND map_contains_key(m, 'k') AND size(bar) > 0").count() == 1
+    df = spark.createDataFrame([(["reef"], {"k": 1}), ([], {})], "marks array<string>, m map<string,int>")
+    assert gate(df, "array_contains(marks, 'reef') AND map_contains_key(m, 'k') AND size(marks) > 0").count() == 1
     with pytest.raises(ValueError):
-        gate(df, "bar")
-    assert [(r["it_pos"], r["it"]) for r in iterate(df, "bar").collect()] == [(0, "foo")]
+        gate(df, "marks")
+    assert [(r["it_pos"], r["it"]) for r in iterate(df, "marks").collect()] == [(0, "reef")]
     assert iterate(df).count() == 2
     with pytest.raises(ValueError):
-        iterate(df, "size(bar)")
+        iterate(df, "size(marks)")
 
 
 def test_slices(spark):

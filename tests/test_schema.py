@@ -20,55 +20,49 @@ def test_type_lists_are_folded():
     assert load_schema({"type": "array"})["items"] == {"type": "string"}
 
 
+REF = "#/components/schemas/"
+BERTH = {"type": "object", "required": ["quay"], "properties": {"quay": {"type": "integer"}}}
+
+
 def test_references():
-    address = {"type": "object", "properties": {"street": {"type": "string"}}}
-    components = {
-        "Address": address,
-        "Person": {"type": "object", "properties": {"address": {"$ref": "#/components/schemas/Address"}}},
-        "A": {"type": "object", "properties": {"b": {"$ref": "#/components/schemas/B"}}},
-        "B": {"type": "object", "properties": {"a": {"$ref": "#/components/schemas/A"}}},
-    }
-    schema = {
-        "type": "object",
-        "properties": {
-            "person": {"$ref": "#/components/schemas/Person", "x-session": "one"},
-            "list": {"type": "array", "items": {"$ref": "#/components/schemas/Address"}},
-            "any": {"anyOf": [{"$ref": "#/components/schemas/Address"}]},
-        },
+    """Every place a reference can stand in; the field keeps its own stage, and what leads back to itself stays."""
+    harbour = {
+        "berth": BERTH,
+        "fleet": {"type": "array", "items": {"$ref": REF + "berth"}},
+        "crane": {"properties": {"beside": {"$ref": REF + "crate"}, "at": {"$ref": REF + "berth"}}},
+        "crate": {"properties": {"under": {"oneOf": [{"$ref": REF + "crane"}, {"type": "null"}]}}, "x-session": "lost"},
     }
-    done = resolve_refs(schema, components)
-    assert done["properties"]["person"]["properties"]["address"] == address
-    assert done["properties"]["person"]["x-session"] == "one"
-    assert done["properties"]["list"]["items"] == address
-    assert done["properties"]["any"]["anyOf"] == [address]
-    cycle = resolve_refs({"$ref": "#/components/schemas/A"}, components)
-    assert cycle["properties"]["b"]["properties"]["a"] == {"$ref": "#/components/schemas/A"}
-    with pytest.raises(KeyError):
-        resolve_refs({"$ref": "#/components/schemas/Nope"}, {})
+    places = {"home": {"$ref": REF + "berth", "x-session": "dock"}, "all": {"$ref": REF + "fleet"}, "either": {"oneOf": [{"$ref": REF + "berth"}]}}
+    done = resolve_refs({"properties": places}, harbour)["properties"]
+    assert done == {"home": {**BERTH, "x-session": "dock"}, "all": {"type": "array", "items": BERTH}, "either": {"oneOf": [BERTH]}}
+    assert harbour["fleet"]["items"] == {"$ref": REF + "berth"}
+    round_trip = resolve_refs({"$ref": REF + "crate", "x-session": "lift"}, harbour)
+    crane = round_trip["properties"]["under"]["oneOf"][0]
+    assert round_trip["x-session"] == "lift" and crane["properties"]["at"] == BERTH
+    assert crane["properties"]["beside"] == {"$ref": REF + "crate"}
+    with pytest.raises(KeyError, match="buoy"):
+        resolve_refs({"items": {"$ref": REF + "buoy"}}, harbour)
 
 
 def test_stage_parts_and_spark_types():
-    schema = load_schema(
-        {
-            "type": "object",
-            "required": ["p1", "p2"],
-            "properties": {
-                "p1": {"type": "string", "x-session": "foo", "x-ui-color": "red"},
-                "p2": {"type": "integer", "x-session": "bar"},
-                "p3": {"type": "array", "items": {"type": "number"}, "x-session": "foo"},
-                "p4": {"type": "object"},
-                "p5": {"anyOf": [{"type": "string"}]},
-            },
-        }
-    )
-    assert stage_names(schema) == ["foo", "bar"]
-    foo = stage_schema(schema, "foo")
-    assert list(foo["properties"]) == ["p1", "p3"] and foo["required"] == ["p1"]
-    with pytest.raises(KeyError):
-        stage_schema(schema, "nope")
+    fields = {
+        "depth": {"type": "number", "x-session": "sound"},
+        "pilot": {"type": "string", "x-session": "board", "x-ui-order": 2},
+        "lights": {"type": "array", "items": {"type": "boolean"}, "x-session": ["sound", "board"]},
+        "notes": {"type": "object"},
+        "wind": {"oneOf": [{"type": "integer"}, {"type": "string"}]},
+    }
+    schema = load_schema({"type": "object", "required": ["pilot", "lights", "depth"], "properties": fields})
+    assert stage_names(schema) == ["sound", "board"]
+    board = stage_schema(schema, "board")
+    assert list(board["properties"]) == ["pilot", "lights"] and board["required"] == ["pilot", "lights"]
+    with pytest.raises(KeyError, match="anchor"):
+        stage_schema(schema, "anchor")
     shape = to_spark(schema)
-    assert shape["p1"].metadata == {"x-session": "foo", "x-ui-color": "red"}
-    assert [f.dataType.simpleString() for f in shape.fields] == ["string", "bigint", "array<double>", "map<string,variant>", "variant"]
+    assert shape["pilot"].metadata == {"x-session": "board", "x-ui-order": 2}
+    assert {f.name: f.dataType.simpleString() for f in shape.fields} == {
+        "depth": "double", "pilot": "string", "lights": "array<boolean>", "notes": "map<string,variant>", "wind": "variant",
+    }
     back = from_spark(T.StructType().add("a", "long", False).add("b", T.ArrayType(T.StringType()), True))
     assert back["required"] == ["a", "b"]
     assert back["properties"] == {"a": {"type": "integer"}, "b": {"type": "array", "items": {"type": "string"}, "nullable": True}}
@@ -130,15 +124,15 @@ def test_rules(spark, value, schema, want):
 
 
 def test_soft_rules(spark):
-    schema = {
-        "type": "object",
-        "properties": {"int": {"type": "integer"}, "str": {"type": "string"}, "bool": {"type": "boolean"}},
-    }
-    assert broken(spark, {"int": "123", "str": "123", "bool": "true"}, schema, soft=True) == []
-    assert broken(spark, {"int": "abc", "str": "1", "bool": True}, schema, soft=True) == [("int", "type_is")]
-    assert broken(spark, {"int": "1", "str": "1", "bool": "foo"}, schema, soft=True) == [("bool", "type_is")]
-    assert broken(spark, {"int": "1.5", "bool": "T"}, schema, soft=True) == [("int", "is_integer")]
-    assert broken(spark, {"int": "123"}, schema) == [("int", "type_is")]
+    """Texts count as the number or truth value they spell, and only where one is wanted."""
+    schema = {"properties": {"draught": {"type": "number", "maximum": 9}, "crew": {"type": "integer"}, "laden": {"type": "boolean"}, "port": {"type": "string"}}}
+    spelled = {"draught": "8.25", "crew": "14", "laden": "False", "port": "0"}
+    assert broken(spark, spelled, schema, soft=True) == []
+    assert sorted(broken(spark, spelled, schema)) == [("crew", "type_is"), ("draught", "type_is"), ("laden", "type_is")]
+    odd = {"draught": "9.5", "crew": "14.5", "laden": "maybe", "port": 3}
+    assert sorted(broken(spark, odd, schema, soft=True)) == [
+        ("crew", "is_integer"), ("draught", "number_range"), ("laden", "type_is"), ("port", "type_is"),
+    ]
 
 
 def test_first_only_selected_rules_and_summary(spark):
@@ -160,9 +154,9 @@ def test_casts_and_params(spark):
         (1, 100.0, True), (2, None, None), (3, None, False), (4, None, None), (5, 0.5, False), (6, None, True),
     ]
     assert sorted(tuple(r) for r in rejects.collect()) == [(2, "b", "yes"), (2, "n", " 1"), (3, "n", "1d"), (6, "n", "NaN")]
-    params = spark.createDataFrame([(1, {"animal": "dog"}), (2, {})], "k int, p map<string,string>")
-    found = validate_params(params, "k", "p", {"animal": {"type": "string"}}).collect()
-    assert [(r["k"], r["rule"]) for r in found] == [(2, "required")]
+    sets = [(1, {"tonnes": "12"}), (2, {"knots": "3"}), (3, {"tonnes": "full"})]
+    found = validate_params(spark.createDataFrame(sets, "k int, p map<string,string>"), "k", "p", {"tonnes": {"type": "integer"}}).collect()
+    assert sorted((r["k"], r["path"], r["rule"]) for r in found) == [(2, "", "required"), (3, "tonnes", "type_is")]
 
 
 def inferred(spark, *values):

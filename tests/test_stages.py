@@ -150,33 +150,34 @@ def test_expression_arguments():
 
 
 def test_chained_calls(spark):
+    """A later call takes the result of an earlier one, by expression or within a text."""
     functions = FunctionRegistry()
-    functions.register_columns("f1", lambda: F.lit("val1"), [], "string")
-    functions.register_columns("f2", lambda f1: F.concat(F.lit("val2 + "), f1), ["f1"], "string")
-    calls = [Call("f1", "f1", into="vars"), Call("f2", "f2", {"f1": "{{.vars.f1}}"}, into="vars")]
-    done, outputs = call_functions(spark.range(1), calls, functions)
-    assert done.select("vars.*").collect()[0].asDict() == {"f1": "val1", "f2": "val2 + val1"}
-    assert outputs == []
+    functions.register_columns("half", lambda of: of / 2, ["of"], "double")
+    functions.register_columns("label", lambda size, unit: F.concat_ws(" ", F.round(size, 1), unit), ["size", "unit"], "string")
+    calls = [
+        Call("half", "small", {"of": "$(id + 7)"}, into="vars"),
+        Call("half", "tiny", {"of": "$(vars.small)"}, into="vars"),
+        Call("label", "tag", {"size": "$(vars.tiny)", "unit": "of {{ .vars.small }}"}, into="vars"),
+    ]
+    done, outputs = call_functions(spark.range(3, 4), calls, functions)
+    assert done.select("vars.*").first().asDict() == {"small": 5.0, "tiny": 2.5, "tag": "2.5 of 5.0"} and outputs == []
 
 
 def test_call_rules_and_destinations(spark):
     functions = FunctionRegistry()
-    functions.register_columns("f", lambda yay: F.struct(yay.alias("yay")), ["yay"], "struct", group="c1")
-    rule = Rule("t1", on_input="f", expr="named_struct('yay', args.foo)")
-    for into in ("ai", "context", "db"):
-        done, outputs = call_functions(spark.range(1), [Call("f", "out", {"foo": "bar"}, into=into)], functions, [rule])
-        assert "vars" not in done.columns
-        if into == "ai":
-            assert done.select(outputs[0].result).collect()[0][0] == '{"yay":"bar"}'
-        elif into == "context":
-            assert done.collect()[0]["context"]["out"]["yay"] == "bar"
-        else:
-            assert spark.table("out").collect()[0]["value"]["yay"] == "bar"
-    with pytest.raises(ValueError):
-        call_functions(spark.range(1), [Call("f", "o", {"foo": "x"})], functions, [Rule("r", on_input="f", expr="args.foo")])
+    functions.register_columns("weigh", lambda grams: F.struct(grams.alias("grams")), ["grams"], "struct", group="scales")
+    kilos = Rule("kilos", on_input="weigh", expr="named_struct('grams', args.kilos * 1000)")
+    weigh = lambda into: call_functions(spark.range(1), [Call("weigh", "parcel", {"kilos": 3}, into=into)], functions, [kilos])
+    done, outputs = weigh("ai")
+    assert done.select(outputs[0].result).first()[0] == '{"grams":3000}'
+    assert weigh("context")[0].first()["context"]["parcel"]["grams"] == 3000
+    done, outputs = weigh("db")
+    assert spark.table("parcel").first()["value"]["grams"] == 3000 and "vars" not in done.columns and not outputs
+    with pytest.raises(ValueError, match="object"):
+        call_functions(spark.range(1), [Call("weigh", "p", {"kilos": 3})], functions, [Rule("flat", on_input="weigh", expr="args.kilos")])
     with pytest.raises(KeyError):
-        call_functions(spark.range(1), [Call("nope", "o")], functions)
-    assert list(functions.in_group("c1").entries) == ["f"] and not functions.in_group("c2").entries
+        call_functions(spark.range(1), [Call("guess", "p")], functions)
+    assert list(functions.in_group("scales").entries) == ["weigh"] and not functions.in_group("rulers").entries
 
 
 def test_retries_errors_and_single_question(spark):

@@ -47,8 +47,8 @@ def test_printed_json(spark):
 
 
 def test_values_with_placeholders_take_up_to_three_rounds(spark):
-    columns = {"foo": F.lit("{{.buzz}}"), "buzz": F.lit("bar")}
-    assert render(spark, "{{.foo}}", columns, ["foo", "buzz"]) == "bar"
+    columns = {"ship": F.lit("{{.kind}} of {{.port}}"), "kind": F.lit("tug"), "port": F.lit("Riga")}
+    assert render(spark, "a {{.ship}}", columns, ["ship", "kind", "port"]) == "a tug of Riga"
     chain = {"a": F.lit("{{.b}}"), "b": F.lit("{{.c}}"), "c": F.lit("{{.d}}"), "d": F.lit("end")}
     assert render(spark, "{{.a}}", chain, list("abcd")) == "{{.d}}"
 
@@ -117,8 +117,8 @@ def test_absent_children(spark):
 
 
 def test_call_result(spark):
-    node = Node("CallResult", content='"data"', name="foo", description="description of foo", content_type="application/json")
-    want = '<CallResult name="foo" description="description of foo" contentType="application/json"><![CDATA[ "data" ]]></CallResult>'
+    node = Node("CallResult", content='"7 kn"', name="speed", description="over <ground>", content_type="application/json")
+    want = '<CallResult name="speed" description="over &lt;ground&gt;" contentType="application/json"><![CDATA[ "7 kn" ]]></CallResult>'
     assert text_of(spark, node) == want
 
 
