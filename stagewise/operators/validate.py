@@ -1,11 +1,15 @@
 """Validation of JSON values against a schema, as one expression per schema.
 
 The driver walks the schema once and builds an array of violations per row; there is no shuffle and no Python in it.
+
+A schema that refers to itself has no such expression. There the expression ends at the reference and gives what is left to check: the value as
+VARIANT, its path and the component. These rows are the frontier of the next round, which holds them against the components' own
+expressions, until none is left. What happens inside of a branch of ``anyOf`` is tagged with it; the branches are weighed when all is known.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
@@ -17,11 +21,14 @@ from pyspark.sql import types as T
 from stagewise.functions import json_text as J
 from stagewise.functions.casts import text_to_boolean, text_to_integer, text_to_number
 from stagewise.functions.columns import Keys, if_present, names, ref
-from stagewise.plans.schema import Schema
+from stagewise.plans.schema import REF_PREFIX, Schema, resolve_refs
+from stagewise.session import materialize
 
 # Names of the value kinds as the messages print them.
 KIND_LABELS = {"object": "map", "array": "slice", "number": "float64", "boolean": "bool", "string": "string"}
 
+NO_BRANCH = "value does not match any of the schemas in anyOf"
+
 Path = str | Column
 
 
@@ -35,12 +42,28 @@ class Check:
     message: Column
 
 
+@dataclass(frozen=True)
+class Later:
+    """A value that a reference leaves to a later round, where ``here`` is true, within branches ``alts`` of ``anyOf``."""
+
+    here: Column
+    path: Path
+    target: str
+    value: Column
+    alts: tuple[Column, ...] = ()
+
+
 @dataclass
 class Found:
-    """Rules of a value: single checks, and violation arrays of its list items."""
+    """Rules of a value: single checks, and violation arrays of its list items; in a schema that refers to itself also what is left for later.
+
+    ``deep`` tells that arrays hold entries of the long form, with what is left among them.
+    """
 
     checks: list[Check]
     arrays: list[Column]
+    later: list[Later] = field(default_factory=list)
+    deep: bool = False
 
     def add(self, failed: Column, path: Path, rule: str, *message: Any) -> None:
         """Append a check; message parts are texts and columns."""
@@ -51,13 +74,36 @@ class Found:
         """Append all rules of a part."""
         self.checks += other.checks
         self.arrays += other.arrays
+        self.later += other.later
+        self.deep = self.deep or other.deep
 
     def any_failed(self) -> Column:
-        """True where at least one rule is broken."""
+        """True where at least one rule is broken for certain."""
         single = [F.coalesce(check.failed, F.lit(False)) for check in self.checks]
-        listed = [F.coalesce(F.size(array) > 0, F.lit(False)) for array in self.arrays]
+        broken = (lambda v: v["rule"].isNotNull() & (F.size(v["alts"]) == 0)) if self.deep else (lambda v: F.lit(True))
+        listed = [F.coalesce(F.exists(array, broken), F.lit(False)) for array in self.arrays]
+        return reduce(lambda a, b: a | b, single + listed, F.lit(False))
+
+    def any_left(self) -> Column:
+        """True where something is left for later."""
+        single = [F.coalesce(later.here, F.lit(False)) for later in self.later]
+        left = lambda v: v["ref"].isNotNull() | (F.size(v["alts"]) > 0)
+        listed = [F.coalesce(F.exists(array, left), F.lit(False)) for array in self.arrays] if self.deep else []
         return reduce(lambda a, b: a | b, single + listed, F.lit(False))
 
+    def to_entries(self) -> Column:
+        """``to_array`` in the long form: with ``ref``, ``value`` and ``alts``, and an entry without a rule for each value left for later."""
+        none = F.array().cast(ALTS)
+        structs = [
+            F.when(check.failed, _entry(_path(check.path), F.lit(check.rule), check.message, F.lit(None), F.lit(None), none)) for check in self.checks
+        ]
+        for later in self.later:
+            alts = F.array(*later.alts).cast(ALTS) if later.alts else none
+            structs.append(F.when(later.here, _entry(_path(later.path), F.lit(None), F.lit(None), F.lit(later.target), later.value, alts)))
+        parts = [F.array_compact(F.array(*structs))] if structs else []
+        parts += [F.coalesce(array, F.array().cast(ENTRIES)) for array in self.arrays]
+        return F.concat(*parts) if parts else F.array().cast(ENTRIES)
+
     def to_array(self) -> Column:
         """``ARRAY<STRUCT<path, rule, message>>`` of the broken rules, in schema order."""
         structs = [
@@ -73,6 +119,15 @@ class Found:
 
 
 VIOLATIONS = "array<struct<path:string,rule:string,message:string>>"
+ALTS = "array<struct<at:string,branch:int,n:int>>"
+ENTRIES = f"array<struct<path:string,rule:string,message:string,ref:string,value:variant,alts:{ALTS}>>"
+
+
+def _entry(path: Column, rule: Column, message: Column, target: Column, value: Column, alts: Column) -> Column:
+    """One violation or value left for later, in the long form."""
+    parts = {"path": path, "rule": rule, "message": message, "ref": target}
+    texts = [part.cast("string").alias(name) for name, part in parts.items()]
+    return F.struct(*texts, value.cast("variant").alias("value"), alts.alias("alts"))
 
 
 class Bindings:
@@ -81,9 +136,10 @@ class Bindings:
     Inside list items there are no columns; there a value is simply repeated.
     """
 
-    def __init__(self, inside_list: bool = False) -> None:
+    def __init__(self, inside_list: bool = False, deep: bool = False) -> None:
         self.levels: dict[int, dict[str, Column]] = {}
         self.inside_list = inside_list
+        self.deep = deep
         self.count = 0
 
     def bind(self, level: int, value: Column) -> Column:
@@ -168,9 +224,11 @@ def _array_rules(value: Column, schema: Schema, path: Path, here: Column, soft:
 
         def item(x: Column, i: Column) -> Column:
             at = F.concat(_path(path), F.lit("["), i.cast("string"), F.lit("]"))
-            return rules_of(x, item_schema, at, F.lit(True), soft, Bindings(inside_list=True), 0).to_array()
+            inner = rules_of(x, item_schema, at, F.lit(True), soft, Bindings(inside_list=True, deep=bindings.deep), 0)
+            return inner.to_entries() if bindings.deep else inner.to_array()
 
         found.arrays.append(F.when(here, F.flatten(F.transform(items, item))))
+        found.deep = bindings.deep
     return found
 
 
@@ -221,7 +279,11 @@ def rules_of(
     value: Column, schema: Schema, path: Path, guard: Column, soft: bool, bindings: Bindings, level: int = 0
 ) -> Found:
     """Rules of a VARIANT value that apply where ``guard`` holds."""
-    found = Found([], [])
+    found = Found([], [], deep=bindings.deep)
+    if "$ref" in schema:
+        if bindings.deep:
+            found.later.append(Later(guard, path, schema["$ref"], value))
+        return found
     kind = bindings.bind(level, J.variant_kind(value))
     empty = F.coalesce(kind == "null", F.lit(True))
     if not schema.get("nullable"):
@@ -232,7 +294,9 @@ def rules_of(
     if schema.get("anyOf"):
         branches = [rules_of(value, branch, path, F.lit(True), soft, bindings, level) for branch in schema["anyOf"]]
         all_fail = reduce(lambda a, b: a & b, [branch.any_failed() for branch in branches])
-        found.add(here & all_fail, path, "any_of", "value does not match any of the schemas in anyOf")
+        found.add(here & all_fail, path, "any_of", NO_BRANCH)
+        if bindings.deep:
+            found.extend(_open_branches(branches, path, here, bindings))
         return found
 
     declared = schema.get("type") or ""
@@ -266,6 +330,23 @@ def rules_of(
     return found
 
 
+def _open_branches(branches: list[Found], path: Path, here: Column, bindings: Bindings) -> Found:
+    """What is left of the branches of an ``anyOf`` that hold so far, tagged with the branch; nothing if one of them holds for certain."""
+    found = Found([], [], deep=True)
+    level = max(bindings.levels, default=0) + 1
+    failed = [bindings.bind(level, branch.any_failed()) for branch in branches]
+    is_open = [bindings.bind(level + 1, ~fails & branch.any_left()) for fails, branch in zip(failed, branches, strict=True)]
+    settled = reduce(lambda a, b: a | b, [~fails & ~still for fails, still in zip(failed, is_open, strict=True)])
+    n = reduce(lambda a, b: a + b, [still.cast("int") for still in is_open])
+    for i, (branch, still) in enumerate(zip(branches, is_open, strict=True)):
+        alt = F.struct(_path(path).alias("at"), F.lit(i).alias("branch"), n.alias("n"))
+        wanted = here & still & ~settled
+        entries = F.filter(Found([], branch.arrays, branch.later, True).to_entries(), lambda v: v["ref"].isNotNull() | (F.size(v["alts"]) > 0))
+        tagged = F.transform(entries, lambda v: v.withField("alts", F.concat(F.array(alt).cast(ALTS), v["alts"])))  # noqa: B023
+        found.arrays.append(F.when(wanted, tagged))
+    return found
+
+
 def as_variant(df: DataFrame, col: str) -> Column:
     """VARIANT of a column: JSON text is parsed strictly, typed columns are converted."""
     kind = df.schema[col].dataType
@@ -309,8 +390,16 @@ def validate(
     soft: bool = False,
     first_only: bool = False,
     rules: Keys | None = None,
+    components: dict[str, Schema] | None = None,
 ) -> DataFrame:
-    """``(keys, path, rule, message)``: every violation, the first per row by path, or those of some rules only."""
+    """``(keys, path, rule, message)``: every violation, the first per row by path, or those of some rules only.
+
+    References are resolved by ``components``; an unknown one is an error. A schema that refers to itself is followed as deep as the values go, a
+    round for each level, whose rows are written once; then the keys have to name the rows.
+    """
+    schema = resolve_refs(schema, components or {})
+    if references_of(schema):
+        return _validate_deep(df, keys, col, schema, soft, first_only, rules, components or {})
     needed = df.select(*[ref(name) for name in dict.fromkeys([*names(keys), col])])
     bound, found, _ = _checked(needed, col, schema, soft, rules)
     if first_only:
@@ -319,6 +408,81 @@ def validate(
     return bound.select(*names(keys), F.inline(found))
 
 
+def references_of(schema: Schema) -> set[str]:
+    """References that are left in a schema, those of parts included."""
+    found = {schema["$ref"]} if "$ref" in schema else set()
+    parts = [*(schema.get("properties") or {}).values(), *(schema.get("anyOf") or []), *(schema.get("oneOf") or [])]
+    if isinstance(schema.get("items"), dict):
+        parts.append(schema["items"])
+    return found.union(*map(references_of, parts))
+
+
+def _recursive_parts(schema: Schema, components: dict[str, Schema]) -> dict[str, Schema]:
+    """The components that are reached again and again, by reference. One that reaches itself without a member or item in between is an error."""
+    parts: dict[str, Schema] = {}
+    todo = references_of(schema)
+    while todo:
+        target = todo.pop()
+        body = components[target.removeprefix(REF_PREFIX)]
+        parts[target] = resolve_refs(body, components)
+        todo |= references_of(parts[target]) - set(parts)
+    for target, part in parts.items():
+        near, seen = [part], set()
+        while near:
+            now = near.pop()
+            if now.get("$ref") == target:
+                raise ValueError(f"schema refers to itself at the same value: {target}")
+            if "$ref" in now and now["$ref"] not in seen:
+                seen.add(now["$ref"])
+                near.append(parts[now["$ref"]])
+            near += now.get("anyOf") or []
+    return parts
+
+
+def _validate_deep(
+    df: DataFrame, keys: Keys, col: str, schema: Schema, soft: bool, first_only: bool, rules: Keys | None, components: dict[str, Schema]
+) -> DataFrame:
+    """``validate`` for a schema that refers to itself."""
+    parts, group = _recursive_parts(schema, components), [ref(name) for name in names(keys)]
+
+    def entries(rows: DataFrame, part: Schema, path: Path, before: Column) -> DataFrame:
+        bindings = Bindings(deep=True)
+        found = rules_of(F.col("_value"), part, path, F.lit(True), soft, bindings)
+        if "_broken" in rows.columns:
+            found.add(F.col("_broken"), "", "parse", "value is not JSON")
+        told = bindings.apply(rows).select(*group, before.alias("_before"), F.inline(found.to_entries()))
+        return told.withColumn("alts", F.concat("_before", "alts")).drop("_before")
+
+    rows = df.select(*group, as_variant(df, col).alias("_value"), ref(col).isNotNull().alias("_there"))
+    broken = F.col("_there") & F.col("_value").isNull() & F.lit(isinstance(df.schema[col].dataType, T.StringType))
+    none = F.array().cast(ALTS)
+    now = materialize(entries(rows.withColumn("_broken", broken), schema, "", none))
+    told = now.filter("rule IS NOT NULL").drop("ref", "value")
+    while not (frontier := now.filter("ref IS NOT NULL")).isEmpty():
+        rounds = [
+            entries(frontier.filter(F.col("ref") == target).withColumnsRenamed({"value": "_value", "path": "_path", "alts": "_alts"}), part, F.col("_path"), F.col("_alts"))
+            for target, part in parts.items()
+        ]
+        now = materialize(reduce(DataFrame.unionByName, rounds))
+        told = told.unionByName(now.filter("rule IS NOT NULL").drop("ref", "value"))
+    depth = told.agg(F.coalesce(F.max(F.size("alts")), F.lit(0))).first()[0]
+    for level in range(depth, 0, -1):
+        # A branch fails with any violation in it, a group of branches if all of them fail.
+        inside = told.filter(F.size("alts") == level).withColumn("_alt", F.get("alts", F.lit(level - 1)))
+        outer = F.slice("alts", 1, level - 1)
+        weighed = inside.groupBy(*group, outer.alias("alts"), F.col("_alt.at").alias("path"), F.col("_alt.n").alias("_n"))
+        lost = weighed.agg(F.count_distinct("_alt.branch").alias("_failed")).filter("_failed = _n")
+        lost = lost.select(*group, "path", F.lit("any_of").alias("rule"), F.lit(NO_BRANCH).alias("message"), "alts")
+        told = told.filter(F.size("alts") < level).unionByName(lost)
+    told = told.select(*group, "path", "rule", "message")
+    if rules is not None:
+        told = told.filter(F.col("rule").isin(names(rules)))
+    if first_only:
+        first = told.groupBy(*group).agg(F.min(F.struct("path", "rule", "message")).alias("_first"))
+        told = first.select(*group, "_first.*")
+    return told
+
+
 def rule_summary(found: DataFrame) -> DataFrame:
     """``(rule, n)``: violations per rule."""
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))

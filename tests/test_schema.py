@@ -1,6 +1,7 @@
 """Schema model, validation, casts and inference."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import types as T
@@ -210,3 +211,82 @@ def test_broken_text_patterns_and_large_integers(spark):
     typed, rejects = soft_cast(numbers, "k", {"type": "object", "properties": {"n": {"type": "integer"}}})
     assert sorted((r["k"], r["n"]) for r in typed.collect() if r["n"] is not None) == [(1, 9007199254740993), (3, 1000)]
     assert [(r["k"], r["text"]) for r in rejects.collect()] == [(2, "1e300")]
+
+
+TREE = {"tree": {"type": "object", "required": ["n"], "properties": {"n": {"type": "number", "maximum": 9}, "kids": {"type": "array", "items": {"$ref": REF + "tree"}}}}}
+LISP = {
+    "form": {"anyOf": [{"type": "number"}, {"type": "array", "items": {"$ref": REF + "form"}}, {"type": "object", "required": ["op"], "properties": {"op": {"$ref": REF + "word"}, "of": {"$ref": REF + "form"}}}]},
+    "word": {"type": "string", "maxLength": 3},
+}
+
+
+def plain(value, schema, components, path=""):
+    """Violations by plain recursion, for the rules the schemas above use."""
+    if "$ref" in schema:
+        return plain(value, components[schema["$ref"].removeprefix(REF)], components, path)
+    if value is None:
+        return [(path, "not_null")]
+    if "anyOf" in schema:
+        return [(path, "any_of")] if all(plain(value, s, components, path) for s in schema["anyOf"]) else []
+    kinds = {"number": (int, float), "array": list, "object": dict, "string": str}
+    if "type" in schema and (isinstance(value, bool) or not isinstance(value, kinds[schema["type"]])):
+        return [(path, "type_is")]
+    out = []
+    if isinstance(value, dict):
+        out += [(path, "required") for name in schema.get("required", []) if name not in value]
+        for name, part in schema.get("properties", {}).items():
+            if name in value:
+                out += plain(value[name], part, components, f"{path}.{name}" if path else name)
+    if isinstance(value, list) and "items" in schema:
+        out += [x for i, item in enumerate(value) for x in plain(item, schema["items"], components, f"{path}[{i}]")]
+    if isinstance(value, int | float) and value > schema.get("maximum", value):
+        out.append((path, "number_range"))
+    if isinstance(value, str) and len(value) > schema.get("maxLength", len(value)):
+        out.append((path, "string_length"))
+    return out
+
+
+def test_a_tree_is_followed_to_its_leaves(spark):
+    deep = {"n": 10}
+    for i in range(50):
+        deep = {"n": i % 9, "kids": [{"n": 1, "kids": []}, deep]}
+    wide = {"n": 1, "kids": [{"n": 3, "kids": [{"n": 99}, {}, {"n": "x"}, None]}, {"n": 2, "kids": {}}]}
+    rows = [(1, json.dumps(deep)), (2, json.dumps(wide)), (3, "no json"), (4, "{}"), (5, json.dumps({"n": 1}))]
+    df = spark.createDataFrame(rows, "k int, j string")
+    schema = {"$ref": REF + "tree"}
+    found = validate(df, "k", "j", schema, components=TREE).collect()
+    got = {k: sorted((r["path"], r["rule"]) for r in found if r["k"] == k) for k, _ in rows}
+    assert got[1] == [("kids[1]." * 50 + "n", "number_range")]
+    assert got[2] == sorted(plain(wide, schema, TREE)) and got[3] == [("", "not_null"), ("", "parse")] and got[4] == [("", "required")] and got[5] == []
+    first = validate(df, "k", "j", schema, components=TREE, first_only=True, rules=["number_range", "required"]).collect()
+    assert sorted((r["k"], r["rule"]) for r in first) == [(1, "number_range"), (2, "number_range"), (4, "required")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_branches_that_lead_back_are_weighed_at_the_end(spark, seed):
+    chance = random.Random(seed)
+
+    def form(depth):
+        pick = chance.random()
+        if depth == 0 or pick < 0.3:
+            return chance.choice([1, 2.5, 3, "odd", None, {}, []]) if chance.random() < 0.25 else 7
+        if pick < 0.65:
+            return [form(depth - 1) for _ in range(chance.randint(0, 3))]
+        return {"op": chance.choice(["add", "mul", "longer", 3]) if chance.random() < 0.3 else "sub", "of": form(depth - 1)}
+
+    values = {i: form(6) for i in range(60)}
+    schema = {"type": "object", "properties": {"a": {"$ref": REF + "form"}, "b": {"type": "array", "items": {"$ref": REF + "form"}}}}
+    rows = {i: {"a": v, "b": [values[(i + 1) % 60], 4]} for i, v in values.items()}
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in rows.items()], "k int, j string")
+    got = {(r["k"], r["path"], r["rule"]) for r in validate(df, "k", "j", schema, components=LISP).collect()}
+    want = {(i, *x) for i, v in rows.items() for x in plain(v, schema, LISP)}
+    assert got == want and 5 < len({k for k, _, _ in want}) < 60
+
+
+def test_references_without_a_way_out(spark):
+    df = spark.createDataFrame([(1, "{}")], "k int, j string")
+    with pytest.raises(KeyError, match="gone"):
+        validate(df, "k", "j", {"properties": {"a": {"$ref": REF + "gone"}}})
+    circle = {"a": {"anyOf": [{"type": "string"}, {"$ref": REF + "b"}]}, "b": {"anyOf": [{"$ref": REF + "a"}]}}
+    with pytest.raises(ValueError, match="itself"):
+        validate(df, "k", "j", {"$ref": REF + "a"}, components=circle)

@@ -337,3 +337,26 @@ def validate_params_query(spark, sf_dir):
         "nation": {"type": "integer"},
     }
     return validate_params(rows, "c_custkey", "params", declared)
+
+
+@query(
+    "validate_recursive",
+    """
+    WITH t AS (SELECT p_partkey, p_size % 13 AS depth, p_retailprice AS price FROM part)
+    SELECT p_partkey, repeat('parts[1].', depth::INTEGER) || 'price' AS path, 'number_range' AS rule,
+           'value ' || CASE WHEN price = floor(price) THEN price::BIGINT::VARCHAR ELSE price::VARCHAR END || ' is greater than maximum 1200' AS message
+    FROM t WHERE price > 1200
+    UNION ALL
+    SELECT p_partkey, repeat('parts[1].', depth::INTEGER - 1) || 'parts[0]', 'required', 'missing required property: price' FROM t WHERE depth > 0
+    """,
+)
+def validate_recursive_query(spark, sf_dir):
+    """Parts within parts, up to twelve levels deep, by a schema that refers to itself."""
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
+    depth = F.pmod("p_size", F.lit(13))
+    inner = F.concat(F.lit('{"price": '), "p_retailprice", F.lit("}"))
+    last = F.when(depth > 0, F.concat(F.lit('{"price": 1, "parts": [{}, '), inner, F.lit("]}"))).otherwise(inner)
+    outer = F.repeat(F.lit('{"price": 1, "parts": [{"price": 2}, '), F.greatest(depth - 1, F.lit(0)).cast("int"))
+    text = F.concat(outer, last, F.repeat(F.lit("]}"), F.greatest(depth - 1, F.lit(0)).cast("int")))
+    tree = {"type": "object", "required": ["price"], "properties": {"price": {"type": "number", "maximum": 1200}, "parts": {"type": "array", "items": {"$ref": "#/components/schemas/piece"}}}}
+    return validate(parts.select("p_partkey", text.alias("body")), "p_partkey", "body", {"$ref": "#/components/schemas/piece"}, components={"piece": tree})
