@@ -41,15 +41,15 @@ LEVEL = 3
 #: Rows of one id up to which they may share a shard.
 ROWS_OF_AN_ID = 50_000
 #: New pieces that go to the library, and new words that go to its model, in one call.
-JOINED, WORDS_JOINED = 2_000, 60
-#: How byte-level vocabularies write bytes, a blank among them (printable ones stand for themselves, the others follow from 256 on);
-#: marks that are neither letters, digits nor apostrophes; the end of the letters that words are cut by.
+JOINED, WORDS_JOINED = 2_000, 120
+#: How byte-level vocabularies write bytes, a blank among them (printable ones stand for themselves, the others follow from 256 on).
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 OTHERS = [byte for byte in range(256) if byte not in PRINTED]
 BYTE_LETTERS = "".join(chr(byte if byte in PRINTED else 256 + OTHERS.index(byte)) for byte in range(256))
 BLANK_MARK = BYTE_LETTERS[32]
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-LETTERS_END = "\u0250"
+#: A blank and then Latin letters (U+00C0 to U+024F but for the two signs among them), digits and ASCII marks other than the apostrophe.
+LATIN = re.compile(r" [\x21-\x26\x28-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+LATIN_BYTES = {*range(0xC3, 0xCA), *range(0x80, 0xC0)}
 SPACE_AT_CUT = re.compile(r"\s\x00|\x00 \s|\x00[^\S ]")
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 INDEX = (("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u8"))
@@ -60,14 +60,23 @@ def byte_letters(text: str) -> str:
     return text.replace(" ", BLANK_MARK) if text.isascii() else codecs.charmap_decode(text.encode(), "strict", BYTE_LETTERS)[0]
 
 
+def unmixed(token: str) -> bool:
+    """Whether a token, if it is made of what ``LATIN`` allows, begins at a blank or holds none, and holds letters, digits or marks only."""
+    data = {BYTE_LETTERS.index(letter) for letter in token.lstrip(BLANK_MARK) if letter in BYTE_LETTERS}
+    if not all(byte in LATIN_BYTES or 0x20 <= byte <= 0x7E and byte != 0x27 for byte in data):
+        return True
+    kinds = {"letter" if byte in LATIN_BYTES or chr(byte).isalpha() else "digit" if chr(byte).isdigit() else chr(byte).isspace() for byte in data}
+    return len(kinds) <= 1 and True not in kinds
+
+
 class PieceIds:
     """Ids of the pieces of texts, remembered up to a bound.
 
     Byte-level tokenizers of this kind cut a text in front of a blank that stands between two non-blanks, and on both sides of a line end
     that does, and encode what lies between the cuts by itself. ``encode`` uses that: pieces seen before are looked up, and the new ones of a
-    batch go through the library many in a call, joined; their ids are cut again where a token begins with a blank. A word of letters that marks
-    follow is cut once more between the two, and goes to the library's model without its pattern matching. Pieces that
-    do not begin with a blank, or hold more white space, are encoded one by one, and a text with a special token as a whole.
+    batch go through the library many in a call, joined; their ids are cut again where a token begins with a blank. Pieces of Latin letters, digits
+    and ASCII marks go to the library's model without its pattern matching, as no token of the vocabulary mixes those kinds (``apart``; else they
+    take the other way). Pieces that do not begin with a blank are encoded one by one, and a text with a special token as a whole.
 
     What is remembered has two generations: at ``most`` pieces the younger becomes the older, and a piece found in the older moves back.
     """
@@ -79,12 +88,13 @@ class PieceIds:
         self.library = Tokenizer.from_file(path)
         added = self.library.get_added_tokens_decoder()
         self.special = [token.content for token in added.values()]
-        self.cuts = "ByteLevel(add_prefix_space=False" in str(self.library.pre_tokenizer) and self.library.normalizer is None
+        cutter = str(self.library.pre_tokenizer)
+        self.cuts = cutter.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in cutter and self.library.normalizer is None
+        self.model = self.library.model
         vocabulary = self.library.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[:1] == BLANK_MARK and i not in added]] = True
-        self.inner = any(BLANK_MARK in token.lstrip(BLANK_MARK) and token.isascii() for token in vocabulary)
-        self.tails: dict[str, bytes] = {"": b""}
+        self.apart = all(unmixed(token) for token, i in vocabulary.items() if i not in added)
         # Plain dictionaries of texts and bytes, which the garbage collector leaves alone.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -101,39 +111,38 @@ class PieceIds:
 
     def joined(self, pieces: list[str]) -> None:
         """Remember pieces that begin with a blank and hold no other white space next to one, many in a call."""
-        words, tails, rest = set(), [], []
-        for piece in pieces:
-            word = piece.rstrip(MARKS)
-            if not word[1:].isalpha():
-                rest.append(piece)
-            else:
-                words.add(word)
-                if word != piece:
-                    tails.append((piece, word, piece[len(word) :]))
-        words = list(filterfalse(self.known.__contains__, words))
-        plain, others = list(filter(str.isascii, words)), list(filterfalse(str.isascii, words))
-        latin = [word for word in others if max(word) < LETTERS_END]
-        rest += [word for word in others if max(word) >= LETTERS_END]
-        model, library = self.library.model, self.library
-        for some in (plain, latin):
-            self.cut_again(some, WORDS_JOINED, lambda text: [token.id for token in model.tokenize(byte_letters(text))])
-        self.cut_again(rest, JOINED, lambda text: library.encode(text, add_special_tokens=False).ids)
-        for tail in {tail for _, _, tail in tails}.difference(self.tails):
-            self.tails[tail] = self.whole(tail)
-        for piece, word, tail in tails:
-            self.known[piece] = self.known[word] + self.tails[tail]
-
-    def cut_again(self, pieces: list[str], many: int, ids_of: Callable[[str], list[int]]) -> None:
-        """Remember pieces by the ids of ``many`` of them joined."""
-        for start in range(0, len(pieces), many):
-            some = pieces[start : start + many]
-            ids = np.array(ids_of("".join(some)), "<u4")
-            at = (np.flatnonzero(self.opens[ids]) * 4).tolist()
-            if len(at) != len(some):
-                self.one_by_one(some)
-                continue
-            data = ids.tobytes()
-            self.known.update(zip(some, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True))
+        rest: list[str] = []
+        if self.apart:
+            plain, others = list(filter(str.isascii, pieces)), list(filterfalse(str.isascii, pieces))
+            for start in range(0, len(plain), WORDS_JOINED):
+                some = plain[start : start + WORDS_JOINED]
+                text = "".join(some)
+                if "'" in text or not text.isprintable():
+                    rest += [piece for piece in some if "'" in piece or not piece.isprintable()]
+                    some = [piece for piece in some if "'" not in piece and piece.isprintable()]
+                self.cut_again(some, self.model_ids)
+            latin = list(filter(LATIN.fullmatch, others))
+            for start in range(0, len(latin), WORDS_JOINED):
+                self.cut_again(latin[start : start + WORDS_JOINED], self.model_ids)
+            rest += filterfalse(LATIN.fullmatch, others)
+        else:
+            rest = pieces
+        for start in range(0, len(rest), JOINED):
+            self.cut_again(rest[start : start + JOINED], lambda text: self.library.encode(text, add_special_tokens=False).ids)
+
+    def model_ids(self, text: str) -> list[int]:
+        """Ids by the library's model alone."""
+        return [token.id for token in self.model.tokenize(byte_letters(text))]
+
+    def cut_again(self, pieces: list[str], ids_of: Callable[[str], list[int]]) -> None:
+        """Remember pieces by the ids of all of them joined."""
+        ids = np.array(ids_of("".join(pieces)), "<u4")
+        at = (np.flatnonzero(self.opens[ids]) * 4).tolist() if len(ids) else []
+        if len(at) != len(pieces):
+            self.one_by_one(pieces)
+            return
+        data = ids.tobytes()
+        self.known.update(zip(pieces, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True))
 
     def learn(self, new: set[str]) -> None:
         """Remember pieces that are not remembered yet; those with white space at a cut are left out."""
@@ -160,11 +169,10 @@ class PieceIds:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, with the end id. Null texts are empty ones."""
         end = np.array([END_ID], "<u4").tobytes()
-        if not self.cuts or self.inner or any(" " in s for s in self.special):
+        if not self.cuts or any(" " in s for s in self.special):
             return [self.whole(text or "") + end for text in texts]
         if len(self.known) >= self.most:
             self.older, self.known = self.known, {}
-            self.tails = {"": b""}
         self.known |= {"": b"", "\n": self.whole("\n")}
         out: list[bytes] = [end] * len(texts)
         todo = [i for i, text in enumerate(texts) if text]
@@ -339,6 +347,7 @@ def read_token_files(manifest: DataFrame, folder: str, digest: bool = False) ->
     column, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _pieces.clear()  # what this worker remembers for writing is of no more use
         files, top = file_system(folder)
         openers: dict[str, zstandard.ZstdDecompressor] = {}
         for frame in frames:
