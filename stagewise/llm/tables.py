@@ -24,6 +24,7 @@ class Scratch:
 
     def __init__(self) -> None:
         self.folders: dict[str, bool] = {}
+        self.spark: SparkSession | None = None
 
     def keep(self, table: DataFrame) -> DataFrame:
         """Leave a stored table to the block around this one, or for good if there is none."""
@@ -45,12 +46,17 @@ def scratch() -> Iterator[Scratch]:
         yield own
     finally:
         _scopes.reset(token)
-    spark = SparkSession.getActiveSession()
     for folder, kept in own.folders.items():
         if not kept:
-            _delete(spark, folder)
+            _delete(own.spark, folder)
         elif _scopes.get():
-            _scopes.get()[-1].folders.setdefault(folder, False)
+            _noted(own.spark, folder)
+
+
+def _noted(spark: SparkSession, folder: str) -> None:
+    """Tell the innermost block of a folder."""
+    _scopes.get()[-1].spark = spark
+    _scopes.get()[-1].folders[folder] = False
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -67,7 +73,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     _folders[id(out)] = path
     weakref.finalize(out, _folders.pop, id(out), None)
     if _scopes.get():
-        _scopes.get()[-1].folders[path] = False
+        _noted(df.sparkSession, path)
     return out
 
 

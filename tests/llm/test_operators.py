@@ -622,3 +622,19 @@ def test_repeated_rows_null_ids_and_clashing_names(spark):
         assert out.columns == docs.columns
         out.collect()
     assert near_text.first_of_each(docs).count() == 5  # three texts, and two rows without words
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    from stagewise.llm.tables import _folders, scratch, stored
+
+    rows = spark.range(3)
+    with scratch() as outer:
+        with scratch() as inner:
+            gone, kept = stored(rows, "gone"), inner.keep(stored(rows, "kept"))
+            paths = [_folders[id(x)] for x in (gone, kept)]
+        assert kept.count() == 3
+        last = outer.keep(stored(rows, "last"))
+    assert last.count() == 3
+    fs = spark._jvm.org.apache.hadoop.fs
+    there = [fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs.Path(p)) for p in [*paths, _folders[id(last)]]]
+    assert there == [False, False, True]
