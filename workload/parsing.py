@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stagewise.operators.merge import fragment_rejects
 from stagewise.operators.parse import (
     normalize_calls,
     normalize_content,
@@ -144,3 +145,18 @@ def normalize_calls_query(spark, sf_dir):
 )
 def parse_kv_table_query(spark, sf_dir):
     return parse_kv_table(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").tagged
+
+
+@query(
+    "fragment_rejects",
+    """
+    SELECT event_id,
+           CASE event_id % 6 WHEN 1 THEN '[' || user_id || ', "' || event_type || '"]' WHEN 2 THEN event_id::VARCHAR
+                             WHEN 3 THEN props || ' x' WHEN 4 THEN 'null' ELSE '{"a": ' || user_id END AS body,
+           'fragment is not a JSON object' AS error
+    FROM events WHERE event_id % 6 <> 0
+    """,
+)
+def fragment_rejects_query(spark, sf_dir):
+    """What the merge leaves out of the same texts: everything that is not one whole object."""
+    return fragment_rejects(mixed_json(spark, sf_dir), "body").withColumnRenamed("_error", "error")
