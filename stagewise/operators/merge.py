@@ -104,7 +104,8 @@ def resolve_merge(state: DataFrame, items: DataFrame, keys: Keys) -> DataFrame:
     """Result rows from the field states and the list candidates.
 
     The state is used twice with all its columns and filtered by ``is_mark``, which is an aggregate, so both uses share
-    one shuffle of it.
+    one shuffle of it. The marks have a row per key and field. Spark guesses their size from the file behind them and may be wrong by any
+    factor, as texts grow and fragments split on the way; so it is told not to broadcast them.
     """
     cols = [*names(keys), "field"]
     kinds = state.withColumn("kind", field_kind())
@@ -128,7 +129,7 @@ def resolve_merge(state: DataFrame, items: DataFrame, keys: Keys) -> DataFrame:
         F.when(own_kind == "member", F.col("value")).alias("value"),
     )
     item_rows = items.select(*cols, F.lit("item").alias("_role"), "seq", "pos", F.lit(None).cast("string").alias("name"), "value")
-    joined = join_on(state_rows.filter("_role IS NOT NULL").unionByName(item_rows), marks, cols)
+    joined = join_on(state_rows.filter("_role IS NOT NULL").unionByName(item_rows), marks.hint("merge"), cols)
     role, kind = F.col("_role"), F.col("_kind")
     kept = (
         F.when(role == "member", (kind == "object") & F.coalesce(F.col("seq") > F.col("_scalar_at"), F.lit(True)))
