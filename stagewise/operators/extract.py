@@ -65,6 +65,7 @@ class _Asker:
 
     def __init__(self, factory: BackendFactory, schema: Schema | None, attempts: int, delay: float, in_flight: int):
         self.factory, self.schema, self.attempts, self.delay = factory, schema, attempts, delay
+        self.in_flight = in_flight
         self.local = threading.local()
         self.pool = ThreadPoolExecutor(in_flight) if in_flight > 1 else None
 
@@ -93,8 +94,23 @@ class _Asker:
         return _ask_with_retries(ask, text, self.schema, self.attempts, self.delay)
 
     def all(self, ask: Callable[..., Answer], *rows: list) -> list[Answer]:
-        """Answers in the order of the rows."""
-        return list((self.pool.map if self.pool else map)(ask, *rows))
+        """Answers in the order of the rows. Each thread takes the next row by itself, which costs less than handing every row to one."""
+        if self.pool is None:
+            return list(map(ask, *rows))
+        out: list[Any] = [None] * len(rows[0])
+        todo, lock = enumerate(zip(*rows, strict=True)), threading.Lock()
+
+        def work() -> None:
+            while True:
+                with lock:
+                    at, row = next(todo, (None, ()))
+                if at is None:
+                    return
+                out[at] = ask(*row)
+
+        for place in [self.pool.submit(work) for _ in range(self.in_flight)]:
+            place.result()
+        return out
 
     def batch(self, texts: list[str | None], openings: list[Any]) -> list[tuple]:
         """Answers to the texts of a batch. Single questions that fail are asked again together, in a later pass."""
@@ -139,19 +155,29 @@ def backend_answer(
     if in_flight < 1:
         raise ValueError("at least one question has to be in flight")
 
-    def ask_batches(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def ask_all(batches: Iterator[tuple[list, list]]) -> Iterator[pd.DataFrame]:
         asker = _Asker(factory, schema, attempts, delay, in_flight)
         try:
             for prompts, openings in batches:
-                rows = asker.batch(prompts.tolist(), openings.tolist())
+                rows = asker.batch(prompts, openings)
                 yield pd.DataFrame(rows, columns=["answer", "error", "attempts"]).astype({"attempts": "Int32"})
         finally:
             asker.close()
 
+    def ask_alone(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from ask_all((prompts.tolist(), [None] * len(prompts)) for prompts in batches)
+
+    def ask_behind(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        yield from ask_all((prompts.tolist(), openings.tolist()) for prompts, openings in batches)
+
     # The hints have to be real types here, as Spark picks the iterator form by them.
-    ask_batches.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
-    openings = F.lit(None).cast("array<string>") if before is None else before
-    return F.pandas_udf(ask_batches, ANSWER_TYPE).asNondeterministic()(prompt, openings)
+    ask_alone.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    ask_behind.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
+    if before is None:
+        return F.pandas_udf(ask_alone, ANSWER_TYPE).asNondeterministic()(prompt)
+    # Null lists would make Arrow go over the whole batch again at each row; empty ones do not, and say the same.
+    openings = F.coalesce(before, F.array().cast("array<string>"))
+    return F.pandas_udf(ask_behind, ANSWER_TYPE).asNondeterministic()(prompt, openings)
 
 
 def extract(

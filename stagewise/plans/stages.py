@@ -241,14 +241,19 @@ def _stage_prompt(df: DataFrame, stage: Stage, functions: FunctionRegistry, rule
     return work.withColumn("_prompt", texts[-1]).withColumn("_before", before).drop(*[name for name in work.columns if name.startswith("_call_")])
 
 
+def _openings(stage: Stage) -> Column | None:
+    """What ``_stage_prompt`` has put in front of the prompt, none for a stage without pre-prompts."""
+    return F.col("_before") if stage.pre_prompts else None
+
+
 def _answered(
-    df: DataFrame, prompt: Column, owned: Schema | None, backend: BackendFactory | None, attempts: int, delay: float, in_flight: int
+    df: DataFrame, prompt: Column, stage: Stage, owned: Schema | None, backend: BackendFactory | None, delay: float, in_flight: int
 ) -> DataFrame:
     """Ask, and add ``_text``, ``_wrong`` (why it is no use), and for a stage with fields ``_record`` and ``_given`` (its members by name)."""
     answer = (
         echo_answer(prompt, owned)
         if backend is None
-        else backend_answer(prompt, owned, backend, max(1, attempts), delay, F.col("_before"), in_flight)
+        else backend_answer(prompt, owned, backend, max(1, stage.attempts), delay, _openings(stage), in_flight)
     )
     asked = df.withColumn("_asked", answer)
     error = F.col("_asked.error")
@@ -323,7 +328,8 @@ def _ask_items(df: DataFrame, stage: Stage, keys: Keys, ready: Column, prompt: C
     whole = F.when(F.size("_items") == F.col("_most") + 1, F.array_sort("_items", in_order)).otherwise(twice)
     own = own.withColumn("_items", whole).drop("_most")
     none = F.array().cast(own.schema["_items"].dataType)
-    return join_on(df, own, names(keys), "left").withColumn("_items", F.when(ready, F.coalesce("_items", none)))
+    # As many rows as the table has, whatever Spark guesses: not to be broadcast.
+    return join_on(df, own.hint("merge"), names(keys), "left").withColumn("_items", F.when(ready, F.coalesce("_items", none)))
 
 
 def run_stage(
@@ -359,7 +365,7 @@ def run_stage(
         return _stage_prompt(rows, stage, functions, rules)
 
     def answered(rows: DataFrame, prompt: Column) -> DataFrame:
-        return _answered(rows, prompt, owned, backend, stage.attempts, delay, in_flight)
+        return _answered(rows, prompt, stage, owned, backend, delay, in_flight)
 
     fields = to_spark(owned).fields if owned is not None else []
     context, texts = ref("context"), F.lit(None).cast("array<string>")
@@ -426,7 +432,8 @@ def run_stages(
     with iterated stages or resources need them, the latter also a ``catalog`` (``identifier``, ``content``). References of the schema are resolved
     by ``components``; an unknown one stops the plan. A backend is asked up to ``in_flight`` questions at a time in each task.
 
-    A skipped stage skips its dependents. With a real backend use ``checkpoint_layers``: each layer is then written once,
+    A skipped stage skips its dependents. With a backend, what is answered so far is written once in front of an iterated stage, whose
+    items and rows are read from it separately. With a real backend use ``checkpoint_layers``: each layer is then written once,
     so lost executors or later branches never ask the model again.
     """
     if mode not in ("permissive", "failfast"):
@@ -438,12 +445,16 @@ def run_stages(
         if any(call.into == TO_PROMPT for call in calls):
             raise ValueError("calls of the plan have no prompt to go to")
         df, _ = call_functions(df, calls, functions or FunctionRegistry(), rules)
+    answered = False
     for layer in stage_layers(stages):
         df = load_resources(df, layer, catalog, keys, rules)
         for stage in layer:
+            if answered and stage.iterate_on is not None:
+                df, answered = materialize(df), False
             df = run_stage(df, stage, schema, backend, functions, rules, mode, delay, keys, catalog, in_flight)
+            answered = backend is not None
         if checkpoint_layers:
-            df = materialize(df)
+            df, answered = materialize(df), False
     return df
 
 
@@ -474,7 +485,7 @@ def iterate_stage(
     asked = (
         echo_answer(prompt, schema)
         if backend is None
-        else backend_answer(prompt, schema, backend, max(1, stage.attempts), delay, F.col("_before"))
+        else backend_answer(prompt, schema, backend, max(1, stage.attempts), delay, _openings(stage))
     )
     rows = prompted.withColumn("_asked", asked).select(*names(keys), "it_pos", "_asked.answer", "_asked.error")
     if backend is not None:
