@@ -240,16 +240,26 @@ def extract_echo_query(spark, sf_dir):
     return answered.select("doc_id", record["first"].alias("first"), record["second"].alias("second"))
 
 
-def flaky_backend():
-    """A backend that fails on the first question of a prompt and always on French ones."""
-    seen: set[str] = set()
+def flaky_backend(most=50_000):
+    """A backend that fails on the first question of a prompt and always on French ones.
+
+    Prompts are told apart by their hash. Those to be asked again are kept, which are those of a batch at most; of those answered, the last
+    ``most`` at least, and an older one counts as new.
+    """
+    waiting: set[int] = set()
+    answered: list[set[int]] = [set(), set()]
 
     def ask(prompt, _schema):
         if prompt.startswith("fr"):
             raise TimeoutError("timeout")
-        if prompt not in seen:
-            seen.add(prompt)
+        key = hash(prompt)
+        if not any(key in known for known in (waiting, *answered)):
+            waiting.add(key)
             raise ConnectionError("503")
+        waiting.discard(key)
+        answered[0].add(key)
+        if len(answered[0]) >= most:
+            answered[:] = [set(), answered[0]]
         return json.dumps({"words": len(prompt.split(" "))})
 
     return ask
