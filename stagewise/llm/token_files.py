@@ -24,6 +24,8 @@ from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -73,8 +75,8 @@ class PieceIds:
     """Ids of the pieces of texts, remembered up to a bound.
 
     Byte-level tokenizers of this kind cut a text in front of a blank that stands between two non-blanks, and on both sides of a line end
-    that does, and encode what lies between the cuts by itself. ``encode`` uses that: pieces seen before are looked up, and the new ones of a
-    batch go through the library many in a call, joined; their ids are cut again where a token begins with a blank. Pieces of Latin letters, digits
+    that does, and encode what lies between the cuts by itself. ``encode`` uses that: the different pieces of a batch are looked up, and new ones
+    go through the library many in a call, joined; their ids are cut again where a token begins with a blank. Pieces of Latin letters, digits
     and ASCII marks go to the library's model without its pattern matching, as no token of the vocabulary mixes those kinds (``apart``; else they
     take the other way). Pieces that do not begin with a blank are encoded one by one, and a text with a special token as a whole.
 
@@ -166,6 +168,30 @@ class PieceIds:
         except ValueError:
             return ids, gaps
 
+    def looked_up(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of texts that are neither empty nor hold null characters or empty lines, with the end id; none where a piece is left out.
+
+        Arrow cuts all texts at once and counts equal pieces as one, so that only the different ones become Python objects.
+        """
+        cut = pa.array([text.replace(" ", "\0 ").replace("\n", "\0\n\0") for text in texts], pa.large_string())
+        lists = pc.split_pattern(cut, "\0")
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids, gaps = self.found(pieces)
+        if gaps:
+            self.learn({pieces[at] for at in gaps})
+            for at in gaps:
+                ids[at] = self.known.get(pieces[at])
+        laid = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = lists.offsets.to_numpy()[1:]
+        gone = np.zeros(len(laid) + 1, np.int64)
+        if laid.null_count:
+            np.cumsum(laid.is_null().to_numpy(zero_copy_only=False), out=gone[1:])
+        offsets, data = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1), memoryview(laid.buffers()[2] or b"")
+        places, lost = offsets[ends].tolist(), np.diff(gone[ends], prepend=0).tolist()
+        end = np.array([END_ID], "<u4").tobytes()
+        return [None if n else b"".join((data[x:y], end)) for x, y, n in zip([0, *places], places, lost, strict=False)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, with the end id. Null texts are empty ones."""
         end = np.array([END_ID], "<u4").tobytes()
@@ -174,40 +200,24 @@ class PieceIds:
         if len(self.known) >= self.most:
             self.older, self.known = self.known, {}
         self.known |= {"": b"", "\n": self.whole("\n")}
-        out: list[bytes] = [end] * len(texts)
-        todo = [i for i, text in enumerate(texts) if text]
-        for again in (False, True):
-            waiting: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
-            new: set[str] = set()
-            for i in todo:
-                text = texts[i]
-                if any(s in text for s in self.special):
-                    out[i] = self.whole(text) + end
-                    continue
-                if again or "\0" in text or "\n\n" in text:
-                    pieces = SAFE_CUT.split(text)
-                else:
-                    pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-                ids, gaps = self.found(pieces)
-                if gaps:
-                    new.update(pieces[at] for at in gaps)
-                    waiting.append((i, pieces, ids, gaps))
-                else:
-                    out[i] = b"".join(ids) + end
-            if again:
-                # Cut where it is safe, pieces may hold any white space.
-                self.one_by_one(list(new))
-            else:
-                self.learn(new)
-            todo = []
-            for i, pieces, ids, gaps in waiting:
-                more = [self.known.get(pieces[at]) for at in gaps]
-                if None in more:
-                    todo.append(i)
-                    continue
-                for at, value in zip(gaps, more, strict=True):
-                    ids[at] = value
-                out[i] = b"".join(ids) + end
+        out: list[bytes | None] = [None if text else end for text in texts]
+        plain: list[int] = []
+        for i, text in enumerate(texts):
+            if text and any(s in text for s in self.special):
+                out[i] = self.whole(text) + end
+            elif text and "\0" not in text and "\n\n" not in text:
+                plain.append(i)
+        if plain:
+            for i, found in zip(plain, self.looked_up([texts[i] for i in plain]), strict=True):
+                out[i] = found
+        # The rest is cut where it is safe. Pieces that ``learn`` leaves out, as those of the texts above, are encoded one by one.
+        seen = set(plain)
+        rest = [i for i, found in enumerate(out) if found is None]
+        cuts = {i: SAFE_CUT.split(texts[i]) for i in rest}
+        self.learn({piece for i in rest if i not in seen for piece in cuts[i] if piece not in self.known})
+        self.one_by_one(list({piece for i in rest for piece in cuts[i] if piece not in self.known}))
+        for i in rest:
+            out[i] = b"".join(map(self.known.__getitem__, cuts[i])) + end
         return out
 
 
@@ -226,7 +236,7 @@ def file_system(url: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(url if "://" in url or not url.startswith("file:") else "file://" + url[5:])
 
 
-def batches(texts: list[str], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def batches(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of a list whose texts hold so many characters together, or a single longer text."""
     start = size = 0
     for i, text in enumerate(texts):
@@ -347,7 +357,6 @@ def read_token_files(manifest: DataFrame, folder: str, digest: bool = False) ->
     column, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _pieces.clear()  # what this worker remembers for writing is of no more use
         files, top = file_system(folder)
         openers: dict[str, zstandard.ZstdDecompressor] = {}
         for frame in frames:

@@ -292,6 +292,34 @@ def test_pieces_have_the_ids_of_whole_texts(weights):
     assert len(encoder.known) + len(encoder.older) < 100_000
 
 
+def test_tasks_do_not_carry_what_the_driver_remembers(spark, tmp_path, monkeypatch):
+    """op10_token_files: the function that reads shards took the driver's pieces along to every task."""
+    import public_tokenizers
+    from pyspark import cloudpickle
+    from pyspark.sql import DataFrame
+    from stagewise.llm.token_files import pieces_of, read_token_files, write_token_files
+
+    path, sent = public_tokenizers.path("byte_bpe_50k.json"), []
+    pieces_of(path).encode([" ".join(f"x{i}" for i in range(5_000))])
+    docs = frame(spark, [(i, f"text {i}") for i in range(20)])
+    original = type(docs).mapInPandas
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda df, f, *rest: sent.append(f) or original(df, f, *rest))
+    manifest = write_token_files(docs, str(tmp_path), path, b"")
+    assert isinstance(docs, DataFrame) and read_token_files(manifest, str(tmp_path), digest=True).count() == 20
+    assert len(sent) == 2 and all(len(cloudpickle.dumps(f)) < 50_000 for f in sent)
+
+
+def test_a_batch_mixes_texts_cut_in_all_ways():
+    """Null, empty, plain texts, those with empty lines, null characters, blanks at a cut and special tokens side by side."""
+    import public_tokenizers
+    from stagewise.llm.token_files import PieceIds
+
+    encoder = PieceIds(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [None, "", "a b\nc", "a\n\nb c", "a\0b c", "a  b \n c", "x <|endoftext|> y", " ", "\n", "d\r\n e\u2003 f", "a b\nc", "\u4e2d \u00e9t\u00e9 don't"]
+    for some in (texts, texts[::-1], [None, ""], [], ["\n\n"], ["a b"]):
+        assert encoder.encode(some) == [encoder.whole(text or "") + b"\0\0\0\0" for text in some]
+
+
 def test_many_texts_of_one_id_are_spread(spark, tmp_path, monkeypatch):
     import public_tokenizers
     from stagewise.llm import token_files
